@@ -30,7 +30,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """Equi-join on ``keys`` (null-safe by default) keeping one copy of each key."""
     keys = list(keys)
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        raise ValueError("join_on needs at least one key (no cross joins)")
     if not null_safe:
         return left.join(right, keys, how)
     r = right
@@ -135,9 +135,12 @@ def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
     """Linear-interpolation quantiles (the pandas / ``percentile_cont`` rule), exact.
 
     Returns ``part_cols``, ``q``, ``value`` (double).  Groups whose values are
-    all null produce no row.
+    all null produce no row.  With no ``part_cols`` the whole frame is one group.
     """
     part_cols = list(part_cols)
+    if not part_cols:
+        out = exact_quantiles(values.withColumn("__all", F.lit(0)), ["__all"], value_col, quantiles, n_buckets)
+        return out.drop("__all")
     counts = values.where(F.col(value_col).isNotNull()).groupBy(*part_cols).agg(
         F.count(F.lit(1)).alias("_cnt"))
     qs = counts.select(*part_cols, "_cnt", F.explode(

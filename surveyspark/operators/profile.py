@@ -115,8 +115,7 @@ def value_counts_labelled(df: DataFrame, col: str, book: dict | None = None,
     """Counts of each value including missing, share of rows, and display text."""
     name = col_lookup(df, col)
     g = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))     # one row: safe to broadcast
-    g = g.crossJoin(F.broadcast(total))
+    total = df.agg(F.count(F.lit(1))).scalar()      # scalar subquery, evaluated once
     if book:
         items = []
         for k, v in book.items():
@@ -126,7 +125,7 @@ def value_counts_labelled(df: DataFrame, col: str, book: dict | None = None,
         text = F.col("value").cast("string")
     label = F.when(F.col("value").isNull(), F.lit(missing_text)).otherwise(text)
     return g.select("value", label.alias("display"), "count",
-                    F.round(F.col("count") / F.col("__total").cast("double"), 4).alias("share"))
+                    F.round(F.col("count") / total.cast("double"), 4).alias("share"))
 
 
 def prevalence_by_group(df: DataFrame, targets: Sequence[str], group_cols: Sequence[str],
@@ -178,19 +177,19 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFram
 def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed): (bin, bin_lo, bin_hi, count, mean).
 
-    Min, max and mean are one 1-row aggregate (broadcast); the counts are a
+    Min, max and mean are one scalar subquery; the counts are a
     partial-aggregating ``groupBy(bin)``.
     """
     name = col_lookup(df, col)
     x = F.col(name).cast("double")
-    rng = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.avg(x).alias("mean"))
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
+    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]
+    width = (hi - lo) / F.lit(float(bins))
     b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
-    j = df.where(x.isNotNull()).select(name).crossJoin(F.broadcast(rng))
-    g = j.groupBy(b.alias("bin"), "__lo", "__hi", "mean").agg(F.count(F.lit(1)).alias("count"))
-    return g.select("bin", (F.col("__lo") + F.col("bin") * width).alias("bin_lo"),
-                    (F.col("__lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "count", "mean")
+        F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
+    g = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return g.select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
+                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count", rng["mean"].alias("mean"))
 
 
 def distinct_codes(df: DataFrame, col: str) -> DataFrame:

@@ -280,10 +280,14 @@ def _full_pipeline_sql() -> str:
             f"imp AS (SELECT * REPLACE ({imp}) FROM dec),\n"
             f"clp AS (SELECT * REPLACE (CASE WHEN m19 IS NULL THEN NULL ELSE greatest(500.0::DOUBLE, "
             f"least(m19, 5000.0::DOUBLE)) END AS m19) FROM imp),\n"
-            f"idx AS ({sdi_sql('clp')})\n"
-            f"SELECT min(id) AS id, {', '.join(cols)}, sdi FROM idx GROUP BY ALL")
+            f"idx AS ({sdi_sql('clp')}),\n"
+            f"fp AS (SELECT min(id) AS id, {', '.join(cols)}, sdi FROM idx GROUP BY ALL)")
 
 
-@register("full_pipeline", _full_pipeline_sql())
+# The cleaned table as CTEs ending in ``fp``; later queries build on it.
+FP_CTES = _full_pipeline_sql()
+
+
+@register("full_pipeline", FP_CTES + " SELECT * FROM fp")
 def q_full_pipeline(spark, sf):
     return clean.full_pipeline(obs(spark, sf), SPEC)
