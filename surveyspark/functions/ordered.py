@@ -95,18 +95,49 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[st
     return out.drop(*[f"_off_{c}" for c in sum_cols], *[f"_in_{c}" for c in sum_cols])
 
 
+def _materialized(df: DataFrame) -> DataFrame:
+    """Write the distinct-value table once to the shared checkpoint folder: the
+    size check and the ranking both read it, and its lineage (scan, joins,
+    dedup) is cut, so a lost executor does not recompute the input."""
+    from surveyspark.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+# Largest number of distinct values per group ranked by one plain window.
+DIRECT_LIMIT = 1_000_000
+
+
 def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str,
-                 ranks: DataFrame, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 ranks: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
+                 direct_limit: int | None = DIRECT_LIMIT) -> DataFrame:
     """Exact order statistics: for each ``(group, rank)`` row of ``ranks`` return
     the ``rank``-th smallest non-null ``value_col`` of that group (1-based).
 
+    Values are first reduced to distinct values with multiplicity (a value
+    repeated a billion times is one row).  When a size check shows every
+    group has at most ``direct_limit`` distinct values, one window per group
+    over that small table finds the ranks.  Otherwise the bucketed path runs,
+    whose windows are bounded by bucket size, not group size.
+
     Output columns: ``part_cols``, ``rank``, ``value``.  Ranks outside
     ``[1, n]`` produce no row.
     """
     part_cols = list(part_cols)
     v = values.select(*part_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
-    # Distinct values with multiplicity: a heavily repeated value is one row.
-    dv = v.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    dv = _materialized(v.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    if direct_limit is not None:
+        widest = dv.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+        if widest is None or widest <= direct_limit:
+            w = Window.partitionBy(*part_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+            cum = dv.withColumn("_cum", F.sum("_n").over(w))
+            out = join_on(ranks.select(*part_cols, "rank"), cum, part_cols).where(
+                (F.col("rank") > F.col("_cum") - F.col("_n")) & (F.col("rank") <= F.col("_cum")))
+            return out.select(*part_cols, "rank", F.col("_v").alias("value"))
+    return _select_ranks_bucketed(dv, part_cols, ranks, n_buckets)
+
+
+def _select_ranks_bucketed(dv: DataFrame, part_cols: list[str], ranks: DataFrame, n_buckets: int) -> DataFrame:
     dvb = with_range_buckets(dv, part_cols, "_v", "_b", n_buckets)
 
     hist = dvb.groupBy(*part_cols, "_b").agg(F.sum("_n").alias("_bn"))
@@ -131,7 +162,8 @@ def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str,
 
 
 def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
-                    quantiles: Sequence[float], n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    quantiles: Sequence[float], n_buckets: int = DEFAULT_BUCKETS,
+                    direct_limit: int | None = DIRECT_LIMIT) -> DataFrame:
     """Linear-interpolation quantiles (the pandas / ``percentile_cont`` rule), exact.
 
     Returns ``part_cols``, ``q``, ``value`` (double).  Groups whose values are
@@ -139,8 +171,15 @@ def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
     """
     part_cols = list(part_cols)
     if not part_cols:
-        out = exact_quantiles(values.withColumn("__all", F.lit(0)), ["__all"], value_col, quantiles, n_buckets)
+        out = exact_quantiles(values.withColumn("__all", F.lit(0)), ["__all"], value_col, quantiles, n_buckets,
+                              direct_limit)
         return out.drop("__all")
+    if direct_limit is not None:
+        dv = _materialized(values.select(*part_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
+                           .groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n")))
+        widest = dv.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+        if widest is None or widest <= direct_limit:
+            return _quantiles_direct(dv, part_cols, quantiles)
     counts = values.where(F.col(value_col).isNotNull()).groupBy(*part_cols).agg(
         F.count(F.lit(1)).alias("_cnt"))
     qs = counts.select(*part_cols, "_cnt", F.explode(
@@ -149,7 +188,7 @@ def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
         "_lo", F.floor("_h").cast("long") + 1).withColumn("_hi", F.ceil("_h").cast("long") + 1)
     ranks = qs.select(*part_cols, F.col("_lo").alias("rank")).union(
         qs.select(*part_cols, F.col("_hi").alias("rank"))).distinct()
-    sel = select_ranks(values, part_cols, value_col, ranks, n_buckets)
+    sel = select_ranks(values, part_cols, value_col, ranks, n_buckets, direct_limit)
     lo = sel.withColumnRenamed("rank", "_lo").withColumnRenamed("value", "_x_lo")
     hi = sel.withColumnRenamed("rank", "_hi").withColumnRenamed("value", "_x_hi")
     out = join_on(join_on(qs, lo, part_cols + ["_lo"]), hi, part_cols + ["_hi"])
@@ -157,3 +196,26 @@ def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
     value = F.col("_x_lo").cast("double") + frac * (
         F.col("_x_hi").cast("double") - F.col("_x_lo").cast("double"))
     return out.select(*part_cols, "q", value.alias("value"))
+
+
+def _quantiles_direct(dv: DataFrame, part_cols: list[str], quantiles: Sequence[float]) -> DataFrame:
+    """Quantiles from the distinct-value table in one window + one aggregate
+    (both partitioned by the group, so a single shuffle)."""
+    w = Window.partitionBy(*part_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = dv.withColumn("_cum", F.sum("_n").over(w)).withColumn(
+        "_tot", F.sum("_n").over(Window.partitionBy(*part_cols)))
+    aggs = [F.first("_tot").alias("_tot")]
+    for i, q in enumerate(quantiles):
+        h = (F.col("_tot") - 1) * F.lit(float(q))
+        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
+        covers = lambda r: (F.col("_cum") - F.col("_n") < r) & (r <= F.col("_cum"))
+        aggs += [F.max(F.when(covers(lo), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(covers(hi), F.col("_v"))).alias(f"_hi{i}")]
+    g = cum.groupBy(*part_cols).agg(*aggs)
+    rows = []
+    for i, q in enumerate(quantiles):
+        h = (F.col("_tot") - 1) * F.lit(float(q))
+        frac = h - F.floor(h)
+        x_lo, x_hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        rows.append(F.struct(F.lit(float(q)).alias("q"), (x_lo + frac * (x_hi - x_lo)).alias("value")))
+    return g.select(*part_cols, F.explode(F.array(*rows)).alias("_r")).select(*part_cols, "_r.q", "_r.value")

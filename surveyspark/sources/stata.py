@@ -20,13 +20,13 @@ from pyspark.sql.types import StructType
 from surveyspark.spec import MISSING_CODES
 
 
-def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksize: int = 100_000,
-               files_per_task: int = 1) -> DataFrame:
+def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksize: int = 100_000) -> DataFrame:
     """Distributed read of ``.dta`` files into a DataFrame with ``schema``.
 
     ``schema`` names the columns to keep (matched case-insensitively) and their
     Spark types.  Stata missing values come through as null.
     """
+    # Only the path column is read: the binary-file source skips file contents.
     files = (spark.read.format("binaryFile").load(path_glob).select("path")
              .repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
     names = [f.name for f in schema.fields]
@@ -35,12 +35,12 @@ def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksiz
         for b in batches:
             for p in b["path"]:
                 local = p[5:] if p.startswith("file:") else p
-                with pd.read_stata(local, iterator=True, convert_categoricals=False,
+                with pd.read_stata(local, iterator=True, convert_categoricals=False) as rdr:
+                    lower = {c.lower(): c for c in rdr.variable_labels()}
+                cols = [lower[n.lower()] for n in names if n.lower() in lower]
+                with pd.read_stata(local, columns=cols, convert_categoricals=False,
                                    chunksize=chunksize) as rdr:
-                    lower = {c.lower(): c for c in rdr.varlist}
-                    cols = [lower[n.lower()] for n in names if n.lower() in lower]
                     for chunk in rdr:
-                        chunk = chunk[cols]
                         chunk.columns = [c.lower() for c in cols]
                         out = pd.DataFrame({n: chunk[n.lower()] if n.lower() in chunk.columns else None
                                             for n in names})
