@@ -291,3 +291,30 @@ FP_CTES = _full_pipeline_sql()
 @register("full_pipeline", FP_CTES + " SELECT * FROM fp")
 def q_full_pipeline(spark, sf):
     return clean.full_pipeline(obs(spark, sf), SPEC)
+
+
+# -- I4/I5 model-side encoders ----------------------------------------------------------------------------
+
+@register("standardize", f"WITH {DECODED} SELECT * REPLACE ("
+          + ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM decoded)) / "
+                      f"(SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) "
+                      f"END FROM decoded) AS {c}" for c in ["m19", "hv270"]) + ") FROM decoded")
+def q_standardize(spark, sf):
+    """(x - mean) / population std of the numeric features."""
+    return impute.standardize(decoded(spark, sf), ["m19", "hv270"])
+
+
+ORD_COLS = ["v106", "v025", "hv201", "hv205", "status", "priority", "nation"]
+
+
+@register("ordinal_encode", f"WITH {DECODED}, " + ", ".join(
+    f"t_{c} AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM "
+    f"(SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM decoded WHERE {c} IS NOT NULL))" for c in ORD_COLS)
+    + " SELECT d.* REPLACE (" + ", ".join(
+        f"coalesce((SELECT code FROM t_{c} WHERE t_{c}.value = CAST(d.{c} AS VARCHAR)), -1) AS {c}" for c in ORD_COLS)
+    + ") FROM decoded d")
+def q_ordinal_encode(spark, sf):
+    """Category -> 0-based rank among sorted distinct values; unseen and missing -> -1."""
+    d = decoded(spark, sf)
+    table = impute.fit_ordinal(d, ORD_COLS)
+    return impute.ordinal_encode(d, ORD_COLS, table)

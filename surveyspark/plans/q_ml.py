@@ -253,3 +253,83 @@ def q_tuned_model(spark, sf):
     best = max(rows, key=lambda r: r[1])[0]
     out = spark.createDataFrame(rows, "C double, mean_recall double")
     return out.withColumn("is_best", F.col("C") == F.lit(best))
+
+
+# -- attribution -----------------------------------------------------------------------------------
+
+FEATURE_NAMES = NUMERIC + CATEGORICAL
+
+
+def _background(spark, sf, fs):
+    """200 background rows of the training split (seeded sample), through the feature stage."""
+    from surveyspark.operators.profile import sample_n
+    train, _ = split_frames(spark, sf)
+    return fs.model.transform(sample_n(train, "id", 200, seed=42))
+
+
+def linear_phi(spark, sf):
+    from surveyspark.operators import attribution
+    models, test = lr_models(spark, sf)
+    train, _ = split_frames(spark, sf)
+    fs = feature_stage(spark, sf, train)
+    means = attribution.background_means(_background(spark, sf, fs), len(FEATURE_NAMES))
+    parts, bases = [], {}
+    for t, m in models.items():
+        lr = m.stages[-1]
+        coef = list(lr.coefficients.toArray())
+        bases[t] = float(sum(c * mu for c, mu in zip(coef, means)) + lr.intercept)
+        parts.append(attribution.linear_attribution(fs.model.transform(test), coef, means, FEATURE_NAMES, t))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, bases
+
+
+@register("linear_attribution")
+def q_linear_attribution(spark, sf):
+    """Exact Shapley values of the logistic models (margin space) against 200 background rows."""
+    return linear_phi(spark, sf)[0]
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf):
+    """Exact interventional tree Shapley values of the forests against 200 background rows."""
+    import numpy as np
+    from surveyspark.operators import attribution
+    models, test = rf_models(spark, sf)
+    train, _ = split_frames(spark, sf)
+    fs = feature_stage(spark, sf, train)
+    bg = np.array([r["x"] for r in _background(spark, sf, fs)
+                   .select(ml.vector_to_array("features").alias("x")).collect()])     # 200 rows
+    x = fs.model.transform(test)
+    parts = [attribution.tree_attribution(x, m.stages[-1], bg, FEATURE_NAMES, t) for t, m in models.items()]
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+@register("global_importance")
+def q_global_importance(spark, sf):
+    """Mean |phi| per feature and label, top 15 (from the linear attributions)."""
+    from surveyspark.operators import attribution
+    return attribution.global_importance(linear_phi(spark, sf)[0], 15)
+
+
+@register("top_features")
+def q_top_features(spark, sf):
+    from surveyspark.operators import attribution
+    return attribution.top_features(linear_phi(spark, sf)[0], "quality", 10)
+
+
+@register("row_explanation")
+def q_row_explanation(spark, sf):
+    """Base value, top contributions and the rest for the smallest test id."""
+    from surveyspark.operators import attribution
+    phi, bases = linear_phi(spark, sf)
+    first_id = phi.agg(F.min("id")).first()[0]
+    return attribution.row_explanation(phi, first_id, "quality", bases["quality"], 10)
+
+
+@register("dependence_table")
+def q_dependence_table(spark, sf):
+    """Mean phi of n_chars per value bin (20 bins)."""
+    from surveyspark.operators import attribution
+    return attribution.dependence_table(linear_phi(spark, sf)[0], "n_chars", bins=20)
