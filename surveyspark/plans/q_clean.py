@@ -318,3 +318,25 @@ def q_ordinal_encode(spark, sf):
     d = decoded(spark, sf)
     table = impute.fit_ordinal(d, ORD_COLS)
     return impute.ordinal_encode(d, ORD_COLS, table)
+
+
+# -- streaming ------------------------------------------------------------------------------------------------
+
+@register("stream_clean", f"WITH {DECODED}, sdi_rows AS ({sdi_sql('decoded')}) SELECT * REPLACE (CAST(CASE WHEN m19 IS NULL "
+          "THEN NULL ELSE greatest(500, least(m19, 5000)) END AS INTEGER) AS m19) FROM sdi_rows")
+def q_stream_clean(spark, sf):
+    """The raw coded rows are landed as Parquet files in the shared folder, then a
+    Structured Streaming query (availableNow trigger, checkpointed) recodes, scales,
+    labels, decodes, clips and indexes them into a Parquet sink, which is returned."""
+    import uuid
+    from surveyspark.session import scratch_path
+    from surveyspark.streaming.clean_stream import start_clean_stream
+    base = scratch_path(spark, f"stream_{uuid.uuid4().hex}")
+    raw = inputs.raw_obs(spark, sf)
+    raw.write.mode("overwrite").parquet(f"{base}/source")
+    q = start_clean_stream(spark, f"{base}/source", raw.schema, SPEC, f"{base}/sink", f"{base}/checkpoint",
+                           max_files_per_trigger=2, skip_decode=("segment",))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{base}/sink")
