@@ -6,8 +6,9 @@ any cluster size and partitioning (unlike ``randomSplit``).
 Exact mode: the test set takes ``T = ceil(f * N)`` rows; per-stratum quotas
 by largest remainder (ties by stratum value); within a stratum the rows
 with the smallest hashes.  Ranks come from bucketed running counts
-(:func:`surveyspark.functions.ordered.prefix_sums`) keyed on the leading 16
-hash bits, so a stratum holding most of the table is spread over ~65k small
+(:func:`surveyspark.functions.ordered.prefix_sums`) keyed on the leading hash
+bits -- as many bits as make a bucket of the largest stratum hold about 200k
+rows -- so a stratum holding most of the table is spread over many small
 window partitions instead of one.
 
 Fast mode: test iff the hash fraction is below ``f``; no shuffle, the
@@ -16,6 +17,7 @@ proportions are approximate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +32,22 @@ def hash_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def hash_bucket(h: Column, hex_digits: int = 4) -> Column:
-    """Leading hash digits as an int: monotone in the hex string order."""
-    return F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("int")
+ROWS_PER_BUCKET = 200_000
+
+
+def hash_bucket(h: Column, bits: int = 16) -> Column:
+    """The leading ``bits`` bits of the hex hash as an int: monotone in the hash order."""
+    bits = max(0, min(24, int(bits)))
+    top24 = F.conv(F.substring(h, 1, 6), 16, 10).cast("long")
+    return F.floor(top24 / F.lit(float(1 << (24 - bits)))).cast("int")
+
+
+def bucket_bits(largest_group: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Enough leading hash bits that a bucket of the largest group holds about
+    ``rows_per_bucket`` rows (hashes are uniform), capped at 24 bits."""
+    if not largest_group or largest_group <= rows_per_bucket:
+        return 0
+    return min(24, math.ceil(math.log2(largest_group / rows_per_bucket)))
 
 
 def stratum_quotas(counts: DataFrame, strat: str, test_size: float) -> DataFrame:
@@ -52,14 +67,16 @@ def stratum_quotas(counts: DataFrame, strat: str, test_size: float) -> DataFrame
 
 
 def stratified_split(df: DataFrame, id_col: str, strat_col: str, test_size: float = 0.2,
-                     seed: int = 42, mode: str = "exact", split_col: str = "split") -> DataFrame:
+                     seed: int = 42, mode: str = "exact", split_col: str = "split",
+                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``split`` ('train' / 'test') to every row of ``df``."""
     h = hash_key(id_col, seed)
     if mode == "fast":
         frac = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
-    keyed = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"))).withColumn("_one", F.lit(1))
-    counts = keyed.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n"))
+    bits = bucket_bits(counts.agg(F.max("n")).first()[0], rows_per_bucket)
+    keyed = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), bits)).withColumn("_one", F.lit(1))
     quotas = stratum_quotas(counts, strat_col, test_size)
     ranked = prefix_sums(keyed, [strat_col], ["_h", id_col], ["_one"], "_b")
     out = join_on(ranked, quotas.select(strat_col, "quota"), [strat_col])
@@ -99,11 +116,12 @@ def split_summary(split_df: DataFrame, spec: SurveySpec, n_features: int, n_cols
 
 
 def cv_folds(df: DataFrame, id_col: str, strat_col: str, k: int = 5, seed: int = 42,
-             fold_col: str = "fold") -> DataFrame:
+             fold_col: str = "fold", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Stratified fold id: the row's hash rank inside its stratum, modulo k.
     Every fold gets floor or ceil of n_s / k rows of each stratum."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_b", hash_bucket(F.col("_h"))) \
-        .withColumn("_one", F.lit(1))
+    largest = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn(
+        "_b", hash_bucket(F.col("_h"), bucket_bits(largest, rows_per_bucket))).withColumn("_one", F.lit(1))
     ranked = prefix_sums(keyed, [strat_col], ["_h", id_col], ["_one"], "_b")
     return ranked.withColumn(fold_col, (F.col("_one_before") % k).cast("int")).drop(
         "_h", "_b", "_one", "_one_before")

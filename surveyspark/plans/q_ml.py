@@ -30,6 +30,16 @@ def labelled(spark, sf):
 _MEMO: dict = {}
 
 
+def clear_memo() -> None:
+    """Forget fitted models (the bench clears it so every run includes the fit)."""
+    for v in _MEMO.values():
+        if isinstance(v, tuple):
+            for x in v:
+                if hasattr(x, "unpersist"):
+                    x.unpersist()
+    _MEMO.clear()
+
+
 def memo(spark, sf, kind, build):
     """Fit once per session and data folder; later queries (benchmarks, round trip)
     reuse the fitted models the way the reference reuses its saved baselines."""

@@ -109,3 +109,13 @@ def test_initial_gates_info_never_blocks(spark):
     assert rows["G11_key_features_no_nulls"] == "INFO"
     s = gates.gate_summary(t).first()
     assert s["n_info"] == 1
+
+
+def test_bucketed_ranks_equal_single_window(spark):
+    df = strat_frame(spark, 3000)
+    one = {r["id"]: r["split"] for r in split.stratified_split(df, "id", "s").collect()}
+    many = {r["id"]: r["split"] for r in split.stratified_split(df, "id", "s", rows_per_bucket=20).collect()}
+    assert one == many
+    f1 = {r["id"]: r["fold"] for r in split.cv_folds(df, "id", "s").collect()}
+    f2 = {r["id"]: r["fold"] for r in split.cv_folds(df, "id", "s", rows_per_bucket=20).collect()}
+    assert f1 == f2
