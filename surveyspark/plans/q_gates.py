@@ -10,7 +10,7 @@ from surveyspark.functions.exprs import count_if
 from surveyspark.operators import audit, gates, labels, metrics
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS
-from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, Z, obs
+from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, ZERO_POLICY, Z, obs, q_labels_zero
 from surveyspark.plans.q_model import ML_RAW, scored_long
 from surveyspark.plans.registry import register, union_all
 from surveyspark.session import scratch_path
@@ -26,6 +26,17 @@ def _sum_sql(parts: list[str]) -> str:
     return "(" + " + ".join(f"count_if({p})" for p in parts) + ")"
 
 
+def facts_sql(src: str, data_cols: list[str], name: str = "facts") -> str:
+    """The one-pass gate facts over relation ``src`` (duplicates over ``data_cols``)."""
+    return (
+        f"{name} AS (SELECT count(*) AS n, "
+        f"{_sum_sql([f'{c} IN ({CODES})' for c in NUMERIC])} AS codes, "
+        f"{_sum_sql([f'{z} IS NOT NULL AND NOT ({z} BETWEEN -6.0 AND 6.0)' for z in Z])} AS out_z, "
+        f"{_sum_sql([f'{t} IS NOT NULL AND {t} NOT IN (0, 1)' for t in TARGETS])} AS nonbinary, "
+        + ", ".join(f"avg(CAST({t} AS DOUBLE)) AS prev_{t}" for t in TARGETS)
+        + f", count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(data_cols)} FROM {src})) AS dups FROM {src})")
+
+
 FACTS = (
     "facts AS (SELECT count(*) AS n, "
     f"{_sum_sql([f'{c} IN ({CODES})' for c in NUMERIC])} AS codes, "
@@ -55,7 +66,7 @@ def _within(a, lo, hi) -> str:
     return f"CASE WHEN coalesce({' AND '.join(conds)}, false) THEN 'PASS' ELSE 'FAIL' END"
 
 
-def soft_sql(section="soft validation") -> str:
+def soft_sql(section="soft validation", record_passing_prevalence: bool = False) -> str:
     rows = [_g(section, 1, "row_count", _within("n", SPEC.min_rows, None), "n", SPEC.min_rows, None),
             _g(section, 2, "no_missing_codes", _within("codes", None, 0), "codes", None, 0),
             _g(section, 3, "z_score_scale", _within("out_z", None, 0), "out_z", None, 0),
@@ -64,7 +75,8 @@ def soft_sql(section="soft validation") -> str:
                SPEC.max_duplicates)]
     for i, (l, lo, hi) in enumerate(SPEC.bands):
         rows.append(_g(section, 6 + i, f"{l}_prevalence", _within(f"prev_{l}", lo, hi), f"round(prev_{l}, 4)", lo, hi))
-    return "SELECT * FROM (" + union_all(rows) + ") WHERE seq <= 5 OR status = 'FAIL'"
+    where = "" if record_passing_prevalence else " WHERE seq <= 5 OR status = 'FAIL'"
+    return "SELECT * FROM (" + union_all(rows) + ")" + where
 
 
 def labels_sql(section="label integrity") -> str:
@@ -218,3 +230,12 @@ def q_class_weights_json(spark, sf):
     path = scratch_path(spark, f"class_weights_{uuid.uuid4().hex}")
     io.save_class_weights(labels.class_weights(obs(spark, sf), SPEC.targets), path)
     return io.load_class_weights(spark, path, [*SPEC.targets, "unlisted_label"])
+
+
+@register("gates_full", f"WITH {ZERO_POLICY}, zp AS (SELECT min(id) AS id, {', '.join(OBS_DATA)} FROM zk GROUP BY ALL), "
+          + facts_sql("zp", OBS_DATA) + " " + soft_sql("full validation", record_passing_prevalence=True))
+def q_gates_full(spark, sf):
+    """All six checks the hard runner evaluates, every row recorded, on the zero-policy
+    labelled rows (bounded z, deduplicated).  The hard runner raises on the first FAIL
+    of this table; the query returns the table itself."""
+    return gates.gates_soft(q_labels_zero(spark, sf), SPEC, "full validation", record_passing_prevalence=True)
