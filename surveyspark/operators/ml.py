@@ -75,10 +75,15 @@ def fit_feature_stage(train: DataFrame, numeric: Sequence[str], categorical: Seq
         sel.append(f"{fill} AS {_q('__c_' + c)}")
     stage1 = SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__")
     t1 = stage1.transform(train)
-    indexers = [StringIndexer(inputCol=f"__c_{c}", outputCol=f"__i_{c}", stringOrderType="alphabetAsc",
-                              handleInvalid="keep").fit(t1) for c in categorical]
-    ords = [f"CASE WHEN {_q('__i_' + c)} >= {len(ix.labelsArray[0])} THEN -1.0D ELSE {_q('__i_' + c)} END "
-            f"AS {_q('__o_' + c)}" for c, ix in zip(categorical, indexers)]
+    indexers, ords = [], []
+    if categorical:
+        # one multi-column indexer: all category lists come from a single job
+        ix = StringIndexer(inputCols=[f"__c_{c}" for c in categorical],
+                           outputCols=[f"__i_{c}" for c in categorical],
+                           stringOrderType="alphabetAsc", handleInvalid="keep").fit(t1)
+        indexers = [ix]
+        ords = [f"CASE WHEN {_q('__i_' + c)} >= {len(labels)} THEN -1.0D ELSE {_q('__i_' + c)} END "
+                f"AS {_q('__o_' + c)}" for c, labels in zip(categorical, ix.labelsArray)]
     stage3 = SQLTransformer(statement=f"SELECT {', '.join(['*'] + ords)} FROM __THIS__")
     asm = VectorAssembler(inputCols=[f"__n_{c}" for c in numeric] + [f"__o_{c}" for c in categorical],
                           outputCol=FEATURES, handleInvalid="keep")
@@ -92,19 +97,26 @@ def drop_feature_columns(df: DataFrame) -> DataFrame:
 
 # -- weights ---------------------------------------------------------------------------------
 
+def class_counts(df: DataFrame, label: str) -> tuple[int, int]:
+    """(positives, negatives) of a label in one aggregate job."""
+    r = df.agg(F.sum((F.col(label) == 1).cast("long")).alias("p"),
+               F.sum((F.col(label) == 0).cast("long")).alias("n")).first()
+    return int(r["p"] or 0), int(r["n"] or 0)
+
+
 def balanced_weight(df: DataFrame, label: str) -> Column:
-    """n / (2 * n_class) for the row's class; counts are scalar subqueries."""
-    n = df.where(F.col(label).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    pos = df.where(F.col(label) == 1).agg(F.count(F.lit(1))).scalar()
-    neg = df.where(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
-    return F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * neg))
+    """n / (2 * n_class) for the row's class (counts from one aggregate; literals in the plan)."""
+    pos, neg = class_counts(df, label)
+    n = pos + neg
+    wp = n / (2.0 * pos) if pos else 0.0
+    wn = n / (2.0 * neg) if neg else 0.0
+    return F.when(F.col(label) == 1, F.lit(wp)).otherwise(F.lit(wn))
 
 
 def positive_weight(df: DataFrame, label: str) -> Column:
     """neg / pos on positive rows, 1 on negatives (a positive-class weight)."""
-    pos = df.where(F.col(label) == 1).agg(F.count(F.lit(1))).scalar()
-    neg = df.where(F.col(label) == 0).agg(F.count(F.lit(1))).scalar()
-    return F.when(F.col(label) == 1, neg / pos.cast("double")).otherwise(F.lit(1.0))
+    pos, neg = class_counts(df, label)
+    return F.when(F.col(label) == 1, F.lit(neg / pos if pos else 1.0)).otherwise(F.lit(1.0))
 
 
 def balanced_weights_table(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -187,7 +199,7 @@ def fit_single(train: DataFrame, features: FeatureStage, label: str, estimator,
     if weight is not None:
         rows = rows.withColumn("w", weight)
     x = features.model.transform(rows)
-    x = right_sized(x, x.count()).persist()
+    x = right_sized(x, train.count()).persist()
     try:
         clf = estimator.fit(x)
     finally:
@@ -212,7 +224,7 @@ def fit_multilabel(train: DataFrame, features: FeatureStage, labels: Sequence[st
     for t in labels:
         rows = rows.withColumn(t, F.col(t).cast("double"))
     x = features.model.transform(rows)
-    x = right_sized(x, x.count()).persist()
+    x = right_sized(x, train.count()).persist()
 
     def fit_one(t: str):
         xt = x
