@@ -11,7 +11,7 @@ from surveyspark.operators import audit, gates, labels, metrics
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS
 from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, ZERO_POLICY, Z, obs, q_labels_zero
-from surveyspark.plans.q_model import ML_RAW, scored_long
+from surveyspark.plans.q_model import ML_RAW, SPLIT, scored_long
 from surveyspark.plans.registry import register, union_all
 from surveyspark.session import scratch_path
 from surveyspark.sources import io
@@ -239,3 +239,17 @@ def q_gates_full(spark, sf):
     labelled rows (bounded z, deduplicated).  The hard runner raises on the first FAIL
     of this table; the query returns the table itself."""
     return gates.gates_soft(q_labels_zero(spark, sf), SPEC, "full validation", record_passing_prevalence=True)
+
+
+@register("pipeline_run", SPLIT + ", c AS (SELECT CAST(count(*) AS BIGINT) AS a, CAST(count_if(split = 'train') AS BIGINT) AS tr, "
+          "CAST(count_if(split = 'test') AS BIGINT) AS te FROM sp) "
+          "SELECT 'cleaned' AS split, a AS rows, 17 AS cols FROM c UNION ALL SELECT 'X_train', tr, 11 FROM c "
+          "UNION ALL SELECT 'X_test', te, 11 FROM c UNION ALL SELECT 'y_train', tr, 3 FROM c "
+          "UNION ALL SELECT 'y_test', te, 3 FROM c")
+def q_pipeline_run(spark, sf):
+    """The end-to-end pipeline run into the shared folder (cleaned table, gates, audit,
+    split, summaries written); returns the split summary read back from disk."""
+    from surveyspark.plans.pipeline import run_pipeline
+    out = scratch_path(spark, f"pipeline_{uuid.uuid4().hex}")
+    paths = run_pipeline(spark, inputs.raw_obs(spark, sf), SPEC, out, stop_on_gate_failure=False)
+    return spark.read.parquet(paths["split_summary"])
