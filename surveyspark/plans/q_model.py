@@ -313,3 +313,12 @@ def q_cv_folds(spark, sf):
     fp = clean.full_pipeline(obs(spark, sf), SPEC)
     base = fp.dropna(how="any", subset=list(SPEC.targets)).select("id", "stunted")
     return split.cv_folds(base, "id", "stunted", 5, 42)
+
+
+@register("split_fast", f"{FP_CTES},\n"
+          "base AS (SELECT * FROM fp WHERE stunted IS NOT NULL AND underweight IS NOT NULL AND wasted IS NOT NULL) "
+          "SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '|42'), 1, 8)) AS BIGINT) / "
+          "4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM base")
+def q_split_fast(spark, sf):
+    """Fast split mode: test iff the row's hash fraction is below the test share (no shuffle)."""
+    return split.split_table(clean.full_pipeline(obs(spark, sf), SPEC), SPEC, mode="fast")

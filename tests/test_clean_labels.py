@@ -156,3 +156,11 @@ def test_group_detection_first_match(spark):
     df = spark.createDataFrame([(1, 2, 3)], "id long, SH46 int, V130 int")
     assert clean.detect_group_column(df, SPEC.group_candidates) == "SH46"
     assert clean.detect_group_column(df.drop("SH46", "V130"), SPEC.group_candidates) is None
+
+
+def test_band_check_absent_label_fails_with_null(spark):
+    from surveyspark.operators import profile
+    df = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "id long, stunted int, underweight int")
+    rows = {r["label"]: r for r in profile.prevalence_bands(df, SPEC).collect()}
+    assert rows["wasted"]["status"] == "FAIL" and rows["wasted"]["prevalence"] is None
+    assert rows["stunted"]["prevalence"] == 0.5
