@@ -120,12 +120,13 @@ def fnr_after_correction(lg: DataFrame, thresholds: DataFrame, base: float = 0.5
 
 
 def flag_join(df: DataFrame, flags: DataFrame, keys: Sequence[tuple[str, str]], flag_col: str = "is_flagged",
-              broadcast_ok: bool = True) -> DataFrame:
+              broadcast_ok: bool = False) -> DataFrame:
     """1 when the row's (normalised) keys are in ``flags``, else 0.
 
     ``keys`` pairs a column of ``df`` with a column of ``flags``; both sides are
     compared as ``lower(trim(.))``.  ``flags`` is de-duplicated first so the
-    left join never multiplies rows; broadcast it only when its size is bounded.
+    left join never multiplies rows.  Pass ``broadcast_ok=True`` only when the
+    list's size is bounded; otherwise AQE decides from its runtime size.
     """
     norm = [F.lower(F.trim(F.col(r).cast("string"))).alias(f"__k{i}") for i, (_, r) in enumerate(keys)]
     f = flags.select(*norm).distinct().withColumn("__hit", F.lit(1))

@@ -255,7 +255,7 @@ def q_flag_join(spark, sf):
     n = inputs.table(spark, sf, "nation")
     r = inputs.table(spark, sf, "region").where(F.col("r_name") == "ASIA")
     flags = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("state"))
-    out = fairness.flag_join(obs(spark, sf), flags, [("nation", "state")])
+    out = fairness.flag_join(obs(spark, sf), flags, [("nation", "state")], broadcast_ok=True)
     return out.withColumn("is_flagged", F.col("is_flagged").cast("int"))
 
 

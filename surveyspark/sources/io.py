@@ -113,8 +113,9 @@ def parse_district_lines(text: DataFrame, states: DataFrame, header_prefix: str
     Inside each file a line that does not start with a number or the header
     continues the record before it (joined with a space, or directly when it
     starts with a hyphen).  Repeated page headers are dropped.  The state is
-    the longest entry of ``states`` (a bounded list, broadcast) that prefixes
-    the rest of the line; the district is what follows it.
+    the longest entry of ``states`` (a bounded list, broadcast) equal to the
+    line's first words (an equi-join on word-prefix candidates, states of up
+    to six words); the district is what follows it.
     Output: (n, state, district).
     """
     hdr = header_prefix.replace(".", r"\.")
@@ -126,7 +127,15 @@ def parse_district_lines(text: DataFrame, states: DataFrame, header_prefix: str
         F.regexp_extract("line", r"^(\d+) (.*)$", 1).cast("int").alias("n"),
         F.regexp_extract("line", r"^(\d+) (.*)$", 2).alias("rest"))
     st = F.broadcast(states.select(F.col(states.columns[0]).alias("state")).distinct())
-    m = recs.join(st, F.col("rest").startswith(F.concat(F.col("state"), F.lit(" "))), "left")
+    # candidate states of a record = its leading 1..max_words words (an equi-join, no pair scan)
+    max_words = 6
+    words = F.split(F.col("rest"), " ")
+    cands = recs.select("n", "rest", F.explode(F.sequence(
+        F.lit(1), F.least(F.size(words) - 1, F.lit(max_words)))).alias("_k"))
+    cands = cands.where(F.col("_k") >= 1).withColumn(
+        "cand", F.array_join(F.slice(F.split(F.col("rest"), " "), 1, F.col("_k")), " "))
+    hits = cands.join(st, cands["cand"] == st["state"]).select("n", "rest", "state")
+    m = recs.join(hits, ["n", "rest"], "left")
     best = m.groupBy("n", "rest").agg(F.max_by("state", F.length("state")).alias("state"))
     district = F.when(F.col("state").isNull(), F.col("rest")).otherwise(
         F.trim(F.expr("substring(rest, length(state) + 2)")))
