@@ -9,9 +9,11 @@ The threshold correction replaces the per-group bisection loop with its
 closed form.  FNR(t) = #{positives with p < t} / P is a step function, so
 "FNR(t) <= target" holds exactly when t <= x, where x is the (k+1)-th
 smallest positive score and k the largest count with k / P <= target.  x is
-an exact order statistic found with bucketed ranks (no group is sorted in
-one task).  The 20 bisection steps are then a pure function of x, evaluated
-per group as a JVM-side ``aggregate`` over ``sequence(1, 20)``.
+an exact order statistic (:func:`~surveyspark.functions.ordered.select_ranks`:
+distinct scores with multiplicity, ranked by one window per group only when a
+size check allows it, otherwise by bucketed ranks).  The 20 bisection steps
+are then a pure function of x, evaluated per group as a JVM-side
+``aggregate`` over ``sequence(1, 20)``.
 """
 
 from __future__ import annotations

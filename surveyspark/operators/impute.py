@@ -3,10 +3,10 @@
 Fitting produces a small statistics table with one row per column (medians,
 modes, means/stds) -- its size is bounded by the schema width, not by the
 data, so the transform turns it into literals and stays a single projection.
-Medians are exact without collecting a column into one task
-(:func:`surveyspark.functions.ordered.exact_quantiles`); modes use a
-partial-aggregating ``min_by``; ordinal codes are a join against the fitted
-category table.
+Medians are exact (:func:`surveyspark.functions.ordered.exact_quantiles`:
+distinct values with multiplicity, one window per column only behind a size
+check, else bucketed ranks); modes use a partial-aggregating ``min_by``;
+ordinal codes are a join against the fitted category table.
 """
 
 from __future__ import annotations
