@@ -25,7 +25,6 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, numeric_columns, string_columns
-from surveyspark.functions.ordered import exact_quantiles, join_on, prefix_sums
+from surveyspark.functions.ordered import exact_quantiles, prefix_sums
 from surveyspark.spec import SurveySpec
 
 
@@ -131,7 +131,8 @@ def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     among the column's distinct non-null values in ascending order.
 
     Ranks come from bucketed running counts (bucket = first code point, which is
-    monotone in binary string order), so no column's categories meet in one task.
+    monotone in binary string order): a column's categories are ranked in one
+    window per leading character plus a small window over those buckets.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value").where(F.col("value").isNotNull()).distinct()

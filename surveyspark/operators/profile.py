@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import col_lookup, count_if, present
-from surveyspark.functions.ordered import exact_quantiles, join_on
+from surveyspark.functions.ordered import exact_quantiles
 from surveyspark.operators.labels import prevalence
 from surveyspark.spec import SurveySpec
 

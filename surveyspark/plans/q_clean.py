@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from surveyspark.operators import clean, impute, labels
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS, RAW_OBS
