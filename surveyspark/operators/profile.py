@@ -175,7 +175,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFram
 
 
 def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
-    """Equal-width histogram over [min, max] (last bin closed): (bin, bin_lo, bin_hi, count, mean).
+    """Equal-width histogram over [min, max] (last bin closed): (bin, bin_lo, bin_hi, count, mean),
+    the mean (the plot's marker) to 4 places.
 
     Min, max and mean are one scalar subquery; the counts are a
     partial-aggregating ``groupBy(bin)``.
@@ -189,7 +190,7 @@ def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
         F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
     g = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return g.select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count", rng["mean"].alias("mean"))
+                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count", F.round(rng["mean"], 4).alias("mean"))
 
 
 def distinct_codes(df: DataFrame, col: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from surveyspark.operators import clean, impute, labels
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS, RAW_OBS
@@ -294,12 +296,14 @@ def q_full_pipeline(spark, sf):
 # -- I4/I5 model-side encoders ----------------------------------------------------------------------------
 
 @register("standardize", f"WITH {DECODED} SELECT * REPLACE ("
-          + ", ".join(f"(CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM decoded)) / "
+          + ", ".join(f"round((CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM decoded)) / "
                       f"(SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({c} AS DOUBLE)) "
-                      f"END FROM decoded) AS {c}" for c in ["m19", "hv270"]) + ") FROM decoded")
+                      f"END FROM decoded), 9) + 0.0 AS {c}" for c in ["m19", "hv270"]) + ") FROM decoded")
 def q_standardize(spark, sf):
-    """(x - mean) / population std of the numeric features."""
-    return impute.standardize(decoded(spark, sf), ["m19", "hv270"])
+    """(x - mean) / population std of the numeric features, shown to 9 decimals (the two
+    engines accumulate the standard deviation in different orders, last bits differ)."""
+    out = impute.standardize(decoded(spark, sf), ["m19", "hv270"])
+    return out.withColumn("m19", F.round("m19", 9)).withColumn("hv270", F.round("hv270", 9))
 
 
 ORD_COLS = ["v106", "v025", "hv201", "hv205", "status", "priority", "nation"]

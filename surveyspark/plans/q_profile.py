@@ -127,16 +127,16 @@ def q_prevalence_by_group(spark, sf):
 
 
 @register("describe_z", f"WITH {OBS} " + union_all([
-    f"SELECT '{z}' AS \"column\", CAST(count({z}) AS BIGINT) AS count, round(avg({z}), 3) AS mean, "
-    f"round(stddev_samp({z}), 3) AS std, round(min({z}), 3) AS min, round(quantile_cont({z}, 0.25), 3) AS p25, "
-    f"round(quantile_cont({z}, 0.5), 3) AS p50, round(quantile_cont({z}, 0.75), 3) AS p75, "
-    f"round(max({z}), 3) AS max FROM obs" for z in Z]))
+    f"SELECT '{z}' AS \"column\", CAST(count({z}) AS BIGINT) AS count, round(avg({z}), 3) + 0.0 AS mean, "
+    f"round(stddev_samp({z}), 3) + 0.0 AS std, round(min({z}), 3) + 0.0 AS min, "
+    f"round(quantile_cont({z}, 0.25), 3) + 0.0 AS p25, round(quantile_cont({z}, 0.5), 3) + 0.0 AS p50, "
+    f"round(quantile_cont({z}, 0.75), 3) + 0.0 AS p75, round(max({z}), 3) + 0.0 AS max FROM obs" for z in Z]))
 def q_describe(spark, sf):
     return profile.describe(obs(spark, sf), SPEC.z_cols)
 
 
 @register("corr_matrix", f"WITH {OBS} " + union_all([
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) AS r FROM obs WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 2) + 0.0 AS r FROM obs WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
     for a in Z for b in Z]))
 def q_corr(spark, sf):
     return profile.corr_matrix(obs(spark, sf), SPEC.z_cols)
@@ -147,7 +147,7 @@ def q_corr(spark, sf):
           "((r.hi - r.lo) / 60.0::DOUBLE)), 59) END AS INTEGER) AS bin, r.lo, r.hi, r.mean FROM obs o, r "
           "WHERE o.haz IS NOT NULL) "
           "SELECT bin, lo + bin * ((hi - lo) / 60.0::DOUBLE) AS bin_lo, lo + (bin + 1) * ((hi - lo) / 60.0::DOUBLE) "
-          "AS bin_hi, CAST(count(*) AS BIGINT) AS count, mean FROM b GROUP BY bin, lo, hi, mean")
+          "AS bin_hi, CAST(count(*) AS BIGINT) AS count, round(mean, 4) AS mean FROM b GROUP BY bin, lo, hi, mean")
 def q_histogram(spark, sf):
     return profile.histogram(obs(spark, sf), "haz", 60)
 
