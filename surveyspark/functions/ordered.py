@@ -45,6 +45,40 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return out.drop(*ren.values())
 
 
+def _default_for(dt) -> Column | None:
+    from pyspark.sql import types as T
+    if isinstance(dt, T.NumericType):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast("timestamp").cast(dt)
+    return None
+
+
+def with_group_keys(df: DataFrame, cols: Sequence[str], prefix: str = "_g") -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for group columns: (value or a type default, is-null flag) per column.
+
+    Grouping, partitioning and equi-joining on these is the same as on the
+    original columns with null as its own group, but the join keys are plain
+    columns: a join can reuse the hash partitioning a window already made
+    instead of shuffling the big side again on ``coalesce``/``isnull``
+    expressions.  Columns of other types keep their value (null-safe joins
+    are then used by :func:`join_on`).
+    """
+    keys = []
+    for i, c in enumerate(cols):
+        d = _default_for(df.schema[c].dataType)
+        if d is None:
+            keys.append(c)
+            continue
+        df = df.withColumn(f"{prefix}{i}v", F.coalesce(F.col(c), d)).withColumn(f"{prefix}{i}n", F.col(c).isNull())
+        keys += [f"{prefix}{i}v", f"{prefix}{i}n"]
+    return df, keys
+
+
 def range_bucket(v: Column, lo: Column, hi: Column, n_buckets: int) -> Column:
     """Monotone bucket id in [0, n_buckets) of ``v`` within [lo, hi]."""
     span = hi.cast("double") - lo.cast("double")
@@ -76,23 +110,26 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[st
     part_cols, order_cols, sum_cols = list(part_cols), list(order_cols), list(sum_cols)
     bucket_order = F.col(bucket_col).desc() if descending else F.col(bucket_col).asc()
     row_order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
+    keyed, keys = with_group_keys(df, part_cols, "_pk")
+    plain = all(k not in part_cols for k in keys)
 
-    hist = df.groupBy(*part_cols, bucket_col).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    wb = Window.partitionBy(*part_cols).orderBy(bucket_order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = hist.select(*part_cols, bucket_col,
+    hist = keyed.groupBy(*keys, bucket_col).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    wb = Window.partitionBy(*keys).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hist.select(*keys, bucket_col,
                           *[F.coalesce(F.sum(c).over(wb), F.lit(0)).alias(f"_off_{c}")
                             for c in sum_cols])
 
     frame_end = 0 if inclusive else -1
-    wr = Window.partitionBy(*part_cols, bucket_col).orderBy(*row_order).rowsBetween(
+    wr = Window.partitionBy(*keys, bucket_col).orderBy(*row_order).rowsBetween(
         Window.unboundedPreceding, frame_end)
-    inner = df.select("*", *[F.coalesce(F.sum(c).over(wr), F.lit(0)).alias(f"_in_{c}")
-                             for c in sum_cols])
-    out = join_on(inner, offsets, part_cols + [bucket_col])
+    inner = keyed.select("*", *[F.coalesce(F.sum(c).over(wr), F.lit(0)).alias(f"_in_{c}")
+                                for c in sum_cols])
+    # plain keys: the join reuses the window's partitioning of the big side
+    out = join_on(inner, offsets, keys + [bucket_col], null_safe=not plain)
     for c in sum_cols:
         out = out.withColumn(f"{c}_before", F.col(f"_off_{c}") + F.col(f"_in_{c}"))
-    return out.drop(*[f"_off_{c}" for c in sum_cols], *[f"_in_{c}" for c in sum_cols])
+    extra = [k for k in keys if k not in part_cols]
+    return out.drop(*[f"_off_{c}" for c in sum_cols], *[f"_in_{c}" for c in sum_cols], *extra)
 
 
 def _materialized(df: DataFrame) -> DataFrame:

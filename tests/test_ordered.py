@@ -77,3 +77,13 @@ def test_prefix_sums_match_cumsum(spark):
         for k, i, w in seq:
             acc += w
             assert got_d[i] == acc
+
+
+def test_prefix_sums_keep_null_group(spark):
+    rows = [(i, None if i % 3 == 0 else "x", float(i % 7), 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, k double, w long")
+    b = with_range_buckets(df, ["g"], "k", "_b", 4)
+    out = prefix_sums(b, ["g"], ["k", "id"], ["w"], "_b").collect()
+    assert len(out) == 60
+    nulls = sorted(r["w_before"] for r in out if r["g"] is None)
+    assert nulls == list(range(20))
