@@ -166,9 +166,12 @@ def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str,
     if direct_limit is not None:
         widest = dv.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
         if widest is None or widest <= direct_limit:
-            w = Window.partitionBy(*part_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-            cum = dv.withColumn("_cum", F.sum("_n").over(w))
-            out = join_on(ranks.select(*part_cols, "rank"), cum, part_cols).where(
+            kdv, keys = with_group_keys(dv, part_cols, "_rk")
+            plain = all(k not in part_cols for k in keys)
+            w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+            cum = kdv.withColumn("_cum", F.sum("_n").over(w)).drop(*[c for c in part_cols if c not in keys])
+            kr, _ = with_group_keys(ranks.select(*part_cols, "rank"), part_cols, "_rk")
+            out = join_on(kr, cum, keys, null_safe=not plain).where(
                 (F.col("rank") > F.col("_cum") - F.col("_n")) & (F.col("rank") <= F.col("_cum")))
             return out.select(*part_cols, "rank", F.col("_v").alias("value"))
     return _select_ranks_bucketed(dv, part_cols, ranks, n_buckets)
