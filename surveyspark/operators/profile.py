@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from surveyspark.functions.exprs import col_lookup, count_if, present
 from surveyspark.functions.ordered import exact_quantiles
 from surveyspark.operators.labels import prevalence
-from surveyspark.spec import SurveySpec
+from surveyspark.spec import (GROUP_CODE_LABELS, MISSING_CODE_TEXT, OTHER_CODE_TEXT, PUBLISHED_PREVALENCE,
+                              SurveySpec)
 
 
 def bands_frame(spark, bands: Sequence[tuple[str, float, float]]) -> DataFrame:
@@ -33,6 +34,16 @@ def prevalence_bands(df: DataFrame, spec: SurveySpec,
     return j.select("label", "prevalence", "lo", "hi", status.alias("status"))
 
 
+def prevalence_vs_published(df: DataFrame, spec: SurveySpec, published: dict[str, float] | None = None
+                            ) -> DataFrame:
+    """Measured prevalence next to the published national figure: (label, measured, published, difference)."""
+    pub = published or PUBLISHED_PREVALENCE
+    p = prevalence(df, spec.targets)
+    ref = F.create_map(*[x for k, v in pub.items() for x in (F.lit(k), F.lit(float(v)))])
+    return p.select("label", F.col("prevalence").alias("measured"), ref[F.col("label")].alias("published"),
+                    F.round(F.col("prevalence") - ref[F.col("label")], 4).alias("difference"))
+
+
 def missing_rates(df: DataFrame, cols: Sequence[str] | None = None, positive_only: bool = True) -> DataFrame:
     """(column, missing, missing_rate) in one pass; by default only columns with
     missing values, sorted by rate descending."""
@@ -111,8 +122,11 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def value_counts_labelled(df: DataFrame, col: str, book: dict | None = None,
-                          missing_text: str = "Missing", other_text: str = "Other code") -> DataFrame:
-    """Counts of each value including missing, share of rows, and display text."""
+                          missing_text: str = MISSING_CODE_TEXT, other_text: str = OTHER_CODE_TEXT) -> DataFrame:
+    """Counts of each value including missing, share of all rows (4 places), and display
+    text: the book's label, ``other_text`` for an unlisted code, ``missing_text`` for missing.
+    The default book is the group-code table."""
+    book = GROUP_CODE_LABELS if book is None else book
     name = col_lookup(df, col)
     g = df.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1))).scalar()      # scalar subquery, evaluated once

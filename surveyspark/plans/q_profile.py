@@ -7,7 +7,7 @@ from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS, RAW_OBS
 from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, Z, obs
 from surveyspark.plans.registry import register, union_all
-from surveyspark.spec import CODEBOOK
+from surveyspark.spec import CODEBOOK, PUBLISHED_PREVALENCE
 
 GROUPS = ["segment", "status", "priority", "nation"]
 RAW_COLS = ["id", "hw70", "hw71", "hw72", "m19", "v106", "hv270", "v025", "hv201", "hv205",
@@ -111,7 +111,7 @@ def _book_case(book: dict) -> str:
 
 
 @register("value_counts_labelled", f"WITH {OBS}, g AS (SELECT v106 AS value, count(*) AS cnt FROM obs GROUP BY 1) "
-          f"SELECT value, CASE WHEN value IS NULL THEN 'Missing' ELSE {_book_case(CODEBOOK['v106'])} END AS display, "
+          f"SELECT value, CASE WHEN value IS NULL THEN 'NaN (not collected)' ELSE {_book_case(CODEBOOK['v106'])} END AS display, "
           "CAST(cnt AS BIGINT) AS count, round(CAST(cnt AS DOUBLE) / CAST((SELECT count(*) FROM obs) AS DOUBLE), 4) AS share "
           "FROM g")
 def q_value_counts(spark, sf):
@@ -172,3 +172,12 @@ def q_head_rows(spark, sf):
 @register("sample_n", f"WITH {OBS} SELECT * FROM obs ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id LIMIT 200")
 def q_sample_n(spark, sf):
     return profile.sample_n(obs(spark, sf), "id", 200, seed=42)
+
+
+@register("prevalence_vs_published", f"WITH {OBS}, prev AS ({PREV_SQL}), pub(label, published) AS (VALUES "
+          + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PUBLISHED_PREVALENCE.items())
+          + ") SELECT prev.label, prevalence AS measured, published, round(prevalence - published, 4) + 0.0 AS difference "
+          "FROM prev LEFT JOIN pub ON prev.label = pub.label")
+def q_prevalence_vs_published(spark, sf):
+    """Measured prevalence against the published national figures (the chart's data)."""
+    return profile.prevalence_vs_published(obs(spark, sf), SPEC)

@@ -74,6 +74,13 @@ IMPROVED_WATER: tuple[str, ...] = (
     "protected_well", "bottled_water", "rainwater",
 )
 
+# Display text of the caste/tribe group codes, and of a missing or unlisted code.
+GROUP_CODE_LABELS: dict[int, str] = {
+    1: "Scheduled Caste (SC)", 2: "Scheduled Tribe (ST)", 3: "OBC", 4: "None / Other",
+}
+MISSING_CODE_TEXT: str = "NaN (not collected)"
+OTHER_CODE_TEXT: str = "Other code"
+
 # Candidate names of the caste/tribe group column, first match wins.
 GROUP_CANDIDATES: tuple[str, ...] = ("v131", "s116", "sh46", "v130")
 
@@ -105,12 +112,13 @@ AUDIT_LOG_SCHEMA = T.StructType([
 ])
 
 GATE_SCHEMA = T.StructType([
+    T.StructField("section", T.StringType(), False),
     T.StructField("seq", T.IntegerType(), False),
     T.StructField("gate", T.StringType(), False),
-    T.StructField("status", T.StringType(), False),
-    T.StructField("actual", T.StringType(), True),
-    T.StructField("expected", T.StringType(), True),
-    T.StructField("action", T.StringType(), True),
+    T.StructField("status", T.StringType(), False),       # PASS / FAIL / INFO
+    T.StructField("actual", T.DoubleType(), True),
+    T.StructField("lo", T.DoubleType(), True),            # inclusive bounds; null = unbounded
+    T.StructField("hi", T.DoubleType(), True),
 ])
 
 BENCHMARK_SCHEMA = T.StructType([
