@@ -39,12 +39,19 @@ def impute_columns(df: DataFrame, spec: SurveySpec, group_col: str | None = None
     return numeric_columns(df, exclude=never), string_columns(df, exclude=never)
 
 
-def median_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact (interpolating) median of each column: (column, median)."""
+def median_table(df: DataFrame, cols: Sequence[str], method: str = "exact", accuracy: int = 10_000) -> DataFrame:
+    """Median of each column: (column, median).
+
+    ``exact`` interpolates between the two middle values (the fitted imputer's
+    rule).  ``approx`` uses ``percentile_approx`` (a mergeable sketch, one
+    aggregate pass, rank error about 1/accuracy) for very high-cardinality columns.
+    """
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, median double")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value")
+    if method == "approx":
+        return long.groupBy("column").agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
     q = exact_quantiles(long, ["column"], "value", [0.5])
     return q.select("column", F.col("value").alias("median"))
 
@@ -69,9 +76,10 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None, positive_only:
     return long.where(F.col("null_count") > 0) if positive_only else long
 
 
-def fit_imputer(df: DataFrame, spec: SurveySpec, group_col: str | None = None) -> ImputerStats:
+def fit_imputer(df: DataFrame, spec: SurveySpec, group_col: str | None = None,
+                median_method: str = "exact") -> ImputerStats:
     num, cat = impute_columns(df, spec, group_col)
-    med = {r["column"]: r["median"] for r in median_table(df, num).collect()}
+    med = {r["column"]: r["median"] for r in median_table(df, num, median_method).collect()}
     mod = {r["column"]: r["mode"] for r in mode_table(df, cat).collect()}
     return ImputerStats(med, mod, num, cat)
 
@@ -94,8 +102,8 @@ def apply_imputer(df: DataFrame, stats: ImputerStats) -> DataFrame:
 
 
 def impute(df: DataFrame, spec: SurveySpec, group_col: str | None = None,
-           fit_on: DataFrame | None = None) -> DataFrame:
-    stats = fit_imputer(fit_on if fit_on is not None else df, spec, group_col)
+           fit_on: DataFrame | None = None, median_method: str = "exact") -> DataFrame:
+    stats = fit_imputer(fit_on if fit_on is not None else df, spec, group_col, median_method)
     return apply_imputer(df, stats)
 
 

@@ -119,3 +119,11 @@ def test_bucketed_ranks_equal_single_window(spark):
     f1 = {r["id"]: r["fold"] for r in split.cv_folds(df, "id", "s").collect()}
     f2 = {r["id"]: r["fold"] for r in split.cv_folds(df, "id", "s", rows_per_bucket=20).collect()}
     assert f1 == f2
+
+
+def test_approx_median_close_to_exact(spark):
+    rows = [(float(i % 1000),) for i in range(5000)]
+    df = spark.createDataFrame(rows, "x double")
+    ex = impute.median_table(df, ["x"]).first()["median"]
+    ap = impute.median_table(df, ["x"], method="approx").first()["median"]
+    assert ex == 499.5 and abs(ap - ex) <= 1.0
