@@ -195,3 +195,49 @@ def gate_summary(gates: DataFrame) -> DataFrame:
         count_if(F.col("status") == "FAIL").alias("n_fail"),
         count_if(F.col("status") == "INFO").alias("n_info"),
         F.bool_and(F.col("status") != "FAIL").alias("all_passed"))
+
+
+class ValidationReport:
+    """Section-based validation log: start a section, record pass / fail / info
+    checks, finish it (True when nothing failed; INFO never blocks).  Recording
+    outside a section is an error.  Rows are a handful of driver-side records,
+    appended to a Parquet table in one write."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self._rows: list[tuple] = []
+        self._section: str | None = None
+        self._seq = 0
+
+    def start_section(self, title: str) -> None:
+        self._section, self._seq = title, 0
+
+    def _add(self, status: str, check: str, actual: float | None = None) -> None:
+        if self._section is None:
+            raise RuntimeError("start_section() must be called before recording a check")
+        self._seq += 1
+        self._rows.append((self._section, self._seq, check, status,
+                           None if actual is None else float(actual), None, None))
+
+    def pass_(self, check: str, actual: float | None = None) -> None:
+        self._add("PASS", check, actual)
+
+    def fail_(self, check: str, actual: float | None = None) -> None:
+        self._add("FAIL", check, actual)
+
+    def info_(self, check: str, actual: float | None = None) -> None:
+        self._add("INFO", check, actual)
+
+    def finish_section(self) -> bool:
+        if self._section is None:
+            raise RuntimeError("no section is open")
+        ok = all(r[3] != "FAIL" for r in self._rows if r[0] == self._section)
+        self._section = None
+        return ok
+
+    def table(self) -> DataFrame:
+        from surveyspark.spec import GATE_SCHEMA
+        return self.spark.createDataFrame(self._rows, GATE_SCHEMA)
+
+    def write(self, path: str) -> None:
+        self.table().write.mode("append").parquet(path)

@@ -127,3 +127,25 @@ def test_approx_median_close_to_exact(spark):
     ex = impute.median_table(df, ["x"]).first()["median"]
     ap = impute.median_table(df, ["x"], method="approx").first()["median"]
     assert ex == 499.5 and abs(ap - ex) <= 1.0
+
+
+def test_validation_report_sections(spark):
+    rep = gates.ValidationReport(spark)
+    with pytest.raises(RuntimeError):
+        rep.pass_("outside")
+    rep.start_section("a")
+    rep.pass_("x", 1)
+    rep.info_("y")
+    assert rep.finish_section() is True
+    rep.start_section("b")
+    rep.fail_("z", 0)
+    assert rep.finish_section() is False
+    s = {r["section"]: r for r in gates.gate_summary(rep.table()).collect()}
+    assert s["a"]["all_passed"] and not s["b"]["all_passed"] and s["a"]["n_info"] == 1
+
+
+def test_required_columns_guard(spark):
+    from surveyspark.operators import clean
+    df = spark.createDataFrame([(1,)], "a int")
+    with pytest.raises(KeyError, match=r"\['b'\]"):
+        clean.assert_columns_exist(df, ["a", "b"], "frame")
