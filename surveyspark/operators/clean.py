@@ -256,7 +256,7 @@ def duplicate_count(df: DataFrame, id_col: str | None = None) -> DataFrame:
 
 # -- O1 fixed-order chain ----------------------------------------------------------------
 
-def full_pipeline(df: DataFrame, spec: SurveySpec, impute_from: DataFrame | None = None) -> DataFrame:
+def clean_chain(df: DataFrame, spec: SurveySpec, impute_from: DataFrame | None = None) -> DataFrame:
     """dedup -> detect group column -> decode -> impute -> clip -> index -> dedup.
 
     Imputation statistics are fitted on ``impute_from`` (default: the

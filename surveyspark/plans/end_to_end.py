@@ -23,18 +23,18 @@ from surveyspark.sources.io import save_table
 from surveyspark.spec import SurveySpec
 
 
-class PipelineFailed(RuntimeError):
+class RunStopped(RuntimeError):
     pass
 
 
-def run_pipeline(spark: SparkSession, raw: DataFrame, spec: SurveySpec, out_dir: str,
+def run_end_to_end(spark: SparkSession, raw: DataFrame, spec: SurveySpec, out_dir: str,
                  stop_on_gate_failure: bool = True) -> dict[str, str]:
     """Run every stage and return the paths written."""
     log = audit.AuditLog(spark, os.path.join(out_dir, "audit_log"), dataset="survey")
     log.record_frame(audit.load_audit_rows(raw, spec))
 
     labelled = labels.load_and_label(raw, spec)
-    cleaned = clean.full_pipeline(labelled, spec)
+    cleaned = clean.clean_chain(labelled, spec)
 
     observed, obs = audit.observe_counts(cleaned, "cleaned", {
         "rows": F.count(F.lit(1)),
@@ -53,7 +53,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, spec: SurveySpec, out_dir:
                "label integrity gates", len(failed), "FAIL" if failed else "PASS", ", ".join(failed))
     if failed and stop_on_gate_failure:
         log.flush()
-        raise PipelineFailed(f"label integrity gates failed: {failed}")
+        raise RunStopped(f"label integrity gates failed: {failed}")
 
     paths["label_audit"] = save_table(labels.label_audit(cleaned, spec.targets),
                                       os.path.join(out_dir, "label_audit"))

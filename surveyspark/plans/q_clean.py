@@ -266,7 +266,7 @@ def q_impute_apply(spark, sf):
 
 # -- O1 full cleaning chain --------------------------------------------------------------------------------
 
-def _full_pipeline_sql() -> str:
+def _clean_chain_sql() -> str:
     cols = ["m19", "v106", "hv270", "v025", "hv201", "hv205", "segment", "status", "priority", "nation",
             "haz", "waz", "whz", "stunted", "underweight", "wasted"]
     dec_select = ", ".join(
@@ -285,12 +285,12 @@ def _full_pipeline_sql() -> str:
 
 
 # The cleaned table as CTEs ending in ``fp``; later queries build on it.
-FP_CTES = _full_pipeline_sql()
+FP_CTES = _clean_chain_sql()
 
 
-@register("full_pipeline", FP_CTES + " SELECT * FROM fp")
-def q_full_pipeline(spark, sf):
-    return clean.full_pipeline(obs(spark, sf), SPEC)
+@register("clean_chain", FP_CTES + " SELECT * FROM fp")
+def q_clean_chain(spark, sf):
+    return clean.clean_chain(obs(spark, sf), SPEC)
 
 
 # -- I4/I5 model-side encoders ----------------------------------------------------------------------------

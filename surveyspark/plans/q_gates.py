@@ -241,15 +241,15 @@ def q_gates_full(spark, sf):
     return gates.gates_soft(q_labels_zero(spark, sf), SPEC, "full validation", record_passing_prevalence=True)
 
 
-@register("pipeline_run", SPLIT + ", c AS (SELECT CAST(count(*) AS BIGINT) AS a, CAST(count_if(split = 'train') AS BIGINT) AS tr, "
+@register("end_to_end_run", SPLIT + ", c AS (SELECT CAST(count(*) AS BIGINT) AS a, CAST(count_if(split = 'train') AS BIGINT) AS tr, "
           "CAST(count_if(split = 'test') AS BIGINT) AS te FROM sp) "
           "SELECT 'cleaned' AS split, a AS rows, 17 AS cols FROM c UNION ALL SELECT 'X_train', tr, 11 FROM c "
           "UNION ALL SELECT 'X_test', te, 11 FROM c UNION ALL SELECT 'y_train', tr, 3 FROM c "
           "UNION ALL SELECT 'y_test', te, 3 FROM c")
-def q_pipeline_run(spark, sf):
+def q_end_to_end_run(spark, sf):
     """The end-to-end pipeline run into the shared folder (cleaned table, gates, audit,
     split, summaries written); returns the split summary read back from disk."""
-    from surveyspark.plans.pipeline import run_pipeline
-    out = scratch_path(spark, f"pipeline_{uuid.uuid4().hex}")
-    paths = run_pipeline(spark, inputs.raw_obs(spark, sf), SPEC, out, stop_on_gate_failure=False)
+    from surveyspark.plans.end_to_end import run_end_to_end
+    out = scratch_path(spark, f"end_to_end_{uuid.uuid4().hex}")
+    paths = run_end_to_end(spark, inputs.raw_obs(spark, sf), SPEC, out, stop_on_gate_failure=False)
     return spark.read.parquet(paths["split_summary"])

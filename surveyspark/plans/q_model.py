@@ -275,7 +275,7 @@ SPLIT = (f"{FP_CTES},\n"
 
 
 def split_frame(spark, sf):
-    return split.split_table(clean.full_pipeline(obs(spark, sf), SPEC), SPEC)
+    return split.split_table(clean.clean_chain(obs(spark, sf), SPEC), SPEC)
 
 
 @register("stratified_split", SPLIT + "SELECT * FROM sp")
@@ -299,7 +299,7 @@ N_FEATURES, N_COLS_FULL = 11, 17
           f"UNION ALL SELECT 'X_test', te, {N_FEATURES} FROM c UNION ALL SELECT 'y_train', tr, 3 FROM c "
           "UNION ALL SELECT 'y_test', te, 3 FROM c")
 def q_split_summary(spark, sf):
-    fp = clean.full_pipeline(obs(spark, sf), SPEC)
+    fp = clean.clean_chain(obs(spark, sf), SPEC)
     n_features = len(clean.feature_select(fp, SPEC).columns) - 1
     n_full = len(fp.columns) - 1
     return split.split_summary(split.split_table(fp, SPEC), SPEC, n_features, n_full)
@@ -310,7 +310,7 @@ def q_split_summary(spark, sf):
           "SELECT id, stunted, CAST((row_number() OVER (PARTITION BY stunted ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id) - 1) "
           "% 5 AS INTEGER) AS fold FROM base")
 def q_cv_folds(spark, sf):
-    fp = clean.full_pipeline(obs(spark, sf), SPEC)
+    fp = clean.clean_chain(obs(spark, sf), SPEC)
     base = fp.dropna(how="any", subset=list(SPEC.targets)).select("id", "stunted")
     return split.cv_folds(base, "id", "stunted", 5, 42)
 
@@ -321,4 +321,4 @@ def q_cv_folds(spark, sf):
           "4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM base")
 def q_split_fast(spark, sf):
     """Fast split mode: test iff the row's hash fraction is below the test share (no shuffle)."""
-    return split.split_table(clean.full_pipeline(obs(spark, sf), SPEC), SPEC, mode="fast")
+    return split.split_table(clean.clean_chain(obs(spark, sf), SPEC), SPEC, mode="fast")

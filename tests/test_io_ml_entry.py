@@ -133,14 +133,14 @@ def test_entry_contract(spark):
     assert len(qs) >= 80
 
 
-def test_pipeline_stops_on_gate_failure_and_completes_otherwise(spark, tmp_dir):
+def test_end_to_end_stops_on_gate_failure_and_completes_otherwise(spark, tmp_dir):
     from surveyspark.plans import inputs
-    from surveyspark.plans.pipeline import PipelineFailed, run_pipeline
+    from surveyspark.plans.end_to_end import RunStopped, run_end_to_end
     from surveyspark.spec import DRIVER_TABLES
     raw = inputs.raw_obs(spark, SMOKE)                      # 1,500 rows < the 10,000-row gate
-    with pytest.raises(PipelineFailed, match="V6_row_count"):
-        run_pipeline(spark, raw, DRIVER_TABLES, os.path.join(tmp_dir, "a"))
-    paths = run_pipeline(spark, raw, DRIVER_TABLES, os.path.join(tmp_dir, "b"), stop_on_gate_failure=False)
+    with pytest.raises(RunStopped, match="V6_row_count"):
+        run_end_to_end(spark, raw, DRIVER_TABLES, os.path.join(tmp_dir, "a"))
+    paths = run_end_to_end(spark, raw, DRIVER_TABLES, os.path.join(tmp_dir, "b"), stop_on_gate_failure=False)
     summary = {r["split"]: r["rows"] for r in spark.read.parquet(paths["split_summary"]).collect()}
     assert summary["X_train"] + summary["X_test"] <= summary["cleaned"]
     steps = [r["step"] for r in spark.read.parquet(paths["audit_log"]).collect()]
