@@ -145,3 +145,15 @@ def test_end_to_end_stops_on_gate_failure_and_completes_otherwise(spark, tmp_dir
     assert summary["X_train"] + summary["X_test"] <= summary["cleaned"]
     steps = [r["step"] for r in spark.read.parquet(paths["audit_log"]).collect()]
     assert len(steps) >= 3 and "write_cleaned" in steps
+
+
+@pytest.mark.parametrize("name", ["prevalence_bands", "roc_auc", "threshold_correction", "stratified_split",
+                                  "flag_join", "value_counts_labelled", "histogram", "model_gate",
+                                  "gates_initial", "report_summary", "profile_samples"])
+def test_plans_have_no_pair_scans_or_row_udfs(spark, name):
+    import sys
+    import __spark_entry__ as entry
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    from plan_lint import lint_plan
+    df = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert lint_plan(df._jdf.queryExecution().executedPlan().toString()) == []
