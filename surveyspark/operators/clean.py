@@ -256,15 +256,24 @@ def duplicate_count(df: DataFrame, id_col: str | None = None) -> DataFrame:
 
 # -- O1 fixed-order chain ----------------------------------------------------------------
 
-def clean_chain(df: DataFrame, spec: SurveySpec, impute_from: DataFrame | None = None) -> DataFrame:
+def clean_chain(df: DataFrame, spec: SurveySpec, impute_from: DataFrame | None = None,
+                materialize: bool = True) -> DataFrame:
     """dedup -> detect group column -> decode -> impute -> clip -> index -> dedup.
 
     Imputation statistics are fitted on ``impute_from`` (default: the
     deduplicated input itself, which is what the reference pipeline does).
+    The fit reads the deduplicated table several times (distinct values,
+    size check, medians, modes) and the result reads it once more, so by
+    default it is checkpointed once into the shared folder: the input scan,
+    joins and dedup shuffle run once, and the lineage is cut there.
     """
     from surveyspark.operators import impute
+    from surveyspark.session import checkpoint_dir
 
     d1 = dedup_exact(df, spec.id_col)
+    if materialize:
+        checkpoint_dir(d1.sparkSession)
+        d1 = d1.checkpoint(eager=True)
     group = detect_group_column(d1, spec.group_candidates)
     skip = [group] if group else []
     dec = decode_codebook(d1, spec, skip=skip)
