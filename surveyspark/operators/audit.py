@@ -1,9 +1,8 @@
 """Append-only audit log of cleaning steps and the long run-metrics table.
 
-Counts for audit rows come either from an aggregate the job already runs
-(the ``*_audit_rows`` builders return lazy DataFrames) or from
-``DataFrame.observe`` metrics, which ride along on an action the pipeline
-performs anyway (a write), so auditing costs no extra scan.
+Counts for audit rows come from aggregates: the ``*_audit_rows`` builders
+return lazy DataFrames whose counts are one pass over the input, and the
+end-to-end run counts its written stage outputs.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, present
@@ -67,12 +66,6 @@ class AuditLog:
         return self.read_all().count()
 
 
-def observe_counts(df: DataFrame, name: str, exprs: dict[str, Column]) -> tuple[DataFrame, Observation]:
-    """Attach named count metrics to ``df``; read them with ``obs.get`` after an action."""
-    obs = Observation(name)
-    return df.observe(obs, *[e.alias(k) for k, e in exprs.items()]), obs
-
-
 def _audit_row(step: str, column: str, issue: str, action: str, rows: Column, result: str = "PASS",
                notes: str = "") -> Column:
     return F.struct(F.lit("survey").alias("dataset"), F.lit(step).alias("step"),

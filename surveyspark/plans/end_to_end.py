@@ -6,8 +6,11 @@ write the cleaned table, the train/test frames and the summary tables.
 
 The cleaned table is written once and every later stage reads the written
 copy, so the lineage is cut at the stage boundary and a lost executor never
-replays the cleaning chain.  Audit counts are attached with
-``DataFrame.observe`` to the write that happens anyway.
+replays the cleaning chain.  Audit counts come from one aggregate over the
+written copy.  (``DataFrame.observe`` is avoided: it leaves a
+non-serializable observation manager on the session, which breaks the
+transform of any MLlib model holding a training summary later in the same
+session.)
 """
 
 from __future__ import annotations
@@ -36,15 +39,12 @@ def run_end_to_end(spark: SparkSession, raw: DataFrame, spec: SurveySpec, out_di
     labelled = labels.load_and_label(raw, spec)
     cleaned = clean.clean_chain(labelled, spec)
 
-    observed, obs = audit.observe_counts(cleaned, "cleaned", {
-        "rows": F.count(F.lit(1)),
-        **{f"missing_{t}": count_if(F.col(t).isNull()) for t in present(cleaned, spec.targets)},
-    })
-    paths = {"cleaned": save_table(observed, os.path.join(out_dir, "cleaned"))}
-    m = obs.get
-    log.record("write_cleaned", "all", "cleaned table", "written as parquet", m["rows"])
-
+    paths = {"cleaned": save_table(cleaned, os.path.join(out_dir, "cleaned"))}
     cleaned = spark.read.parquet(paths["cleaned"])          # later stages read the written copy
+    m = cleaned.agg(F.count(F.lit(1)).alias("rows"),
+                    *[count_if(F.col(t).isNull()).alias(f"missing_{t}") for t in present(cleaned, spec.targets)]
+                    ).first().asDict()
+    log.record("write_cleaned", "all", "cleaned table", "written as parquet", m["rows"])
     g = gates.gates_labels(cleaned, spec)
     paths["gates"] = save_table(g, os.path.join(out_dir, "gates"))
     g = spark.read.parquet(paths["gates"])

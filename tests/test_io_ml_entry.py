@@ -157,3 +157,22 @@ def test_plans_have_no_pair_scans_or_row_udfs(spark, name):
     from plan_lint import lint_plan
     df = entry.queries()[name](spark, "/root/testdata/sf0.01")
     assert lint_plan(df._jdf.queryExecution().executedPlan().toString()) == []
+
+
+def test_command_line_run_validate_report_train(spark, tmp_dir):
+    from surveyspark.__main__ import main
+    from surveyspark.plans import inputs
+    raw = os.path.join(tmp_dir, "raw")
+    inputs.raw_obs(spark, SMOKE).write.parquet(raw)
+    out = os.path.join(tmp_dir, "run")
+    assert main(["run", "--input", raw, "--out", out, "--preset", "driver", "--keep-going"]) == 0
+    main(["validate", "--input", os.path.join(out, "cleaned"), "--out", os.path.join(tmp_dir, "v"),
+          "--preset", "driver", "--audit-log", os.path.join(out, "audit_log")])
+    assert spark.read.parquet(os.path.join(tmp_dir, "v", "gates")).count() == 12
+    assert main(["report", "--input", os.path.join(out, "cleaned"), "--out", os.path.join(tmp_dir, "r"),
+                 "--preset", "driver"]) == 0
+    assert main(["train", "--split", os.path.join(out, "split"), "--out", os.path.join(tmp_dir, "t"),
+                 "--numeric", "m19,hv270,sdi", "--categorical", "v106,v025", "--rf-trees", "5",
+                 "--gbt-rounds", "3", "--rounds", "3"]) == 0
+    bench = spark.read.parquet(os.path.join(tmp_dir, "t", "full_benchmark"))
+    assert bench.select("model").distinct().count() == 5 and bench.count() == 15
