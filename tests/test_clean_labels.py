@@ -164,3 +164,22 @@ def test_band_check_absent_label_fails_with_null(spark):
     rows = {r["label"]: r for r in profile.prevalence_bands(df, SPEC).collect()}
     assert rows["wasted"]["status"] == "FAIL" and rows["wasted"]["prevalence"] is None
     assert rows["stunted"]["prevalence"] == 0.5
+
+
+def test_class_weights_and_audit(spark):
+    df = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, None), (4, 1, 0)], "id long, stunted int, wasted int")
+    w = {r["label"]: r for r in labels.class_weights(df, ["stunted"], complete_rows=False).collect()}
+    assert (w["stunted"]["pos"], w["stunted"]["neg"], w["stunted"]["weight"]) == (2, 2, 1.0)
+    with pytest.raises(Exception, match="zero positive"):
+        labels.class_weights(df, ["wasted"]).collect()
+    a = {r["label"]: r for r in labels.label_audit(df, ["stunted", "wasted"]).collect()}
+    assert a["wasted"]["null_count"] == 1 and a["stunted"]["total_rows"] == 4
+    assert a["stunted"]["prevalence"] == 0.5 and a["wasted"]["class_weight"] is None
+
+
+def test_metrics_long_keys(spark):
+    from surveyspark.operators import audit
+    wide = spark.createDataFrame([("stunted", 0.5, None, 0.4, 0.9, 10)],
+                                 "label string, recall double, precision double, f1 double, roc_auc double, n_test long")
+    keys = {r["key"]: r["value"] for r in audit.metrics_long(wide).collect()}
+    assert keys == {"stunted_recall": 0.5, "stunted_f1": 0.4, "stunted_roc_auc": 0.9, "stunted_n_test": 10.0}
