@@ -135,7 +135,10 @@ def benchmark_union(a: DataFrame, b: DataFrame) -> DataFrame:
 def recall_pivot(bench: DataFrame, labels: Sequence[str]) -> DataFrame:
     """model x label recall, plus the row mean over labels, sorted by it (descending)."""
     p = bench.groupBy("model").pivot("label", list(labels)).agg(F.first("recall"))
-    mean = sum((F.col(f"`{l}`") for l in labels), F.lit(0.0)) / F.lit(float(len(labels)))
+    cols = [F.col(f"`{l}`") for l in labels]
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
+    n = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    mean = F.when(n > 0, total / n.cast("double"))          # a model without some label: mean of the rest
     return p.withColumn("mean_recall", F.round(mean, 4)).orderBy(F.col("mean_recall").desc())
 
 

@@ -147,8 +147,10 @@ def q_benchmark_union(spark, sf):
 
 @register("recall_pivot", BENCH + "SELECT model, " + ", ".join(
     f"first(recall) FILTER (WHERE label = '{l}') AS {l}" for l in LABELS)
-    + ", round((" + " + ".join(f"first(recall) FILTER (WHERE label = '{l}')" for l in LABELS)
-    + f") / {float(len(LABELS))}::DOUBLE, 4) AS mean_recall FROM bench GROUP BY model")
+    + ", round((" + " + ".join(f"coalesce(first(recall) FILTER (WHERE label = '{l}'), 0.0)" for l in LABELS)
+    + ") / CAST(nullif(" + " + ".join(f"CAST(first(recall) FILTER (WHERE label = '{l}') IS NOT NULL AS INTEGER)"
+                                      for l in LABELS)
+    + ", 0) AS DOUBLE), 4) AS mean_recall FROM bench GROUP BY model")
 def q_recall_pivot(spark, sf):
     return metrics.recall_pivot(benchmark(spark, sf), LABELS)
 

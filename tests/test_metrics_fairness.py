@@ -120,3 +120,10 @@ def test_flag_join_normalises_and_never_multiplies(spark):
                                   "s string, d string")
     out = fairness.flag_join(df, flags, [("state", "s"), ("district", "d")]).orderBy("id").collect()
     assert [r["is_flagged"] for r in out] == [1, 0]
+
+
+def test_recall_pivot_mean_skips_missing_label(spark):
+    bench = spark.createDataFrame([("m1", "a", 0.5), ("m1", "b", 1.0), ("m2", "a", 0.25)],
+                                  "model string, label string, recall double")
+    out = {r["model"]: r for r in metrics.recall_pivot(bench, ["a", "b"]).collect()}
+    assert out["m1"]["mean_recall"] == 0.75 and out["m2"]["mean_recall"] == 0.25 and out["m2"]["b"] is None
