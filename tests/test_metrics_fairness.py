@@ -114,9 +114,9 @@ def test_null_group_is_dropped(spark):
 
 
 def test_flag_join_normalises_and_never_multiplies(spark):
-    df = spark.createDataFrame([(1, " Andhra Pradesh ", "Y.S.R. Kadapa"), (2, "Goa", "North")],
+    df = spark.createDataFrame([(1, " North Vale ", "Upper Ridge"), (2, "Eastmarch", "Lakeside")],
                                "id long, state string, district string")
-    flags = spark.createDataFrame([("andhra pradesh", "y.s.r. kadapa"), ("andhra pradesh", "y.s.r. kadapa")],
+    flags = spark.createDataFrame([("north vale", "upper ridge"), ("north vale", "upper ridge")],
                                   "s string, d string")
     out = fairness.flag_join(df, flags, [("state", "s"), ("district", "d")]).orderBy("id").collect()
     assert [r["is_flagged"] for r in out] == [1, 0]
