@@ -96,6 +96,26 @@ def with_range_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str,
                                                    n_buckets)).drop("_lo", "_hi")
 
 
+SKETCH_BUCKETS = 1024
+
+
+def with_sketch_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str, bucket_col: str = "_b",
+                        n_buckets: int = SKETCH_BUCKETS, accuracy: int = 10_000) -> DataFrame:
+    """Add ``bucket_col``: the value's slot between approximate quantiles of its group.
+
+    The boundaries come from ``percentile_approx`` (a mergeable sketch, partial
+    aggregation per group); the bucket is the number of boundaries below the
+    value, which is monotone in the value, so ranks built on it stay exact.
+    Unlike equal-width buckets, each bucket holds about ``1 / n_buckets`` of
+    the group's rows however the values are spread (dense ranges, outliers).
+    """
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.groupBy(*part_cols).agg(F.percentile_approx(value_col, qs, accuracy).alias("_bounds"))
+    out = join_on(df, bounds, part_cols)
+    v = F.col(value_col)
+    return out.withColumn(bucket_col, F.size(F.filter("_bounds", lambda b: b < v)).cast("int")).drop("_bounds")
+
+
 def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[str],
                 sum_cols: Sequence[str], bucket_col: str, descending: bool = False,
                 inclusive: bool = False) -> DataFrame:
@@ -178,7 +198,8 @@ def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str,
 
 
 def _select_ranks_bucketed(dv: DataFrame, part_cols: list[str], ranks: DataFrame, n_buckets: int) -> DataFrame:
-    dvb = with_range_buckets(dv, part_cols, "_v", "_b", n_buckets)
+    # buckets between sketch quantiles of the distinct values: balanced whatever the value spread
+    dvb = with_sketch_buckets(dv, part_cols, "_v", "_b", min(n_buckets, SKETCH_BUCKETS))
 
     hist = dvb.groupBy(*part_cols, "_b").agg(F.sum("_n").alias("_bn"))
     wb = Window.partitionBy(*part_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,8 +4,9 @@ Design rule: unpivot once, aggregate once.  Scores of several labels are
 turned into long rows ``(id, label, y, p)`` by a per-row Generate (no
 shuffle) and every metric is a ``groupBy(label, ...)`` with map-side
 partial aggregation.  Rank-based metrics (ROC-AUC, ROC points) pre-aggregate
-to distinct scores and use bucketed running sums, so a label with billions
-of rows never lands in one window task.
+to distinct scores and use running sums over sketch-quantile buckets, so a
+label with billions of rows never lands in one window task, however its
+scores crowd.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, safe_div
-from surveyspark.functions.ordered import prefix_sums, with_range_buckets
+from surveyspark.functions.ordered import prefix_sums, with_sketch_buckets
 
 
 def long_scores(df: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str = "id",
@@ -64,7 +65,7 @@ def _auc_raw(long: DataFrame, by: Sequence[str]) -> DataFrame:
     by = list(by)
     per_score = long.groupBy(*by, "p").agg(count_if(F.col("y") == 1).alias("pos"),
                                            count_if(F.col("y") == 0).alias("neg"))
-    b = with_range_buckets(per_score, by, "p", "_b")
+    b = with_sketch_buckets(per_score, by, "p", "_b")
     run = prefix_sums(b, by, ["p"], ["neg"], "_b")
     contrib = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2.0)
     g = run.groupBy(*by).agg(F.sum(contrib).alias("_s"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -103,7 +104,7 @@ def roc_points(long: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     by = list(by)
     per_score = long.groupBy(*by, "p").agg(count_if(F.col("y") == 1).alias("pos"),
                                            count_if(F.col("y") == 0).alias("neg"))
-    b = with_range_buckets(per_score, by, "p", "_b")
+    b = with_sketch_buckets(per_score, by, "p", "_b")
     run = prefix_sums(b, by, ["p"], ["pos", "neg"], "_b", descending=True, inclusive=True)
     tot = long.groupBy(*by).agg(count_if(F.col("y") == 1).alias("_P"), count_if(F.col("y") == 0).alias("_N"))
     j = run.join(tot, by)

@@ -87,3 +87,17 @@ def test_prefix_sums_keep_null_group(spark):
     assert len(out) == 60
     nulls = sorted(r["w_before"] for r in out if r["g"] is None)
     assert nulls == list(range(20))
+
+
+def test_bucketed_ranks_with_outliers_stay_exact_and_balanced(spark):
+    from surveyspark.functions.ordered import with_sketch_buckets
+    rnd = random.Random(3)
+    vals = [rnd.random() for _ in range(5000)] + [1e12, -1e12, 5e11]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    b = with_sketch_buckets(df, ["g"], "v", "_b", 16)
+    sizes = [r["count"] for r in b.groupBy("_b").count().collect()]
+    assert max(sizes) < 5003 / 16 * 2                      # no bucket holds the dense range
+    ranks = spark.createDataFrame([("g", r) for r in (1, 2, 2500, 5003)], "g string, rank long")
+    got = {r["rank"]: r["value"] for r in select_ranks(df, ["g"], "v", ranks, 16, direct_limit=None).collect()}
+    srt = sorted(vals)
+    assert all(got[r] == srt[r - 1] for r in (1, 2, 2500, 5003))
