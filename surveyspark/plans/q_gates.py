@@ -253,3 +253,19 @@ def q_end_to_end_run(spark, sf):
     out = scratch_path(spark, f"end_to_end_{uuid.uuid4().hex}")
     paths = run_end_to_end(spark, inputs.raw_obs(spark, sf), SPEC, out, stop_on_gate_failure=False)
     return spark.read.parquet(paths["split_summary"])
+
+
+@register("district_parse", "SELECT CAST(c.c_custkey AS INTEGER) AS n, x.n_name AS state, c.c_name AS district "
+          "FROM customer c JOIN nation x ON c.c_nationkey = x.n_nationkey")
+def q_district_parse(spark, sf):
+    """Space-delimited '<n> <state> <district>' lines, one per customer (key, nation name,
+    customer name), written as text files to the shared folder and parsed back with the
+    nation names as the state list (whole-file reads, longest word-prefix state match)."""
+    c = inputs.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name")
+    nat = inputs.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    lines = c.join(F.broadcast(nat), c["c_nationkey"] == nat["n_nationkey"]).select(
+        F.concat_ws(" ", F.col("c_custkey").cast("string"), F.col("n_name"), F.col("c_name")).alias("value"))
+    path = scratch_path(spark, f"district_lines_{uuid.uuid4().hex}")
+    lines.write.text(path)
+    text = spark.read.text(path, wholetext=True)
+    return io.parse_district_lines(text, nat.select("n_name"))
