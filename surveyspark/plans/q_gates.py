@@ -10,6 +10,7 @@ from surveyspark.functions.exprs import count_if
 from surveyspark.operators import audit, gates, labels, metrics
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS
+from surveyspark.plans.oracle_inputs import RAW_OBS as RAW_OBS_SQL
 from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, ZERO_POLICY, Z, obs, q_labels_zero
 from surveyspark.plans.q_model import ML_RAW, SPLIT, scored_long
 from surveyspark.plans.registry import register, union_all
@@ -269,3 +270,16 @@ def q_district_parse(spark, sf):
     lines.write.text(path)
     text = spark.read.text(path, wholetext=True)
     return io.parse_district_lines(text, nat.select("n_name"))
+
+
+@register("stata_ingest", f"WITH {RAW_OBS_SQL} SELECT * REPLACE (coalesce(segment, '') AS segment, coalesce(status, '') "
+          "AS status, coalesce(priority, '') AS priority, coalesce(nation, '') AS nation) FROM raw_obs")
+def q_stata_ingest(spark, sf):
+    """The raw coded rows are landed as Stata .dta files in the shared folder (one per batch), then
+    ingested by the distributed reader (files spread over tasks, chunked, only the named columns).
+    Stata keeps no null string, so missing text comes back as ''."""
+    from surveyspark.sources import stata
+    raw = inputs.raw_obs(spark, sf)
+    base = scratch_path(spark, f"stata_{uuid.uuid4().hex}")
+    stata.write_stata_parts(raw, base).count()
+    return stata.read_stata(spark, f"{base}/*.dta", raw.schema, chunksize=50_000)

@@ -30,6 +30,7 @@ def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksiz
     files = (spark.read.format("binaryFile").load(path_glob).select("path")
              .repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
     names = [f.name for f in schema.fields]
+    kinds = {f.name: f.dataType.typeName() for f in schema.fields}
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -42,13 +43,48 @@ def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksiz
                                    chunksize=chunksize) as rdr:
                     for chunk in rdr:
                         chunk.columns = [c.lower() for c in cols]
-                        out = pd.DataFrame({n: chunk[n.lower()] if n.lower() in chunk.columns else None
-                                            for n in names})
+                        out = pd.DataFrame({n: _as_spark_type(chunk[n.lower()], kinds[n])
+                                            if n.lower() in chunk.columns else None for n in names})
                         yield out
 
     return files.mapInPandas(read_files, schema)
 
 
+def _as_spark_type(col: pd.Series, kind: str) -> pd.Series:
+    """Stata stores missing numbers as NaN-like codes and has no missing string:
+    integers come back as nullable integers, strings as text ('' when empty)."""
+    if kind in ("integer", "long", "short", "byte"):
+        return pd.to_numeric(col, errors="coerce").astype("Int64")
+    if kind == "string":
+        return col.astype("string").fillna("")
+    return col
+
+
+def write_stata_parts(df: DataFrame, out_dir: str) -> DataFrame:
+    """Write each Arrow batch of ``df`` as its own ``.dta`` file under ``out_dir``
+    (integers with missing values become Stata numeric missing, strings keep
+    Stata's empty-string convention).  Returns (path, rows) per file written."""
+    import os
+    import uuid
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(out_dir.replace("file:", ""), exist_ok=True)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = pdf.copy()
+            for c in out.columns:
+                if pd.api.types.is_integer_dtype(out[c]) or out[c].dtype.name.startswith("Int"):
+                    out[c] = out[c].astype("float64")
+                elif out[c].dtype == object or pd.api.types.is_string_dtype(out[c]):
+                    out[c] = out[c].fillna("").astype(str)
+            path = os.path.join(out_dir.replace("file:", ""), f"part-{uuid.uuid4().hex}.dta")
+            out.to_stata(path, write_index=False, version=118)
+            yield pd.DataFrame({"path": [path], "rows": [len(out)]})
+
+    return df.mapInPandas(write, "path string, rows long")
+
+
 def ingest_stata(spark: SparkSession, path_glob: str, schema: StructType, out_path: str,
                  chunksize: int = 100_000) -> str:
     """Read ``.dta`` files and write them once as Parquet; returns ``out_path``."""
