@@ -26,6 +26,8 @@ def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksiz
     ``schema`` names the columns to keep (matched case-insensitively) and their
     Spark types.  Stata missing values come through as null.
     """
+    from surveyspark.session import ship_package
+    ship_package(spark)
     # Only the path column is read: the binary-file source skips file contents.
     files = (spark.read.format("binaryFile").load(path_glob).select("path")
              .repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
@@ -67,6 +69,9 @@ def write_stata_parts(df: DataFrame, out_dir: str) -> DataFrame:
     import os
     import uuid
 
+    from surveyspark.session import ship_package
+    ship_package(df.sparkSession)
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(out_dir.replace("file:", ""), exist_ok=True)
         for pdf in batches:
