@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surveyspark.llm import line_dedup, quality
+from surveyspark.llm import decontaminate, line_dedup, minhash, quality, unigram_pieces
 from surveyspark.llm.tables import shared_path
 
 
@@ -21,9 +22,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs, index.hot()).select(*docs.columns)
 
 
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one with the least id."""
+    return minhash.keep_one(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("__leaks") == 0).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as piece ids, with whether decoding gives its text back."""
+    coded = unigram_pieces.decode(unigram_pieces.encode(docs.select("doc_id", "text")))
+    same = F.col("__decoded") == F.replace("text", F.lit(unigram_pieces.MARK), F.lit(" "))
+    return coded.select("doc_id", F.size("__ids").alias("n_pieces"), F.col("__ids").alias("ids"), same.alias("round_trip"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("line dedup", dedup_lines),
+    ("near dedup", dedup_near_copies),
+    ("decontamination", decontaminate_benchmark),
+    ("pieces", encode_pieces),
 ]
 
 #: The language-model ratio, minima and encodings have no SQL form; tests compare each stage with a plain version.

@@ -222,7 +222,7 @@ def drop_lines(docs: DataFrame, hot: DataFrame, text_col: str = "text") -> DataF
                                              names=["__row", "__kept", "__n_lines", "__n_dropped"])
 
     may = docs.select(text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(candidates, "h long, k1 long, k2 long")
-    found = may.join(hot, ["k1", "k2"], "left_semi").groupBy("h").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop"))
+    found = written(may.join(hot, ["k1", "k2"], "left_semi").groupBy("h").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop")), "lines-to-drop")
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row") if others else F.struct(F.lit(0)).alias("__row"),
                          text.alias("__text"), F.xxhash64(text).alias("__h"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surveyspark.llm import html_text, licenses, line_dedup, quality, secrets, sharding
+from surveyspark.llm import decontaminate, html_text, licenses, line_dedup, minhash, quality, secrets, sharding, substring_dedup, unigram_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,9 +38,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.drop_lines(docs, line_dedup.LineIndex(spark).add(docs).hot()))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again."""
+    model = unigram_pieces.MODEL
+    coded = unigram_pieces.decode(unigram_pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model=model), model)
+    return unigram_pieces.piece_digest(coded)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    from pyspark.sql import functions as F
     return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -48,5 +55,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
-for _f in (op1_secret_scan, op2_license_scan, op3_quality_rules, op4_line_dedup, op6_html_extraction, op7_sharding):
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word repeats of smaller documents removed from every document."""
+    return substring_dedup.repeat_digest(substring_dedup.drop_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
+    return minhash.near_components(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with the benchmark items that it holds at a small edit distance."""
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.leak_digest(found)
+
+
+for _f in (op1_secret_scan, op2_license_scan, op3_quality_rules, op4_line_dedup, op5_sentencepiece, op6_html_extraction,
+           op7_sharding, op8_substring_dedup, op9_minhash_near_dedup, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
