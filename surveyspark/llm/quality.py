@@ -121,5 +121,10 @@ def quality_digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return score(docs, labels, id_col, text_col).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, with the columns they came with.
+
+    A filter on a row number is not pushed below the projection, where the score's array functions would be copied
+    into the condition and evaluated many times.
+    """
+    scored = score(docs, labels, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
+    return scored.where("__kept and __row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
