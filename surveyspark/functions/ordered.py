@@ -96,24 +96,18 @@ def with_range_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str,
                                                    n_buckets)).drop("_lo", "_hi")
 
 
-SKETCH_BUCKETS = 1024
-
-
-def with_sketch_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str, bucket_col: str = "_b",
-                        n_buckets: int = SKETCH_BUCKETS, accuracy: int = 10_000) -> DataFrame:
-    """Add ``bucket_col``: the value's slot between approximate quantiles of its group.
-
-    The boundaries come from ``percentile_approx`` (a mergeable sketch, partial
-    aggregation per group); the bucket is the number of boundaries below the
-    value, which is monotone in the value, so ranks built on it stay exact.
-    Unlike equal-width buckets, each bucket holds about ``1 / n_buckets`` of
-    the group's rows however the values are spread (dense ranges, outliers).
+def with_sorted_buckets(df: DataFrame, part_cols: Sequence[str], value_col: str, bucket_col: str = "_b") -> DataFrame:
+    """Add ``bucket_col``: the number of the range partition that holds the row.
+
+    The frame is range-partitioned by ``(part_cols, value_col)`` and written once
+    to the shared checkpoint folder, so the number is monotone in the value
+    within a group, fixed from then on, and every bucket has about the same
+    number of rows however the values are spread or share prefixes.  Rows with
+    equal keys share a bucket: reduce to distinct values first.
     """
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.groupBy(*part_cols).agg(F.percentile_approx(value_col, qs, accuracy).alias("_bounds"))
-    out = join_on(df, bounds, part_cols)
-    v = F.col(value_col)
-    return out.withColumn(bucket_col, F.size(F.filter("_bounds", lambda b: b < v)).cast("int")).drop("_bounds")
+    from surveyspark.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*part_cols, value_col).withColumn(bucket_col, F.spark_partition_id()).checkpoint(eager=True)
 
 
 def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[str],
@@ -152,56 +146,32 @@ def prefix_sums(df: DataFrame, part_cols: Sequence[str], order_cols: Sequence[st
     return out.drop(*[f"_off_{c}" for c in sum_cols], *[f"_in_{c}" for c in sum_cols], *extra)
 
 
-def _materialized(df: DataFrame) -> DataFrame:
-    """Write the distinct-value table once to the shared checkpoint folder: the
-    size check and the ranking both read it, and its lineage (scan, joins,
-    dedup) is cut, so a lost executor does not recompute the input."""
-    from surveyspark.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def distinct_values(values: DataFrame, part_cols: Sequence[str], value_col: str) -> DataFrame:
+    """(part_cols, _v, _n, _b): distinct non-null values with their multiplicity, in sorted buckets.
 
-
-# Largest number of distinct values per group ranked by one plain window.
-DIRECT_LIMIT = 1_000_000
+    A value repeated a billion times is one row.  The table is written once;
+    ranking reads it several times, and its lineage (scan, joins, dedup) is cut.
+    """
+    v = values.select(*part_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
+    return with_sorted_buckets(v.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n")), part_cols, "_v")
 
 
-def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str,
-                 ranks: DataFrame, n_buckets: int = DEFAULT_BUCKETS,
-                 direct_limit: int | None = DIRECT_LIMIT) -> DataFrame:
+def select_ranks(values: DataFrame, part_cols: Sequence[str], value_col: str, ranks: DataFrame) -> DataFrame:
     """Exact order statistics: for each ``(group, rank)`` row of ``ranks`` return
     the ``rank``-th smallest non-null ``value_col`` of that group (1-based).
 
-    Values are first reduced to distinct values with multiplicity (a value
-    repeated a billion times is one row).  When a size check shows every
-    group has at most ``direct_limit`` distinct values, one window per group
-    over that small table finds the ranks.  Otherwise the bucketed path runs,
-    whose windows are bounded by bucket size, not group size.
+    A histogram over sorted buckets tells which bucket holds each rank; windows
+    run inside those buckets only, so no task ever holds a whole group.
 
     Output columns: ``part_cols``, ``rank``, ``value``.  Ranks outside
     ``[1, n]`` produce no row.
     """
     part_cols = list(part_cols)
-    v = values.select(*part_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
-    dv = _materialized(v.groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    if direct_limit is not None:
-        widest = dv.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
-        if widest is None or widest <= direct_limit:
-            kdv, keys = with_group_keys(dv, part_cols, "_rk")
-            plain = all(k not in part_cols for k in keys)
-            w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-            cum = kdv.withColumn("_cum", F.sum("_n").over(w)).drop(*[c for c in part_cols if c not in keys])
-            kr, _ = with_group_keys(ranks.select(*part_cols, "rank"), part_cols, "_rk")
-            out = join_on(kr, cum, keys, null_safe=not plain).where(
-                (F.col("rank") > F.col("_cum") - F.col("_n")) & (F.col("rank") <= F.col("_cum")))
-            return out.select(*part_cols, "rank", F.col("_v").alias("value"))
-    return _select_ranks_bucketed(dv, part_cols, ranks, n_buckets)
-
-
-def _select_ranks_bucketed(dv: DataFrame, part_cols: list[str], ranks: DataFrame, n_buckets: int) -> DataFrame:
-    # buckets between sketch quantiles of the distinct values: balanced whatever the value spread
-    dvb = with_sketch_buckets(dv, part_cols, "_v", "_b", min(n_buckets, SKETCH_BUCKETS))
-
-    hist = dvb.groupBy(*part_cols, "_b").agg(F.sum("_n").alias("_bn"))
+    return _ranks_in_buckets(distinct_values(values, part_cols, value_col), part_cols, ranks)
+
+
+def _ranks_in_buckets(dv: DataFrame, part_cols: list[str], ranks: DataFrame) -> DataFrame:
+    hist = dv.groupBy(*part_cols, "_b").agg(F.sum("_n").alias("_bn"))
     wb = Window.partitionBy(*part_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_hi_rank", F.sum("_bn").over(wb)).withColumn(
         "_lo_rank", F.col("_hi_rank") - F.col("_bn") + 1)
@@ -211,7 +181,7 @@ def _select_ranks_bucketed(dv: DataFrame, part_cols: list[str], ranks: DataFrame
         *part_cols, "rank", "_b", "_lo_rank")
 
     wanted = rb.select(*part_cols, "_b").distinct()
-    inb = join_on(dvb, wanted, part_cols + ["_b"], "left_semi")
+    inb = join_on(dv, wanted, part_cols + ["_b"], "left_semi")
     wv = Window.partitionBy(*part_cols, "_b").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, 0)
     inb = inb.withColumn("_cum", F.sum("_n").over(wv))
@@ -222,9 +192,7 @@ def _select_ranks_bucketed(dv: DataFrame, part_cols: list[str], ranks: DataFrame
     return out.select(*part_cols, "rank", F.col("_v").alias("value"))
 
 
-def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
-                    quantiles: Sequence[float], n_buckets: int = DEFAULT_BUCKETS,
-                    direct_limit: int | None = DIRECT_LIMIT) -> DataFrame:
+def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str, quantiles: Sequence[float]) -> DataFrame:
     """Linear-interpolation quantiles (the pandas / ``percentile_cont`` rule), exact.
 
     Returns ``part_cols``, ``q``, ``value`` (double).  Groups whose values are
@@ -232,51 +200,19 @@ def exact_quantiles(values: DataFrame, part_cols: Sequence[str], value_col: str,
     """
     part_cols = list(part_cols)
     if not part_cols:
-        out = exact_quantiles(values.withColumn("__all", F.lit(0)), ["__all"], value_col, quantiles, n_buckets,
-                              direct_limit)
-        return out.drop("__all")
-    if direct_limit is not None:
-        dv = _materialized(values.select(*part_cols, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull())
-                           .groupBy(*part_cols, "_v").agg(F.count(F.lit(1)).alias("_n")))
-        widest = dv.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
-        if widest is None or widest <= direct_limit:
-            return _quantiles_direct(dv, part_cols, quantiles)
-    counts = values.where(F.col(value_col).isNotNull()).groupBy(*part_cols).agg(
-        F.count(F.lit(1)).alias("_cnt"))
-    qs = counts.select(*part_cols, "_cnt", F.explode(
-        F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
-    qs = qs.withColumn("_h", (F.col("_cnt") - 1) * F.col("q")).withColumn(
-        "_lo", F.floor("_h").cast("long") + 1).withColumn("_hi", F.ceil("_h").cast("long") + 1)
-    ranks = qs.select(*part_cols, F.col("_lo").alias("rank")).union(
-        qs.select(*part_cols, F.col("_hi").alias("rank"))).distinct()
-    sel = select_ranks(values, part_cols, value_col, ranks, n_buckets, direct_limit)
-    lo = sel.withColumnRenamed("rank", "_lo").withColumnRenamed("value", "_x_lo")
-    hi = sel.withColumnRenamed("rank", "_hi").withColumnRenamed("value", "_x_hi")
-    out = join_on(join_on(qs, lo, part_cols + ["_lo"]), hi, part_cols + ["_hi"])
-    frac = F.col("_h") - F.floor("_h")
-    value = F.col("_x_lo").cast("double") + frac * (
-        F.col("_x_hi").cast("double") - F.col("_x_lo").cast("double"))
-    return out.select(*part_cols, "q", value.alias("value"))
-
-
-def _quantiles_direct(dv: DataFrame, part_cols: list[str], quantiles: Sequence[float]) -> DataFrame:
-    """Quantiles from the distinct-value table in one window + one aggregate
-    (both partitioned by the group, so a single shuffle)."""
-    w = Window.partitionBy(*part_cols).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = dv.withColumn("_cum", F.sum("_n").over(w)).withColumn(
-        "_tot", F.sum("_n").over(Window.partitionBy(*part_cols)))
-    aggs = [F.first("_tot").alias("_tot")]
-    for i, q in enumerate(quantiles):
-        h = (F.col("_tot") - 1) * F.lit(float(q))
-        lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        covers = lambda r: (F.col("_cum") - F.col("_n") < r) & (r <= F.col("_cum"))
-        aggs += [F.max(F.when(covers(lo), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(covers(hi), F.col("_v"))).alias(f"_hi{i}")]
-    g = cum.groupBy(*part_cols).agg(*aggs)
-    rows = []
-    for i, q in enumerate(quantiles):
-        h = (F.col("_tot") - 1) * F.lit(float(q))
-        frac = h - F.floor(h)
-        x_lo, x_hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        rows.append(F.struct(F.lit(float(q)).alias("q"), (x_lo + frac * (x_hi - x_lo)).alias("value")))
-    return g.select(*part_cols, F.explode(F.array(*rows)).alias("_r")).select(*part_cols, "_r.q", "_r.value")
+        return exact_quantiles(values.withColumn("__all", F.lit(0)), ["__all"], value_col, quantiles).drop("__all")
+    dv = distinct_values(values, part_cols, value_col)
+    counts = dv.groupBy(*part_cols).agg(F.sum("_n").alias("_cnt"))
+    q = F.explode(F.array(*[F.lit(float(x)) for x in quantiles])).alias("q")
+    h = (F.col("_cnt") - 1) * F.col("q")
+    qs = counts.select(*part_cols, "_cnt", q).withColumn("_h", h)
+    side = F.explode(F.array(F.struct(F.lit("lo").alias("side"), (F.floor("_h").cast("long") + 1).alias("rank")),
+                             F.struct(F.lit("hi").alias("side"), (F.ceil("_h").cast("long") + 1).alias("rank")))).alias("s")
+    wanted = qs.select(*part_cols, "q", "_h", side).select(*part_cols, "q", "_h", "s.side", "s.rank")
+    found = _ranks_in_buckets(dv, part_cols, wanted.select(*part_cols, "rank").distinct())
+    both = join_on(wanted, found, part_cols + ["rank"])
+    g = both.groupBy(*part_cols, "q", "_h").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("value").cast("double"))).alias("_x"),
+        F.max(F.when(F.col("side") == "hi", F.col("value").cast("double"))).alias("_y"))
+    value = F.col("_x") + (F.col("_h") - F.floor("_h")) * (F.col("_y") - F.col("_x"))
+    return g.select(*part_cols, "q", value.alias("value"))

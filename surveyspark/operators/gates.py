@@ -21,13 +21,14 @@ from surveyspark.spec import BANDS_BROAD, SurveySpec
 
 
 class ValidationError(Exception):
-    """A failed hard gate: name, what was found, what was expected, what to do."""
+    """Raised by the hard runner; carries the gate row that failed."""
 
-    def __init__(self, check_name: str, actual: str, expected: str,
-                 action: str = "Fix the preprocessing pipeline before training.") -> None:
-        self.check_name, self.actual, self.expected = check_name, actual, expected
-        super().__init__(f"\n[VALIDATION FAILED] {check_name}\n  Found:    {actual}\n"
-                         f"  Expected: {expected}\n  Action:   {action}")
+    def __init__(self, gate: str, status: str = "FAIL", actual: float | None = None, lo: float | None = None,
+                 hi: float | None = None) -> None:
+        self.gate, self.status, self.actual, self.lo, self.hi = gate, status, actual, lo, hi
+        seen = "no value" if actual is None else f"{actual:g}"
+        bounds = f"[{'' if lo is None else f'{lo:g}'}, {'' if hi is None else f'{hi:g}'}]"
+        super().__init__(f"gate {gate}: {seen} is outside {bounds}")
 
 
 def _sum(cols: Sequence[Column]) -> Column:
@@ -118,9 +119,7 @@ def gates_hard(df: DataFrame, spec: SurveySpec) -> DataFrame:
     t = gates_soft(df, spec, "full validation", record_passing_prevalence=True)
     for r in t.orderBy("seq").collect():        # six rows
         if r["status"] == "FAIL":
-            exp = (f">= {r['lo']:g}" if r["hi"] is None else
-                   f"<= {r['hi']:g}" if r["lo"] is None else f"{r['lo']:g} - {r['hi']:g}")
-            raise ValidationError(r["gate"], "missing" if r["actual"] is None else f"{r['actual']:g}", exp)
+            raise ValidationError(r["gate"], r["status"], r["actual"], r["lo"], r["hi"])
     return t
 
 
@@ -168,7 +167,8 @@ def gates_initial(df: DataFrame, spec: SurveySpec, audit_entries: Column | None
         _row(section, 3, "G3_z_in_range", _within(F.col("out_z"), None, 0), F.col("out_z"), None, 0),
     ]
     for i, (label, lo, hi) in enumerate(bands):
-        p = F.col(f"prev_{label}") if label in ts else F.lit(None)
+        own = col_lookup(df, label)
+        p = F.col(f"prev_{own}") if own in ts else F.lit(None)
         rows.append(_row(section, 4 + i, f"G{4 + i}_{label}_prevalence", _within(p, lo, hi), F.round(p, 4), lo, hi))
     bad = F.col("nonbinary") + F.col("label_nulls")
     rows += [
@@ -178,7 +178,8 @@ def gates_initial(df: DataFrame, spec: SurveySpec, audit_entries: Column | None
     ]
     pos_ok = F.lit(True)
     for t in spec.targets:
-        pos_ok = pos_ok & (F.col(f"pos_{t}") > 0) if t in ts else F.lit(False)
+        own = col_lookup(df, t)
+        pos_ok = pos_ok & (F.col(f"pos_{own}") > 0) if own in ts else F.lit(False)
     min_pos = F.least(*[F.col(f"pos_{t}") for t in ts]) if ts else F.lit(0)
     rows.append(_row(section, 10, "G10_class_weights", F.when(pos_ok, "PASS").otherwise("FAIL"), min_pos, 1, None))
     rows.append(_row(section, 11, "G11_key_features_no_nulls",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, numeric_columns, string_columns
-from surveyspark.functions.ordered import exact_quantiles, prefix_sums
+from surveyspark.functions.ordered import exact_quantiles, prefix_sums, with_sorted_buckets
 from surveyspark.spec import SurveySpec
 
 
@@ -134,27 +134,32 @@ def standardize(df: DataFrame, cols: Sequence[str], stats: dict[str, tuple[float
 
 # -- I5 ordinal codes by sorted category ------------------------------------------------
 
+#: A category table up to this many rows is sent to every task; a larger one is joined with a shuffle.
+BROADCAST_CATEGORIES = 100_000
+
+
 def fit_ordinal(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fitted category table (column, value, code): code = 0-based rank of the value
     among the column's distinct non-null values in ascending order.
 
-    Ranks come from bucketed running counts (bucket = first code point, which is
-    monotone in binary string order): a column's categories are ranked in one
-    window per leading character plus a small window over those buckets.
+    Ranks come from running counts over sorted buckets of the distinct values;
+    the table is written once, so encoding never evaluates the input again.
     """
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column", "value").where(F.col("value").isNotNull()).distinct()
-    long = long.withColumn("_one", F.lit(1)).withColumn("_b", F.ascii("value"))
-    ranked = prefix_sums(long, ["column"], ["value"], ["_one"], "_b")
-    return ranked.select("column", "value", F.col("_one_before").cast("int").alias("code"))
+    sorted_ = with_sorted_buckets(long.withColumn("_one", F.lit(1)), ["column"], "value")
+    ranked = prefix_sums(sorted_, ["column"], ["value"], ["_one"], "_b")
+    return ranked.select("column", "value", F.col("_one_before").cast("int").alias("code")).checkpoint(eager=True)
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], table: DataFrame) -> DataFrame:
     """Replace each column by its fitted code; unseen and missing values -> -1."""
+    small = table.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES
     out = df
     for c in cols:
         t = table.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"),
                                                      F.col("code").alias(f"__c_{c}"))
+        t = F.broadcast(t) if small else t
         out = out.join(t, out[c].cast("string") == t[f"__v_{c}"], "left")
         out = out.withColumn(c, F.coalesce(F.col(f"__c_{c}"), F.lit(-1))).drop(f"__v_{c}", f"__c_{c}")
     return out

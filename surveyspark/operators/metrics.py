@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, safe_div
-from surveyspark.functions.ordered import prefix_sums, with_sketch_buckets
+from surveyspark.functions.ordered import prefix_sums, with_sorted_buckets
 
 
 def long_scores(df: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str = "id",
@@ -56,6 +56,12 @@ def binary_metrics(long: DataFrame, threshold: float = 0.5, by: Sequence[str] =
                     F.round("f1_raw", 4).alias("f1"), F.lit(float(threshold)).alias("threshold"), "n_test")
 
 
+def score_counts(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, p, pos, neg, _b): positives and negatives per distinct score, in sorted buckets; the input is read once."""
+    counts = long.groupBy(*by, "p").agg(count_if(F.col("y") == 1).alias("pos"), count_if(F.col("y") == 0).alias("neg"))
+    return with_sorted_buckets(counts, by, "p")
+
+
 def _auc_raw(long: DataFrame, by: Sequence[str]) -> DataFrame:
     """Tie-aware ROC-AUC (Mann-Whitney with ties counted half), unrounded.
 
@@ -63,10 +69,7 @@ def _auc_raw(long: DataFrame, by: Sequence[str]) -> DataFrame:
     Null when a group has no positives or no negatives.
     """
     by = list(by)
-    per_score = long.groupBy(*by, "p").agg(count_if(F.col("y") == 1).alias("pos"),
-                                           count_if(F.col("y") == 0).alias("neg"))
-    b = with_sketch_buckets(per_score, by, "p", "_b")
-    run = prefix_sums(b, by, ["p"], ["neg"], "_b")
+    run = prefix_sums(score_counts(long, by), by, ["p"], ["neg"], "_b")
     contrib = F.col("pos").cast("double") * (F.col("neg_before").cast("double") + F.col("neg").cast("double") / 2.0)
     g = run.groupBy(*by).agg(F.sum(contrib).alias("_s"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     den = F.col("_P").cast("double") * F.col("_N").cast("double")
@@ -102,11 +105,9 @@ def roc_points(long: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     """ROC curve: one point per distinct score (threshold = score, predict p >= t)
     plus the (0, 0) start with a null threshold.  (label, threshold, fpr, tpr)."""
     by = list(by)
-    per_score = long.groupBy(*by, "p").agg(count_if(F.col("y") == 1).alias("pos"),
-                                           count_if(F.col("y") == 0).alias("neg"))
-    b = with_sketch_buckets(per_score, by, "p", "_b")
+    b = score_counts(long, by)
     run = prefix_sums(b, by, ["p"], ["pos", "neg"], "_b", descending=True, inclusive=True)
-    tot = long.groupBy(*by).agg(count_if(F.col("y") == 1).alias("_P"), count_if(F.col("y") == 0).alias("_N"))
+    tot = b.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     j = run.join(tot, by)
     pts = j.select(*by, F.col("p").alias("threshold"),
                    safe_div(F.col("neg_before"), F.col("_N"), None).alias("fpr"),

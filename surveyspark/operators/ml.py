@@ -177,18 +177,19 @@ def boosted_trees(label: str, weight_col: str | None = "w", max_iter: int = 300,
     return est.setProbabilityCol(f"prob_{label}").setRawPredictionCol(f"raw_{label}")
 
 
-ROWS_PER_PARTITION = 500_000
+#: Partitions of a training set, unless the session sets ``surveyspark.fitPartitions``; never taken from the row count.
+FIT_PARTITIONS = 8
 
 
-def right_sized(df: DataFrame, n_rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Fewer input partitions when the training set is small.
+def training_layout(x: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The training rows dealt by a hash of ``key`` into a fixed number of partitions, sorted inside each.
 
-    Iterative learners run several jobs per iteration; each task over a
-    near-empty partition is pure scheduling cost.  Large inputs keep their
-    partitioning (this only ever coalesces, never caps the data).
+    Tree learners bin and sample per partition, so a layout that depends only on
+    the rows makes a fit repeatable however the rows arrive.
     """
-    want = max(1, -(-n_rows // rows_per_partition))
-    return df.coalesce(want) if want < df.rdd.getNumPartitions() else df
+    k = int(x.sparkSession.conf.get("surveyspark.fitPartitions", str(FIT_PARTITIONS)))
+    keyed = x.withColumn("__layout", F.xxhash64(*key))
+    return keyed.repartition(k, "__layout").sortWithinPartitions("__layout").drop("__layout")
 
 
 def fit_single(train: DataFrame, features: FeatureStage, label: str, estimator, weight: Column | None
@@ -198,8 +199,7 @@ def fit_single(train: DataFrame, features: FeatureStage, label: str, estimator,
     rows = rows.withColumn(label, F.col(label).cast("double"))
     if weight is not None:
         rows = rows.withColumn("w", weight)
-    x = features.model.transform(rows)
-    x = right_sized(x, train.count()).persist()
+    x = training_layout(features.model.transform(rows), train.columns).persist()
     try:
         clf = estimator.fit(x)
     finally:
@@ -207,6 +207,11 @@ def fit_single(train: DataFrame, features: FeatureStage, label: str, estimator,
     return PipelineModel(stages=[*features.model.stages, clf])
 
 
+def joint_model(features: FeatureStage, models: dict[str, PipelineModel]) -> PipelineModel:
+    """One pipeline that scores every label in one pass: the shared feature stage, then each label's classifier."""
+    return PipelineModel(stages=[*features.model.stages, *[m.stages[-1] for m in models.values()]])
+
+
 def score(model: PipelineModel, df: DataFrame, labels: Sequence[str], keep: Sequence[str] = ("id",)) -> DataFrame:
     """Transform and keep ``keep`` + one ``p_<label>`` column per label."""
     out = model.transform(df)
@@ -223,8 +228,7 @@ def fit_multilabel(train: DataFrame, features: FeatureStage, labels: Sequence[st
     rows = train.fillna(0, subset=list(labels))
     for t in labels:
         rows = rows.withColumn(t, F.col(t).cast("double"))
-    x = features.model.transform(rows)
-    x = right_sized(x, train.count()).persist()
+    x = training_layout(features.model.transform(rows), train.columns).persist()
 
     def fit_one(t: str):
         xt = x

@@ -25,11 +25,11 @@ def prevalence_bands(df: DataFrame, spec: SurveySpec,
     """Measured prevalence against inclusive bands: (label, prevalence, lo, hi, status).
 
     A label with a band but no column gives a FAIL row with null prevalence.
-    The band table has one row per label (a fixed, tiny literal), so it is broadcast.
+    Labels are matched to columns without regard to case; both sides have one row per label.
     """
     b = bands_frame(df.sparkSession, bands or spec.bands)
-    p = prevalence(df, spec.targets)
-    j = F.broadcast(b).join(p, "label", "left")
+    p = prevalence(df, spec.targets).withColumnRenamed("label", "_column")
+    j = b.join(p, F.lower("label") == F.lower("_column"), "left")
     status = F.when(F.col("prevalence").between(F.col("lo"), F.col("hi")), "PASS").otherwise("FAIL")
     return j.select("label", "prevalence", "lo", "hi", status.alias("status"))
 

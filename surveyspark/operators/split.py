@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import present
 from surveyspark.functions.ordered import join_on, prefix_sums
+from surveyspark.session import checkpoint_dir
 from surveyspark.spec import SurveySpec
 
 
@@ -35,19 +36,22 @@ def hash_key(id_col: str, seed: int) -> Column:
 ROWS_PER_BUCKET = 200_000
 
 
+HASH_BITS = 60
+
+
 def hash_bucket(h: Column, bits: int = 16) -> Column:
-    """The leading ``bits`` bits of the hex hash as an int: monotone in the hash order."""
-    bits = max(0, min(24, int(bits)))
-    top24 = F.conv(F.substring(h, 1, 6), 16, 10).cast("long")
-    return F.floor(top24 / F.lit(float(1 << (24 - bits)))).cast("int")
+    """The leading ``bits`` (up to 60) bits of the hex hash as a long: monotone in the hash order."""
+    bits = max(0, min(HASH_BITS, int(bits)))
+    lead = F.conv(F.substring(h, 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.shiftright(lead, HASH_BITS - bits) if bits else F.lit(0).cast("long")
 
 
 def bucket_bits(largest_group: int | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Enough leading hash bits that a bucket of the largest group holds about
-    ``rows_per_bucket`` rows (hashes are uniform), capped at 24 bits."""
+    ``rows_per_bucket`` rows (hashes are uniform)."""
     if not largest_group or largest_group <= rows_per_bucket:
         return 0
-    return min(24, math.ceil(math.log2(largest_group / rows_per_bucket)))
+    return min(HASH_BITS, math.ceil(math.log2(largest_group / rows_per_bucket)))
 
 
 def stratum_quotas(counts: DataFrame, strat: str, test_size: float) -> DataFrame:
@@ -74,19 +78,32 @@ def stratified_split(df: DataFrame, id_col: str, strat_col: str, test_size: floa
     if mode == "fast":
         frac = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
         return df.withColumn(split_col, F.when(frac < F.lit(test_size), "test").otherwise("train"))
-    counts = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n"))
-    bits = bucket_bits(counts.agg(F.max("n")).first()[0], rows_per_bucket)
-    keyed = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), bits)).withColumn("_one", F.lit(1))
-    quotas = stratum_quotas(counts, strat_col, test_size)
+    counts, largest, few = stratum_counts(df, strat_col)
+    keyed = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h"), bucket_bits(largest, rows_per_bucket))).withColumn("_one", F.lit(1))
+    quotas = stratum_quotas(counts, strat_col, test_size).select(strat_col, "quota")
     ranked = prefix_sums(keyed, [strat_col], ["_h", id_col], ["_one"], "_b")
-    out = join_on(ranked, quotas.select(strat_col, "quota"), [strat_col])
+    out = join_on(ranked, F.broadcast(quotas) if few else quotas, [strat_col])
     return out.withColumn(split_col, F.when(F.col("_one_before") < F.col("quota"), "test")
                           .otherwise("train")).drop("_h", "_b", "_one", "_one_before", "quota")
 
 
+#: Up to this many strata the counts are a literal table that goes to every task, so no shuffle is keyed on the stratum alone.
+FEW_STRATA = 10_000
+
+
+def stratum_counts(df: DataFrame, strat_col: str) -> tuple[DataFrame, int | None, bool]:
+    """((stratum, n), the largest n, whether there are few strata)."""
+    counts = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(FEW_STRATA + 1).collect()
+    if len(rows) <= FEW_STRATA:
+        return df.sparkSession.createDataFrame(rows, counts.schema), max((r["n"] for r in rows), default=None), True
+    return counts, counts.agg(F.max("n")).first()[0], False
+
+
 def split_table(df: DataFrame, spec: SurveySpec, mode: str = "exact") -> DataFrame:
     """The reference split: drop rows with a missing target, stratify on ``spec.stratify_col``."""
-    base = df.dropna(how="any", subset=present(df, spec.targets))
+    checkpoint_dir(df.sparkSession)
+    base = df.dropna(how="any", subset=present(df, spec.targets)).checkpoint(eager=True)   # counted, ranked and joined below
     return stratified_split(base, spec.id_col, spec.stratify_col, spec.test_size, spec.seed, mode)
 
 
@@ -119,7 +136,7 @@ def cv_folds(df: DataFrame, id_col: str, strat_col: str, k: int = 5, seed: int =
              fold_col: str = "fold", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Stratified fold id: the row's hash rank inside its stratum, modulo k.
     Every fold gets floor or ceil of n_s / k rows of each stratum."""
-    largest = df.groupBy(strat_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    _, largest, _ = stratum_counts(df, strat_col)
     keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn(
         "_b", hash_bucket(F.col("_h"), bucket_bits(largest, rows_per_bucket))).withColumn("_one", F.lit(1))
     ranked = prefix_sums(keyed, [strat_col], ["_h", id_col], ["_one"], "_b")

@@ -134,8 +134,16 @@ def q_gates_labels(spark, sf):
     return gates.gates_labels(obs(spark, sf), SPEC)
 
 
+def _audit_log(spark, sf):
+    """An audit log in the shared folder, with the load's rows appended."""
+    log = audit.AuditLog(spark, scratch_path(spark, f"audit_{uuid.uuid4().hex}"))
+    log.record_frame(audit.load_audit_rows(inputs.raw_obs(spark, sf), SPEC))
+    log.flush()
+    return log
+
+
 def _audit_count(spark, sf):
-    return audit.load_audit_rows(inputs.raw_obs(spark, sf), SPEC).agg(F.count(F.lit(1))).scalar()
+    return _audit_log(spark, sf).read_all().agg(F.count(F.lit(1))).scalar()
 
 
 @register("gates_initial", f"{GATES_CTE} {initial_sql()}")
@@ -179,6 +187,16 @@ def q_report_summary(spark, sf):
 
 # -- audit and run metrics ---------------------------------------------------------------------------
 
+@register("audit_append", f"WITH {OBS}, {AUDIT_ROWS} SELECT step, CAST(2 * count(*) AS BIGINT) AS entries, "
+          "CAST(2 * sum(rows_affected) AS BIGINT) AS rows_affected FROM audit_rows GROUP BY step")
+def q_audit_append(spark, sf):
+    """Two runs append to one audit log; it is read back and counted per step."""
+    log = _audit_log(spark, sf)
+    log.record_frame(audit.load_audit_rows(inputs.raw_obs(spark, sf), SPEC))
+    log.flush()
+    return log.read_all().groupBy("step").agg(F.count(F.lit(1)).alias("entries"), F.sum("rows_affected").alias("rows_affected"))
+
+
 @register("audit_log", f"WITH {OBS}, {AUDIT_ROWS} SELECT * FROM audit_rows")
 def q_audit_log(spark, sf):
     return audit.load_audit_rows(inputs.raw_obs(spark, sf), SPEC)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
@@ -56,8 +57,9 @@ def split_frames(spark, sf):
         checkpoint_dir(spark)
         sp = split.stratified_split(labelled(spark, sf), "id", "quality", 0.2, 42).persist()
         sp.count()
-        return sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
-    return memo(spark, sf, "split", build)
+        return (sp,)                                # the persisted parent, so that clear_memo can release it
+    sp, = memo(spark, sf, "split", build)
+    return sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
 
 
 def feature_stage(spark, sf, train):
@@ -70,10 +72,6 @@ def _long(scored, model_name=None):
     return l if model_name is None else l.withColumn("model", F.lit(model_name))
 
 
-def _with_truth(scores, test):
-    return scores.join(test.select("id", *LABELS), "id")
-
-
 def fit_per_label(train, fs, make, weight):
     """One pipeline per label, fitted concurrently; returns {label: PipelineModel}."""
     models = ml.parallel_map(lambda t: ml.fit_single(train, fs, t, make(t), weight(train, t)), LABELS)
@@ -81,10 +79,15 @@ def fit_per_label(train, fs, make, weight):
 
 
 def score_per_label(models, test):
-    out = test.select("id", *LABELS)
-    for t, m in models.items():
-        out = out.join(ml.score(m, test, [t]), "id")
-    return out
+    """Truth and probabilities of every label from one transform of the test frame."""
+    joint = PipelineModel(stages=[*next(iter(models.values())).stages[:-1], *[m.stages[-1] for m in models.values()]])
+    return ml.score(joint, test, LABELS, keep=("id", *LABELS))
+
+
+def fit_together(spark, sf, kinds):
+    """Fits several kinds of model at once; the split and the feature stage are built first and shared."""
+    feature_stage(spark, sf, split_frames(spark, sf)[0])
+    return ml.parallel_map(lambda f: f(spark, sf), kinds, max_workers=8)
 
 
 def _lr(train):
@@ -166,14 +169,14 @@ def q_multilabel_scores(spark, sf):
     """One boosted model per label on a shared feature stage (400 rounds, row/feature subsampling,
     one mean class weight); all labels scored in one pass."""
     m, test = multilabel_model(spark, sf, "boosted")
-    return _with_truth(ml.score(m, test, LABELS), test)
+    return ml.score(m, test, LABELS, keep=("id", *LABELS))
 
 
 @register("multilabel_scores_alt")
 def q_multilabel_scores_alt(spark, sf):
     """The leaf-size-limited multi-label variant (400 rounds, >= 20 rows per leaf)."""
     m, test = multilabel_model(spark, sf, "leafwise")
-    return _with_truth(ml.score(m, test, LABELS), test)
+    return ml.score(m, test, LABELS, keep=("id", *LABELS))
 
 
 BAL_SQL = ("WITH base AS (SELECT l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id "
@@ -214,9 +217,7 @@ def _bench_rows(long_with_model):
 
 
 def baseline_rows(spark, sf):
-    lr, test = lr_models(spark, sf)
-    rf, _ = rf_models(spark, sf)
-    gb, _ = gbt_models(spark, sf)
+    (lr, test), (rf, _), (gb, _) = fit_together(spark, sf, [lr_models, rf_models, gbt_models])
     longs = [_long(score_per_label(lr, test), "logistic"), _long(score_per_label(rf, test), "random_forest"),
              _long(score_per_label(gb, test), "boosted_single")]
     u = longs[0]
@@ -234,10 +235,10 @@ def q_baseline_benchmark(spark, sf):
 @register("full_benchmark")
 def q_full_benchmark(spark, sf):
     """Multi-label boosted models (both variants) merged with the baselines by column name."""
-    m1, test = multilabel_model(spark, sf, "boosted")
-    m2, _ = multilabel_model(spark, sf, "leafwise")
-    new = _long(_with_truth(ml.score(m1, test, LABELS), test), "multilabel_boosted").unionByName(
-        _long(_with_truth(ml.score(m2, test, LABELS), test), "multilabel_leafwise"))
+    multilabel = [lambda s, d, v=v: multilabel_model(s, d, v) for v in ("boosted", "leafwise")]
+    (m1, test), (m2, _), *_ = fit_together(spark, sf, [*multilabel, lr_models, rf_models, gbt_models])
+    new = _long(ml.score(m1, test, LABELS, keep=("id", *LABELS)), "multilabel_boosted").unionByName(
+        _long(ml.score(m2, test, LABELS, keep=("id", *LABELS)), "multilabel_leafwise"))
     return metrics.benchmark_table(metrics.benchmark_union(baseline_rows(spark, sf), _bench_rows(new)))
 
 
@@ -258,7 +259,7 @@ def q_tuned_model(spark, sf):
                                            metricLabel=1.0)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=5, foldCol="fold",
                         parallelism=4)
-    model = cv.fit(ml.right_sized(x, int(n)))
+    model = cv.fit(ml.training_layout(x, train.columns))
     rows = [(c, float(m)) for c, m in zip(cs, model.avgMetrics)]
     best = max(rows, key=lambda r: r[1])[0]
     out = spark.createDataFrame(rows, "C double, mean_recall double")

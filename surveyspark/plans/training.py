@@ -21,13 +21,6 @@ def _long(scored: DataFrame, labels: Sequence[str], model: str) -> DataFrame:
     return metrics.long_scores(scored, [(t, f"p_{t}") for t in labels]).withColumn("model", F.lit(model))
 
 
-def _score_each(models: dict, test: DataFrame, labels: Sequence[str], id_col: str) -> DataFrame:
-    out = test.select(id_col, *labels)
-    for t, m in models.items():
-        out = out.join(ml.score(m, test, [t], keep=(id_col,)), id_col)
-    return out
-
-
 def train_baselines(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                     labels: Sequence[str], id_col: str = "id", rf_trees: int = 200, gbt_rounds: int = 300
                     ) -> DataFrame:
@@ -42,7 +35,8 @@ def train_baselines(train: DataFrame, test: DataFrame, numeric: Sequence[str], c
     longs = []
     for name, (make, weight) in makers.items():
         fitted = ml.parallel_map(lambda t: ml.fit_single(train, fs, t, make(t), weight(train, t)), list(labels))
-        longs.append(_long(_score_each(dict(zip(labels, fitted)), test, labels, id_col), labels, name))
+        joint = ml.joint_model(fs, dict(zip(labels, fitted)))
+        longs.append(_long(ml.score(joint, test, labels, keep=(id_col, *labels)), labels, name))
     u = longs[0]
     for l in longs[1:]:
         u = u.unionByName(l)
@@ -61,6 +55,6 @@ def train_multilabel(train: DataFrame, test: DataFrame, numeric: Sequence[str],
     longs = []
     for name, make in variants.items():
         m = ml.fit_multilabel(train, fs, list(labels), make, w)
-        scored = ml.score(m, test, labels, keep=(id_col,)).join(test.select(id_col, *labels), id_col)
+        scored = ml.score(m, test, labels, keep=(id_col, *labels))
         longs.append(_long(scored, labels, name))
     return metrics.multilabel_metrics(longs[0].unionByName(longs[1]), 0.5, ["model", "label"])

@@ -106,6 +106,10 @@ def load_class_weights(spark: SparkSession, path: str, labels: Sequence[str], de
 
 # -- district list ------------------------------------------------------------------------------
 
+#: The state list goes into every task; a longer list is an error, never cut.
+MAX_STATES = 100_000
+
+
 def parse_district_lines(text: DataFrame, states: DataFrame, header_prefix: str = "S.No.") -> DataFrame:
     """Parse a space-delimited ``<n> <state> <district>`` list.
 
@@ -113,11 +117,18 @@ def parse_district_lines(text: DataFrame, states: DataFrame, header_prefix: str
     Inside each file a line that does not start with a number or the header
     continues the record before it (joined with a space, or directly when it
     starts with a hyphen).  Repeated page headers are dropped.  The state is
-    the longest entry of ``states`` (a bounded list, broadcast) equal to the
-    line's first words (an equi-join on word-prefix candidates, states of up
-    to six words); the district is what follows it.
+    the longest entry of ``states`` equal to the line's first words, however
+    many words it has; the district is what follows it.  Every record gives a
+    row, equal records included; without a known state the state is null and
+    the district is the whole rest.  No join and no shuffle: the state list
+    (at most ``MAX_STATES`` entries) is one array in each task.
     Output: (n, state, district).
     """
+    name = F.col(f"`{states.columns[0]}`")
+    known = states.select(name.alias("state")).where("state is not null").distinct()
+    n_states, most_words = known.agg(F.count("*"), F.max(F.size(F.split("state", " ")))).first()
+    if n_states > MAX_STATES:
+        raise ValueError(f"{n_states} states; at most {MAX_STATES} can be sent to every task")
     hdr = header_prefix.replace(".", r"\.")
     body = F.regexp_replace(F.col("value"), r"\r\n?", "\n")
     body = F.regexp_replace(body, rf"\n(?!\d+ |{hdr})(-)", "$1")
@@ -126,17 +137,12 @@ def parse_district_lines(text: DataFrame, states: DataFrame, header_prefix: str
     recs = lines.where(F.col("line").rlike(r"^\d+ ")).select(
         F.regexp_extract("line", r"^(\d+) (.*)$", 1).cast("int").alias("n"),
         F.regexp_extract("line", r"^(\d+) (.*)$", 2).alias("rest"))
-    st = F.broadcast(states.select(F.col(states.columns[0]).alias("state")).distinct())
-    # candidate states of a record = its leading 1..max_words words (an equi-join, no pair scan)
-    max_words = 6
-    words = F.split(F.col("rest"), " ")
-    cands = recs.select("n", "rest", F.explode(F.sequence(
-        F.lit(1), F.least(F.size(words) - 1, F.lit(max_words)))).alias("_k"))
-    cands = cands.where(F.col("_k") >= 1).withColumn(
-        "cand", F.array_join(F.slice(F.split(F.col("rest"), " "), 1, F.col("_k")), " "))
-    hits = cands.join(st, cands["cand"] == st["state"]).select("n", "rest", "state")
-    m = recs.join(hits, ["n", "rest"], "left")
-    best = m.groupBy("n", "rest").agg(F.max_by("state", F.length("state")).alias("state"))
-    district = F.when(F.col("state").isNull(), F.col("rest")).otherwise(
-        F.trim(F.expr("substring(rest, length(state) + 2)")))
-    return best.select("n", "state", district.alias("district"))
+    recs = recs.withColumn("_words", F.split("rest", " ")).withColumn("_known", known.agg(F.collect_list("state")).scalar())
+    heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("_words") - 1, F.lit(most_words or 1)))),
+                        lambda k: F.array_join(F.slice("_words", F.lit(1), k), " "))
+    recs = recs.withColumn("_heads", F.when(F.size("_words") > 1, F.array_intersect(heads, "_known")))
+    # heads grow in length, and array_intersect keeps their order: the last one is the longest
+    state = F.get("_heads", F.size("_heads") - 1)
+    recs = recs.withColumn("state", state)
+    district = F.when(F.col("state").isNull(), F.col("rest")).otherwise(F.trim(F.expr("substring(rest, length(state) + 2)")))
+    return recs.select("n", "state", district.alias("district"))

@@ -60,6 +60,30 @@ def test_district_parse(spark, tmp_dir):
                    3: ("Eastmarch", "Stonebridge-Millford"), 4: ("Hill & Dale", "Greenfield")}
 
 
+def test_district_parse_keeps_every_record_and_long_names(spark, tmp_dir):
+    long = "Upper and Lower Marsh and East and West Fen"
+    for k in range(2):                                     # the same record in two files, and twice in one
+        with open(os.path.join(tmp_dir, f"d{k}.csv"), "w", newline="") as fh:
+            fh.write(f"S.No. State Name District Name\n1 {long} Old Mill\n1 {long} Old Mill\n2 Nowhere Land Town\n3 {long}\n")
+    text = spark.read.text(tmp_dir, wholetext=True)
+    states = spark.createDataFrame([(long,), ("Upper",), (None,)], "s string")
+    got = sorted((r["n"], r["state"] or "", r["district"]) for r in io.parse_district_lines(text, states).collect())
+    assert got == sorted(2 * [(1, long, "Old Mill"), (1, long, "Old Mill"), (2, "", "Nowhere Land Town"),
+                              (3, "Upper", long[len("Upper "):])])
+
+
+def test_forest_does_not_depend_on_partitioning(spark):
+    from surveyspark.operators import ml
+    rows = [(i, float(i % 17), "ab"[i % 2], int((i * 7919) % 13 < 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, c string, y int")
+    scores = []
+    for layout in (df.repartition(1), df.repartition(7, "x")):
+        fs = ml.fit_feature_stage(layout, ["x"], ["c"])
+        m = ml.fit_single(layout, fs, "y", ml.random_forest("y", None, num_trees=5, max_depth=4, min_instances=2), None)
+        scores.append({r["id"]: r["p_y"] for r in ml.score(m, df, ["y"]).collect()})
+    assert scores[0] == scores[1]
+
+
 def test_stata_ingest_roundtrip(spark, tmp_dir):
     pdf = pd.DataFrame({"HW70": [-253, 9998, 120], "V106": [1, 2, 3], "EXTRA": [0.5, 0.5, 0.5]})
     for k in range(2):

@@ -87,6 +87,28 @@ def labelled(spark):
     return spark.createDataFrame(rows, "id long, haz double, waz double, whz double, stunted int, underweight int, wasted int")
 
 
+def test_gates_and_bands_ignore_column_case(spark):
+    from surveyspark.operators.profile import prevalence_bands
+    low = labelled(spark)
+    up = low.toDF("id", *[c.upper() for c in low.columns if c != "id"])
+    spec = CHILD_SURVEY.with_(min_rows=10)
+    rows = lambda d: [(r["gate"], r["status"], r["actual"]) for r in gates.gates_initial(d, spec, F.lit(3)).orderBy("seq").collect()]
+    assert rows(up) == rows(low)
+    bands = lambda d: sorted(tuple(r) for r in prevalence_bands(d, spec).collect())
+    assert bands(up) == bands(low) and all(r[1] is not None for r in bands(up))
+
+
+def test_audit_gate_fails_on_a_short_log(spark, tmp_dir):
+    import os
+    from surveyspark.operators.audit import AuditLog
+    log = AuditLog(spark, os.path.join(tmp_dir, "audit"))
+    for step in ("load", "scale"):
+        log.record(step, "haz", "none", "none", 1)
+    log.flush()
+    t = gates.gates_initial(labelled(spark), CHILD_SURVEY.with_(min_rows=10), audit_entries=F.lit(log.count()))
+    assert {r["gate"]: r["status"] for r in t.collect()}["G12_audit_log_entries"] == "FAIL"
+
+
 def test_hard_gate_raises_named_error(spark):
     spec = CHILD_SURVEY.with_(min_rows=1000)
     with pytest.raises(gates.ValidationError, match="row_count"):
