@@ -167,8 +167,8 @@ def tree_attribution(rows: DataFrame, model, background: np.ndarray, names: Sequ
     """Interventional tree Shapley values for every row, computed partition by partition."""
     trees, weights, _ = export_ensemble(model)
     spark = rows.sparkSession
-    from surveyspark.session import ship_package
-    ship_package(spark)
+    from surveyspark.session import ship_module
+    ship_module(__name__)
     b_trees = spark.sparkContext.broadcast(trees)
     b_bg = spark.sparkContext.broadcast(np.asarray(background, dtype=float))
     names = list(names)

@@ -21,12 +21,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.operators.impute import median_table, mode_table
+from surveyspark.operators.split import cv_folds
 
 FEATURES = "features"
 
@@ -220,9 +223,11 @@ def score(model: PipelineModel, df: DataFrame, labels: Sequence[str], keep: Sequ
 
 
 def fit_multilabel(train: DataFrame, features: FeatureStage, labels: Sequence[str], make_estimator,
-                   weight_value: float | Column | None = None) -> PipelineModel:
+                   weight_value: float | Column | str | None = None) -> PipelineModel:
     """One classifier per label on a shared, once-fitted feature stage; missing
     labels count as negatives (the multi-label fit fills them with 0).
+    ``weight_value`` weighs positive rows: one number or column for all labels, or
+    ``"per_label"`` for each label's own negatives / positives.
     The returned model scores every label in one pass (each classifier writes
     its own probability column)."""
     rows = train.fillna(0, subset=list(labels))
@@ -232,7 +237,9 @@ def fit_multilabel(train: DataFrame, features: FeatureStage, labels: Sequence[st
 
     def fit_one(t: str):
         xt = x
-        if weight_value is not None:
+        if weight_value == "per_label":
+            xt = x.withColumn("w", positive_weight(x, t))
+        elif weight_value is not None:
             wv = weight_value if isinstance(weight_value, Column) else F.lit(float(weight_value))
             xt = x.withColumn("w", F.when(F.col(t) == 1, wv).otherwise(F.lit(1.0)))
         return make_estimator(t).fit(xt)
@@ -244,6 +251,25 @@ def fit_multilabel(train: DataFrame, features: FeatureStage, labels: Sequence[st
     return PipelineModel(stages=[*features.model.stages, *models])
 
 
+def grid_search(train: DataFrame, features: FeatureStage, label: str, estimator, grid: list[dict], folds: int = 5, seed: int = 42,
+                id_col: str = "id", weight: Column | None = None, parallelism: int = 4) -> tuple[list[float], PipelineModel]:
+    """(mean recall of the positive class for each grid point, the best point's pipeline fitted on all rows).
+
+    Folds are stratified (``cv_folds``); the first of equally good points wins.
+    """
+    rows = train.where(F.col(label).isNotNull())
+    folded = cv_folds(rows, id_col, label, folds, seed).withColumn(label, F.col(label).cast("double"))
+    if weight is not None:
+        folded = folded.withColumn("w", weight)
+    x = training_layout(features.model.transform(folded), train.columns).persist()
+    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=f"pred_{label}", metricName="recallByLabel", metricLabel=1.0)
+    try:
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(x)
+    finally:
+        x.unpersist()
+    return [float(m) for m in cv.avgMetrics], PipelineModel(stages=[*features.model.stages, cv.bestModel])
+
+
 def parallel_map(fn, items: Sequence, max_workers: int = 4) -> list:
     """Run independent Spark fits from a small driver thread pool (one per label);
     their jobs share the cluster instead of queueing one after another."""

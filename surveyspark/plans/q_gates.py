@@ -293,11 +293,10 @@ def q_district_parse(spark, sf):
 @register("stata_ingest", f"WITH {RAW_OBS_SQL} SELECT * REPLACE (coalesce(segment, '') AS segment, coalesce(status, '') "
           "AS status, coalesce(priority, '') AS priority, coalesce(nation, '') AS nation) FROM raw_obs")
 def q_stata_ingest(spark, sf):
-    """The raw coded rows are landed as Stata .dta files in the shared folder (one per batch), then
-    ingested by the distributed reader (files spread over tasks, chunked, only the named columns).
-    Stata keeps no null string, so missing text comes back as ''."""
+    """The raw coded rows as Stata files (one for each batch, a binary column written to the shared folder), decoded by
+    the distributed reader in chunks, only the named columns.  Stata keeps no null string, so missing text comes back as ''."""
     from surveyspark.sources import stata
     raw = inputs.raw_obs(spark, sf)
-    base = scratch_path(spark, f"stata_{uuid.uuid4().hex}")
-    stata.write_stata_parts(raw, base).count()
-    return stata.read_stata(spark, f"{base}/*.dta", raw.schema, chunksize=50_000)
+    path = scratch_path(spark, f"stata_{uuid.uuid4().hex}")
+    stata.encode_stata(raw).write.parquet(path)
+    return stata.decode_stata(spark.read.parquet(path), raw.schema, chunksize=50_000)

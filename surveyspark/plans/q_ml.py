@@ -11,8 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from surveyspark.operators import metrics, ml, split
@@ -199,17 +198,50 @@ def q_mean_weight(spark, sf):
     return ml.mean_class_weight(labelled(spark, sf), LABELS)
 
 
-@register("model_roundtrip")
+#: Rows of the test split: ceil(0.2 * N) of the N documents with both labels.
+TEST_SQL = ("WITH base AS (SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id "
+            "WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL), t AS (SELECT CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n FROM base) ")
+
+
+def _per_label_sql(columns):
+    return TEST_SQL + union_all([f"SELECT '{t}' AS label, {columns} FROM t" for t in LABELS])
+
+
+@register("model_roundtrip", _per_label_sql("n AS n_test, n AS n_equal"))
 def q_model_roundtrip(spark, sf):
-    """Save the fitted logistic pipeline, load it back, score again: both scores side by side."""
+    """Each label's fitted logistic pipeline saved, loaded and run again: test rows, and those with the same score."""
     models, test = lr_models(spark, sf)
-    m = models["quality"]
-    path = scratch_path(spark, f"model_{uuid.uuid4().hex}")
-    ml.save_model(m, path)
-    again = ml.load_model(path)
-    a = ml.score(m, test, ["quality"]).withColumnRenamed("p_quality", "p_before")
-    b = ml.score(again, test, ["quality"]).withColumnRenamed("p_quality", "p_after")
-    return a.join(b, "id").withColumn("equal", F.col("p_before") == F.col("p_after"))
+    parts = []
+    for t, m in models.items():
+        path = scratch_path(spark, f"model_{uuid.uuid4().hex}")
+        ml.save_model(m, path)
+        a = ml.score(m, test, [t]).withColumnRenamed(f"p_{t}", "p_before")
+        b = ml.score(ml.load_model(path), test, [t]).withColumnRenamed(f"p_{t}", "p_after")
+        parts.append(a.join(b, "id").agg(F.lit(t).alias("label"), F.count(F.lit(1)).alias("n_test"),
+                                         F.sum((F.col("p_before") == F.col("p_after")).cast("long")).alias("n_equal")))
+    return parts[0].unionByName(parts[1])
+
+
+SCORE_CHECK_SQL = _per_label_sql("n AS n_test, n AS n_ids, n AS n_in_range")
+
+
+def _score_checks(scored):
+    """Per label: scored rows, distinct ids, and rows whose score is a probability."""
+    long = metrics.long_scores(scored, [(t, f"p_{t}") for t in LABELS])
+    return long.groupBy("label").agg(F.count(F.lit(1)).alias("n_test"), F.count_distinct("id").alias("n_ids"),
+                                     F.sum(F.col("p").between(0, 1).cast("long")).alias("n_in_range"))
+
+
+@register("lr_score_checks", SCORE_CHECK_SQL)
+def q_lr_score_checks(spark, sf):
+    models, test = lr_models(spark, sf)
+    return _score_checks(score_per_label(models, test))
+
+
+@register("rf_score_checks", SCORE_CHECK_SQL)
+def q_rf_score_checks(spark, sf):
+    models, test = rf_models(spark, sf)
+    return _score_checks(score_per_label(models, test))
 
 
 def _bench_rows(long_with_model):
@@ -244,26 +276,20 @@ def q_full_benchmark(spark, sf):
 
 @register("tuned_model")
 def q_tuned_model(spark, sf):
-    """Grid search over the logistic C values with 5 stratified folds (fold column from
-    ``cv_folds``), scored by recall of the positive class; one row per grid point."""
-    train, _ = split_frames(spark, sf)
+    """Grid search over the logistic C values for each label, with 5 stratified folds, scored by recall of the positive
+    class; one row per label and grid point, with the test recall of the best model refitted on all training rows."""
+    train, test = split_frames(spark, sf)
     fs = feature_stage(spark, sf, train)
-    t = "quality"
-    folded = split.cv_folds(train, "id", t, 5, 42).withColumn(t, F.col(t).cast("double"))
-    x = fs.model.transform(folded.withColumn("w", ml.balanced_weight(folded, t)))
-    n = float(train.count())
-    lr = ml.logistic(t, n_weight=n)
-    cs = [0.01, 0.1, 1.0, 10.0]
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
-    ev = MulticlassClassificationEvaluator(labelCol=t, predictionCol=f"pred_{t}", metricName="recallByLabel",
-                                           metricLabel=1.0)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, numFolds=5, foldCol="fold",
-                        parallelism=4)
-    model = cv.fit(ml.training_layout(x, train.columns))
-    rows = [(c, float(m)) for c, m in zip(cs, model.avgMetrics)]
-    best = max(rows, key=lambda r: r[1])[0]
-    out = spark.createDataFrame(rows, "C double, mean_recall double")
-    return out.withColumn("is_best", F.col("C") == F.lit(best))
+    n, cs = float(train.count()), [0.01, 0.1, 1.0, 10.0]
+    rows = []
+    for t in LABELS:
+        lr = ml.logistic(t, n_weight=n)
+        grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * n) for c in cs]).build()
+        means, best = ml.grid_search(train, fs, t, lr, grid, weight=ml.balanced_weight(train, t))
+        scored = metrics.long_scores(ml.score(best, test, [t], keep=("id", t)), [(t, f"p_{t}")])
+        recall = metrics.binary_metrics(scored).first()["recall"]
+        rows += [(t, c, m, i == means.index(max(means)), float(recall)) for i, (c, m) in enumerate(zip(cs, means))]
+    return spark.createDataFrame(rows, "label string, C double, mean_recall double, is_best boolean, best_test_recall double")
 
 
 # -- attribution -----------------------------------------------------------------------------------
@@ -344,3 +370,74 @@ def q_dependence_table(spark, sf):
     """Mean phi of n_chars per value bin (20 bins)."""
     from surveyspark.operators import attribution
     return attribution.dependence_table(linear_phi(spark, sf)[0], "n_chars", bins=20)
+
+
+# -- attribution tables of fixed linear models, which SQL can state ------------------------------------
+
+FIXED = {"quality": (0.002, -0.5, 0.125), "toxic": (-0.001, 0.25, 2.0)}
+FIXED_NAMES = ["n_chars", "source_length", "source_number"]
+
+
+def _fixed_phi(spark, sf):
+    """Attributions of two linear models with given coefficients over all documents, against the means of all documents."""
+    from pyspark.ml.feature import VectorAssembler
+    from surveyspark.operators import attribution
+    docs = inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("n_chars"), F.length("source").cast("double").alias("source_length"),
+        F.regexp_extract("source", r"(\d+)$", 1).cast("double").alias("source_number"))
+    x = VectorAssembler(inputCols=FIXED_NAMES, outputCol="features").transform(docs)
+    means = attribution.background_means(x, len(FIXED_NAMES))
+    parts = [attribution.linear_attribution(x, w, means, FIXED_NAMES, t) for t, w in FIXED.items()]
+    bases = {t: sum(c * m for c, m in zip(w, means)) for t, w in FIXED.items()}
+    return parts[0].unionByName(parts[1]), bases
+
+
+def _fixed_sql():
+    rows = union_all([f"SELECT id, '{t}' AS label, '{n}' AS feature, {n} AS value, CAST({c!r} AS DOUBLE) * ({n} - (SELECT avg({n}) FROM x)) AS phi FROM x"
+                      for t, w in FIXED.items() for n, c in zip(FIXED_NAMES, w)])
+    return ("WITH x AS (SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(length(source) AS DOUBLE) AS source_length, "
+            "CAST(regexp_extract(source, '(\\d+)$', 1) AS DOUBLE) AS source_number FROM documents), phi AS (" + rows + ") ")
+
+
+FIXED_SQL = _fixed_sql()
+RANKED_SQL = ("(SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, feature) AS rank FROM "
+              "(SELECT label, feature, avg(abs(phi)) AS m FROM phi GROUP BY ALL))")
+
+
+@register("linear_attribution_fixed", FIXED_SQL + "SELECT id, label, feature, value, round(phi, 6) AS phi FROM phi")
+def q_linear_attribution_fixed(spark, sf):
+    return _fixed_phi(spark, sf)[0].withColumn("phi", F.round("phi", 6))
+
+
+@register("global_importance_fixed", FIXED_SQL + f"SELECT label, feature, round(m, 6) AS mean_abs_phi, CAST(rank AS INTEGER) AS rank FROM {RANKED_SQL} WHERE rank <= 2")
+def q_global_importance_fixed(spark, sf):
+    from surveyspark.operators import attribution
+    return attribution.global_importance(_fixed_phi(spark, sf)[0], 2).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
+
+
+@register("top_features_fixed", FIXED_SQL + f"SELECT label, feature, round(m, 6) AS mean_abs_phi, CAST(rank AS INTEGER) AS rank FROM {RANKED_SQL} WHERE label = 'toxic'")
+def q_top_features_fixed(spark, sf):
+    from surveyspark.operators import attribution
+    return attribution.top_features(_fixed_phi(spark, sf)[0], "toxic", 10).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
+
+
+@register("row_explanation_fixed", FIXED_SQL + ", r AS (SELECT feature, value, phi, row_number() OVER (ORDER BY abs(phi) DESC, feature) AS rank FROM phi "
+          "WHERE label = 'quality' AND id = (SELECT min(id) FROM x)) SELECT 'base value' AS feature, CAST(NULL AS DOUBLE) AS value, round("
+          + " + ".join(f"CAST({c!r} AS DOUBLE) * (SELECT avg({n}) FROM x)" for n, c in zip(FIXED_NAMES, FIXED["quality"]))
+          + ", 6) AS phi, 0 AS rank UNION ALL SELECT feature, value, round(phi, 6), CAST(rank AS INTEGER) FROM r WHERE rank <= 2 "
+          "UNION ALL SELECT 'other features', NULL, round(sum(phi), 6), 3 FROM r WHERE rank > 2")
+def q_row_explanation_fixed(spark, sf):
+    """Base value, the two largest contributions and the rest for the smallest id."""
+    from surveyspark.operators import attribution
+    phi, bases = _fixed_phi(spark, sf)
+    first_id = phi.agg(F.min("id")).first()[0]
+    return attribution.row_explanation(phi, first_id, "quality", bases["quality"], 2).withColumn("phi", F.round("phi", 6))
+
+
+@register("dependence_table_fixed", FIXED_SQL + ", f AS (SELECT * FROM phi WHERE feature = 'n_chars'), g AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20.0::DOUBLE AS w FROM f) "
+          "SELECT label, CAST(least(floor((value - lo) / w), 19) AS INTEGER) AS bin, count(*) AS n, round(avg(value), 6) AS mean_value, round(avg(phi), 6) AS mean_phi "
+          "FROM f, g GROUP BY ALL")
+def q_dependence_table_fixed(spark, sf):
+    from surveyspark.operators import attribution
+    out = attribution.dependence_table(_fixed_phi(spark, sf)[0], "n_chars", bins=20)
+    return out.withColumn("mean_value", F.round("mean_value", 6)).withColumn("mean_phi", F.round("mean_phi", 6))

@@ -64,28 +64,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
-_SHIPPED: set = set()
+def ship_module(name: str) -> None:
+    """Send the functions of a module of this package along with the tasks that use them, so that Python workers need
+    no installed copy and no file is written anywhere."""
+    import sys
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers that run ``mapInPandas``.
-
-    On a cluster the package is shipped with ``spark-submit --py-files``.  A
-    local-mode session gets a zip of the package added with ``addPyFile``
-    (once per context), so workers find it whatever the working directory.
-    """
-    sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED or not sc.master.startswith("local"):
-        return
-    import zipfile
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="surveyspark-pyfiles-"), "surveyspark.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _dirs, files in os.walk(pkg_dir):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.join("surveyspark", os.path.relpath(full, pkg_dir)))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[name])

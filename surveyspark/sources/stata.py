@@ -1,15 +1,16 @@
 """One-off ingest of Stata ``.dta`` files into Parquet.
 
-Spark lists the files; each task reads its files in chunks with pandas'
-Stata reader (only the requested columns) and yields Arrow batches through
-``mapInPandas``.  Files are spread over tasks, so many files ingest in
-parallel; a single file is streamed chunk by chunk and never held whole.
-The result is written once as Parquet, and every later job reads the
-columnar copy (pushdown and pruning apply from then on).
+Spark's binary-file source lists and reads the files, so any file system that
+Spark knows will do; each task decodes its files in chunks with pandas' Stata
+reader (only the requested columns) and yields Arrow batches through
+``mapInPandas``.  A file is one row, so it must be below Spark's 2 GB limit for
+one value.  The result is written once as Parquet, and every later job reads
+the columnar copy (pushdown and pruning apply from then on).
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,35 +22,34 @@ from surveyspark.spec import MISSING_CODES
 
 
 def read_stata(spark: SparkSession, path_glob: str, schema: StructType, chunksize: int = 100_000) -> DataFrame:
-    """Distributed read of ``.dta`` files into a DataFrame with ``schema``.
+    """Distributed read of ``.dta`` files into a DataFrame with ``schema``."""
+    files = spark.read.format("binaryFile").load(path_glob).select("path", "content")
+    return decode_stata(files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").select("content"), schema, chunksize)
+
+
+def decode_stata(files: DataFrame, schema: StructType, chunksize: int = 100_000) -> DataFrame:
+    """Rows of Stata files given as a binary column ``content``.
 
     ``schema`` names the columns to keep (matched case-insensitively) and their
     Spark types.  Stata missing values come through as null.
     """
-    from surveyspark.session import ship_package
-    ship_package(spark)
-    # Only the path column is read: the binary-file source skips file contents.
-    files = (spark.read.format("binaryFile").load(path_glob).select("path")
-             .repartition(max(1, spark.sparkContext.defaultParallelism), "path"))
+    from surveyspark.session import ship_module
+    ship_module(__name__)
     names = [f.name for f in schema.fields]
     kinds = {f.name: f.dataType.typeName() for f in schema.fields}
 
-    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p in b["path"]:
-                local = p[5:] if p.startswith("file:") else p
-                with pd.read_stata(local, iterator=True, convert_categoricals=False) as rdr:
+            for content in b["content"]:
+                with pd.read_stata(io.BytesIO(content), iterator=True, convert_categoricals=False) as rdr:
                     lower = {c.lower(): c for c in rdr.variable_labels()}
                 cols = [lower[n.lower()] for n in names if n.lower() in lower]
-                with pd.read_stata(local, columns=cols, convert_categoricals=False,
-                                   chunksize=chunksize) as rdr:
+                with pd.read_stata(io.BytesIO(content), columns=cols, convert_categoricals=False, chunksize=chunksize) as rdr:
                     for chunk in rdr:
                         chunk.columns = [c.lower() for c in cols]
-                        out = pd.DataFrame({n: _as_spark_type(chunk[n.lower()], kinds[n])
-                                            if n.lower() in chunk.columns else None for n in names})
-                        yield out
+                        yield pd.DataFrame({n: _as_spark_type(chunk[n.lower()], kinds[n]) if n.lower() in chunk.columns else None for n in names})
 
-    return files.mapInPandas(read_files, schema)
+    return files.select("content").mapInPandas(decode, schema)
 
 
 def _as_spark_type(col: pd.Series, kind: str) -> pd.Series:
@@ -62,18 +62,13 @@ def _as_spark_type(col: pd.Series, kind: str) -> pd.Series:
     return col
 
 
-def write_stata_parts(df: DataFrame, out_dir: str) -> DataFrame:
-    """Write each Arrow batch of ``df`` as its own ``.dta`` file under ``out_dir``
-    (integers with missing values become Stata numeric missing, strings keep
-    Stata's empty-string convention).  Returns (path, rows) per file written."""
-    import os
-    import uuid
-
-    from surveyspark.session import ship_package
-    ship_package(df.sparkSession)
+def encode_stata(df: DataFrame) -> DataFrame:
+    """Each Arrow batch of ``df`` as the bytes of one ``.dta`` file (column ``content``): integers with missing values
+    become Stata numeric missing, strings keep Stata's empty-string convention."""
+    from surveyspark.session import ship_module
+    ship_module(__name__)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(out_dir.replace("file:", ""), exist_ok=True)
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -83,11 +78,11 @@ def write_stata_parts(df: DataFrame, out_dir: str) -> DataFrame:
                     out[c] = out[c].astype("float64")
                 elif out[c].dtype == object or pd.api.types.is_string_dtype(out[c]):
                     out[c] = out[c].fillna("").astype(str)
-            path = os.path.join(out_dir.replace("file:", ""), f"part-{uuid.uuid4().hex}.dta")
-            out.to_stata(path, write_index=False, version=118)
-            yield pd.DataFrame({"path": [path], "rows": [len(out)]})
+            file = io.BytesIO()
+            out.to_stata(file, write_index=False, version=118)
+            yield pd.DataFrame({"content": [file.getvalue()]})
 
-    return df.mapInPandas(write, "path string, rows long")
+    return df.mapInPandas(encode, "content binary")
 
 
 def ingest_stata(spark: SparkSession, path_glob: str, schema: StructType, out_path: str,
