@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyspark.llm.tables import shared_path, written
+from surveyspark.llm.tables import plain, shared_path, written
 from surveyspark.llm.words import WHITE, bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -186,8 +186,9 @@ def filters(hot: DataFrame) -> dict[int, bytes | None]:
 
 
 def drop_lines(docs: DataFrame, hot: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's rows with hot lines gone from the text, plus __n_lines and __n_dropped; other columns unchanged."""
-    spark = docs.sparkSession
+    """The input's rows with hot lines gone from the text, plus __n_lines and __n_dropped; other columns unchanged
+    (input names that begin with ``__`` are not carried)."""
+    docs, spark = plain(docs), docs.sparkSession
     bounded_batches(spark)
     tables = spark.sparkContext.broadcast(filters(hot))
     text = F.col(f"`{text_col}`").cast("string")

@@ -12,7 +12,7 @@ document every score is 0 and only the plain rules decide.
 
 Null and empty texts have no words and fail the plain rules; null ids are never
 trusted; repeated rows each count and are each scored; extra columns of the
-input are carried only by :func:`keep_good`.
+input are carried by :func:`keep_good`, but for names that begin with ``__``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.llm.tables import written
+from surveyspark.llm.tables import plain, written
 
 #: Fixed by the contract.
 WHITE = r"[\x20\x09-\x0D]"
@@ -109,6 +109,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, b
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE,
           trusted_bound: int = TRUSTED_BOUND) -> DataFrame:
     """The input's columns and, in __-named columns, the statistics, __score (mean log ratio; 0 without words) and __kept."""
+    docs = plain(docs)
     weights = log_ratios(docs, labels, id_col, text_col, trusted_bound)
     df = plain_stats(docs, text_col).withColumn("__grams", ngram_buckets("__words")).withColumn("__w", weights.scalar())
     total = F.aggregate("__grams", F.lit(0.0), lambda a, b: a + F.get("__w", b))
@@ -128,4 +129,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     into the condition and evaluated many times.
     """
     scored = score(docs, labels, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
-    return scored.where("__kept and __row >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.where("__kept and __row >= 0").select(*[F.col(f"`{c}`") for c in plain(docs).columns])

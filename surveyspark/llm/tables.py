@@ -23,6 +23,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """Without the columns whose names begin with two underscores: those names are the operators' own."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("__")])
+
+
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and text columns (other columns, whatever their names, take no part), text null kept."""
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias(text_col))

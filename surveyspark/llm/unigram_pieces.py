@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveyspark.llm.tables import plain
 from surveyspark.llm.words import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -259,7 +260,8 @@ def build_trie(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """The input's columns and __ids, an array of piece ids (null for a null text)."""
+    """The input's columns and __ids, an array of piece ids (null for a null text); input names that begin with ``__`` are not carried."""
+    docs = plain(docs)
     bounded_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
     at = docs.columns.index(text_col)
