@@ -23,6 +23,7 @@ be null or repeated (rows are handled one by one); equal items all match.
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surveyspark.llm.tables import plain
 from surveyspark.llm.words import Words, bounded_batches, grams, mix, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +44,8 @@ REPETITIONS = 48
 SAMPLED = 2
 BLOCK_WORDS = 1_000_000
 SEED = 41
+#: Windows that walk together; bounds the tables of one step.
+WINDOWS_AT_ONCE = 2_000
 
 
 def limits(n: int, max_edit: float) -> tuple[int, int, int]:
@@ -53,58 +57,59 @@ def limits(n: int, max_edit: float) -> tuple[int, int, int]:
     return e, 1, 1
 
 
-def embed(windows: np.ndarray, steps: np.ndarray, rep: int) -> np.ndarray:
-    """The words that CGK walk ``rep`` writes at the (ascending) ``steps``; windows: (m, n) word hashes, padded past n."""
-    m, n = windows.shape
-    at = np.zeros(m, dtype=np.int64)
-    rows = np.arange(m)
-    out = np.zeros((m, len(steps)), dtype=np.uint64)
-    done = 0
-    for step in range(int(steps[-1]) + 1):
-        word = np.where(at < n, windows[rows, np.minimum(at, n - 1)], np.uint64(0))
-        if step == steps[done]:
-            out[:, done] = word
-            done += 1
-        bit = mix(word + np.uint64(SEED + 1_000_003 * rep + 7_919 * step)) & np.uint64(1)
-        at += bit.astype(np.int64)
-    return out
-
+def sample_steps(n: int, repetitions: int, sampled: int) -> np.ndarray:
+    """(repetitions, sampled) sampled places of the 3n that a walk over n words writes, ascending.
 
-def sample_steps(n: int, rep: int, sampled: int) -> np.ndarray:
-    """Sorted sampled places of the 3n that a walk over n words writes.
-
-    Places past the end of most walks (two steps a word on average) would agree for all pairs, so the first 2n are used.
+    Walks take two steps a word on average.  Places past their end would agree for all pairs, so the first 1.6n are used.
     """
-    return np.sort(np.random.default_rng([SEED, n, rep]).choice(max(2 * n, sampled), size=sampled, replace=False))
+    rng = np.random.default_rng([SEED, n])
+    return np.sort(np.stack([rng.choice(max(8 * n // 5, sampled), size=sampled, replace=False) for _ in range(repetitions)]), axis=1)
+
+
+def embed(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The words that the CGK walks write at their sampled steps: (repetitions, m, sampled) for an (m, n) table of word
+    hashes.  All walks of all windows move together; each repetition has random bits of its own."""
+    (m, n), (repetitions, sampled) = windows.shape, steps.shape
+    at = np.zeros((repetitions, m), dtype=np.int64)
+    cells = np.arange(m) * n
+    flat = windows.reshape(-1)
+    salt = mix(np.arange(1, repetitions + 1, dtype=np.uint64) * np.uint64(1_000_003 + SEED))[:, None]
+    out = np.zeros((repetitions, m, sampled), dtype=np.uint64)
+    for step in range(int(steps.max()) + 1):
+        word = np.where(at < n, flat[cells + np.minimum(at, n - 1)], np.uint64(0))
+        for j in range(sampled):
+            here = np.flatnonzero(steps[:, j] == step)
+            out[here, :, j] = word[here]
+        at += (mix(word + salt + np.uint64(7_919 * step)) & np.uint64(1)).astype(np.int64)
+    return out
 
 
-def keys(windows: np.ndarray, rep: int, sampled: int) -> np.ndarray:
-    """LSH key of each window under one repetition."""
-    out = embed(windows, sample_steps(windows.shape[1], rep, sampled), rep)
-    h = np.full(len(windows), np.uint64(rep + 1))
-    for j in range(out.shape[1]):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + out[:, j])
+def keys(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """(repetitions, m) LSH keys."""
+    out = embed(windows, steps)
+    h = np.broadcast_to(np.arange(1, len(steps) + 1, dtype=np.uint64)[:, None], out.shape[:2])
+    for j in range(out.shape[2]):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + out[:, :, j])
     return h
 
 
-def passage_distance(item: list[int], text: list[int]) -> int:
-    """The least edit distance between the item and any stretch of the text."""
-    best = [0] * (len(text) + 1)
-    for i, w in enumerate(item, 1):
-        diagonal, best[0] = best[0], i
-        left = i
-        for j, t in enumerate(text, 1):
-            up = best[j]
-            left = min(diagonal + (w != t), up + 1, left + 1)
-            diagonal, best[j] = up, left
-    return min(best)
+def passage_distance(item: np.ndarray, text: np.ndarray) -> int:
+    """The least edit distance between the item and any stretch of the text (one table row for each item word)."""
+    place = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    for i, word in enumerate(item, 1):
+        up = row + 1
+        up[1:] = np.minimum(up[1:], row[:-1] + (text != word))
+        up[0] = i
+        row = np.minimum.accumulate(up - place) + place     # insertions run on from the left
+    return int(row.min())
 
 
 class Index:
     """What tasks need to know of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], max_edit: float, repetitions: int, sampled: int) -> None:
-        self.max_edit, self.repetitions, self.sampled = max_edit, repetitions, sampled
+        self.max_edit = max_edit
         self.ids, self.words = [], []
         seeds: dict[int, list[tuple[int, int, int]]] = {1: [], 2: [], 3: []}
         for item_id, text in items:
@@ -125,15 +130,18 @@ class Index:
                 sieve = np.zeros(1 << 21, dtype=bool)
                 sieve[(h & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
                 self.seeds[q] = (h, item, at, sieve)
-        self.buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
+        self.steps: dict[int, np.ndarray] = {}
+        self.buckets: dict[int, dict[int, list[int]]] = {}
         for n in {len(x) for x in self.words}:
             own = [i for i, x in enumerate(self.words) if len(x) == n]
-            table = np.stack([self.words[i] for i in own])
-            for rep in range(repetitions):
-                b: dict[int, list[int]] = {}
-                for k, i in zip(keys(table, rep, min(sampled, 2 * n)).tolist(), own):
-                    b.setdefault(k, []).append(i)
-                self.buckets[n, rep] = b
+            self.steps[n] = sample_steps(n, repetitions, sampled)
+            bucket = self.buckets[n] = {}
+            for row in keys(np.stack([self.words[i] for i in own]), self.steps[n]).tolist():
+                for k, i in zip(row, own):
+                    bucket.setdefault(k, []).append(i)
+        self.known = {n: np.array(sorted(b), dtype=np.uint64) for n, b in self.buckets.items()}
+        self.lengths = np.array([len(x) for x in self.words], dtype=np.int64)
+        self.limits = np.array([limits(len(x), max_edit) for x in self.words], dtype=np.int64).reshape(-1, 3)
 
     def windows(self, w: Words) -> dict[int, np.ndarray]:
         """Item length -> sorted distinct (first word of the window in the slice) over all texts of the slice."""
@@ -151,8 +159,7 @@ class Index:
             diag, it = p - at[row], item[row]
             order = np.lexsort((diag, it, doc))
             doc, it, diag = doc[order], it[order], diag[order]
-            n = np.array([len(x) for x in self.words])[it]
-            lim = np.array([limits(len(x), self.max_edit) for x in self.words])[it]
+            n, lim = self.lengths[it], self.limits[it]
             edits, least = lim[:, 0], lim[:, 2]
             # enough hits of this text and item with diagonals in [d, d + 2 * edits]: compare with the least-th next hit
             ok = np.zeros(len(diag), dtype=bool)
@@ -170,7 +177,7 @@ class Index:
         return {n: np.unique(np.concatenate(s)) for n, s in found.items()}
 
     def matches(self, w: Words) -> list[tuple[int, int, int, int]]:
-        """(text of the slice, item, first word of the window in that text, distance) of every match, the nearest window each."""
+        """(text of the slice, item, first word of the window in that text, distance) of every match, the nearest passage each."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n, starts in self.windows(w).items():
             doc = np.searchsorted(w.first, starts, side="right") - 1
@@ -178,18 +185,25 @@ class Index:
             inside = span < w.first[doc + 1][:, None]
             table = np.where(inside, w.hashes[np.minimum(span, len(w.hashes) - 1)], np.uint64(0))
             met: set[tuple[int, int]] = set()
-            for rep in range(self.repetitions):
-                bucket = self.buckets[n, rep]
-                for j, k in enumerate(keys(table, rep, min(self.sampled, 2 * n)).tolist()):
-                    if k in bucket:
-                        met.update((j, i) for i in bucket[k])
+            for lo in range(0, len(table), WINDOWS_AT_ONCE):
+                k = keys(table[lo:lo + WINDOWS_AT_ONCE], self.steps[n])
+                hit = np.isin(k, self.known[n])
+                for j, key in zip((np.nonzero(hit)[1] + lo).tolist(), k[hit].tolist()):
+                    met.update((j, i) for i in self.buckets[n][key])
             edits = limits(n, self.max_edit)[0]
-            for j, i in met:
-                d, s = int(doc[j]), int(starts[j])
-                lo, hi = max(int(w.first[d]), s - 2 * edits), min(int(w.first[d + 1]), s + n + 2 * edits)
-                distance = passage_distance(self.words[i].tolist(), w.hashes[lo:hi].tolist())
-                if distance <= edits and (distance, s) < best.get((d, i), (edits + 1, 0)):
-                    best[d, i] = (distance, s)
+            for (d, i), group in itertools.groupby(sorted((int(doc[j]), i, int(starts[j])) for j, i in met), key=lambda x: x[:2]):
+                first, lo, hi = -1, 0, -1
+                for _, _, s in [*group, (0, 0, None)]:      # windows that overlap are checked as one passage
+                    if s is not None and first >= 0 and s - 2 * edits <= hi:
+                        hi = s + n + 2 * edits
+                        continue
+                    if first >= 0:
+                        passage = w.hashes[max(int(w.first[d]), lo):min(int(w.first[d + 1]), hi)]
+                        distance = passage_distance(self.words[i], passage)
+                        if distance <= edits and (distance, first) < best.get((d, i), (edits + 1, 0)):
+                            best[d, i] = (distance, first)
+                    if s is not None:
+                        first, lo, hi = s, s - 2 * edits, s + n + 2 * edits
         return sorted((d, i, s - int(w.first[d]), e) for (d, i), (e, s) in best.items())
 
 
@@ -204,8 +218,9 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int)
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                max_edit: float = MAX_EDIT, repetitions: int = REPETITIONS, sampled: int = SAMPLED, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The input's rows and columns plus __leaks: an array of (item_id, first_word, distance) of the items found in the text."""
-    spark = docs.sparkSession
+    """The input's rows and columns plus __leaks: an array of (item_id, first_word, distance) of the items found in the text
+    (input names that begin with ``__`` are not carried)."""
+    docs, spark = plain(docs), docs.sparkSession
     bounded_batches(spark)
     leak = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("distance", T.LongType())])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("distance", pa.int64())]))
