@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node points its larger neighbours to the least node that it sees."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -20,21 +20,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = written(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node that points nowhere."""
+    if edges.agg(F.count("*") != F.count_distinct("u")).first()[0] or edges.where("v > u").limit(1).count():
+        return False
+    return not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge table (u, v); component is the least node reachable.
 
-    Steps are written tables, so lineage stays short; the loop ends when a round of both steps changes nothing.
+    Steps are written tables, so lineage stays short; the loop ends when the edges are a forest of stars.
     """
-    now = written(edges.select("u", "v").where("u <> v").distinct(), "star-edges")
-    state = None
-    while True:
-        now = written(_small_star(_large_star(now)), "star-edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state:
-            break
-        state = tuple(mark)
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "star-edges")
+    while not _is_star_forest(now):
+        now = written(_small_star(_large_star(now)).distinct(), "star-edges")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

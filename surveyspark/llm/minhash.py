@@ -1,19 +1,21 @@
 """MinHash near-dedup: many universal hash minima, banding, signature check, exact check, connected components.
 
-1. Each text's set of k-word shingles gets a 128-bit identity and ``BANDS * ROWS``
+1. Each text's set of k-word shingles gets a 128-bit identity and ``MINIMA``
    minima of universal hashes.  Texts with equal sets are one class.
 2. Classes that agree in all rows of a band share a bucket.  Within a bucket no
-   pairs are listed at first: every class is compared with one representative
-   (the least, then the greatest), which connects most of the bucket.
-3. Only where a bucket still holds several components, pairs of classes from
-   different components are listed (sizes permitting); inside a component more
-   links would change nothing.
+   pairs are listed at first: every class is compared with the least one, which
+   connects most of the bucket.
+3. Where a bucket still holds several components, its classes are compared in
+   blocks of ``BLOCK`` signatures, inside a task.  One link is enough to join two
+   components, so the first round checks only the most alike pair of each two;
+   the second lists what is then still apart and alike by signature.  A pair is
+   listed in the first band that it shares only.
 4. Compared pairs pass the signature check (estimate not far below the
    threshold), then the exact check on full shingle sets.
 5. Components come from alternating large-star and small-star steps.
 
 With 32 bands of 4 rows a pair at similarity 0.8 is missed with probability
-(1 - 0.8^4)^32 < 1e-7.
+(1 - 0.8^4)^32 < 1e-7; the signature check loses one with probability < 1e-6.
 
 Null and empty texts have an empty set: they are linked with nothing and kept.
 Rows with a null id are linked with nothing (component null, kept).  Rows that
@@ -32,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm.components import components
-from surveyspark.llm.tables import documents, written
+from surveyspark.llm.tables import documents, plain, written
 from surveyspark.llm.words import Words, bounded_batches, grams, mix, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Minima a signature has (16 bits each); the first BANDS * ROWS make the bands.
+MINIMA = 256
 BANDS, ROWS = 32, 4
-#: An estimate over 128 minima that is this far below the threshold has probability below 1e-8.
-MARGIN = 0.22
+#: Five standard deviations of an estimate of 0.8 from 256 minima.
+MARGIN = 0.125
+#: Classes whose signatures are compared at once in a task.
+BLOCK = 512
 _RNG = np.random.default_rng(9_973)
-_A = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +73,17 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set size, identity 1, identity 2, minima as uint32) of each text; texts without shingles have size 0."""
+    """(set size, identity 1, identity 2, minima as uint16) of each text; texts without shingles have size 0."""
     size = np.bincount(text, minlength=n_texts)
     c1, c2 = np.zeros(n_texts, dtype=np.uint64), np.zeros(n_texts, dtype=np.uint64)
-    minima = np.zeros((n_texts, BANDS * ROWS), dtype=np.uint32)
+    minima = np.zeros((n_texts, MINIMA), dtype=np.uint16)
     some = np.flatnonzero(size)
     if len(some):
         start = (np.cumsum(size) - size)[some]
         c1[some] = mix(np.add.reduceat(mix(h + np.uint64(11)), start))
         c2[some] = mix(np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), start) + size[some].astype(np.uint64))
-        for j in range(BANDS * ROWS):
-            minima[some, j] = np.minimum.reduceat(h * _A[j] + _B[j], start) >> np.uint64(32)
+        for j in range(MINIMA):                             # the low bits of a minimum are spread evenly, the high ones are not
+            minima[some, j] = mix(np.minimum.reduceat(h * _A[j] + _B[j], start)) & np.uint64(0xFFFF)
     return size, c1.view(np.int64), c2.view(np.int64), minima
 
 
@@ -94,36 +100,109 @@ def signed(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, c1 long, c2 long, n long, sig binary")
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """(m, BANDS) bucket keys of m signatures."""
+    rows = sig[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for j in range(ROWS):
+        key = mix(key * np.uint64(0x100000001B3) + rows[:, :, j])
+    return key
+
+
+def unpacked(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(-1, MINIMA)
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(band, node, n): one row for each band of each class."""
+    """(band, node): one row for each band of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
-            for j in range(ROWS):
-                key = mix(key * np.uint64(0x100000001B3) + sig[:, :, j])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)),
-                                              pa.array(np.repeat(b.column(1).to_numpy(), BANDS))], names=["band", "node", "n"])
+            if b.num_rows:
+                key = band_keys(unpacked(b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["band", "node"])
 
-    return classes.select("node", "n", "sig").mapInArrow(run, "band long, node long, n long")
+    return classes.select("node", "sig").mapInArrow(run, "band long, node long")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
+MEMBER = ("node", "n", "c", "sig")
+
+
+def alike_in_blocks(still: DataFrame, classes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (u, v) of one bucket and different components that are alike by signature.
+
+    ``still`` has (band, blocks, node, c).  Members of a bucket are dealt into blocks; each two blocks of a bucket meet
+    in one row.  With ``best_only`` two blocks give at most one pair, the most alike, for each two components.
+    """
+    rows = still.join(classes.select("node", "n", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = written(rows.groupBy("band", "block", "blocks").agg(*[F.collect_list(x).alias(x) for x in MEMBER]), "near-blocks")
+    left = dealt.select("band", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("with"), *[F.col(x).alias(f"a_{x}") for x in MEMBER])
+    right = dealt.select("band", F.col("block").alias("with"), *[F.col(x).alias(f"b_{x}") for x in MEMBER])
+    least = percent / 100 - MARGIN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for r in range(batch.num_rows):
+                band, i, j = (batch.column(c)[r].as_py() for c in range(3))
+                a, b = ([batch.column(f"{side}_{x}")[r].values.to_numpy(zero_copy_only=x != "sig") for x in MEMBER] for side in "ab")
+                u, v = pairs_of(band, i == j, a, b, least, percent, best_only)
+                us.append(u), vs.append(v)
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    met = left.join(right, ["band", "with"]).select("band", "block", "with", *[f"{side}_{x}" for side in "ab" for x in MEMBER])
+    return met.mapInArrow(run, "u long, v long").distinct()
+
+
+def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], least: float, percent: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The alike pairs between two blocks (or within one) of a bucket; a block is its members' nodes, sizes, components and signatures."""
+    (ia, na, ca, sa), (ib, nb, cb, sb) = a, b
+    if len(np.unique(np.concatenate([ca, cb]))) < 2:
+        return ia[:0], ib[:0]
+    sa, sb = unpacked(list(sa)), unpacked(list(sb))
+    ka, kb = band_keys(sa), band_keys(sb)
+    us, vs, es = [], [], []
+    for lo in range(0, len(ia), 32):
+        hi = min(len(ia), lo + 32)
+        fits = (ca[lo:hi, None] != cb[None, :]) & (100 * np.minimum(na[lo:hi, None], nb[None, :]) >= percent * np.maximum(na[lo:hi, None], nb[None, :]))
+        if same:
+            fits &= np.arange(lo, hi)[:, None] < np.arange(len(ib))[None, :]
+        x, y = np.nonzero(fits)
+        x += lo
+        e = (sa[x] == sb[y]).mean(axis=1) if len(x) else np.zeros(0)
+        x, y, e = x[e >= least], y[e >= least], e[e >= least]
+        first = np.argmax(ka[x] == kb[y], axis=1) if len(x) else x
+        here = ka[x, first].view(np.int64) == band if len(x) else np.zeros(0, dtype=bool)
+        us.append(x[here]), vs.append(y[here]), es.append(e[here])
+    x, y, e = np.concatenate(us), np.concatenate(vs), np.concatenate(es)
+    if best_only and len(x):
+        lo, hi = np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y])
+        order = np.lexsort((y, x, -e, hi, lo))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+        x, y = x[order][new], y[order][new]
+    return ia[x], ib[y]
+
+
+def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that pass the signature check."""
     sigs = classes.select("node", "sig")
     with_sigs = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint32).reshape(-1, BANDS * ROWS) for c in ("su", "sv"))
+                s, t = unpacked(b.column("su").to_pylist()), unpacked(b.column("sv").to_pylist())
                 near = (s == t).mean(axis=1) >= percent / 100 - MARGIN
                 yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near))
 
-    likely_pairs = written(with_sigs.select("u", "v", "su", "sv").mapInArrow(likely, "u long, v long"), "near-likely")
-    both = likely_pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    return with_sigs.select("u", "v", "su", "sv").mapInArrow(likely, "u long, v long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
+    both = written(pairs, "near-likely").join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,30 +234,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(signed_rows.where("n > 0 and id is not null").groupBy("c1", "c2")
                       .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     bands = band_rows(classes)
-    buckets = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    buckets = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").drop("hi")
     members = written(bands.join(buckets, "band"), "near-members")
     involved = members.select("node").distinct()
     heads = rows.join(involved, rows["id"] == involved["node"], "left_semi")
     texts = written(heads.where("text is not null").select(F.col("id").alias("node"), "text").distinct(), "near-texts")
 
     least = members.select(F.col("lo").alias("u"), F.col("node").alias("v")).where("u < v").distinct()
-    links = written(similar(least, classes, texts, k, percent), "near-links")
-    found = components(links)
-    for step in ("greatest", "pairs"):
-        where = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        where = written(where.select("band", "node", "n", "lo", "hi", "c"), "near-where")
-        split = where.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi")
-        still = written(where.join(split.select("band"), "band"), "near-split")
-        if step == "greatest":
-            top = still.where("node = hi").select("band", F.col("c").alias("c_top"))
-            pairs = still.join(top, "band").where("c <> c_top").select(F.col("node").alias("u"), F.col("hi").alias("v"))
-        else:
-            a = still.select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"))
-            b = still.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("lo").alias("l"), F.col("hi").alias("h"))
-            fits = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("u") != F.col("l")) & (F.col("v") != F.col("h"))
-            pairs = a.join(b, "band").where("cu <> cv and u < v").where(fits).select("u", "v")
-        links = written(links.unionByName(similar(pairs.distinct(), classes, texts, k, percent)), "near-links")
-        found = components(links)
+    found = components(similar(alike(least, classes, percent), texts, k, percent))
+    for best_only in (True, False):
+        where = written(members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c")), "near-where")
+        split = where.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+        still = where.join(split.where("c_lo < c_hi").select("band", "blocks"), "band")
+        more = similar(alike_in_blocks(still, classes, percent, best_only), texts, k, percent)
+        stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = components(stars.unionByName(more))
 
     of_class = written(classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component")), "near-components")
     joined = signed_rows.drop("sig").join(of_class, ["c1", "c2"], "left")
@@ -190,6 +260,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows without those that have a near copy with a smaller id; of rows that share an id, one of each kept text stays."""
     kept = near_components(docs, id_col, text_col, k, percent).where(f"kept and `{id_col}` is not null").select(F.col(f"`{id_col}`").cast("long").alias("__kept")).distinct()
+    docs = plain(docs)
     with_id = docs.where(F.col(f"`{id_col}`").isNotNull())
     stay = with_id.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col, text_col])
     return stay.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
