@@ -66,13 +66,18 @@ def cmd_report(a) -> int:
     spark = _spark()
     spec = PRESETS[a.preset]
     df = spark.read.parquet(a.input)
+    from surveyspark.operators.gates import gate_summary
+    soft = gates.gates_soft(df, spec, f=gates.all_facts(df, spec))
     tables = {
+        "verdict": gate_summary(soft),
         "missing_rates": profile.missing_rates(df),
-        "gates": gates.gates_soft(df, spec),
+        "gates": soft,
         "prevalence": profile.prevalence_bands(df, spec),
         "class_weights": labels.class_weights(df, spec.targets, raise_on_zero=False),
         "label_audit": labels.label_audit(df, spec.targets),
     }
+    if a.split:
+        tables["split_sizes"] = spark.read.parquet(a.split).groupBy("split").count()
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(os.path.join(a.out, name))
         print(f"{name}\t{os.path.join(a.out, name)}")
@@ -98,6 +103,23 @@ def cmd_train(a) -> int:
     return 0
 
 
+def cmd_fairness(a) -> int:
+    """Fit the logistic baselines on the split, score its test rows once, and write the audit tables."""
+    from surveyspark.operators import ml
+    from surveyspark.plans.training import fairness_audit
+    spark = _spark()
+    labs, groups = a.labels.split(","), a.groups.split(",")
+    sp = spark.read.parquet(a.split).dropna(how="any", subset=labs)
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    fs = ml.fit_feature_stage(train, [c for c in a.numeric.split(",") if c], [c for c in a.categorical.split(",") if c])
+    n = float(train.count())
+    models = {t: ml.fit_single(train, fs, t, ml.logistic(t, n_weight=n), ml.balanced_weight(train, t)) for t in labs}
+    for name, t in fairness_audit(ml.joint_model(fs, models), test, labs, groups, a.id_col).items():
+        t.write.mode("overwrite").parquet(os.path.join(a.out, name))
+        print(f"{name}\t{os.path.join(a.out, name)}")
+    return 0
+
+
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="surveyspark")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -117,7 +139,17 @@ def main(argv=None) -> int:
     rp.add_argument("--input", required=True)
     rp.add_argument("--out", required=True)
     rp.add_argument("--preset", choices=list(PRESETS), default="child")
+    rp.add_argument("--split", default=None, help="a split table; its sizes go into the report")
     rp.set_defaults(fn=cmd_report)
+    fa = sub.add_parser("fairness")
+    fa.add_argument("--split", required=True, help="a split table with a 'split' column and the group columns")
+    fa.add_argument("--out", required=True)
+    fa.add_argument("--labels", default="stunted,underweight,wasted")
+    fa.add_argument("--numeric", default="")
+    fa.add_argument("--categorical", default="")
+    fa.add_argument("--groups", required=True)
+    fa.add_argument("--id-col", default="id")
+    fa.set_defaults(fn=cmd_fairness)
     t = sub.add_parser("train")
     t.add_argument("--split", required=True, help="a split table with a 'split' column")
     t.add_argument("--out", required=True)

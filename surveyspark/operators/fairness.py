@@ -10,8 +10,7 @@ closed form.  FNR(t) = #{positives with p < t} / P is a step function, so
 "FNR(t) <= target" holds exactly when t <= x, where x is the (k+1)-th
 smallest positive score and k the largest count with k / P <= target.  x is
 an exact order statistic (:func:`~surveyspark.functions.ordered.select_ranks`:
-distinct scores with multiplicity, ranked by one window per group only when a
-size check allows it, otherwise by bucketed ranks).  The 20 bisection steps
+distinct scores with multiplicity, ranked inside sorted buckets).  The 20 bisection steps
 are then a pure function of x, evaluated per group as a JVM-side
 ``aggregate`` over ``sequence(1, 20)``.
 """
@@ -110,10 +109,18 @@ def threshold_correction(lg: DataFrame, target_fnr: float = 0.15, base: float =
     return j.select(*part, "P", F.when(F.col("needs"), corrected).otherwise(F.lit(base)).alias("threshold"))
 
 
+#: Up to this many group thresholds go to every task as a literal table.
+FEW_GROUPS = 10_000
+
+
 def fnr_after_correction(lg: DataFrame, thresholds: DataFrame, base: float = 0.5) -> DataFrame:
     """Re-measure FNR per group with each group's corrected threshold (G4)."""
     part = ["label", "feature", "group_value"]
-    j = join_on(lg, thresholds.select(*part, "threshold"), part, "left")
+    t = thresholds.select(*part, "threshold")
+    rows = t.limit(FEW_GROUPS + 1).collect()
+    if len(rows) <= FEW_GROUPS:                             # then no shuffle of the scores is keyed on a group
+        t = F.broadcast(lg.sparkSession.createDataFrame(rows, t.schema))
+    j = join_on(lg, t, part, "left")
     t = F.coalesce(F.col("threshold"), F.lit(base))
     fn, tp = _fnr_cols(t)
     g = j.groupBy(*part).agg(F.first(t).alias("threshold"), fn, tp)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import col_lookup, count_if, numeric_columns, present
 from surveyspark.operators.clean import duplicate_count
+from surveyspark.session import checkpoint_dir
 from surveyspark.spec import BANDS_BROAD, SurveySpec
 
 
@@ -87,11 +88,17 @@ def _facts_with_dups(df: DataFrame, spec: SurveySpec, bands, key_features=()) ->
     return f.withColumn("dups", dups)
 
 
+def all_facts(df: DataFrame, spec: SurveySpec, key_features: Sequence[str] = ()) -> DataFrame:
+    """The one-row table that every runner needs, computed once into the checkpoint folder (pass it as ``f``)."""
+    checkpoint_dir(df.sparkSession)
+    return _facts_with_dups(df, spec, spec.bands, key_features).checkpoint(eager=True)
+
+
 def gates_soft(df: DataFrame, spec: SurveySpec, section: str = "soft validation",
-               record_passing_prevalence: bool = False) -> DataFrame:
+               record_passing_prevalence: bool = False, f: DataFrame | None = None) -> DataFrame:
     """Six checks, all failures kept.  Prevalence rows appear only when they fail
     (the soft runner records no pass row for prevalence) unless asked."""
-    f = _facts_with_dups(df, spec, spec.bands)
+    f = f or _facts_with_dups(df, spec, spec.bands)
     rows = [
         _row(section, 1, "row_count", _within(F.col("n"), spec.min_rows, None), F.col("n"), spec.min_rows, None),
         _row(section, 2, "no_missing_codes", _within(F.col("codes"), None, 0), F.col("codes"), None, 0),
@@ -124,10 +131,10 @@ def gates_hard(df: DataFrame, spec: SurveySpec) -> DataFrame:
 
 
 def gates_labels(df: DataFrame, spec: SurveySpec, bands=BANDS_BROAD,
-                 section: str = "label integrity") -> DataFrame:
+                 section: str = "label integrity", f: DataFrame | None = None) -> DataFrame:
     """V1 targets present, V2 binary per label (missing allowed), V3-V5 prevalence
     in the broad bands, V6 row count, V7 no valid z with a missing label."""
-    f = facts(df, spec, bands)
+    f = f or facts(df, spec, bands)
     missing = [t for t in spec.targets if col_lookup(df, t) is None]
     rows = [_row(section, 1, "V1_targets_present", F.lit("FAIL" if missing else "PASS"), F.lit(len(missing)),
                  None, 0)]
@@ -154,10 +161,10 @@ def gates_labels(df: DataFrame, spec: SurveySpec, bands=BANDS_BROAD,
 
 def gates_initial(df: DataFrame, spec: SurveySpec, audit_entries: Column | None = None,
                   key_features: Sequence[str] = ("hv270", "b4", "v025"), bands=BANDS_BROAD,
-                  section: str = "initial validation") -> DataFrame:
+                  section: str = "initial validation", f: DataFrame | None = None) -> DataFrame:
     """The twelve post-load gates G1-G12.  G11 (key features without nulls) is
     INFO only and never blocks; G12 needs at least 3 audit-log entries."""
-    f = _facts_with_dups(df, spec, bands, key_features)
+    f = f or _facts_with_dups(df, spec, bands, key_features)
     required = [*spec.z_cols, *spec.targets]
     missing = [c for c in required if col_lookup(df, c) is None]
     ts = present(df, spec.targets)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import col_lookup, count_if, present
 from surveyspark.operators import clean
+from surveyspark.session import checkpoint_dir
 from surveyspark.spec import SurveySpec
 
 
@@ -35,7 +36,7 @@ def labels_zero_policy(df: DataFrame, spec: SurveySpec, guard: bool = True) -> D
     3. drop rows whose z are all missing;
     4. exact dedup;
     5. guard: when at least 10 rows reached dedup, fewer than ``min_rows``
-       after it is an error.  Both counts come from one aggregate job.
+       after it is an error.  The dedup runs once, into the checkpoint folder.
     """
     _require_z(df, spec)
     labs = [F.coalesce((F.col(z) < F.lit(spec.z_threshold)).cast("int"), F.lit(0)).alias(t)
@@ -47,8 +48,9 @@ def labels_zero_policy(df: DataFrame, spec: SurveySpec, guard: bool = True) -> D
     kept = clean.drop_all_null(labelled, spec.z_cols)
     deduped = clean.dedup_exact(kept, spec.id_col)
     if guard:
-        r = clean.duplicate_count(kept, spec.id_col).first()
-        before, after = r["rows"] or 0, r["distinct_rows"] or 0
+        checkpoint_dir(df.sparkSession)
+        deduped = deduped.checkpoint(eager=True)
+        before, after = kept.count(), deduped.count()
         if before >= 10 and after < spec.min_rows:
             raise ValueError(f"Only {after:,} rows remain after label creation. "
                              f"Expected at least {spec.min_rows:,}.")

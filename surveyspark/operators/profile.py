@@ -173,9 +173,9 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
-    """Pairwise-complete Pearson correlation of every pair, one aggregate: (a, b, r)."""
+    """Pairwise-complete Pearson correlation of every pair, one aggregate, each pair computed once: (a, b, r)."""
     cols = present(df, cols)
-    pairs = [(a, b) for a in cols for b in cols]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
@@ -184,7 +184,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFram
     wide = df.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                                         F.round(F.col(f"c{i}"), digits).alias("r"))
-                               for i, (a, b) in enumerate(pairs)]))
+                               for i, pair in enumerate(pairs) for a, b in sorted({pair, pair[::-1]})]))
     return wide.select(rows.alias("x")).select("x.*")
 
 

@@ -153,8 +153,9 @@ def q_gates_initial(spark, sf):
 
 def _all_gates(spark, sf):
     o = obs(spark, sf)
-    return (gates.gates_soft(o, SPEC).unionByName(gates.gates_labels(o, SPEC))
-            .unionByName(gates.gates_initial(o, SPEC, _audit_count(spark, sf), KEY_FEATURES)))
+    f = gates.all_facts(o, SPEC, KEY_FEATURES)
+    return (gates.gates_soft(o, SPEC, f=f).unionByName(gates.gates_labels(o, SPEC, f=f))
+            .unionByName(gates.gates_initial(o, SPEC, _audit_count(spark, sf), KEY_FEATURES, f=f)))
 
 
 ALL_GATES_SQL = f"{GATES_CTE}, allg AS ({soft_sql()} UNION ALL {labels_sql()} UNION ALL {initial_sql()}) "

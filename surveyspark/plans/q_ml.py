@@ -244,6 +244,26 @@ def q_rf_score_checks(spark, sf):
     return _score_checks(score_per_label(models, test))
 
 
+@register("model_fairness_groups", _per_label_sql("n AS n_audited, true AS complete"))
+def q_model_fairness_groups(spark, sf):
+    """The fairness audit of the fitted logistic models over languages: audited rows per label, and whether the equity
+    report, the corrected thresholds and the re-measured rates each have exactly one row for every group."""
+    from surveyspark.operators import fairness
+    from surveyspark.plans.training import fairness_audit
+    models, test = lr_models(spark, sf)
+    joint = PipelineModel(stages=[*next(iter(models.values())).stages[:-1], *[m.stages[-1] for m in models.values()]])
+    audit = fairness_audit(joint, test, LABELS, ["lang"])
+    scored = ml.score(joint, test, LABELS, keep=("id", "lang", *LABELS))
+    lg = fairness.long_groups(metrics.long_scores(scored, [(t, f"p_{t}") for t in LABELS], keep=["lang"]), None, ["lang"])
+    out = lg.groupBy("label").agg(F.count(F.lit(1)).alias("n_audited"), F.count_distinct("group_value").alias("groups"))
+    for name, t in audit.items():
+        out = out.join(t.groupBy("label").agg(F.count(F.lit(1)).alias(f"n_{name}")), "label")
+    complete = F.lit(True)
+    for name in audit:
+        complete = complete & (F.col(f"n_{name}") == F.col("groups"))
+    return out.select("label", "n_audited", complete.alias("complete"))
+
+
 def _bench_rows(long_with_model):
     return metrics.multilabel_metrics(long_with_model, 0.5, ["model", "label"])
 

@@ -58,3 +58,17 @@ def train_multilabel(train: DataFrame, test: DataFrame, numeric: Sequence[str],
         scored = ml.score(m, test, labels, keep=(id_col, *labels))
         longs.append(_long(scored, labels, name))
     return metrics.multilabel_metrics(longs[0].unionByName(longs[1]), 0.5, ["model", "label"])
+
+
+def fairness_audit(model, test: DataFrame, labels: Sequence[str], groups: Sequence[str], id_col: str = "id",
+                   tolerance: float = 0.15) -> dict[str, DataFrame]:
+    """Equity report, corrected thresholds and the rates after correction of a fitted model; the test rows are scored once."""
+    from surveyspark.operators import fairness
+    from surveyspark.session import checkpoint_dir
+    checkpoint_dir(test.sparkSession)
+    scored = ml.score(model, test, labels, keep=(id_col, *labels, *[g for g in groups if g != id_col])).checkpoint(eager=True)
+    long = metrics.long_scores(scored, [(t, f"p_{t}") for t in labels], id_col, keep=groups)
+    lg = fairness.long_groups(long, None, groups, id_col)
+    thresholds = fairness.threshold_correction(lg, tolerance)
+    return {"equity_report": fairness.equity_report(lg, 0.5, tolerance), "thresholds": thresholds,
+            "after_correction": fairness.fnr_after_correction(lg, thresholds)}

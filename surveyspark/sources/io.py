@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from surveyspark.session import checkpoint_dir
 from surveyspark.functions.exprs import present
 
 
@@ -66,7 +67,12 @@ def load_min_rows(spark: SparkSession, path: str, min_rows: int = 1, fmt: str =
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by: Sequence[str] = ()) -> str:
-    """Write a non-empty table (error if empty); parents are created by the writer."""
+    """Write a non-empty table (error if empty, and what is at ``path`` stays); parents are created by the writer.
+
+    The rows are computed once, into the checkpoint folder; the test and the write read them there.
+    """
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     if df.isEmpty():
         raise ValueError(f"refusing to save an empty table to {path}")
     w = df.write.mode(mode).format(fmt)
