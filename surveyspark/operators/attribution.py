@@ -6,14 +6,16 @@ expressions, no Python.
 
 Tree ensembles: exact interventional Shapley values, averaged over a
 background sample.  For one reference row r, the tree game only depends on
-the features whose split sends x and r different ways; walking the tree
-once per (x, reference set) enumerates exactly those paths.  A leaf reached
-with features A taken from x and B taken from r contributes
+the features whose split sends x and r different ways.  A leaf is a box of
+feature intervals; it is reached by taking features A from x and B from r if
+each of its intervals holds x's or r's value, A being those that only x meets
+and B those that only r meets.  It contributes
 ``v (|A|-1)! |B|! / (|A|+|B|)!`` to each feature of A and
-``-v |A|! (|B|-1)! / (|A|+|B|)!`` to each feature of B.  The walk is
-vectorised over the background rows with numpy inside ``mapInPandas``; the
-tree arrays and the background (200 rows) are broadcast -- both are bounded
-by the model, not by the data -- and the rows to explain stay partitioned.
+``-v |A|! (|B|-1)! / (|A|+|B|)!`` to each feature of B.  Which intervals a row
+meets is one bit mask a leaf, so numpy handles a whole Arrow batch of rows
+against the distinct masks of the background inside ``mapInPandas``; the
+leaves and the background (200 rows) are broadcast -- both are bounded by the
+model, not by the data -- and the rows to explain stay partitioned.
 
 Every output is a long table (id, label, feature, value, phi).
 """
@@ -54,112 +56,95 @@ def linear_attribution(rows: DataFrame, coefficients: Sequence[float], bg_means:
 
 # -- trees ---------------------------------------------------------------------------------
 
-def _flatten_tree(root, leaf_value) -> dict:
-    feat, thr, left, right, value = [], [], [], [], []
-
-    def add(node) -> int:
-        i = len(feat)
-        feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); value.append(0.0)
-        if node.getClass().getSimpleName() == "InternalNode":
-            split = node.split()
-            if split.getClass().getSimpleName() != "ContinuousSplit":
-                raise ValueError("categorical splits are not supported; assemble ordinal codes as numbers")
-            feat[i], thr[i] = int(split.featureIndex()), float(split.threshold())
-            left[i] = add(node.leftChild())
-            right[i] = add(node.rightChild())
-        else:
-            value[i] = leaf_value(node)
-        return i
-
-    add(root)
-    return {"feature": np.array(feat), "threshold": np.array(thr), "left": np.array(left),
-            "right": np.array(right), "value": np.array(value)}
-
-
 def export_ensemble(model) -> tuple[list[dict], list[float], str]:
     """Trees of a fitted MLlib forest / boosted model as arrays, their weights and the output explained.
 
-    Forests explain the class-1 probability (mean of leaf class shares);
-    boosted trees explain the raw margin (weighted sum of leaf values).
+    The nodes come from the data table of the saved model (in the shared folder).
+    Forests explain the class-1 probability (mean of leaf class shares); boosted
+    trees explain the raw margin (weighted sum of leaf values).
     """
-    jm = model._java_obj
-    kind = jm.getClass().getSimpleName()
-    trees = list(jm.trees())
-    if "GBT" in kind:
-        weights = list(jm.treeWeights())
-
-        def leaf(n):
-            return float(n.prediction())
-        output = "margin"
-    else:
-        weights = [1.0 / len(trees)] * len(trees)
-
-        def leaf(n):
-            stats = list(n.impurityStats().stats())
-            tot = sum(stats)
-            return float(stats[1] / tot) if tot > 0 and len(stats) > 1 else 0.0
-        output = "probability"
-    return [_flatten_tree(t.rootNode(), leaf) for t in trees], weights, output
-
-
-def _coef(a: int, b: int, cache: dict) -> tuple[float, float]:
-    key = (a, b)
-    if key not in cache:
-        n = a + b
-        pos = factorial(a - 1) * factorial(b) / factorial(n) if a > 0 else 0.0
-        neg = factorial(a) * factorial(b - 1) / factorial(n) if b > 0 else 0.0
-        cache[key] = (pos, neg)
-    return cache[key]
-
-
-def tree_shap_row(x: np.ndarray, bg: np.ndarray, trees: list[dict], weights: Sequence[float],
-                  n_features: int) -> np.ndarray:
-    """Exact interventional Shapley values of one row against the background rows."""
-    phi = np.zeros(n_features)
-    n_bg = bg.shape[0]
-    cache: dict = {}
+    import uuid
+
+    from pyspark.sql import SparkSession
+
+    from surveyspark.session import scratch_path
+    spark = SparkSession.active()
+    path = scratch_path(spark, f"ensemble_{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    boosted = "GBT" in type(model).__name__
+    stats = F.col("nodeData.impurityStats")
+    leaf = F.col("nodeData.prediction") if boosted else F.coalesce(
+        F.get(stats, F.lit(1)) / F.aggregate(stats, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
+    split = F.col("nodeData.split")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        split["numCategories"].alias("categories"), leaf.alias("value")).toPandas().sort_values(["treeID", "id"])
+    if (nodes["categories"] > 0).any():
+        raise ValueError("categorical splits are not supported; assemble ordinal codes as numbers")
+    trees = [{"feature": np.where(t["left"] < 0, -1, t["feature"]), "threshold": t["threshold"].fillna(0.0).to_numpy(),
+              "left": t["left"].to_numpy(), "right": t["right"].to_numpy(), "value": t["value"].to_numpy()}
+             for _, t in nodes.groupby("treeID")]
+    weights = [float(w) for w in model.treeWeights] if boosted else [1.0 / len(trees)] * len(trees)
+    return trees, weights, "margin" if boosted else "probability"
+
+
+def leaf_boxes(trees: list[dict], weights: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(features, lower bounds, upper bounds, weighted value) of every leaf below a split; a value x lies inside if lo < x <= hi."""
+    out = []
     for tree, w in zip(trees, weights):
-        feat, thr, left, right, val = tree["feature"], tree["threshold"], tree["left"], tree["right"], tree["value"]
-        # stack entries: (node, ref indices, features from x (bitmask), features from r (bitmask))
-        stack = [(0, np.arange(n_bg), 0, 0)]
+        stack = [(0, {})]
         while stack:
-            node, refs, ma, mb = stack.pop()
-            f = feat[node]
+            node, box = stack.pop()
+            f = int(tree["feature"][node])
             if f < 0:
-                a, b = bin(ma).count("1"), bin(mb).count("1")
-                if a + b == 0:
-                    continue
-                pos, neg = _coef(a, b, cache)
-                v = w * val[node] * len(refs)
-                for j in range(n_features):
-                    bit = 1 << j
-                    if ma & bit:
-                        phi[j] += v * pos
-                    elif mb & bit:
-                        phi[j] -= v * neg
+                if box:
+                    fs = sorted(box)
+                    out.append((np.array(fs), np.array([box[j][0] for j in fs]), np.array([box[j][1] for j in fs]), w * float(tree["value"][node])))
                 continue
-            x_left = x[f] <= thr[node]
-            x_child = left[node] if x_left else right[node]
-            r_child_other = right[node] if x_left else left[node]
-            bit = 1 << f
-            if ma & bit:                      # feature already taken from x
-                stack.append((x_child, refs, ma, mb))
-                continue
-            r_left = bg[refs, f] <= thr[node]
-            same = refs[r_left == x_left]
-            diff = refs[r_left != x_left]
-            if mb & bit:                      # feature already taken from r: follow r
-                if len(same):
-                    stack.append((x_child, same, ma, mb))
-                if len(diff):
-                    stack.append((r_child_other, diff, ma, mb))
-                continue
-            if len(same):
-                stack.append((x_child, same, ma, mb))
-            if len(diff):
-                stack.append((x_child, diff, ma | bit, mb))
-                stack.append((r_child_other, diff, ma, mb | bit))
-    return phi / n_bg
+            lo, hi = box.get(f, (-np.inf, np.inf))
+            t = float(tree["threshold"][node])
+            if lo < t:
+                stack.append((int(tree["left"][node]), {**box, f: (lo, min(hi, t))}))
+            if t < hi:
+                stack.append((int(tree["right"][node]), {**box, f: (max(lo, t), hi)}))
+    return out
+
+
+def _shares(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two factorial quotients for |A| and |B| up to ``most``."""
+    pos, neg = np.zeros((most + 1, most + 1)), np.zeros((most + 1, most + 1))
+    for a in range(most + 1):
+        for b in range(most + 1 - a):
+            if a:
+                pos[a, b] = factorial(a - 1) * factorial(b) / factorial(a + b)
+            if b:
+                neg[a, b] = factorial(a) * factorial(b - 1) / factorial(a + b)
+    return pos, neg
+
+
+def _masks(x: np.ndarray, features: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each row, the intervals that hold its value, as bits."""
+    v = x[:, features]
+    return ((v > lo) & (v <= hi)) @ (1 << np.arange(len(features)))
+
+
+def tree_shap(x: np.ndarray, bg: np.ndarray, boxes: list, n_features: int) -> np.ndarray:
+    """Exact interventional Shapley values of many rows against the background rows: (rows, features)."""
+    phi = np.zeros((len(x), n_features))
+    pos, neg = _shares(max((len(b[0]) for b in boxes), default=0))
+    for features, lo, hi, value in boxes:
+        k = len(features)
+        mine, which = np.unique(_masks(x, features, lo, hi), return_inverse=True)
+        theirs, count = np.unique(_masks(bg, features, lo, hi), return_counts=True)
+        only_x, only_r = mine[:, None] & ~theirs, theirs & ~mine[:, None]
+        n = np.where((mine[:, None] | theirs) == (1 << k) - 1, count * (value / len(bg)), 0.0)
+        a, b = np.bitwise_count(only_x), np.bitwise_count(only_r)
+        up, down = n * pos[a, b], n * neg[a, b]
+        for j, f in enumerate(features):
+            part = (up * (only_x >> j & 1) - down * (only_r >> j & 1)).sum(axis=1)
+            phi[:, f] += part[which]
+    return phi
 
 
 def tree_attribution(rows: DataFrame, model, background: np.ndarray, names: Sequence[str], label: str,
@@ -169,37 +154,36 @@ def tree_attribution(rows: DataFrame, model, background: np.ndarray, names: Sequ
     spark = rows.sparkSession
     from surveyspark.session import ship_module
     ship_module(__name__)
-    b_trees = spark.sparkContext.broadcast(trees)
+    b_boxes = spark.sparkContext.broadcast(leaf_boxes(trees, weights))
     b_bg = spark.sparkContext.broadcast(np.asarray(background, dtype=float))
     names = list(names)
     d = len(names)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tr, bg = b_trees.value, b_bg.value
         for pdf in batches:
-            out_id, out_f, out_v, out_p = [], [], [], []
-            for rid, vec in zip(pdf["id"], pdf["x"]):
-                x = np.asarray(vec, dtype=float)
-                phi = tree_shap_row(x, bg, tr, weights, d)
-                out_id += [rid] * d
-                out_f += names
-                out_v += list(x)
-                out_p += list(phi)
-            yield pd.DataFrame({"id": out_id, "label": label, "feature": out_f, "value": out_v, "phi": out_p})
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["x"].to_numpy()).astype(float)
+            phi = tree_shap(x, b_bg.value, b_boxes.value, d)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), d), "label": label, "feature": names * len(pdf),
+                                "value": x.reshape(-1), "phi": phi.reshape(-1)})
 
     src = rows.select(F.col(id_col).cast("long").alias("id"), vector_to_array(F.col(features_col)).alias("x"))
     return src.mapInPandas(explain, LONG_SCHEMA)
 
 
-def ensemble_output(model, x: np.ndarray) -> float:
-    """The explained output of one row (margin or probability), for checks."""
+def ensemble_output(model, x: np.ndarray) -> np.ndarray:
+    """The explained output (margin or probability) of some rows, for base values and checks."""
     trees, weights, _ = export_ensemble(model)
-    total = 0.0
+    total = np.zeros(len(x))
     for t, w in zip(trees, weights):
-        i = 0
-        while t["feature"][i] >= 0:
-            i = t["left"][i] if x[t["feature"][i]] <= t["threshold"][i] else t["right"][i]
-        total += w * t["value"][i]
+        at = np.zeros(len(x), dtype=np.int64)
+        while (t["feature"][at] >= 0).any():
+            inner = np.flatnonzero(t["feature"][at] >= 0)
+            node = at[inner]
+            left = x[inner, t["feature"][node]] <= t["threshold"][node]
+            at[inner] = np.where(left, t["left"][node], t["right"][node])
+        total += w * t["value"][at]
     return total
 
 

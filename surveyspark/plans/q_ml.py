@@ -348,19 +348,45 @@ def q_linear_attribution(spark, sf):
     return linear_phi(spark, sf)[0]
 
 
-@register("tree_attribution")
-def q_tree_attribution(spark, sf):
-    """Exact interventional tree Shapley values of the forests against 200 background rows."""
+def _tree_phi(spark, sf, models, test):
+    """Shapley values of each label's ensemble (a classifier stage) against the 200 background rows, and the base values."""
     import numpy as np
     from surveyspark.operators import attribution
-    models, test = rf_models(spark, sf)
     train, _ = split_frames(spark, sf)
     fs = feature_stage(spark, sf, train)
     bg = np.array([r["x"] for r in _background(spark, sf, fs)
                    .select(ml.vector_to_array("features").alias("x")).collect()])     # 200 rows
     x = fs.model.transform(test)
-    parts = [attribution.tree_attribution(x, m.stages[-1], bg, FEATURE_NAMES, t) for t, m in models.items()]
-    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    parts = [attribution.tree_attribution(x, m, bg, FEATURE_NAMES, t) for t, m in models.items()]
+    bases = {t: float(attribution.ensemble_output(m, bg).mean()) for t, m in models.items()}
+    return parts[0].unionByName(parts[1]), bases
+
+
+@register("tree_attribution")
+def q_tree_attribution(spark, sf):
+    """Exact interventional tree Shapley values of the forests against 200 background rows."""
+    models, test = rf_models(spark, sf)
+    return _tree_phi(spark, sf, {t: m.stages[-1] for t, m in models.items()}, test)[0]
+
+
+@register("tree_attribution_boosted")
+def q_tree_attribution_boosted(spark, sf):
+    """The same for the boosted multi-label model (margins)."""
+    m, test = multilabel_model(spark, sf, "boosted")
+    return _tree_phi(spark, sf, dict(zip(LABELS, m.stages[-len(LABELS):])), test)[0]
+
+
+@register("tree_additivity", _per_label_sql("n AS n_test, n AS n_additive"))
+def q_tree_additivity(spark, sf):
+    """Per label: test rows, and those whose base value and Shapley values add up to the forest's probability."""
+    models, test = rf_models(spark, sf)
+    phi, bases = _tree_phi(spark, sf, {t: m.stages[-1] for t, m in models.items()}, test)
+    total = phi.groupBy("label", "id").agg(F.sum("phi").alias("phi"))
+    scored = metrics.long_scores(score_per_label(models, test), [(t, f"p_{t}") for t in LABELS])
+    base = F.create_map(*[x for t, v in bases.items() for x in (F.lit(t), F.lit(v))])[F.col("label")]
+    near = F.abs(base + F.col("phi") - F.col("p")) < 1e-9
+    return total.join(scored.select("id", "label", "p"), ["id", "label"]).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum(near.cast("long")).alias("n_additive"))
 
 
 @register("global_importance")
