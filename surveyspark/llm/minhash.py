@@ -8,8 +8,8 @@
 3. Where a bucket still holds several components, its classes are compared in
    blocks of ``BLOCK`` signatures, inside a task.  One link is enough to join two
    components, so the first round checks only the most alike pair of each two;
-   the second lists what is then still apart and alike by signature.  A pair is
-   listed in the first band that it shares only.
+   the second lists what is then still apart and alike by a longer signature.
+   A pair is listed in the first band that it shares only.
 4. Compared pairs pass the signature check (estimate not far below the
    threshold), then the exact check on full shingle sets.
 5. Components come from alternating large-star and small-star steps.
@@ -44,11 +44,14 @@ MINIMA = 256
 BANDS, ROWS = 32, 4
 #: Five standard deviations of an estimate of 0.8 from 256 minima.
 MARGIN = 0.125
+#: More minima (8 bits each) for classes whose pairs must be listed, and the margin of five deviations of both together.
+FINE = 512
+FINE_MARGIN = 0.073
 #: Classes whose signatures are compared at once in a task.
 BLOCK = 512
 _RNG = np.random.default_rng(9_973)
-_A = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_A = _RNG.integers(0, 2**63, MINIMA + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(0, 2**63, MINIMA + FINE, dtype=np.uint64)
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,24 @@ def signed(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, c1 long, c2 long, n long, sig binary")
 
 
+def fine_signed(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, sig) of (node, text), with the fine minima behind the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, end, w in slices(b.column(1), True):
+                h, text = shingle_sets(w, k)
+                size, _, _, minima = signatures(h, text, end - row)
+                fine = np.zeros((end - row, FINE), dtype=np.uint8)
+                some = np.flatnonzero(size)
+                start = (np.cumsum(size) - size)[some]
+                for j in range(FINE if len(some) else 0):
+                    fine[some, j] = mix(np.minimum.reduceat(h * _A[MINIMA + j] + _B[MINIMA + j], start)) & np.uint64(0xFF)
+                sig = pa.array([x.tobytes() + y.tobytes() for x, y in zip(minima, fine)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, end - row), pa.array(size.astype(np.int64)), sig], names=["node", "n", "sig"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, sig binary")
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """(m, BANDS) bucket keys of m signatures."""
     rows = sig[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -113,6 +134,12 @@ def unpacked(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(-1, MINIMA)
 
 
+def split_signatures(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Minima and fine minima (no columns where there are none) of signatures of one kind."""
+    rows = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
+    return np.ascontiguousarray(rows[:, :2 * MINIMA]).view(np.uint16), rows[:, 2 * MINIMA:]
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
     """(band, node): one row for each band of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +164,13 @@ def alike_in_blocks(still: DataFrame, classes: DataFrame, percent: int, best_onl
     dealt = written(rows.groupBy("band", "block", "blocks").agg(*[F.collect_list(x).alias(x) for x in MEMBER]), "near-blocks")
     left = dealt.select("band", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("with"), *[F.col(x).alias(f"a_{x}") for x in MEMBER])
     right = dealt.select("band", F.col("block").alias("with"), *[F.col(x).alias(f"b_{x}") for x in MEMBER])
-    least = percent / 100 - MARGIN
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
             for r in range(batch.num_rows):
                 band, i, j = (batch.column(c)[r].as_py() for c in range(3))
                 a, b = ([batch.column(f"{side}_{x}")[r].values.to_numpy(zero_copy_only=x != "sig") for x in MEMBER] for side in "ab")
-                u, v = pairs_of(band, i == j, a, b, least, percent, best_only)
+                u, v = pairs_of(band, i == j, a, b, percent, best_only)
                 us.append(u), vs.append(v)
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
@@ -155,12 +180,12 @@ def alike_in_blocks(still: DataFrame, classes: DataFrame, percent: int, best_onl
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
-def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], least: float, percent: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], percent: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
     """The alike pairs between two blocks (or within one) of a bucket; a block is its members' nodes, sizes, components and signatures."""
     (ia, na, ca, sa), (ib, nb, cb, sb) = a, b
     if len(np.unique(np.concatenate([ca, cb]))) < 2:
         return ia[:0], ib[:0]
-    sa, sb = unpacked(list(sa)), unpacked(list(sb))
+    (sa, fa), (sb, fb) = (split_signatures(list(x)) for x in (sa, sb))
     ka, kb = band_keys(sa), band_keys(sb)
     us, vs, es = [], [], []
     for lo in range(0, len(ia), 32):
@@ -171,7 +196,13 @@ def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], le
         x, y = np.nonzero(fits)
         x += lo
         e = (sa[x] == sb[y]).mean(axis=1) if len(x) else np.zeros(0)
-        x, y, e = x[e >= least], y[e >= least], e[e >= least]
+        near = e >= percent / 100 - MARGIN
+        x, y, e = x[near], y[near], e[near]
+        if fa.shape[1] and len(x):                          # equal low bytes by chance: one in 256
+            f = ((fa[x] == fb[y]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            e = (MINIMA * e + FINE * f) / (MINIMA + FINE)
+            near = e >= percent / 100 - FINE_MARGIN
+            x, y, e = x[near], y[near], e[near]
         first = np.argmax(ka[x] == kb[y], axis=1) if len(x) else x
         here = ka[x, first].view(np.int64) == band if len(x) else np.zeros(0, dtype=bool)
         us.append(x[here]), vs.append(y[here]), es.append(e[here])
@@ -246,7 +277,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         where = written(members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c")), "near-where")
         split = where.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
         still = where.join(split.where("c_lo < c_hi").select("band", "blocks"), "band")
-        more = similar(alike_in_blocks(still, classes, percent, best_only), texts, k, percent)
+        signed_nodes = classes if best_only else written(fine_signed(texts.join(still.select("node").distinct(), "node", "left_semi"), k), "near-fine")
+        more = similar(alike_in_blocks(still, signed_nodes, percent, best_only), texts, k, percent)
         stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
         found = components(stars.unionByName(more))
 
