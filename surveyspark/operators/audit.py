@@ -103,3 +103,28 @@ def metrics_long(metrics_wide: DataFrame, label_col: str = "label",
         [label_col], ms, "metric", "value")
     return long.where(F.col("value").isNotNull()).select(
         F.lit(run).alias("run"), F.concat_ws("_", F.col(label_col), F.col("metric")).alias("key"), "value")
+
+
+RUN_SCHEMA = "run string, kind string, key string, value double, text string, timestamp timestamp"
+
+
+def log_run(path: str, run: str, metrics: DataFrame, params: dict | None = None, tags: dict | None = None) -> DataFrame:
+    """Append one run to the run table at ``path`` and return what was appended.
+
+    ``metrics`` has (key, value) columns, as :func:`metrics_long` gives them; parameters and tags become text rows.
+    """
+    spark = metrics.sparkSession
+    given = [(run, kind, str(k), None, str(v)) for kind, d in (("param", params), ("tag", tags)) for k, v in (d or {}).items()]
+    text = spark.createDataFrame(given, "run string, kind string, key string, value double, text string")
+    numbers = metrics.select(F.lit(run).alias("run"), F.lit("metric").alias("kind"), "key", F.col("value").cast("double").alias("value"),
+                             F.lit(None).cast("string").alias("text"))
+    rows = numbers.unionByName(text).withColumn("timestamp", F.current_timestamp())
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs logged at ``path``; an empty table if there are none yet."""
+    if not _path_exists(spark, path):
+        return spark.createDataFrame([], RUN_SCHEMA)
+    return spark.read.schema(RUN_SCHEMA).parquet(path)

@@ -96,6 +96,17 @@ def test_stata_ingest_roundtrip(spark, tmp_dir):
     assert sorted(r["hw70"] for r in df.collect()) == [-253, -253, 120, 120, 9998, 9998]
 
 
+def test_run_log_appends_metrics_params_and_tags(spark, tmp_dir):
+    from surveyspark.operators import audit
+    path = os.path.join(tmp_dir, "runs")
+    assert audit.read_runs(spark, path).count() == 0
+    for run, recall in (("first", 0.5), ("second", 0.75)):
+        audit.log_run(path, run, spark.createDataFrame([("a_recall", recall)], "key string, value double"), {"trees": 200}, {"data": "small"})
+    rows = {(r["run"], r["kind"], r["key"]): r["value"] if r["kind"] == "metric" else r["text"] for r in audit.read_runs(spark, path).collect()}
+    assert rows == {(run, kind, k): v for run, m in (("first", 0.5), ("second", 0.75))
+                    for kind, k, v in (("metric", "a_recall", m), ("param", "trees", "200"), ("tag", "data", "small"))}
+
+
 def test_audit_log_append_and_status(spark, tmp_dir):
     log = audit.AuditLog(spark, os.path.join(tmp_dir, "audit"))
     with pytest.raises(ValueError):
