@@ -74,3 +74,39 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 for _f in (op1_secret_scan, op2_license_scan, op3_quality_rules, op4_line_dedup, op5_sentencepiece, op6_html_extraction,
            op7_sharding, op8_substring_dedup, op9_minhash_near_dedup, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
+
+
+ORACLE["op4_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT r, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM d),
+k AS (SELECT r, doc_id, i, s[i] AS line, translate(trim(s[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (SELECT key AS hot_key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hot_key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE hot_key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN hot ON key = hot_key GROUP BY r, doc_id"""
+
+ORACLE["op8_substring_dedup"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+least_doc AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN least_doc USING (g) WHERE f < doc_id),
+words AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+marked AS (SELECT words.doc_id, words.i, word, gone.i IS NOT NULL AS out FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i),
+edges AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM marked),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS kept,
+         count(*) FILTER (WHERE edge) AS n_repeats FROM edges GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_repeats, 0) AS n_repeats
+FROM w LEFT JOIN sums ON w.doc_id = sums.doc_id"""
+
+ORACLE["op9_minhash_near_dedup"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM both_have JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+near AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT reach.u, near.v FROM reach JOIN near ON reach.v = near.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u) LEFT JOIN n USING (doc_id)"""
