@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows in an Arrow batch and text bytes handled at once inside a task.
 BATCH_ROWS = 1_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 #: Fixed by the contracts: the white space between words.
 WHITE = b" \t\n\x0b\x0c\r"
