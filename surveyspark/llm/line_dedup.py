@@ -227,7 +227,8 @@ def drop_lines(docs: DataFrame, hot: DataFrame, text_col: str = "text") -> DataF
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row") if others else F.struct(F.lit(0)).alias("__row"),
                          text.alias("__text"), F.xxhash64(text).alias("__h"))
-    both = packed.join(found, packed["__h"] == found["h"], "left").select("__row", "__text", "__drop")
+    # one join strategy at every size; both sides are plain exchanges, so AQE can split the rows of a text with many copies
+    both = packed.join(found.hint("merge"), packed["__h"] == found["h"], "left").select("__row", "__text", "__drop")
     schema = T.StructType([both.schema["__row"], T.StructField("__kept", T.StringType()), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
     out = both.mapInArrow(rewrite, schema)
     return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns], "__n_lines", "__n_dropped")
