@@ -2,13 +2,16 @@
 
 The model compares two multinomials over hashed word unigrams and bigrams: one
 counted over trusted documents (label quality = 1), one over the whole corpus.
-A document's score is the mean log ratio of its n-grams, so length does not
-matter; documents below the threshold are rejected.
+Each n-gram has its own 64-bit key, so the count table grows with the corpus;
+counts meet the documents in one exchange by n-gram.  The mean log ratio of a
+document's n-grams does not depend on its length.  A trusted document is scored
+without its own counts (nor those of trusted copies of its text).
 
-Trusted documents are a hash-chosen sample of at most about ``trusted_bound``
-labelled ids (a documented bound; it makes the ids small enough to broadcast).
-All corpus counts and all scores cover every document.  Without any trusted
-document every score is 0 and only the plain rules decide.
+The threshold is taken anew for every table: where the held-out ratios of rows
+labelled 1 and of rows labelled 0 (with at least ``MIN_WORDS`` words) part best.
+Scores are given relative to it, so what is below ``MIN_SCORE`` is rejected.
+Without rows labelled 0 it is the least held-out ratio of a trusted document;
+without any trusted document every score is 0 and only the plain rules decide.
 
 Null and empty texts have no words and fail the plain rules; null ids are never
 trusted; repeated rows each count and are each scored; extra columns of the
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from surveyspark.llm.tables import plain, written
 
@@ -29,11 +33,15 @@ SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
+#: Width of the short table of :func:`log_ratios`; scores do not use it.
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
 TRUSTED_BOUND = 20_000
-#: Clean prose scores near 0 whatever its length; the ratio of text unlike the trusted documents is far below.
-MIN_SCORE = -0.1
+#: Scores are relative to the threshold of the table at hand.
+MIN_SCORE = 0.0
+#: The threshold is looked for in steps of this size.
+STEP = 0.001
+
 
 
 def words_of(text: F.Column) -> F.Column:
@@ -76,13 +84,17 @@ def plain_stats(docs: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("__base_failed", failed).drop("__lines", "__room", "__codes", "__again")
 
 
-def ngram_buckets(words: str) -> F.Column:
-    """Hash buckets of all unigrams and bigrams (of a column, not an expression: lambdas would compute that anew for each word)."""
-    uni = F.transform(words, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    bi = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(x, F.get(words, i)), F.lit(BUCKETS)).cast("int"))
+def ngram_keys(words: str) -> F.Column:
+    """64-bit keys of all unigrams and bigrams (of a column, not an expression: lambdas would compute that anew for each word)."""
+    uni = F.transform(words, lambda x: F.xxhash64(x))
+    bi = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(words, i)))
     return F.concat(uni, bi)
 
 
+def ngram_buckets(words: str) -> F.Column:
+    return F.transform(ngram_keys(words), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+
+
 def trusted_ids(labels: DataFrame, id_col: str, bound: int) -> DataFrame:
     """Distinct ids labelled quality = 1, chosen by hash so that about ``bound`` stay, at every size of the label table."""
     good = labels.where((F.col("quality") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__trusted")).distinct()
@@ -92,7 +104,7 @@ def trusted_ids(labels: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bound: int) -> DataFrame:
-    """One row: an array with the log ratio of every bucket (BUCKETS numbers, whatever the corpus)."""
+    """A short view of the model: one row with the log ratios of BUCKETS hash buckets, from about ``bound`` trusted documents."""
     ids = trusted_ids(labels, id_col, bound)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), words_of(F.col(f"`{text_col}`").cast("string")).alias("__words"))
     rows = rows.join(F.broadcast(ids), rows["__id"] == ids["__trusted"], "left")
@@ -106,15 +118,63 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, b
     return rows.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"]).alias("w"))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE,
-          trusted_bound: int = TRUSTED_BOUND) -> DataFrame:
-    """The input's columns and, in __-named columns, the statistics, __score (mean log ratio; 0 without words) and __kept."""
+def with_label(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """Adds __label: 1 (trusted), 0, or -1 (no label)."""
+    quality = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast("long").alias("__of")).agg(
+        F.max((F.col("quality") == 1).cast("int")).alias("__quality"))
+    joined = docs.join(quality, F.col(f"`{id_col}`").cast("long") == F.col("__of"), "left")
+    return joined.withColumn("__label", F.coalesce("__quality", F.lit(-1))).drop("__of", "__quality")
+
+
+def text_key(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def mean_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__key, __label, __n_text (words) and __ratio of every text that has words; one row for all copies of a text under one label.
+
+    Rows go to their n-gram's partition once; there the copies in one text are added up, and a window gives the counts.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = with_label(docs.select(F.col(f"`{id_col}`"), text.alias(text_col)), labels, id_col)
+    rows = rows.select(text_key(F.col(f"`{text_col}`")).alias("__key"), "__label", words_of(F.col(f"`{text_col}`")).alias("__words"))
+    rows = rows.select("__key", "__label", F.size("__words").alias("__n_text"), F.explode(ngram_keys("__words")).alias("__gram"))
+    own = rows.repartition("__gram").groupBy("__gram", "__key", "__label", "__n_text").agg(F.count("*").alias("n"))
+    good = F.when(F.col("__label") == 1, F.col("n")).otherwise(F.lit(0))
+    same = Window.partitionBy("__gram")
+    counted = own.withColumns({"raw": F.sum("n").over(same), "target": F.sum(good).over(same)})
+    part = F.log(F.col("target") - good + SMOOTHING) - F.log(F.col("raw") + SMOOTHING)
+    texts = written(counted.groupBy("__key", "__label", "__n_text").agg(
+        F.sum(F.col("n") * part).alias("part"), F.sum("n").alias("n"), F.sum(F.col("n") / F.col("raw")).alias("kinds")), "ngram-ratios")
+    trusted = F.when(F.col("__label") == 1, F.col("n")).otherwise(F.lit(0))
+    # the shares n / raw of one n-gram add up to 1, so their sum is the number of distinct n-grams
+    raw, target, kinds = (F.coalesce(texts.agg(F.sum(c)).scalar(), F.lit(0)) for c in (F.col("n"), trusted, F.col("kinds")))
+    ratio = F.col("part") / F.col("n") - F.log(target - trusted + SMOOTHING * kinds) + F.log(raw + SMOOTHING * kinds)
+    return texts.select("__key", "__label", "__n_text", F.when(target > 0, ratio).otherwise(F.lit(0.0)).alias("__ratio"))
+
+
+def threshold(ratios: DataFrame) -> DataFrame:
+    """One row: the cut with the greatest difference between the shares of rows labelled 1 and 0 above it, halfway to the next lower ratio."""
+    held = ratios.where((F.col("__label") >= 0) & (F.col("__n_text") >= MIN_WORDS))
+    steps = held.groupBy(F.floor(F.col("__ratio") / STEP).alias("at")).agg(F.sum("__label").alias("good"), F.sum(1 - F.col("__label")).alias("bad"))
+    every, up = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("at")
+    lost, gone = (F.sum(c).over(up) - F.col(c) for c in ("good", "bad"))
+    won = F.coalesce(F.try_divide(gone, F.sum("bad").over(every)), F.lit(0.0)) - F.try_divide(lost, F.sum("good").over(every))
+    at = steps.select("at", "good", won.alias("won"), F.lag("at").over(up).alias("below")).where("won is not null and good > 0")
+    cut = F.when(F.col("below").isNull(), F.col("at").cast("double")).otherwise((F.col("at") + F.col("below") + 1) / 2)
+    return at.agg((F.max_by(cut, F.struct("won", -F.col("at"))) * STEP).alias("cut"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The input's columns and, in __-named columns, the statistics, __score (mean log ratio above the threshold; 0 without words) and __kept."""
     docs = plain(docs)
-    weights = log_ratios(docs, labels, id_col, text_col, trusted_bound)
-    df = plain_stats(docs, text_col).withColumn("__grams", ngram_buckets("__words")).withColumn("__w", weights.scalar())
-    total = F.aggregate("__grams", F.lit(0.0), lambda a, b: a + F.get("__w", b))
-    df = df.withColumn("__score", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(F.lit(0.0)))
-    return df.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= min_score)).drop("__words", "__grams", "__w")
+    ratios = mean_ratios(docs, labels, id_col, text_col)
+    cut = F.coalesce(threshold(ratios).scalar(), F.lit(0.0))
+    df = plain_stats(docs.withColumn("__text", text_key(F.col(f"`{text_col}`"))), text_col).drop("__words")
+    each = ratios.select("__key", F.col("__label").alias("__as"), "__ratio")
+    df = with_label(df, labels, id_col).join(each, (F.col("__text") == F.col("__key")) & (F.col("__label") == F.col("__as")), "left")
+    df = df.withColumn("__score", F.coalesce(F.col("__ratio") - cut, F.lit(0.0)))
+    return df.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= min_score)).drop("__text", "__key", "__label", "__as", "__ratio")
 
 
 def quality_digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

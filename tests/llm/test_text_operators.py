@@ -163,6 +163,31 @@ def test_quality_ratio_by_hand(spark):
     assert set(none) == {0.0}
 
 
+def test_quality_threshold_follows_the_table(spark):
+    """Ratios without own counts by hand; unlike fixed cuts and tables, held-out prose is kept at either size and the table has every n-gram."""
+    rnd = random.Random(11)
+    for n in (30, 120):
+        good = [prose(rnd, 60) for _ in range(n)]
+        junk = [" ".join(f"zq{rnd.randint(0, 40)}%%" for _ in range(60)) for _ in range(n // 3)]
+        texts = good + junk + [good[0], None, ""]
+        value = {i: int(i < n) for i in range(n + n // 3) if i % 3 == 0 or i < 12}
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        labels = spark.createDataFrame([(i, q, 0) for i, q in value.items()] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+        grams = [collections.Counter([(w,) for w in WORD.findall(t or "")] + list(zip(WORD.findall(t or ""), WORD.findall(t or "")[1:]))) for t in texts]
+        raw, target = sum(grams, collections.Counter()), sum((grams[i] for i, q in value.items() if q), collections.Counter())
+        ratio = {}
+        for i, g in enumerate(grams[:-2]):
+            own, size = value.get(i) == 1, sum(g.values())
+            bottom = math.log((raw.total() + len(raw)) / (target.total() - own * size + len(raw)))
+            ratio[i] = sum(c * math.log((target[k] - own * c + 1) / (raw[k] + 1)) for k, c in g.items()) / size + bottom
+        got = by_id(quality.score(docs, labels))
+        cut = ratio[0] - got[0]["__score"]
+        assert all(got[i]["__score"] == pytest.approx(ratio[i] - cut) for i in ratio)
+        assert max(ratio[i] for i, q in value.items() if not q) < cut < min(ratio[i] for i, q in value.items() if q)
+        assert all(got[i]["__kept"] == (i < n or i == n + n // 3) for i in range(len(texts)) if not got[i]["__base_failed"])
+        assert got[len(texts) - 1]["__score"] == got[len(texts) - 2]["__score"] == 0
+
+
 # -- lines --------------------------------------------------------------------------------------
 
 def key(line):
