@@ -7,8 +7,14 @@ adds the largest sum of one to the smallest of the other, and so on.
 
 At scale this runs as a tree: groups are dealt into buckets by hash (as many as
 keep a bucket near ``BUCKET_GROUPS``), each bucket is differenced down to one
-partial partition in one task, and the partial partitions, K sums each, are
-differenced again, at most ``FAN_IN`` in a task, until one is left.
+partial partition in one task, every group starting as its own, and the partial
+partitions, K sums each, are differenced again, at most ``FAN_IN`` in a task,
+until one is left.
+
+Groups that are large beside one shard's part of a bucket are differenced first.
+Every bucket then starts with its share of their K sums, so that its small groups
+level them, and keeps its parts in that order; one bucket goes last, starts with
+the sums of all the others and levels what they left.
 
 Null and empty texts are one group of size 16 a row; ids may be null or
 repeated (each row has its own slot); extra columns take no part.
@@ -35,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROW_BYTES = 16
 BUCKET_GROUPS = 50_000
 FAN_IN = 1_000
+#: A group is large if it has more than this part of what one shard gets of a bucket (so at most K * buckets / LARGE are).
+LARGE = 1 / 8
 #: Rows that are numbered in one task when slots are dealt.
 SLOT_ROWS = 100_000
 
@@ -71,16 +79,19 @@ def difference(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return state[top - 1], out
 
 
-def _start(k: int):
-    """Groups of one bucket -> (bucket, part) of each group."""
+def _start(first: np.ndarray):
+    """Groups of one bucket -> (bucket, part) of each group; parts are those of ``first``, the K sums that are there before."""
     def run(key: tuple, groups: pd.DataFrame) -> pd.DataFrame:
         groups = groups.sort_values(["bytes", "h1", "h2"], ascending=[False, True, True])
-        n = len(groups)
-        lead = (n + k - 1) // k                             # each K groups in order of size start as one partial partition
-        sums = np.zeros((lead, k), dtype=np.int64)
-        sums.reshape(-1)[:n] = groups["bytes"].to_numpy()
-        part = difference(sums)[1].reshape(-1)[:n]
-        return groups[["bucket", "h1", "h2", "bytes"]].assign(part=part)
+        k = len(first)
+        mixed = np.random.default_rng(abs(int(key[0]))).permutation(k)   # else equal sums would take the same side in every bucket
+        sums = np.zeros((len(groups) + 1, k), dtype=np.int64)
+        sums[0] = first[mixed]
+        sums[1:, -1] = groups["bytes"].to_numpy()
+        out = difference(sums)[1]
+        part = np.empty(k, dtype=np.int32)
+        part[out[0]] = mixed
+        return groups[["bucket", "h1", "h2", "bytes"]].assign(part=part[out[1:, -1]])
     return run
 
 
@@ -94,20 +105,9 @@ def _merge(k: int):
     return run
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = documents(docs, id_col, text_col).select(
-        F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("crc"),
-        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), F.reverse(text)).alias("h2"))
-    groups = written(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    n_groups = groups.count()
-    buckets = max(1, -(-n_groups // BUCKET_GROUPS))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets)))
-    placed = written(dealt.groupBy("bucket").applyInPandas(_start(shards), "bucket long, h1 long, h2 long, bytes long, part int"), "shard-groups-placed")
-
+def _differenced(placed: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """The shard of every group (h1, h2), from the buckets' partial partitions, differenced until one is left."""
     # nodes: partial partitions; 'to' maps (node of the first level, part) to the part of the root
-    spark = docs.sparkSession
     level = placed.groupBy(F.col("bucket").alias("node"), "part").agg(F.sum("bytes").alias("bytes"))
     path = None
     count = buckets
@@ -122,7 +122,37 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
             path = path.join(step.select("node", F.col("part").alias("at"), "up", "to"), ["node", "at"]).select(
                 "bucket", "part", F.col("up").alias("node"), F.col("to").alias("at"))
         count = up
-    where = placed.join(path, ["bucket", "part"]).select("h1", "h2", F.col("at").alias("shard"))
+    return placed.join(path, ["bucket", "part"]).select("h1", "h2", F.col("at").alias("shard"))
+
+
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = documents(docs, id_col, text_col).select(
+        F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("crc"),
+        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), F.reverse(text)).alias("h2"))
+    groups = written(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    size = groups.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-size["n"] // BUCKET_GROUPS))
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets)))
+    is_large = (F.col("bytes") > F.lit(LARGE * size["bytes"] / (shards * buckets))) & F.lit(buckets > 1)
+
+    def place(some: DataFrame, first: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+        placed = written(some.groupBy("bucket").applyInPandas(_start(first), "bucket long, h1 long, h2 long, bytes long, part int"), "shard-groups-placed")
+        sums = np.zeros(shards, dtype=np.int64)
+        for r in placed.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect():
+            sums[r["part"]] = r["bytes"]
+        return placed, sums
+
+    none = np.zeros(shards, dtype=np.int64)
+    large, heavy = place(dealt.where(is_large).withColumn("bucket", F.lit(-1).cast("long")), none) if buckets > 1 else (None, none)
+    if heavy.any():
+        most, level = place(dealt.where(~is_large & (F.col("bucket") > 0)), heavy // buckets)
+        last, _ = place(dealt.where(~is_large & (F.col("bucket") == 0)), heavy + level)
+        where = large.union(most).union(last).select("h1", "h2", F.col("part").alias("shard"))
+    else:
+        placed, _ = place(dealt, none)
+        where = _differenced(placed, shards, buckets)
     located = written(rows.join(where, ["h1", "h2"]).select("id", "size", "crc", "shard"), "shard-rows")
 
     # slots: rows of a shard are cut into pieces by hash, pieces get offsets, rows are numbered inside their piece

@@ -286,6 +286,22 @@ def test_differencing_is_tight_and_merges(spark, monkeypatch):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
+def test_sharding_levels_a_copy_group(spark, monkeypatch):
+    """A group of copies with 1 to 2.4 % of the bytes, below one of 40 shards' fair share, is offset by fewer small groups; one bucket and several."""
+    rnd = random.Random(4)
+    small = [f"{i} " + "x" * rnd.randint(500, 8000) for i in range(2000)]
+    size = sum(len(t) + 16 for t in small)
+    for share, most in ((0.01, 500), (0.024, 500), (0.024, 50_000)):
+        monkeypatch.setattr(sharding, "BUCKET_GROUPS", most)
+        texts = small + ["y" * 4000] * round(size * share / (1 - share) / 4016)
+        totals, copies = collections.Counter(), set()
+        for r in sharding.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+            totals[r["shard"]] += r["size"]
+            copies |= {r["shard"]} if r["doc_id"] >= len(small) else set()
+        assert len(copies) == 1 and len(totals) == 40
+        assert max(totals.values()) * 40 < 1.01 * sum(totals.values())
+
+
 # -- repeats ------------------------------------------------------------------------------------
 
 def test_substring_dedup(docs, texts):
