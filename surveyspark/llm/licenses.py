@@ -59,8 +59,6 @@ TEMPLATES = {
 #: Index entries for each template, and aligned hits that a candidate needs.
 RARE_WORDS = 12
 LEAST_HITS = 4
-#: Words in more than this share of the documents say nothing about licences and are never index entries.
-RARE_SHARE = 0.2
 #: Relative positions are packed beside the template's number; a file may have up to 2^40 words.
 SHIFT = 1 << 41
 
@@ -88,13 +86,12 @@ def of_template(codes: str, n: int) -> F.Column:
 
 
 def rare_words(words: DataFrame) -> dict[str, list[str]]:
-    """The rarest words of each template among those that the documents have; counts are of template words only (a few hundred rows)."""
+    """The rarest words of each template among those that the documents have, however common; counts are of template words only (a few hundred rows)."""
     per_template = template_words()
     vocabulary = sorted({w for ws in per_template.values() for w in ws})
-    found = words.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("__words", F.array(*map(F.lit, vocabulary))))).alias("w"))
+    found = words.select(F.explode(F.array_intersect("__words", F.array(*map(F.lit, vocabulary)))).alias("w"))
     df = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    most = RARE_SHARE * df.pop("", 0)                       # "" stands once for every document
-    return {k: sorted((w for w in set(ws) if 0 < df.get(w, 0) <= most), key=lambda w: (df[w], w))[:RARE_WORDS] for k, ws in per_template.items()}
+    return {k: sorted((w for w in set(ws) if w in df), key=lambda w: (df[w], w))[:RARE_WORDS] for k, ws in per_template.items()}
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +111,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # aligned hits: the same code (template, place in file - place in template) at least LEAST_HITS times
     hits = F.flatten(F.filter(F.transform("__words", lambda w, i: F.transform(F.element_at(index, w), lambda p: p + i)), lambda a: a.isNotNull()))
-    some = F.size(F.array_intersect("__words", keys)) >= LEAST_HITS
+    # only a file with some template's phrases can have a label
+    phrase = {label: reduce(lambda a, b: a & b, [F.contains("__norm", F.lit(f" {p} ")) for p in TEMPLATES[label][1]]) for label in labels}
+    some = reduce(lambda a, b: a | b, phrase.values()) & (F.size(F.array_intersect("__words", keys)) >= LEAST_HITS)
     words = words.withColumn("__codes", F.when(some, F.sort_array(hits)).otherwise(F.array().cast("array<bigint>")))
     best = F.filter("__codes", lambda c, i: (i >= LEAST_HITS - 1) & (c == F.get("__codes", i - (LEAST_HITS - 1))))
     words = words.withColumn("__aligned", F.array_distinct(best))
@@ -122,8 +121,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shares, accepted = [], []
     for n, label in enumerate(labels):
         mine = of_template("__aligned", n)
-        phrases = reduce(lambda a, b: a & b, [F.contains("__norm", F.lit(f" {p} ")) for p in TEMPLATES[label][1]])
-        ok = (F.size(mine) > 0) & phrases
+        ok = (F.size(mine) > 0) & phrase[label]
         accepted.append(F.when(ok, F.lit(label)))
         size = sum(w in rare[label] for w in template_words()[label])
         hit = F.size(of_template("__hit", n))

@@ -127,6 +127,17 @@ def test_license_words_and_phrases(spark):
     assert "mit" in got[6]["labels"] and "bsd" in got[7]["labels"] and got[6]["score"] > 0.9 and got[10]["labels"] == ""
 
 
+def test_common_licenses_are_found(spark):
+    for name, (text, _) in licenses.TEMPLATES.items():
+        got = by_id(licenses.license_digest(licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"))))
+        assert name in got[1]["labels"].split(",")
+    mit, gpl = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["gpl"][0]
+    texts = [f"file {i} {mit} end" for i in range(12)] + [f"plain words of text {i}" for i in range(11)] + [gpl]
+    got = by_id(licenses.license_digest(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))))
+    assert all(("mit" in got[i]["labels"].split(",")) == (i < 12) for i in got) and "gpl" in got[23]["labels"].split(",")
+    assert all(got[i]["score"] > 0.9 for i in (*range(12), 23)) and got[15]["labels"] == ""
+
+
 # -- quality ------------------------------------------------------------------------------------
 
 def test_quality_statistics(spark, docs, texts):
