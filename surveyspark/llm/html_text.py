@@ -1,11 +1,13 @@
 """Main text of web pages by block rules in two passes.
 
-First pass: the page is cut into blocks at block-level tags.  A block is
-decided at once if it stands in a page part whose role the markup states
-(article and main: text; navigation, forms, adverts, comments ...: boilerplate).
-Where the markup says nothing, length, link density and stop-word density
-classify it as good, bad, or undecided (short, or nearly good).  Second pass:
-undecided blocks take the label of the nearest decided neighbours.
+First pass: the page is cut into blocks at block-level tags.  Length, link
+density and stop-word density classify every block as good, bad, or undecided
+(short, or nearly good).  The page part that a block stands in, as the markup
+states it, settles what these leave open: in article and main, undecided blocks
+are good; blocks of navigation, forms, adverts, comments ... are bad.  A page
+without any good block is classified again as if parts named so, then also parts
+tagged so, were open.  Second pass: blocks that are still undecided take the
+label of the nearest decided neighbours.
 
 A null or empty page gives an empty text; ids may be null or repeated; markup
 that is cut off at the end of the page is dropped, and open elements end there.
@@ -46,6 +48,8 @@ BOILERPLATE_WORDS = frozenset(
     "popup modal overlay newsletter subscribe signup login search comment comments reply replies disqus respond share "
     "sharing social related recommended pagination pager toolbar tags".split())
 HINT_WORD = re.compile(r"[a-z]+")
+#: Names that say whether a page has such a part, not that they are one.
+HINT_STATE = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|is)[-_]\S+")
 
 #: Stop words of the languages at hand; their density tells prose from lists of links.
 STOP_WORDS = frozenset(
@@ -60,7 +64,7 @@ FEW_STOP_WORDS, MANY_STOP_WORDS = 0.10, 0.20
 
 
 def blocks_of(page: str) -> list[tuple[str, int, str, bool]]:
-    """(text, characters inside links, role, is heading) of each block that is not empty; role: text, boilerplate or open."""
+    """(text, characters inside links, role, is heading) of each block that is not empty; role: text, boilerplate (by tag), hinted (by name) or open."""
     out: list[tuple[str, int, str, bool]] = []
     stack: list[tuple[str, str]] = []                       # open elements and the role inside each
     parts: list[str] = []
@@ -127,7 +131,7 @@ def blocks_of(page: str) -> list[tuple[str, int, str, bool]]:
 def is_boilerplate(attrs: str) -> bool:
     """Whether class, id or role name a page part that is no article text."""
     for m in HINT.finditer(attrs):
-        if not BOILERPLATE_WORDS.isdisjoint(HINT_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+        if not BOILERPLATE_WORDS.isdisjoint(HINT_WORD.findall(HINT_STATE.sub(" ", (m[1] or m[2] or m[3] or "").lower()))):
             return True
     return False
 
@@ -135,28 +139,40 @@ def is_boilerplate(attrs: str) -> bool:
 def role_inside(name: str, attrs: str, outer: str) -> str:
     if outer == "boilerplate" or name in BOILERPLATE_TAGS:
         return "boilerplate"
-    if name == "article" or name == "main":
-        return "text"
+    if name == "article" or name == "main":                 # also inside a hinted wrapper, but for a comment or teaser named so itself
+        return "hinted" if outer == "hinted" and attrs and is_boilerplate(attrs) else "text"
+    if outer == "hinted":
+        return "hinted"
     if name in ("html", "body"):
         return outer
     if name == "header":
         return outer if outer == "text" else "boilerplate"
-    return "boilerplate" if attrs and is_boilerplate(attrs) else outer
+    return "hinted" if attrs and is_boilerplate(attrs) else outer
 
 
-def classify(text: str, linked: int, role: str, heading: bool) -> str:
-    """First pass: good, bad, short or near."""
-    if role != "open":
-        return "good" if role == "text" else "bad"
+def measure(text: str, linked: int) -> str:
+    """Good, near, short or bad by length, link density and stop words alone."""
     if linked > MANY_LINKS * len(text):
         return "bad"
     if len(text) < SHORT:
-        return "bad" if linked else "short"
+        return "short"
     words = text.lower().split()
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if stops >= MANY_STOP_WORDS:
         return "good" if len(text) > LONG else "near"
-    return "near" if stops >= FEW_STOP_WORDS else "bad"
+    return "near" if stops >= FEW_STOP_WORDS else "few"
+
+
+def classify(text: str, linked: int, role: str, article: bool) -> str:
+    """First pass: good, bad, short or near; ``article``: the page has one."""
+    label = measure(text, linked)
+    if role == "text":                                      # what is undecided is text; few stop words need good neighbours
+        return {"short": "good", "near": "good", "few": "near"}.get(label, label)
+    if role != "open":
+        return "bad"
+    if label == "few" or label == "short" and (linked or article):
+        return "bad"
+    return label
 
 
 def settle(labels: list[str], headings: list[bool]) -> list[bool]:
@@ -185,11 +201,14 @@ def settle(labels: list[str], headings: list[bool]) -> list[bool]:
 
 
 def main_text(page: str) -> str:
-    """Blocks of main text in page order, one a line; where the markup names an article, only what stands in it."""
+    """Blocks of main text in page order, one a line."""
     blocks = blocks_of(page)
-    if any(b[2] == "text" for b in blocks):
-        blocks = [b for b in blocks if b[2] == "text"]
-    keep = settle([classify(*b) for b in blocks], [b[3] for b in blocks])
+    article = any(b[2] == "text" for b in blocks)
+    labels = first = [classify(text, linked, role, article) for text, linked, role, _ in blocks]
+    for parts in (("hinted",), ("hinted", "boilerplate")):
+        if "good" not in labels:
+            labels = [classify(text, linked, "open" if role in parts else role, article) for text, linked, role, _ in blocks]
+    keep = settle(labels if "good" in labels else first, [b[3] for b in blocks])
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 

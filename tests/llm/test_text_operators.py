@@ -256,6 +256,20 @@ def test_main_text():
     assert html_text.main_text(plain) == "\n".join([prose_.strip(), "Short one", prose_.strip()])
 
 
+def test_main_text_is_measured_on_every_page():
+    body = ("The cat and the dog are in the house, and it is not for the birds that they have come to this place. " * 3).strip()
+    nav, ad = '<nav><a href="/">Home</a></nav>', '<div class="ad">Buy this</div>'
+    assert html_text.main_text(f"<body>{nav}<article><h2>Teaser</h2></article><div><p>{body}</p></div></body>") == f"Teaser\n{body}"
+    cards = '<article><a href="/a">Read all of this story</a></article>' * 2
+    assert html_text.main_text(f"<body>{nav}{cards}<div><p>{body}</p></div></body>") == body
+    for name in ("has-sidebar", "page no-comments", "layout sidebar-right"):
+        assert html_text.main_text(f'<body><div class="{name}">{nav}<article><p>{body}</p><p>Short</p></article>{ad}</div></body>') == f"{body}\nShort"
+        assert html_text.main_text(f'<body><div class="{name}">{nav}<div><p>{body}</p><p>Short</p><p>{body}</p></div>{nav}</div></body>') == f"{body}\nShort\n{body}"
+    comments = f'<section class="comments"><article class="comment"><p>{body}</p></article></section>'
+    assert html_text.main_text(f"<body><article><p>{body} One.</p></article>{comments}</body>") == f"{body} One."
+    assert html_text.main_text(f"<body><p>{body} One.</p>{comments}</body>") == f"{body} One."
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<article>x</article>"), (1, "u", "")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "", "x"]
