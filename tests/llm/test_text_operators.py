@@ -155,27 +155,42 @@ def test_quality_statistics(spark, docs, texts):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.MIN_SCORE)
 
 
-def test_quality_ratio_by_hand(spark):
-    good, junk = "alpha beta gamma delta " * 30, "zip%% zap%% zop%% " * 30
-    docs = spark.createDataFrame([(i, f"{good} g{i}") for i in range(6)] + [(i, f"{junk} j{i}") for i in range(6, 12)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 6), 0) for i in range(12)], "doc_id long, quality int, toxic int")
-    w = quality.log_ratios(docs, labels, "doc_id", "text", 100).first()["w"]
-    assert len(w) == quality.BUCKETS
-    raw, target = collections.Counter(), collections.Counter()
-    rows = docs.select("doc_id", quality.words_of(F.col("text")).alias("x")).select("doc_id", quality.ngram_buckets("x").alias("b")).collect()
-    for r in rows:
-        raw.update(r["b"])
-        target.update(r["b"] if r["doc_id"] < 6 else ())
-    n_raw, n_target = sum(raw.values()), sum(target.values())
-    for b in list(raw)[:50] + [0, 1, 2]:
-        want = math.log((target[b] + 1) / (n_target + quality.BUCKETS)) - math.log((raw[b] + 1) / (n_raw + quality.BUCKETS))
-        assert w[b] == pytest.approx(want)
-    none = quality.log_ratios(docs, labels.where("quality = 2"), "doc_id", "text", 100).first()["w"]
-    assert set(none) == {0.0}
+def buckets_of(spark, texts):
+    """The hash buckets of each text's n-grams, and their number."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    width = quality.n_buckets(rows, "text")
+    out = [collections.Counter() for _ in texts]
+    for r in quality.exploded_grams(rows.select("doc_id", quality.words_of(F.col("text")).alias("__words")), width).collect():
+        out[r["doc_id"]][r["b"]] += 1
+    return out, width
+
+
+def test_quality_ratio_by_hand(spark, texts, monkeypatch):
+    """Every slice size gives the ratios of the definition; a text's trusted copies leave the target, whatever their number."""
+    texts = [*texts, texts[5], texts[40], texts[40], "one"]
+    trusted = {5, 10, 40, 41, len(texts) - 2, len(texts) - 4}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in [*trusted, 7, 12]], "doc_id long, quality int, toxic int")
+    grams, width = buckets_of(spark, texts)
+    raw, target = sum(grams, collections.Counter()), sum((grams[i] for i in trusted), collections.Counter())
+    for size in (quality.SLICE, width // 4):
+        monkeypatch.setattr(quality, "SLICE", size)
+        got = quality.mean_ratios(docs, quality.labelled_ids(docs, labels, "doc_id", "text"), "doc_id", "text").collect()
+        found = sorted((r["__label"], r["__own"], r["__n_text"], round(r["__ratio"], 9)) for r in got)
+        want = set()
+        for i, g in enumerate(grams):
+            own = sum(texts[j] == texts[i] for j in trusted) if i in trusted else 0
+            if g:
+                part = sum(c * (math.log(target[b] - own * c + 1) - math.log(raw[b] + 1)) for b, c in g.items()) / g.total()
+                label = 1 if i in trusted else 0 if i in (7, 12) else -1
+                want.add((label, own, len(WORD.findall(texts[i])), texts[i], round(part + math.log(raw.total() + width) - math.log(target.total() - own * g.total() + width), 9)))
+        assert len(found) == len(want) and all(a == pytest.approx(b) for a, b in zip(found, sorted((*w[:3], w[4]) for w in want)))
+    none = quality.mean_ratios(docs, quality.labelled_ids(docs, labels.where("quality = 2"), "doc_id", "text"), "doc_id", "text").collect()
+    assert {r["__ratio"] for r in none} == {0.0} and {r["__label"] for r in none} == {-1}
 
 
 def test_quality_threshold_follows_the_table(spark):
-    """Ratios without own counts by hand; unlike fixed cuts and tables, held-out prose is kept at either size and the table has every n-gram."""
+    """Ratios without own counts by hand; unlike fixed cuts and tables, held-out prose is kept at either size."""
     rnd = random.Random(11)
     for n in (30, 120):
         good = [prose(rnd, 60) for _ in range(n)]
@@ -184,12 +199,12 @@ def test_quality_threshold_follows_the_table(spark):
         value = {i: int(i < n) for i in range(n + n // 3) if i % 3 == 0 or i < 12}
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
         labels = spark.createDataFrame([(i, q, 0) for i, q in value.items()] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-        grams = [collections.Counter([(w,) for w in WORD.findall(t or "")] + list(zip(WORD.findall(t or ""), WORD.findall(t or "")[1:]))) for t in texts]
+        grams, width = buckets_of(spark, texts)
         raw, target = sum(grams, collections.Counter()), sum((grams[i] for i, q in value.items() if q), collections.Counter())
         ratio = {}
         for i, g in enumerate(grams[:-2]):
             own, size = value.get(i) == 1, sum(g.values())
-            bottom = math.log((raw.total() + len(raw)) / (target.total() - own * size + len(raw)))
+            bottom = math.log((raw.total() + width) / (target.total() - own * size + width))
             ratio[i] = sum(c * math.log((target[k] - own * c + 1) / (raw[k] + 1)) for k, c in g.items()) / size + bottom
         got = by_id(quality.score(docs, labels))
         cut = ratio[0] - got[0]["__score"]
