@@ -9,18 +9,20 @@ Hyperparameters are the reference's values.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from surveyspark.operators import metrics, ml, split
+from surveyspark.operators import boosting, metrics, ml, split
 from surveyspark.plans import inputs
 from surveyspark.plans.registry import register, union_all
 from surveyspark.session import checkpoint_dir, scratch_path
 
 LABELS = ["quality", "toxic"]
 NUMERIC, CATEGORICAL = ["n_chars"], ["lang", "source"]
+FEATURE_NAMES = NUMERIC + CATEGORICAL
 
 
 def labelled(spark, sf):
@@ -115,31 +117,42 @@ def _rf_models(spark, sf):
                          ml.balanced_weight), test
 
 
-def gbt_models(spark, sf):
-    return memo(spark, sf, "gbt_models", lambda: _gbt_models(spark, sf))
+def boosted_cells(spark, sf):
+    """The training rows counted by binned feature vector, once for all boosted fits."""
+    def build():
+        train, _ = split_frames(spark, sf)
+        return boosting.cell_table(feature_stage(spark, sf, train).model.transform(train), len(FEATURE_NAMES), LABELS)
+    return memo(spark, sf, "cells", build)
+
+
+def boosted_fits(spark, sf, kinds):
+    """{kind: {label: classifier}} of the boosted models; kinds that this session lacks are fitted side by side."""
+    missing = [k for k in kinds if (id(spark), sf, f"boosted_{k}") not in _MEMO]
+    if missing:
+        train, _ = split_frames(spark, sf)
+        fs = feature_stage(spark, sf, train)
+        mean = ml.mean_class_weight(train, LABELS).first()["mean_weight"]
+        fits = []
+        for k in missing:
+            for t in LABELS:
+                pos, neg = ml.class_counts(train, t)
+                single = boosting.Boosting(positive_weight=neg / pos if pos else 1.0)
+                fits.append((t, k != "single", single if k == "single" else replace(boosting.MULTILABEL[k], positive_weight=mean)))
+        models = boosting.fit_or_learn(train, fs, boosted_cells(spark, sf), fits)
+        for i, k in enumerate(missing):
+            memo(spark, sf, f"boosted_{k}", lambda i=i: dict(zip(LABELS, models[len(LABELS) * i:])))
+    return {k: _MEMO[(id(spark), sf, f"boosted_{k}")] for k in kinds}
 
 
-def _gbt_models(spark, sf):
+def gbt_models(spark, sf):
     train, test = split_frames(spark, sf)
-    fs = feature_stage(spark, sf, train)
-    return fit_per_label(train, fs, lambda t: ml.boosted_trees(t, max_iter=300, step=0.05, max_depth=6),
-                         ml.positive_weight), test
+    stages = feature_stage(spark, sf, train).model.stages
+    return {t: PipelineModel(stages=[*stages, m]) for t, m in boosted_fits(spark, sf, ["single"])["single"].items()}, test
 
 
 def multilabel_model(spark, sf, variant="boosted"):
-    return memo(spark, sf, f"multilabel_{variant}", lambda: _multilabel_model(spark, sf, variant))
-
-
-def _multilabel_model(spark, sf, variant):
     train, test = split_frames(spark, sf)
-    fs = feature_stage(spark, sf, train)
-    w = ml.mean_class_weight(train, LABELS).first()["mean_weight"]
-    if variant == "boosted":
-        make = lambda t: ml.boosted_trees(t, max_iter=400, step=0.05, max_depth=6, subsample=0.8,
-                                          feature_subset="0.8")
-    else:
-        make = lambda t: ml.boosted_trees(t, max_iter=400, step=0.05, max_depth=6, min_instances=20)
-    return ml.fit_multilabel(train, fs, LABELS, make, w), test
+    return PipelineModel(stages=[*feature_stage(spark, sf, train).model.stages, *boosted_fits(spark, sf, [variant])[variant].values()]), test
 
 
 @register("lr_scores")
@@ -165,7 +178,7 @@ def q_gbt_scores(spark, sf):
 
 @register("multilabel_scores")
 def q_multilabel_scores(spark, sf):
-    """One boosted model per label on a shared feature stage (400 rounds, row/feature subsampling,
+    """One boosted model per label on a shared feature stage (400 rounds, rows and columns sampled for each tree,
     one mean class weight); all labels scored in one pass."""
     m, test = multilabel_model(spark, sf, "boosted")
     return ml.score(m, test, LABELS, keep=("id", *LABELS))
@@ -173,7 +186,7 @@ def q_multilabel_scores(spark, sf):
 
 @register("multilabel_scores_alt")
 def q_multilabel_scores_alt(spark, sf):
-    """The leaf-size-limited multi-label variant (400 rounds, >= 20 rows per leaf)."""
+    """The leaf-wise multi-label variant (400 rounds, 63 leaves, >= 20 rows per leaf)."""
     m, test = multilabel_model(spark, sf, "leafwise")
     return ml.score(m, test, LABELS, keep=("id", *LABELS))
 
@@ -244,6 +257,34 @@ def q_rf_score_checks(spark, sf):
     return _score_checks(score_per_label(models, test))
 
 
+@register("gbt_score_checks", SCORE_CHECK_SQL)
+def q_gbt_score_checks(spark, sf):
+    models, test = gbt_models(spark, sf)
+    return _score_checks(score_per_label(models, test))
+
+
+@register("multilabel_score_checks", TEST_SQL + union_all([f"SELECT '{v}' AS variant, '{t}' AS label, n AS n_test, n AS n_ids, n AS n_in_range FROM t"
+                                                           for v in boosting.MULTILABEL for t in LABELS]))
+def q_multilabel_score_checks(spark, sf):
+    """Both multi-label variants: scored rows, distinct ids, and rows whose score is a probability."""
+    boosted_fits(spark, sf, list(boosting.MULTILABEL))
+    parts = [_score_checks(ml.score(*multilabel_model(spark, sf, v), LABELS, keep=("id", *LABELS))).withColumn("variant", F.lit(v)) for v in boosting.MULTILABEL]
+    return parts[0].unionByName(parts[1])
+
+
+@register("boosted_cell_counts", "WITH base AS (SELECT d.doc_id, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id "
+          "WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL) " + union_all([
+              f"SELECT '{t}' AS label, CAST(count_if({t} = 1) AS BIGINT) AS positives, CAST(count_if({t} = 0) AS BIGINT) AS negatives FROM base" for t in LABELS]))
+def q_boosted_cell_counts(spark, sf):
+    """The binned table of all labelled documents, added up: no row is lost or counted twice on its way to the boosted fits."""
+    rows = labelled(spark, sf)
+    x = feature_stage(spark, sf, split_frames(spark, sf)[0]).model.transform(rows)
+    cells = boosting.cell_counts(x, boosting.bin_edges(x, len(FEATURE_NAMES)), LABELS)
+    total = cells.agg(*[F.sum(f"{k}_{t}").alias(f"{k}_{t}") for t in LABELS for k in ("pos", "neg")])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(t).alias("label"), F.col(f"pos_{t}").alias("positives"), F.col(f"neg_{t}").alias("negatives"))
+                                            for t in LABELS])).alias("r")).select("r.*")
+
+
 @register("model_fairness_groups", _per_label_sql("n AS n_audited, true AS complete"))
 def q_model_fairness_groups(spark, sf):
     """The fairness audit of the fitted logistic models over languages: audited rows per label, and whether the equity
@@ -269,7 +310,8 @@ def _bench_rows(long_with_model):
 
 
 def baseline_rows(spark, sf):
-    (lr, test), (rf, _), (gb, _) = fit_together(spark, sf, [lr_models, rf_models, gbt_models])
+    (lr, test), (rf, _) = fit_together(spark, sf, [lr_models, rf_models])
+    gb, _ = gbt_models(spark, sf)
     longs = [_long(score_per_label(lr, test), "logistic"), _long(score_per_label(rf, test), "random_forest"),
              _long(score_per_label(gb, test), "boosted_single")]
     u = longs[0]
@@ -287,8 +329,8 @@ def q_baseline_benchmark(spark, sf):
 @register("full_benchmark")
 def q_full_benchmark(spark, sf):
     """Multi-label boosted models (both variants) merged with the baselines by column name."""
-    multilabel = [lambda s, d, v=v: multilabel_model(s, d, v) for v in ("boosted", "leafwise")]
-    (m1, test), (m2, _), *_ = fit_together(spark, sf, [*multilabel, lr_models, rf_models, gbt_models])
+    boosted_fits(spark, sf, ["single", *boosting.MULTILABEL])
+    (m1, test), (m2, _) = (multilabel_model(spark, sf, v) for v in boosting.MULTILABEL)
     new = _long(ml.score(m1, test, LABELS, keep=("id", *LABELS)), "multilabel_boosted").unionByName(
         _long(ml.score(m2, test, LABELS, keep=("id", *LABELS)), "multilabel_leafwise"))
     return metrics.benchmark_table(metrics.benchmark_union(baseline_rows(spark, sf), _bench_rows(new)))
@@ -312,10 +354,32 @@ def q_tuned_model(spark, sf):
     return spark.createDataFrame(rows, "label string, C double, mean_recall double, is_best boolean, best_test_recall double")
 
 
-# -- attribution -----------------------------------------------------------------------------------
+@register("tuned_boosted")
+def q_tuned_boosted(spark, sf):
+    """The boosted grid (200 and 400 rounds, depth 4 and 6, two rates, two shares of rows) for each label with 5 stratified folds:
+    one row per label and point, with the test recall of the best point refitted on all training rows."""
+    train, test = split_frames(spark, sf)
+    fs = feature_stage(spark, sf, train)
+    parts, bests = [], []
+    for t in LABELS:
+        folded = split.cv_folds(train, "id", t, 5, 42)
+        cells = boosting.cell_table(fs.model.transform(folded), len(FEATURE_NAMES), [t], "fold")
+        if cells is None:
+            raise ValueError("Too many binned vectors for the grid")
+        pos, neg = ml.class_counts(train, t)
+        base = boosting.Boosting(column_share=0.8, positive_weight=neg / pos if pos else 1.0)
+        points = boosting.boosted_grid(cells, spark, {t: base}, (200, 400), (4, 6), (0.05, 0.1), (0.8, 1.0)).collect()       # 16 rows
+        best = max(points, key=lambda r: (r["mean_recall"], -r["rounds"], -r["depth"], -r["step"], -r["row_share"]))
+        bests.append((t, False, replace(base, rounds=best["rounds"], depth=best["depth"], step=best["step"], row_share=best["row_share"])))
+        parts += [(*r, r == best) for r in points]
+    models = boosting.fit_or_learn(train, fs, boosted_cells(spark, sf), bests)
+    scored = ml.score(PipelineModel(stages=[*fs.model.stages, *models]), test, LABELS, keep=("id", *LABELS))
+    recall = {r["label"]: float(r["recall"]) for r in metrics.multilabel_metrics(_long(scored, "best"), 0.5, ["model", "label"]).collect()}
+    return spark.createDataFrame([(*r, recall[r[0]]) for r in parts],
+                                 "label string, rounds int, depth int, step double, row_share double, mean_recall double, is_best boolean, best_test_recall double")
 
-FEATURE_NAMES = NUMERIC + CATEGORICAL
 
+# -- attribution -----------------------------------------------------------------------------------
 
 def _background(spark, sf, fs):
     """200 background rows of the training split (seeded sample), through the feature stage."""

@@ -10,17 +10,25 @@ Hyperparameters default to the reference's values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyspark.operators import metrics, ml
+from surveyspark.operators import boosting, metrics, ml
 
 
 def _long(scored: DataFrame, labels: Sequence[str], model: str) -> DataFrame:
     return metrics.long_scores(scored, [(t, f"p_{t}") for t in labels]).withColumn("model", F.lit(model))
 
 
+def _boosted(train: DataFrame, fs: ml.FeatureStage, labels: Sequence[str], fits: list) -> PipelineModel:
+    """One pipeline that scores every label with its boosted classifier; the training rows are binned once."""
+    cells = boosting.cell_table(fs.model.transform(train), len(fs.output_names), labels)
+    return PipelineModel(stages=[*fs.model.stages, *boosting.fit_or_learn(train, fs, cells, fits)])
+
+
 def train_baselines(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                     labels: Sequence[str], id_col: str = "id", rf_trees: int = 200, gbt_rounds: int = 300
                     ) -> DataFrame:
@@ -30,13 +38,15 @@ def train_baselines(train: DataFrame, test: DataFrame, numeric: Sequence[str], c
     makers = {
         "logistic": (lambda t: ml.logistic(t, n_weight=n), ml.balanced_weight),
         "random_forest": (lambda t: ml.random_forest(t, num_trees=rf_trees), ml.balanced_weight),
-        "boosted_single": (lambda t: ml.boosted_trees(t, max_iter=gbt_rounds), ml.positive_weight),
     }
     longs = []
     for name, (make, weight) in makers.items():
         fitted = ml.parallel_map(lambda t: ml.fit_single(train, fs, t, make(t), weight(train, t)), list(labels))
         joint = ml.joint_model(fs, dict(zip(labels, fitted)))
         longs.append(_long(ml.score(joint, test, labels, keep=(id_col, *labels)), labels, name))
+    counts = {t: ml.class_counts(train, t) for t in labels}
+    fits = [(t, False, boosting.Boosting(rounds=gbt_rounds, positive_weight=neg / pos if pos else 1.0)) for t, (pos, neg) in counts.items()]
+    longs.append(_long(ml.score(_boosted(train, fs, labels, fits), test, labels, keep=(id_col, *labels)), labels, "boosted_single"))
     u = longs[0]
     for l in longs[1:]:
         u = u.unionByName(l)
@@ -48,15 +58,10 @@ def train_multilabel(train: DataFrame, test: DataFrame, numeric: Sequence[str],
     """Benchmark rows of the two multi-label boosted variants (one mean class weight)."""
     fs = ml.fit_feature_stage(train, numeric, categorical)
     w = ml.mean_class_weight(train, labels).first()["mean_weight"]
-    variants = {
-        "multilabel_boosted": lambda t: ml.boosted_trees(t, max_iter=rounds, subsample=0.8, feature_subset="0.8"),
-        "multilabel_leafwise": lambda t: ml.boosted_trees(t, max_iter=rounds, min_instances=20),
-    }
     longs = []
-    for name, make in variants.items():
-        m = ml.fit_multilabel(train, fs, list(labels), make, w)
-        scored = ml.score(m, test, labels, keep=(id_col, *labels))
-        longs.append(_long(scored, labels, name))
+    for name, p in boosting.MULTILABEL.items():
+        m = _boosted(train, fs, labels, [(t, True, replace(p, rounds=rounds, positive_weight=w)) for t in labels])
+        longs.append(_long(ml.score(m, test, labels, keep=(id_col, *labels)), labels, f"multilabel_{name}"))
     return metrics.multilabel_metrics(longs[0].unionByName(longs[1]), 0.5, ["model", "label"])
 
 
