@@ -102,12 +102,12 @@ def drop_any_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _codebook_map(book: dict[int, str]) -> Column:
     items = []
     for code, label in book.items():
-        items += [F.lit(int(code)), F.lit(label)]
+        items += [F.lit(float(code)), F.lit(label)]
     return F.create_map(*items)
 
 
 def decode_codebook(df: DataFrame, spec: SurveySpec, skip: Sequence[str] = ()) -> DataFrame:
-    """Code -> text for the codebook columns present; unmapped codes -> null.
+    """Code -> text for the codebook columns present; unmapped codes -> null (values compare as given: 12.7 is no code 12).
 
     The codebook is a handful of fixed literals, so it is an inline map
     lookup (no join).  Columns in ``skip`` (the protected group column) keep codes.
@@ -116,7 +116,7 @@ def decode_codebook(df: DataFrame, spec: SurveySpec, skip: Sequence[str] = ()) -
     books = {col_lookup(df, c): b for c, b in spec.codebook.items()
              if col_lookup(df, c) and c.lower() not in skip_l}
     return df.select(*[
-        _codebook_map(books[c])[F.col(c).cast("int")].alias(c) if c in books else F.col(c)
+        _codebook_map(books[c])[F.col(c).cast("double")].alias(c) if c in books else F.col(c)
         for c in df.columns])
 
 
@@ -127,7 +127,7 @@ def decode_new_nulls(df: DataFrame, spec: SurveySpec, skip: Sequence[str] = ())
     for c, book in spec.codebook.items():
         name = col_lookup(df, c)
         if name and c.lower() not in skip_l:
-            decoded = _codebook_map(book)[F.col(name).cast("int")]
+            decoded = _codebook_map(book)[F.col(name).cast("double")]
             exprs[name] = count_if(F.col(name).isNotNull() & decoded.isNull())
     return _long_counts(df, exprs, "column", "new_nulls")
 

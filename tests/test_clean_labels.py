@@ -183,3 +183,13 @@ def test_metrics_long_keys(spark):
                                  "label string, recall double, precision double, f1 double, roc_auc double, n_test long")
     keys = {r["key"]: r["value"] for r in audit.metrics_long(wide).collect()}
     assert keys == {"stunted_recall": 0.5, "stunted_f1": 0.4, "stunted_roc_auc": 0.9, "stunted_n_test": 10.0}
+
+
+def test_codebook_compares_fractions_as_given(spark):
+    from surveyspark.operators import clean
+    from surveyspark.spec import DRIVER_TABLES
+    column, book = next(iter(DRIVER_TABLES.codebook.items()))
+    code = next(iter(book))
+    df = spark.createDataFrame([(float(code),), (code + 0.7,), (None,)], f"{column} double")
+    assert [r[0] for r in clean.decode_codebook(df, DRIVER_TABLES).collect()] == [book[code], None, None]
+    assert {r["column"]: r["new_nulls"] for r in clean.decode_new_nulls(df, DRIVER_TABLES).collect()}[column] == 1
