@@ -7,11 +7,12 @@ expressions, no Python.
 Tree ensembles: exact interventional Shapley values, averaged over a
 background sample.  For one reference row r, the tree game only depends on
 the features whose split sends x and r different ways.  A leaf is a box of
-feature intervals; it is reached by taking features A from x and B from r if
-each of its intervals holds x's or r's value, A being those that only x meets
-and B those that only r meets.  It contributes
+feature intervals, or sets of categories where a feature is nominal; it is
+reached by taking features A from x and B from r if each of its intervals and
+sets holds x's or r's value, A being those that only x meets and B those that
+only r meets.  It contributes
 ``v (|A|-1)! |B|! / (|A|+|B|)!`` to each feature of A and
-``-v |A|! (|B|-1)! / (|A|+|B|)!`` to each feature of B.  Which intervals a row
+``-v |A|! (|B|-1)! / (|A|+|B|)!`` to each feature of B.  Which of them a row
 meets is one bit mask a leaf, so numpy handles a whole Arrow batch of rows
 against the distinct masks of the background inside ``mapInPandas``; the
 leaves and the background (200 rows) are broadcast -- both are bounded by the
@@ -78,36 +79,63 @@ def export_ensemble(model) -> tuple[list[dict], list[float], str]:
     split = F.col("nodeData.split")
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        split["featureIndex"].alias("feature"), split["leftCategoriesOrThreshold"].alias("at"),
         split["numCategories"].alias("categories"), leaf.alias("value")).toPandas().sort_values(["treeID", "id"])
-    if (nodes["categories"] > 0).any():
-        raise ValueError("categorical splits are not supported; assemble ordinal codes as numbers")
-    trees = [{"feature": np.where(t["left"] < 0, -1, t["feature"]), "threshold": t["threshold"].fillna(0.0).to_numpy(),
+    nodes["threshold"] = [float(a[0]) if c < 0 and len(a) else 0.0 for a, c in zip(nodes["at"], nodes["categories"])]
+    nodes["set"] = [category_set(a, int(c)) if c > 0 else None for a, c in zip(nodes["at"], nodes["categories"])]
+    trees = [{"feature": np.where(t["left"] < 0, -1, t["feature"]), "threshold": t["threshold"].to_numpy(), "sets": list(t["set"]),
               "left": t["left"].to_numpy(), "right": t["right"].to_numpy(), "value": t["value"].to_numpy()}
              for _, t in nodes.groupby("treeID")]
     weights = [float(w) for w in model.treeWeights] if boosted else [1.0 / len(trees)] * len(trees)
     return trees, weights, "margin" if boosted else "probability"
 
 
-def leaf_boxes(trees: list[dict], weights: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """(features, lower bounds, upper bounds, weighted value) of every leaf below a split; a value x lies inside if lo < x <= hi."""
+def category_set(left: Sequence[float], n_categories: int) -> np.ndarray:
+    """Which categories go left; the last place stands for values that are none of them, which go where MLlib's split
+    sends what is not in the smaller of its two sides' lists."""
+    out = np.zeros(n_categories + 1, dtype=bool)
+    out[np.asarray(left, dtype=np.int64)] = True
+    out[n_categories] = len(left) > n_categories / 2
+    return out
+
+
+def in_set(v: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Whether each value is a category of the set."""
+    n = len(members) - 1
+    known = (v >= 0) & (v < n) & (v == np.floor(v))
+    return members[np.where(known, v, n).astype(np.int64)]
+
+
+def leaf_boxes(trees: list[dict], weights: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, dict, float]]:
+    """(features, lower bounds, upper bounds, category sets by place, weighted value) of every leaf below a split; a value x
+    lies inside if lo < x <= hi, or the set at its place holds it.  Leaves that no value reaches are left out."""
     out = []
     for tree, w in zip(trees, weights):
+        sets = tree.get("sets") or [None] * len(tree["feature"])
         stack = [(0, {})]
         while stack:
             node, box = stack.pop()
             f = int(tree["feature"][node])
+            left, right = int(tree["left"][node]), int(tree["right"][node])
             if f < 0:
                 if box:
                     fs = sorted(box)
-                    out.append((np.array(fs), np.array([box[j][0] for j in fs]), np.array([box[j][1] for j in fs]), w * float(tree["value"][node])))
+                    nominal = {i: box[j] for i, j in enumerate(fs) if isinstance(box[j], np.ndarray)}
+                    lo, hi = ([np.nan if i in nominal else box[j][side] for i, j in enumerate(fs)] for side in (0, 1))
+                    out.append((np.array(fs), np.array(lo), np.array(hi), nominal, w * float(tree["value"][node])))
+                continue
+            if sets[node] is not None:
+                inside = box.get(f, np.ones(len(sets[node]), dtype=bool))
+                for child, part in ((left, inside & sets[node]), (right, inside & ~sets[node])):
+                    if part.any():
+                        stack.append((child, {**box, f: part}))
                 continue
             lo, hi = box.get(f, (-np.inf, np.inf))
             t = float(tree["threshold"][node])
             if lo < t:
-                stack.append((int(tree["left"][node]), {**box, f: (lo, min(hi, t))}))
+                stack.append((left, {**box, f: (lo, min(hi, t))}))
             if t < hi:
-                stack.append((int(tree["right"][node]), {**box, f: (max(lo, t), hi)}))
+                stack.append((right, {**box, f: (max(lo, t), hi)}))
     return out
 
 
@@ -123,20 +151,23 @@ def _shares(most: int) -> tuple[np.ndarray, np.ndarray]:
     return pos, neg
 
 
-def _masks(x: np.ndarray, features: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """For each row, the intervals that hold its value, as bits."""
+def _masks(x: np.ndarray, features: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: dict) -> np.ndarray:
+    """For each row, the intervals and sets that hold its value, as bits."""
     v = x[:, features]
-    return ((v > lo) & (v <= hi)) @ (1 << np.arange(len(features)))
+    held = (v > lo) & (v <= hi)
+    for at, members in sets.items():
+        held[:, at] = in_set(v[:, at], members)
+    return held @ (1 << np.arange(len(features)))
 
 
 def tree_shap(x: np.ndarray, bg: np.ndarray, boxes: list, n_features: int) -> np.ndarray:
     """Exact interventional Shapley values of many rows against the background rows: (rows, features)."""
     phi = np.zeros((len(x), n_features))
     pos, neg = _shares(max((len(b[0]) for b in boxes), default=0))
-    for features, lo, hi, value in boxes:
+    for features, lo, hi, sets, value in boxes:
         k = len(features)
-        mine, which = np.unique(_masks(x, features, lo, hi), return_inverse=True)
-        theirs, count = np.unique(_masks(bg, features, lo, hi), return_counts=True)
+        mine, which = np.unique(_masks(x, features, lo, hi, sets), return_inverse=True)
+        theirs, count = np.unique(_masks(bg, features, lo, hi, sets), return_counts=True)
         only_x, only_r = mine[:, None] & ~theirs, theirs & ~mine[:, None]
         n = np.where((mine[:, None] | theirs) == (1 << k) - 1, count * (value / len(bg)), 0.0)
         a, b = np.bitwise_count(only_x), np.bitwise_count(only_r)
@@ -181,7 +212,11 @@ def ensemble_output(model, x: np.ndarray) -> np.ndarray:
         while (t["feature"][at] >= 0).any():
             inner = np.flatnonzero(t["feature"][at] >= 0)
             node = at[inner]
-            left = x[inner, t["feature"][node]] <= t["threshold"][node]
+            v = x[inner, t["feature"][node]]
+            left = v <= t["threshold"][node]
+            for k in np.unique(node):
+                if t["sets"][k] is not None:
+                    left[node == k] = in_set(v[node == k], t["sets"][k])
             at[inner] = np.where(left, t["left"][node], t["right"][node])
         total += w * t["value"][at]
     return total

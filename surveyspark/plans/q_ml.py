@@ -11,7 +11,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
@@ -453,6 +454,40 @@ def q_tree_additivity(spark, sf):
         F.count(F.lit(1)).alias("n_test"), F.sum(near.cast("long")).alias("n_additive"))
 
 
+def _category_features(train):
+    """Length, language and source, the last two as nominal features (indexed with their category lists)."""
+    ix = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"__i_{c}" for c in CATEGORICAL], stringOrderType="alphabetAsc", handleInvalid="keep")
+    stages = [ix, VectorAssembler(inputCols=[*NUMERIC, *ix.getOutputCols()], outputCol="features")]
+    return Pipeline(stages=stages).fit(train)
+
+
+@register("tree_additivity_categories", TEST_SQL + union_all([f"SELECT '{m}' AS label, n AS n_test, n AS n_additive FROM t"
+                                                             for m in ("boosted", "forest")]))
+def q_tree_additivity_categories(spark, sf):
+    """The same for a forest and a boosted model of quality that split on sets of categories."""
+    import numpy as np
+    from surveyspark.operators import attribution
+    from surveyspark.operators.profile import sample_n
+    train, test = split_frames(spark, sf)
+    features = _category_features(train)
+    rows = ml.training_layout(features.transform(train.withColumn("quality", F.col("quality").cast("double"))), train.columns)
+    bg = np.array([r["x"] for r in features.transform(sample_n(train, "id", 200, seed=42))
+                   .select(ml.vector_to_array("features").alias("x")).collect()])     # 200 rows
+    parts = []
+    for name, learner in (("forest", ml.random_forest("quality", None, num_trees=20, max_depth=6)),
+                          ("boosted", ml.boosted_trees("quality", None, max_iter=10, max_depth=4))):
+        model = learner.fit(rows)
+        base = float(attribution.ensemble_output(model, bg).mean())
+        x = features.transform(test)
+        phi = attribution.tree_attribution(x, model, bg, FEATURE_NAMES, name).groupBy("id").agg(F.sum("phi").alias("phi"))
+        raw = ml.vector_to_array(F.col(model.getOrDefault("rawPredictionCol")))
+        shown = ml.vector_to_array(F.col(model.getOrDefault("probabilityCol")))[1] if name == "forest" else raw[1]
+        near = F.abs(F.lit(base) + F.col("phi") - F.col("out")) < 1e-9
+        parts.append(model.transform(x).select("id", shown.alias("out")).join(phi, "id").agg(
+            F.lit(name).alias("label"), F.count(F.lit(1)).alias("n_test"), F.sum(near.cast("long")).alias("n_additive")))
+    return parts[0].unionByName(parts[1])
+
+
 @register("global_importance")
 def q_global_importance(spark, sf):
     """Mean |phi| per feature and label, top 15 (from the linear attributions)."""
