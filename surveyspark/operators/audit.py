@@ -1,8 +1,8 @@
 """Append-only audit log of cleaning steps and the long run-metrics table.
 
-Counts for audit rows come from aggregates: the ``*_audit_rows`` builders
-return lazy DataFrames whose counts are one pass over the input, and the
-end-to-end run counts its written stage outputs.
+Counts for audit rows come from aggregates.  ``load_counts`` are observed on a
+write that happens anyway (``sources.io.computed``) and ``record_load`` appends
+them; ``load_audit_rows`` gives the same rows lazily, by one pass over the input.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, present
-from surveyspark.sources.io import _path_exists
+from surveyspark.sources.io import _path_exists, computed
 from surveyspark.spec import AUDIT_LOG_SCHEMA, SurveySpec
 
 STATUSES = ("PASS", "FAIL", "INFO")
@@ -49,13 +49,12 @@ class AuditLog:
         return out
 
     def flush(self) -> int:
-        """Append the buffered rows (one write per run); returns how many were written."""
-        df = self.pending()
-        n = df.count()
-        if n:
+        """Append the buffered rows (one write per run); returns how many were written, as the write observed them."""
+        df, seen = computed(self.pending())
+        if seen["rows"]:
             df.write.mode("append").parquet(self.path)
         self._rows, self._frames = [], []
-        return n
+        return seen["rows"]
 
     def read_all(self) -> DataFrame:
         if not _path_exists(self.spark, self.path):
@@ -74,25 +73,36 @@ def _audit_row(step: str, column: str, issue: str, action: str, rows: Column, re
                     F.lit(result).alias("validation_result"), F.lit(notes).alias("analyst_notes"))
 
 
+def load_counts(raw: DataFrame, spec: SurveySpec) -> dict[str, Column]:
+    """What the load's audit rows count, as aggregates over the raw table: sentinel codes in the z columns, and rows."""
+    hits = F.lit(0).cast("long")
+    for z in present(raw, spec.raw_z):
+        hits = hits + count_if(F.col(z).isin(list(spec.missing_codes)))
+    return {"hits": hits, "n": F.count(F.lit(1))}
+
+
+def _load_steps(raw: DataFrame, spec: SurveySpec) -> list[tuple[str, str, str, str, str]]:
+    """(step, columns, issue, action, which count) of the load-and-label steps."""
+    zs = ", ".join(present(raw, spec.raw_z))
+    return [("replace_missing_codes", zs, "sentinel codes in z columns", "sentinel codes -> null in all numeric columns", "hits"),
+            ("scale_zscores", zs, "z stored x100", "divided by 100, renamed", "n"),
+            ("apply_thresholds", ", ".join(spec.targets), "no target columns", "z < threshold -> 1, missing z -> null label", "n")]
+
+
 def load_audit_rows(raw: DataFrame, spec: SurveySpec) -> DataFrame:
     """Audit rows of the load-and-label steps, all counts from one pass over the raw table:
     sentinel codes replaced in the z columns, rows scaled, rows labelled."""
-    zs = present(raw, spec.raw_z)
-    codes = list(spec.missing_codes)
-    hits = F.lit(0).cast("long")
-    for z in zs:
-        hits = hits + count_if(F.col(z).isin(codes))
-    f = raw.agg(hits.alias("hits"), F.count(F.lit(1)).alias("n"))
-    rows = [
-        _audit_row("replace_missing_codes", ", ".join(zs), "sentinel codes in z columns",
-                   "sentinel codes -> null in all numeric columns", F.col("hits")),
-        _audit_row("scale_zscores", ", ".join(zs), "z stored x100", "divided by 100, renamed", F.col("n")),
-        _audit_row("apply_thresholds", ", ".join(spec.targets), "no target columns",
-                   "z < threshold -> 1, missing z -> null label", F.col("n")),
-    ]
+    f = raw.agg(*[c.alias(k) for k, c in load_counts(raw, spec).items()])
+    rows = [_audit_row(step, cols, issue, action, F.col(which)) for step, cols, issue, action, which in _load_steps(raw, spec)]
     return f.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def record_load(log: AuditLog, raw: DataFrame, spec: SurveySpec, counts: dict) -> None:
+    """The rows of :func:`load_audit_rows` from counts that a write observed."""
+    for step, cols, issue, action, which in _load_steps(raw, spec):
+        log.record(step, cols, issue, action, counts[which] or 0)
+
+
 def metrics_long(metrics_wide: DataFrame, label_col: str = "label",
                  metric_cols: Sequence[str] = ("recall", "precision", "f1", "roc_auc", "n_test"),
                  run: str = "run") -> DataFrame:

@@ -4,13 +4,10 @@ Stages: recode sentinels -> scale z -> keep-null labels -> fixed-order
 cleaning chain -> label-integrity gates (stop on failure) -> label audit ->
 write the cleaned table, the train/test frames and the summary tables.
 
-The cleaned table is written once and every later stage reads the written
-copy, so the lineage is cut at the stage boundary and a lost executor never
-replays the cleaning chain.  Audit counts come from one aggregate over the
-written copy.  (``DataFrame.observe`` is avoided: it leaves a
-non-serializable observation manager on the session, which breaks the
-transform of any MLlib model holding a training summary later in the same
-session.)
+The labelled and the cleaned table are written once and every later stage
+reads the written copy, so the lineage is cut at the stage boundary and a lost
+executor never replays the cleaning chain.  The counts of the audit log are
+observed by these writes (``sources.io.computed``): no job only counts.
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ from pyspark.sql import functions as F
 
 from surveyspark.functions.exprs import count_if, present
 from surveyspark.operators import audit, clean, gates, labels, split
-from surveyspark.sources.io import save_table
+from surveyspark.sources.io import computed, save_observed, save_table
 from surveyspark.spec import SurveySpec
 
 
@@ -34,16 +31,15 @@ def run_end_to_end(spark: SparkSession, raw: DataFrame, spec: SurveySpec, out_di
                  stop_on_gate_failure: bool = True) -> dict[str, str]:
     """Run every stage and return the paths written."""
     log = audit.AuditLog(spark, os.path.join(out_dir, "audit_log"), dataset="survey")
-    log.record_frame(audit.load_audit_rows(raw, spec))
-
-    labelled = labels.load_and_label(raw, spec)
+    seen_raw = raw.observe("raw", *[c.alias(k) for k, c in audit.load_counts(raw, spec).items()])
+    labelled, seen = computed(labels.load_and_label(seen_raw, spec), also=["raw"])      # row by row: one stage reads and writes
+    audit.record_load(log, raw, spec, seen)
     cleaned = clean.clean_chain(labelled, spec)
 
-    paths = {"cleaned": save_table(cleaned, os.path.join(out_dir, "cleaned"))}
+    paths = {"cleaned": os.path.join(out_dir, "cleaned")}
+    m = save_observed(cleaned, paths["cleaned"], {
+        f"missing_{t}": count_if(F.col(t).isNull()) for t in present(cleaned, spec.targets)})
     cleaned = spark.read.parquet(paths["cleaned"])          # later stages read the written copy
-    m = cleaned.agg(F.count(F.lit(1)).alias("rows"),
-                    *[count_if(F.col(t).isNull()).alias(f"missing_{t}") for t in present(cleaned, spec.targets)]
-                    ).first().asDict()
     log.record("write_cleaned", "all", "cleaned table", "written as parquet", m["rows"])
     g = gates.gates_labels(cleaned, spec)
     paths["gates"] = save_table(g, os.path.join(out_dir, "gates"))

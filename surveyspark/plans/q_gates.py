@@ -275,6 +275,40 @@ def q_end_to_end_run(spark, sf):
     return spark.read.parquet(paths["split_summary"])
 
 
+@register("end_to_end_audit", SPLIT + f", {AUDIT_ROWS}, c AS (SELECT count(*) AS n, "
+          + _sum_sql([f"{t} IS NULL" for t in TARGETS]) + " AS missing FROM fp) "
+          "SELECT step, rows_affected, analyst_notes FROM audit_rows "
+          "UNION ALL SELECT 'write_cleaned', n, '' FROM c UNION ALL SELECT 'train_test_split', n, "
+          "'missing target values: ' || CAST(CAST(missing AS BIGINT) AS VARCHAR) FROM c")
+def q_end_to_end_audit(spark, sf):
+    """The audit log of an end-to-end run, whose counts the run's own writes observed, read back."""
+    from surveyspark.plans.end_to_end import run_end_to_end
+    out = scratch_path(spark, f"end_to_end_{uuid.uuid4().hex}")
+    paths = run_end_to_end(spark, inputs.raw_obs(spark, sf), SPEC, out, stop_on_gate_failure=False)
+    return spark.read.parquet(paths["audit_log"]).where("step <> 'validate_label_integrity'").select(
+        "step", "rows_affected", "analyst_notes")
+
+
+CSV_LINE = ("CASE o_orderkey % 7 WHEN 3 THEN CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus "
+            "WHEN 5 THEN CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',n/a,' || o_orderpriority "
+            "ELSE CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',' || CAST(o_custkey AS VARCHAR) || ',' || o_orderpriority END")
+
+
+@register("load_csv", f"WITH l AS (SELECT *, {CSV_LINE} AS line, o_orderkey % 7 IN (3, 5) AS bad FROM orders), "
+          "c AS (SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count_if(bad) AS BIGINT) AS n_bad FROM l) "
+          "SELECT CASE WHEN bad THEN NULL ELSE o_orderkey END AS id, CASE WHEN bad THEN NULL ELSE o_orderstatus END AS status, "
+          "CASE WHEN bad THEN NULL ELSE o_custkey END AS customer, CASE WHEN bad THEN NULL ELSE o_orderpriority END AS priority, "
+          "CASE WHEN bad THEN line END AS bad_line, lines, n_bad FROM l, c")
+def q_load_csv(spark, sf):
+    """Orders as CSV lines in the shared folder, one in seven too short and one with a word for a number; the rows that
+    load, the lines that don't, and both counts."""
+    path, bad = (scratch_path(spark, f"{name}_{uuid.uuid4().hex}") for name in ("csv", "csv_bad"))
+    inputs.table(spark, sf, "orders").select(F.expr(CSV_LINE.replace("VARCHAR", "STRING")).alias("value")).write.text(path)
+    good, counts = io.load_csv(spark, path, "id long, status string, customer long, priority string", bad, header=False)
+    rows = good.unionByName(spark.read.parquet(bad).select(F.col("line").alias("bad_line")), allowMissingColumns=True)
+    return rows.select("*", F.lit(counts["lines"]).cast("long").alias("lines"), F.lit(counts["bad"]).cast("long").alias("n_bad"))
+
+
 @register("district_parse", "SELECT CAST(c.c_custkey AS INTEGER) AS n, x.n_name AS state, c.c_name AS district "
           "FROM customer c JOIN nation x ON c.c_nationkey = x.n_nationkey")
 def q_district_parse(spark, sf):

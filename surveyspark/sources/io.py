@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from surveyspark.session import checkpoint_dir
@@ -65,15 +65,36 @@ def load_min_rows(spark: SparkSession, path: str, min_rows: int = 1, fmt: str =
     return df
 
 
-def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-               partition_by: Sequence[str] = ()) -> str:
-    """Write a non-empty table (error if empty, and what is at ``path`` stays); parents are created by the writer.
+def computed(df: DataFrame, counts: dict[str, Column] | None = None, also: Sequence[str] = ()) -> tuple[DataFrame, dict]:
+    """(the rows, written once to the checkpoint folder; ``rows`` and the aggregates of ``counts``, observed by that write).
 
-    The rows are computed once, into the checkpoint folder; the test and the write read them there.
+    No further job counts anything.  ``also`` names observations (``DataFrame.observe``) made earlier in the plan, whose
+    values are added.  An observation next to the write counts every partition once; below a shuffle, a task that runs
+    again after a lost executor would count twice, so make earlier ones in the stage that writes.
+
+    Observations have names here and are read from the plan that ran.  An ``Observation`` object would leave a manager on
+    the session that can't be serialised, after which MLlib models that hold a training summary can't transform.
     """
     checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    if df.isEmpty():
+    seen = df.observe("written", F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (counts or {}).items()])
+    out = seen.checkpoint(eager=True)
+    metrics = seen._jdf.queryExecution().observedMetrics()
+    values: dict = {}
+    for name in ("written", *also):
+        row = metrics.apply(name)
+        values.update(zip(row.schema().fieldNames(), (row.get(i) for i in range(row.size()))))
+    return out, values
+
+
+def save_observed(df: DataFrame, path: str, counts: dict[str, Column] | None = None, fmt: str = "parquet", mode: str = "overwrite",
+                  partition_by: Sequence[str] = ()) -> dict:
+    """Write a non-empty table (error if empty, and what is at ``path`` stays); parents are created by the writer.
+
+    The rows are computed once, into the checkpoint folder; that write observes ``rows`` and the aggregates of
+    ``counts``, which are returned, and the table is written from there.
+    """
+    df, values = computed(df, counts)
+    if not values["rows"]:
         raise ValueError(f"refusing to save an empty table to {path}")
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
@@ -81,9 +102,45 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+    return values
+
+
+def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+               partition_by: Sequence[str] = ()) -> str:
+    """:func:`save_observed`, returning the path."""
+    save_observed(df, path, None, fmt, mode, partition_by)
     return path
 
 
+#: Name of the column that holds a line that doesn't fit the schema.
+BAD_LINE = "_corrupt_record"
+
+
+def load_csv(spark: SparkSession, path: str, schema: StructType | str, bad_path: str | None = None, header: bool = True,
+             description: str = "CSV table") -> tuple[DataFrame, dict]:
+    """(the rows that fit ``schema``, {"lines", "bad"}) of CSV files.
+
+    A line that is too short or too long, or has a value that its type can't hold, is bad: it is left out of the rows,
+    and written as it stands, with its file's name, to ``bad_path`` (Parquet, replaced; without a path it is only
+    counted).  The files are parsed once, whole lines whichever columns are used later, into the checkpoint folder;
+    that write observes both counts.  One line is one record; a quote inside a quoted field is doubled.  Empty fields are null; blank lines are no lines; files that only have a header
+    give no rows.  A missing path raises FileNotFoundError naming it.
+    """
+    if not _path_exists(spark, path):
+        raise FileNotFoundError(f"{description} not found: {path}")
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if {BAD_LINE, "_file"} & set(schema.names):
+        raise ValueError(f"{BAD_LINE} and _file are kept for bad lines")
+    read = (spark.read.format("csv").schema(StructType([*schema.fields, StructField(BAD_LINE, StringType())]))
+            .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+            .option("escape", '"').load(path))
+    rows, counts = computed(read.withColumn("_file", F.col("_metadata.file_path")), {"lines": F.count(F.lit(1)), "bad": F.count(BAD_LINE)})
+    if bad_path is not None:
+        rows.where(F.col(BAD_LINE).isNotNull()).select(F.col("_file").alias("file"), F.col(BAD_LINE).alias("line")) \
+            .write.mode("overwrite").parquet(bad_path)
+    return rows.where(F.col(BAD_LINE).isNull()).select(*[f"`{c}`" for c in schema.names]), {k: counts[k] for k in ("lines", "bad")}
+
+
 def label_extract(df: DataFrame, id_col: str, targets: Sequence[str]) -> DataFrame:
     """Row key and the targets present, keeping rows where all of them are present."""
     ts = present(df, targets)
