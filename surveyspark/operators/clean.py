@@ -132,6 +132,61 @@ def decode_new_nulls(df: DataFrame, spec: SurveySpec, skip: Sequence[str] = ())
     return _long_counts(df, exprs, "column", "new_nulls")
 
 
+#: A codebook table up to this many entries and characters of text is sent to every task.
+BOOK_ENTRIES, BOOK_CHARS = 200_000, 16 << 20
+#: Codes that hold at least one row in this many are looked up apart when the codebook is joined by a shuffle.
+HOT_SHARE = 500
+SALTS = 1024
+
+
+def decode_by_table(df: DataFrame, book: DataFrame, columns: Sequence[str] | None = None, max_entries: int = BOOK_ENTRIES,
+                    max_chars: int = BOOK_CHARS) -> DataFrame:
+    """Code -> text by a codebook table (column, code, text), for the columns named in it (or only ``columns``).
+
+    Unmapped and missing codes give null; values compare as given (12.7 is no code 12).  Column names match in any case;
+    equal entries count once; two texts for one code are an error.  One aggregation over the book tells each column's
+    entries and characters.  A book within both bounds is broadcast.  A larger one is joined by a shuffle on the code: codes
+    that at least one row in ``HOT_SHARE`` has (at most that many) are looked up by a broadcast of just their entries, and
+    their rows, like rows without a code, are dealt evenly over the join's partitions, where they match nothing.
+    """
+    entries = book.select(F.lower("column").alias("column"), "code", "text").where("code is not null").distinct()
+    per_code = entries.groupBy("column", "code").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    size = {r["column"]: r for r in per_code.groupBy("column").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("chars").alias("chars"), F.max("n").alias("texts")).collect()}
+    wanted = [c for c in (columns if columns is not None else df.columns) if c.lower() in size]
+    clash = [c for c in wanted if size[c.lower()]["texts"] > 1]
+    if clash:
+        raise ValueError(f"codebook has several texts for one code in {clash}")
+    names = df.columns
+    for c in (n for n in present(df, wanted)):
+        of = entries.where(F.col("column") == c.lower())
+        code = F.col("code").cast("string") if df.schema[c].dataType.typeName() == "string" else F.col("code")
+        of = of.select(code.alias("__code"), F.col("text").alias("__text"))
+        small = size[c.lower()]["entries"] <= max_entries and size[c.lower()]["chars"] <= max_chars
+        df = _decode_small(df, of, c) if small else _decode_large(df, of, c)
+        df = df.select(*[F.col("__text").alias(n) if n == c else F.col(f"`{n}`") for n in names])
+    return df
+
+
+def _decode_small(df: DataFrame, of: DataFrame, c: str) -> DataFrame:
+    return df.join(F.broadcast(of), F.col(f"`{c}`") == F.col("__code"), "left")
+
+
+def _decode_large(df: DataFrame, of: DataFrame, c: str) -> DataFrame:
+    counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    hot = [r["__hot"] for r in counts.where(F.col("__n") >= total / HOT_SHARE).select("__hot").collect()]      # at most HOT_SHARE
+    hot_codes = df.sparkSession.createDataFrame([(h,) for h in hot], T.StructType([T.StructField("__hot", df.schema[c].dataType)]))
+    hot_book = F.broadcast(hot_codes).join(of, F.col("__hot") == F.col("__code"), "left").select("__hot", F.col("__text").alias("__hot_text"))
+    df = df.join(F.broadcast(hot_book), F.col(f"`{c}`") == F.col("__hot"), "left")
+    apart = F.col("__hot").isNotNull() | F.col(f"`{c}`").isNull()
+    df = df.withColumn("__salt", F.when(apart, F.lit(1) + F.pmod(F.xxhash64(*[f"`{n}`" for n in df.columns if not n.startswith("__")]),
+                                                                 F.lit(SALTS))).otherwise(F.lit(0)).cast("long"))
+    of = of.withColumn("__at", F.lit(0).cast("long"))
+    out = df.join(of.hint("merge"), (F.col(f"`{c}`") == F.col("__code")) & (F.col("__salt") == F.col("__at")), "left")
+    return out.withColumn("__text", F.when(F.col("__hot").isNotNull(), F.col("__hot_text")).otherwise(F.col("__text")))
+
+
 # -- P11 clipping -------------------------------------------------------------------
 
 def clip_bounds(df: DataFrame, spec: SurveySpec) -> DataFrame:

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyspark.functions.exprs import col_lookup, count_if, present
+from surveyspark.functions.exprs import col_lookup, count_if, numeric_columns, present
 from surveyspark.functions.ordered import exact_quantiles
 from surveyspark.operators.labels import prevalence
+from surveyspark.operators.split import HASH_BITS, ROWS_PER_BUCKET, hash_bucket, hash_key
 from surveyspark.spec import (GROUP_CODE_LABELS, MISSING_CODE_TEXT, OTHER_CODE_TEXT, PUBLISHED_PREVALENCE,
                               SurveySpec)
 
@@ -57,13 +58,13 @@ def missing_rates(df: DataFrame, cols: Sequence[str] | None = None, positive_onl
     return out.orderBy(F.col("missing_rate").desc(), F.col("column"))
 
 
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = True
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bool = False
                    ) -> DataFrame:
     """Per column: dtype, null count, null share (4 places), numeric min/max, distinct count.
 
-    Null counts and min/max come from one aggregate; exact distinct counts
-    from one shuffle of (column, value) pairs with map-side dedup (the
-    ``approx`` option uses HyperLogLog in the same single aggregate instead).
+    Everything comes from one aggregate; distinct counts are HyperLogLog estimates (standard error
+    5 %).  With ``exact_distinct`` they are counted from one shuffle of (column, value) pairs with map-side dedup.
+    For profiles that later batches extend, see :func:`column_sketches`.
     """
     cols = list(cols) if cols is not None else df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -95,6 +96,39 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, exact_disti
     return prof
 
 
+#: log2 of a sketch's registers; the standard error of an estimate is about 1.04 / sqrt(2^SKETCH_LG).
+SKETCH_LG = 12
+
+
+def column_sketches(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """What later batches can be added to, per column (and per value of the batch columns ``by``): rows, null count,
+    numeric min and max, and a HyperLogLog sketch of the values (a few KB).
+
+    One aggregation; rows of a batch are combined before the shuffle.  The result is made to be written (append each
+    batch's) and read by :func:`merge_sketches`.  Empty input gives no rows with ``by``, else one per column with null sketch.
+    """
+    cols = [c for c in (list(cols) if cols is not None else df.columns) if c not in by]
+    numeric = set(numeric_columns(df))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for c in cols:
+        v = F.col(f"`{c}`")
+        aggs += [F.count(v).alias(f"c_{c}"), F.hll_sketch_agg(v.cast("string"), SKETCH_LG).alias(f"sk_{c}")]
+        aggs += [(f(v) if c in numeric else F.lit(None)).cast("double").alias(f"{k}_{c}") for f, k in ((F.min, "mn"), (F.max, "mx"))]
+    rows = [F.struct(F.lit(c).alias("column"), F.col("__n").alias("rows"), (F.col("__n") - F.col(f"`c_{c}`")).alias("null_count"),
+                     F.col(f"`mn_{c}`").alias("min"), F.col(f"`mx_{c}`").alias("max"), F.col(f"`sk_{c}`").alias("sketch")) for c in cols]
+    return df.groupBy(*by).agg(*aggs).select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """One profile of all batches in a :func:`column_sketches` table: (column, rows, null_count, null_pct, min, max, nunique);
+    ``nunique`` is estimated from the union of the sketches, so a value in several batches counts once."""
+    g = sketches.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("null_count").alias("null_count"), F.min("min").alias("min"),
+                                       F.max("max").alias("max"), F.hll_union_agg("sketch", F.lit(False)).alias("sketch"))
+    share = F.round(F.col("null_count") / F.greatest(F.col("rows"), F.lit(1)).cast("double"), 4)
+    return g.select("column", "rows", "null_count", share.alias("null_pct"), "min", "max",
+                    F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).cast("long").alias("nunique"))
+
+
 def profile_samples(df: DataFrame, id_col: str, cols: Sequence[str] | None = None, k: int = 3) -> DataFrame:
     """First ``k`` non-missing values of each column in id order: (column, pos, id, value).
 
@@ -114,11 +148,47 @@ def head_rows(df: DataFrame, id_col: str, k: int = 3) -> DataFrame:
     return df.orderBy(id_col).limit(k)
 
 
-def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of exactly ``n`` rows, independent of partitioning:
-    the ``n`` smallest md5(id|seed) keys (top-k, no full sort)."""
-    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
-    return df.withColumn("_k", key).orderBy("_k", id_col).limit(n).drop("_k")
+#: Leading hash bits that one histogram of :func:`sample_n` adds: at most 2^15 buckets.
+SAMPLE_BITS = 15
+
+
+def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """A seeded sample of exactly ``n`` rows (all, if there are fewer), independent of partitioning: the ``n`` smallest
+    md5(id|seed) keys, ties by id.
+
+    Histograms over leading hash bits narrow down the bucket that holds the last key until it has at most
+    ``rows_per_bucket`` rows; only these are ordered.  What is returned is a filter on the input, without shuffle or
+    sort, however large ``n``.  Ids should be unique: of equal ids at the cut, any are taken to make up ``n``.
+    """
+    keyed = df.withColumn("_k", hash_key(id_col, seed)).withColumn("_b", hash_bucket(F.col("_k"), HASH_BITS))
+    total, bits, lead, need = None, 0, 0, int(n)
+    while bits < HASH_BITS and need > 0 and (total is None or total > rows_per_bucket):
+        inside = keyed if not bits else keyed.where(F.shiftright("_b", HASH_BITS - bits) == lead)
+        bits += SAMPLE_BITS
+        hist = inside.groupBy(F.shiftright("_b", HASH_BITS - bits).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        upto = hist.withColumn("upto", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        cut = upto.where(F.col("upto") >= need).orderBy("at").first()                  # of at most 2^15 rows
+        if cut is None:
+            return df
+        total, lead, need = cut["n"], cut["at"], need - (cut["upto"] - cut["n"])
+    if need <= 0:
+        return df.limit(0)
+    place = F.struct(F.col("_k").alias("k"), F.col(id_col).alias("i"))
+    at = F.shiftright("_b", HASH_BITS - bits)
+    inside = keyed.where(at == lead).select(place.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    last = upto.where(F.col("upto") >= need).orderBy("p").first()                      # of at most rows_per_bucket distinct ids
+    ties, wanted = last["n"], need - (last["upto"] - last["n"])
+    key, same_id = F.lit(last["p"]["k"]), F.col(id_col).eqNullSafe(F.lit(last["p"]["i"]))
+    if last["p"]["i"] is None:                                                         # null is the smallest id
+        lower = F.lit(False)
+    else:
+        lower = F.coalesce(F.col(id_col) < F.lit(last["p"]["i"]), F.lit(True))
+    before = (at < lead) | (at == lead) & ((F.col("_k") < key) | (F.col("_k") == key) & lower)
+    tied = (at == lead) & (F.col("_k") == key) & same_id
+    if ties == wanted:
+        return keyed.where(before | tied).drop("_k", "_b")
+    return keyed.where(before).unionByName(keyed.where(tied).limit(wanted)).drop("_k", "_b")
 
 
 def value_counts_labelled(df: DataFrame, col: str, book: dict | None = None,

@@ -155,6 +155,34 @@ def q_decode(spark, sf):
     return decoded(spark, sf)
 
 
+PART_BOOK = "SELECT p_partkey AS code, p_name AS text FROM part WHERE p_size % 9 <> 4"
+
+
+def _part_lines(spark, sf, **bounds):
+    book = inputs.table(spark, sf, "part").where("p_size % 9 <> 4").select(
+        F.lit("L_PARTKEY").alias("column"), F.col("p_partkey").alias("code"), F.col("p_name").alias("text"))
+    book = book.unionByName(inputs.table(spark, sf, "supplier").select(
+        F.lit("l_suppkey").alias("column"), F.col("s_suppkey").alias("code"), F.col("s_name").alias("text")))
+    lines = inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return clean.decode_by_table(lines, book, **bounds)
+
+
+DECODE_TABLE_SQL = (f"SELECT l_orderkey, l_linenumber, b.text AS l_partkey, s_name AS l_suppkey FROM lineitem LEFT JOIN ({PART_BOOK}) b "
+                    "ON l_partkey = b.code LEFT JOIN supplier ON l_suppkey = s_suppkey")
+
+
+@register("decode_by_table", DECODE_TABLE_SQL)
+def q_decode_by_table(spark, sf):
+    """Part and supplier keys decoded by one codebook table made of the two tables (parts of some sizes are unlisted)."""
+    return _part_lines(spark, sf)
+
+
+@register("decode_by_large_table", DECODE_TABLE_SQL)
+def q_decode_by_large_table(spark, sf):
+    """The same by the join that a codebook above the broadcast bounds takes."""
+    return _part_lines(spark, sf, max_entries=0)
+
+
 @register("decode_new_nulls", f"WITH {OBS} " + union_all([
     f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NOT NULL AND ({sql_case(c, CODEBOOK[c])}) IS NULL)"
     f" AS BIGINT) AS new_nulls FROM obs" for c in ["v106", "v025", "hv201", "hv205"]]))

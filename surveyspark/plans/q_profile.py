@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from surveyspark.operators import labels, profile
 from surveyspark.plans import inputs
 from surveyspark.plans.oracle_inputs import OBS, RAW_OBS
 from surveyspark.plans.q_clean import OBS_DATA, SPEC, TARGETS, Z, obs
 from surveyspark.plans.registry import register, union_all
+from surveyspark.session import scratch_path
 from surveyspark.spec import CODEBOOK, PUBLISHED_PREVALENCE
 
 GROUPS = ["segment", "status", "priority", "nation"]
@@ -95,7 +100,24 @@ def _profile_sql(c: str, numeric: bool) -> str:
 @register("column_profile", f"WITH {RAW_OBS} " + union_all([
     _profile_sql(c, c not in ("segment", "status", "priority", "nation")) for c in RAW_COLS]))
 def q_column_profile(spark, sf):
-    return profile.column_profile(inputs.raw_obs(spark, sf))
+    return profile.column_profile(inputs.raw_obs(spark, sf), exact_distinct=True)
+
+
+@register("profile_sketches", f"WITH {RAW_OBS} SELECT \"column\", CAST(n AS BIGINT) AS rows, null_count, null_pct, min, max, "
+          "true AS close FROM (" + union_all([_profile_sql(c, c not in ("segment", "status", "priority", "nation"))
+                                              for c in RAW_COLS if c != "nation"]) + "), (SELECT count(*) AS n FROM raw_obs)")
+def q_profile_sketches(spark, sf):
+    """Sketches per nation, appended to a table in the shared folder in two batches, then merged; distinct counts are
+    within four standard errors of the exact ones."""
+    raw = inputs.raw_obs(spark, sf)
+    path = scratch_path(spark, f"sketches_{uuid.uuid4().hex}")
+    for batch in ("v025 = 1", "v025 <> 1"):
+        profile.column_sketches(raw.where(batch), by=["nation"]).write.mode("append").parquet(path)
+    merged = profile.merge_sketches(spark.read.parquet(path))
+    exact = profile.column_profile(raw, exact_distinct=True).select("column", F.col("nunique").alias("exact"))
+    error = 4 * 1.04 / 2 ** (profile.SKETCH_LG / 2)
+    return merged.join(exact, "column").select("column", "rows", "null_count", "null_pct", "min", "max", (
+        F.abs(F.col("nunique") - F.col("exact")) <= F.ceil(error * F.col("exact"))).alias("close"))
 
 
 @register("profile_samples", f"WITH {RAW_OBS}, long AS (" + union_all([
@@ -174,6 +196,14 @@ def q_sample_n(spark, sf):
     return profile.sample_n(obs(spark, sf), "id", 200, seed=42)
 
 
+@register("sample_share", f"WITH {OBS} SELECT * FROM obs ORDER BY md5(CAST(id AS VARCHAR) || '|42'), id "
+          "LIMIT (SELECT count(*) * 3 // 10 FROM obs)")
+def q_sample_share(spark, sf):
+    """Exactly 30 % of the rows, by the same keys."""
+    o = obs(spark, sf)
+    return profile.sample_n(o, "id", o.count() * 3 // 10, seed=42)
+
+
 @register("prevalence_vs_published", f"WITH {OBS}, prev AS ({PREV_SQL}), pub(label, published) AS (VALUES "
           + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PUBLISHED_PREVALENCE.items())
           + ") SELECT prev.label, prevalence AS measured, published, round(prevalence - published, 4) + 0.0 AS difference "
