@@ -285,6 +285,73 @@ def test_main_text_is_measured_on_every_page():
     assert html_text.main_text(f"<body><p>{body} One.</p>{comments}</body>") == f"{body} One."
 
 
+PROSE = ("The cat and the dog are in the house, and it is not for the birds that they have come to this place. " * 3).strip()
+
+
+@pytest.mark.parametrize("comments", [
+    "<section id='comments'><article><p>{0}</p></article></section>", "<article class='comment'><p>{0}</p></article>",
+    "<div class='post-comments'><main><p>{0}</p></main></div>", "<ol class='comment-list'><li><p>{0}</p></li></ol>",
+    "<div aria-label='Reader comments'><p>{0}</p></div>", "<div id='relatedPosts'><article><p>{0}</p></article></div>",
+    "<article class='teaser'><p>{0}</p></article>", "<article class='ad-slot'><p>{0}</p></article>"])
+def test_comments_and_teasers_are_no_text_at_any_depth(comments):
+    one = f"<article><p>{PROSE} One.</p></article>"
+    extra = comments.format(PROSE)
+    for page in (f"<main>{one}{extra}</main>", f"<main><article><p>{PROSE} One.</p>{extra}</article></main>", f"<body>{one}{extra}</body>",
+                 f"<body class='comments'><div class='layout sidebar-right'>{one}{extra}</div></body>"):
+        assert html_text.main_text(page) == f"{PROSE} One."
+
+
+def test_links_do_not_drop_text_of_an_article():
+    for block in ("<h1><a href='/'>Linked headline</a></h1>", "<blockquote><a href='/'>Linked headline</a></blockquote>",
+                  "<blockquote><p><a href='/'>Linked headline</a></p></blockquote>", "<ul><li><a href='/'>Linked headline</a></li></ul>",
+                  "<p>Linked <a href='/'>headline</a></p>", "<p class='social-policy'>Linked headline</p>", "<div id='advertising-law'>Linked headline</div>",
+                  "<header class='entry-header'><h1>Linked headline</h1></header>", "<div class='post-header'><h1>Linked headline</h1></div>",
+                  "<div class='header'><h1>Linked headline</h1></div>"):
+        assert html_text.main_text(f"<body><article>{block}<p>{PROSE}</p></article></body>") == f"Linked headline\n{PROSE}"
+    items = "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(5))
+    assert html_text.main_text(f"<body><main><ul>{items}</ul><p>{PROSE}</p></main></body>") == PROSE
+    some = "<ul><li>Plain entry</li><li><a href='/'>Linked entry</a></li><li>Other</li></ul>"
+    assert html_text.main_text(f"<body><main>{some}<p>{PROSE}</p></main></body>") == f"Plain entry\nLinked entry\nOther\n{PROSE}"
+
+
+def test_pages_in_other_languages():
+    russian = ("Кошка и собака живут в доме, а птицы прилетели сюда издалека, чтобы провести здесь всю долгую зиму. " * 3).strip()
+    chinese = "猫和狗住在房子里，鸟儿从远方飞来，在这里度过漫长的冬天。" * 5
+    nav = "<ul>" + "".join(f"<li><a href='/{i}'>Раздел {i}</a></li>" for i in range(6)) + "</ul>"
+    for text in (russian, chinese):
+        assert html_text.main_text(f"<body>{nav}<div><p>{text}</p><p>{text}</p></div>{nav}</body>") == f"{text}\n{text}"
+    assert html_text.main_text(f"<body>{nav}</body>") == ""
+
+
+def test_neighbour_pass_equals_a_plain_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        labels = [rng.choice(["good", "bad", "near", "short"]) for _ in range(rng.randrange(12))]
+        heads = [rng.random() < 0.3 for _ in labels]
+        want = []
+        for i, label in enumerate(labels):
+            before = next((x for x in reversed(labels[:i]) if x in ("good", "bad")), None)
+            after = next((x for x in labels[i + 1:] if x in ("good", "bad")), None)
+            if label in ("good", "bad"):
+                want.append(label == "good")
+            elif before and after and before != after or not before and not after:
+                want.append(label == "near" or heads[i] and after == "good")
+            else:
+                want.append((before or after) == "good")
+        assert html_text.settle(labels, heads) == want
+
+
+def test_odd_pages(spark):
+    long = " ".join(["the cat and the dog of it"] * 60_000)
+    rows = [(1, "u", f"<article><p>{long}</p></article>"), (1, "u", "<div>" * 20_000 + f"<p>{PROSE}</p>"), (2, None, "<" * 5_000), (None, None, "<article>x</article>")]
+    pages = spark.createDataFrame([(*r, "t", "k") for r in rows + rows[:1]], "page_id long, url string, html string, text string, part string")
+    out = html_text.extract(pages)
+    assert out.columns == ["page_id", "url", "text"]
+    got = collections.Counter((r["page_id"], r["text"]) for r in out.collect())
+    assert got == {(1, long): 2, (1, PROSE): 1, (2, "<" * 5_000): 1, (None, "x"): 1}
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<article>x</article>"), (1, "u", "")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.extract(pages).collect()) == ["", "", "x"]
