@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyspark.llm.tables import documents
+from surveyspark.llm.tables import documents, written
 from surveyspark.llm.words import bounded_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,6 +98,8 @@ def ranked(words: list[str]) -> dict[str, float]:
 RANKS = ranked(COMMON_WORDS)
 #: Corpus words: at most this many, with at least so many occurrences.
 WORDS, LEAST_COUNT = 20_000, 10
+#: Steps of the counts' logarithmic scale to a doubling (64 doublings at most).
+COUNT_STEPS = 32
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", words: int = WORDS, least: int = LEAST_COUNT) -> list[str]:
@@ -105,7 +107,15 @@ def corpus_words(docs: DataFrame, text_col: str = "text", words: int = WORDS, le
     word; values in a credential context aren't counted, so that copies of a leaked one do not make it a word."""
     text = F.lower(F.regexp_replace(F.col(f"`{text_col}`").cast("string"), "(?i)" + CONTEXT.pattern, " "))
     split = docs.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
-    counts = split.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = written(split.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "words")
+    # the step of a fine logarithmic scale that holds the last of them: tasks send no more than what lies on or above it
+    step = F.floor(F.log2(F.col("n").cast("double")) * COUNT_STEPS)
+    above = 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        above += r["n"]
+        if above >= words:
+            counts = counts.where(step >= r["step"])
+            break
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 

@@ -139,6 +139,9 @@ def test_corpus_words_are_cheap_and_leaked_values_are_no_words(spark):
     assert all(got[i]["n_guess"] == 1 for i in (*range(100, 140), 202)) and got[202]["spans"].startswith("guess:22:")
     assert not any(got[i]["n_guess"] for i in (*range(30), 200, 201, 203, 204))
     assert secrets.corpus_words(docs.limit(0)) == []
+    many = spark.createDataFrame([(i, " ".join([w] * (10 + 7 * k % 40))) for i, (k, w) in enumerate(enumerate(map("".join, itertools.product("abc", repeat=4))))], "doc_id long, text string")
+    every = secrets.corpus_words(many)
+    assert len(every) == 81 and all(secrets.corpus_words(many, words=n) == every[:n] for n in (1, 20, 80))
 
 
 # -- licences -----------------------------------------------------------------------------------
