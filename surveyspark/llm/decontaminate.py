@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyspark.llm.tables import plain
+from surveyspark.llm.tables import plain, written
 from surveyspark.llm.words import Words, bounded_batches, grams, mix, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -219,16 +219,20 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                max_edit: float = MAX_EDIT, repetitions: int = REPETITIONS, sampled: int = SAMPLED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The input's rows and columns plus __leaks: an array of (item_id, first_word, distance) of the items found in the text
-    (input names that begin with ``__`` are not carried)."""
+    (input names that begin with ``__`` are not carried).  Only one block's index is held at a time: what the blocks before
+    it found is written first."""
     docs, spark = plain(docs), docs.sparkSession
     bounded_batches(spark)
     leak = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("distance", T.LongType())])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("distance", pa.int64())]))
     out = docs.withColumn("__leaks", F.array().cast(T.ArrayType(leak)))
-    at = docs.columns.index(text_col)
+    at, index = docs.columns.index(text_col), None
     for block in blocks(benchmark, item_col, item_text_col, block_words):
         if not block:
             continue
+        if index is not None:
+            out = written(out, "leaks-so-far")
+            index.destroy()
         index = spark.sparkContext.broadcast(Index(block, max_edit, repetitions, sampled))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
