@@ -11,7 +11,8 @@ partial partition in one task, every group starting as its own, and the partial
 partitions, K sums each, are differenced again, at most ``FAN_IN`` in a task,
 until one is left.
 
-Groups that are large beside one shard's part of a bucket are differenced first.
+Groups that are large beside one shard's part of a bucket are differenced first;
+if they are too many for one bucket, in the same way (the largest of them first).
 Every bucket then starts with its share of their K sums, so that its small groups
 level them, and keeps its parts in that order; one bucket goes last, starts with
 the sums of all the others and levels what they left.
@@ -41,7 +42,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROW_BYTES = 16
 BUCKET_GROUPS = 50_000
 FAN_IN = 1_000
-#: A group is large if it has more than this part of what one shard gets of a bucket (so at most K * buckets / LARGE are).
+#: A group is large if it has more than this part of what one shard gets of a bucket (so at most K * buckets / LARGE are,
+#: which is far fewer than the groups; should they be over half of them, the limit is doubled).
 LARGE = 1 / 8
 #: Rows that are numbered in one task when slots are dealt.
 SLOT_ROWS = 100_000
@@ -122,7 +124,39 @@ def _differenced(placed: DataFrame, shards: int, buckets: int) -> DataFrame:
             path = path.join(step.select("node", F.col("part").alias("at"), "up", "to"), ["node", "at"]).select(
                 "bucket", "part", F.col("up").alias("node"), F.col("to").alias("at"))
         count = up
-    return placed.join(path, ["bucket", "part"]).select("h1", "h2", F.col("at").alias("shard"))
+    return placed.join(path, ["bucket", "part"]).select("h1", "h2", "bytes", F.col("at").alias("shard"))
+
+
+def _sums(placed: DataFrame, part: str, shards: int) -> np.ndarray:
+    sums = np.zeros(shards, dtype=np.int64)
+    for r in placed.groupBy(F.col(part).alias("part")).agg(F.sum("bytes").alias("bytes")).collect():
+        sums[r["part"]] = r["bytes"]
+    return sums
+
+
+def _placed(groups: DataFrame, shards: int) -> DataFrame:
+    """(h1, h2, bytes, shard) of written groups (h1, h2, bytes)."""
+    size = groups.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, -(-size["n"] // BUCKET_GROUPS))
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2", F.lit(buckets)), F.lit(buckets)))
+
+    def place(some: DataFrame, first: np.ndarray) -> DataFrame:
+        return written(some.groupBy("bucket").applyInPandas(_start(first), "bucket long, h1 long, h2 long, bytes long, part int"), "shard-groups-placed")
+
+    n_large, limit = 0, LARGE * size["bytes"] / (shards * buckets)
+    while buckets > 1:
+        is_large = F.col("bytes") > F.lit(limit)
+        n_large = groups.where(is_large).count()
+        if 2 * n_large <= size["n"]:
+            break
+        limit *= 2
+    if not n_large:
+        return _differenced(place(dealt, np.zeros(shards, dtype=np.int64)), shards, buckets)
+    large = written(_placed(written(groups.where(is_large), "shard-groups-large"), shards), "shard-groups-large-placed")
+    heavy = _sums(large, "shard", shards)
+    most = place(dealt.where(~is_large & (F.col("bucket") > 0)), heavy // buckets)
+    last = place(dealt.where(~is_large & (F.col("bucket") == 0)), heavy + _sums(most, "part", shards))
+    return large.union(most.union(last).select("h1", "h2", "bytes", F.col("part").alias("shard")))
 
 
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,27 +166,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
         F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("crc"),
         F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), F.reverse(text)).alias("h2"))
     groups = written(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    size = groups.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    buckets = max(1, -(-size["n"] // BUCKET_GROUPS))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h1", "h2"), F.lit(buckets)))
-    is_large = (F.col("bytes") > F.lit(LARGE * size["bytes"] / (shards * buckets))) & F.lit(buckets > 1)
-
-    def place(some: DataFrame, first: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        placed = written(some.groupBy("bucket").applyInPandas(_start(first), "bucket long, h1 long, h2 long, bytes long, part int"), "shard-groups-placed")
-        sums = np.zeros(shards, dtype=np.int64)
-        for r in placed.groupBy("part").agg(F.sum("bytes").alias("bytes")).collect():
-            sums[r["part"]] = r["bytes"]
-        return placed, sums
-
-    none = np.zeros(shards, dtype=np.int64)
-    large, heavy = place(dealt.where(is_large).withColumn("bucket", F.lit(-1).cast("long")), none) if buckets > 1 else (None, none)
-    if heavy.any():
-        most, level = place(dealt.where(~is_large & (F.col("bucket") > 0)), heavy // buckets)
-        last, _ = place(dealt.where(~is_large & (F.col("bucket") == 0)), heavy + level)
-        where = large.union(most).union(last).select("h1", "h2", F.col("part").alias("shard"))
-    else:
-        placed, _ = place(dealt, none)
-        where = _differenced(placed, shards, buckets)
+    where = _placed(groups.select("h1", "h2", "bytes"), shards).drop("bytes")
     located = written(rows.join(where, ["h1", "h2"]).select("id", "size", "crc", "shard"), "shard-rows")
 
     # slots: rows of a shard are cut into pieces by hash, pieces get offsets, rows are numbered inside their piece
