@@ -6,10 +6,16 @@ away count -1, so any change can be undone exactly.  Keys are 128-bit hashes of
 the stripped, lower-cased line.  From the counts, keys found in at least
 ``min_docs`` documents are the hot ones.
 
-To drop lines, tasks first ask sharded cuckoo filters over the hot keys.  The
-filters have a fixed total size; a shard whose filter would overflow answers
-"perhaps" to everything, so a filter only ever saves work.  Lines that may be
-hot are then joined with the exact counts.
+Sharded cuckoo filters over the hot keys are stored beside the counts.  Each
+batch inserts the keys whose exact count reaches ``min_docs`` with it and deletes
+those whose count falls below; a shard is built anew from the counts only if its
+filter overflowed before and its keys fit again.  A batch counts once its
+filters are written; one that broke off before is written over by the next.
+
+To drop lines, tasks first ask the filters.  They have a fixed total size; a
+shard whose filter would overflow answers "perhaps" to everything, so a filter
+only ever saves work.  Lines that may be hot are then joined with the exact
+counts.
 
 Null and empty texts have one empty line; empty keys are never dropped.  Rows
 count as documents one by one (repeated rows and null ids included): results
@@ -26,7 +32,8 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +49,13 @@ SHARD_BUCKETS = 1 << 15
 SLOTS = 4
 MAX_KICKS = 500
 FULL = 0.9
+#: Keys that a shard's filter may hold.
+ROOM = int(FULL * SHARD_BUCKETS * SLOTS)
+FILTER = "shard long, n long, bytes binary"
+
 
-KEY = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+def shard_of() -> Column:
+    return F.col("k1").bitwiseAND(SHARDS - 1)
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -115,10 +127,14 @@ class CuckooFilter:
         return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(axis=1)
 
 
-def _build_filter(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    f = CuckooFilter()
-    f.insert(rows["k1"].to_numpy(), rows["k2"].to_numpy())
-    return pd.DataFrame({"shard": [key[0]], "bytes": [None if f.overflow else f.table.tobytes()]})
+def _edit_filter(moves: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    """One shard's stored filter (none yet: an empty one) with keys deleted and inserted; at most about twice ROOM keys."""
+    f = CuckooFilter(np.frombuffer(old["bytes"].iloc[0], dtype=np.uint16).reshape(-1, SLOTS).copy() if len(old) else None)
+    k1, k2, up = moves["k1"].to_numpy(), moves["k2"].to_numpy(), moves["up"].to_numpy(dtype=bool)
+    f.delete(k1[~up], k2[~up])
+    f.insert(k1[up], k2[up])
+    n = (int(old["n"].iloc[0]) if len(old) else 0) + int(up.sum()) - int((~up).sum())
+    return pd.DataFrame({"shard": [int(moves["shard"].iloc[0])], "n": [n], "bytes": [None if f.overflow else f.table.tobytes()]})
 
 
 def _probe(tables: dict[int, bytes | None], k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -133,28 +149,107 @@ def _probe(tables: dict[int, bytes | None], k1: np.ndarray, k2: np.ndarray) -> n
 
 
 class LineIndex:
-    """Reference counts of line keys in a folder below the shared one; documents are added and taken away in batches."""
+    """Reference counts of line keys and cuckoo filters over the hot ones, in a folder below the shared one; documents
+    are added and taken away in batches.  A folder that holds an index already is gone on with."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or shared_path(spark, "line-index")
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = MIN_DOCS) -> None:
+        self.spark, self.path, self.min_docs, self.batch = spark, path or shared_path(spark, "line-index"), min_docs, 0
         bounded_batches(spark)
+        if path is not None:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        try:
+            last = self._stored().where("shard = -1").select("batch", "n").orderBy(F.desc("batch")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        if last is not None:
+            if last["n"] != self.min_docs:
+                raise ValueError(f"the index at {self.path} holds filters for min_docs = {last['n']}, not {self.min_docs}")
+            self.batch = last["batch"]
+
+    def _stored(self) -> DataFrame:
+        """All versions of the filters; row -1 of a version states its min_docs."""
+        return self.spark.read.schema("shard long, n long, bytes binary, batch int").parquet(f"{self.path}/filters")
+
+    def _batches(self, first: int, last: int) -> DataFrame:
+        if last < 1:
+            return self.spark.createDataFrame([], "k1 long, k2 long, n long")
+        rows = self.spark.read.schema("k1 long, k2 long, n long, batch int").parquet(f"{self.path}/counts")
+        return rows.where(F.col("batch").between(first, last)).select("k1", "k2", "n")
 
     def add(self, docs: DataFrame, text_col: str = "text", sign: int = 1) -> LineIndex:
+        now = self.batch + 1
         counts = line_counts(docs, text_col).groupBy("k1", "k2").agg((F.sum("n") * sign).alias("n"))
-        counts.write.mode("append").parquet(self.path)
+        counts.write.mode("overwrite").parquet(f"{self.path}/counts/batch={now}")
+        self._edit_filters(now)
+        self.batch = now
         return self
 
     def remove(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
         """Takes documents away that were added before."""
         return self.add(docs, text_col, -1)
 
+    def _crossings(self, now: int) -> DataFrame:
+        """(k1, k2, shard, up): keys whose count reaches min_docs, or falls below it, with batch ``now``."""
+        delta = self._batches(now, now)
+        both = delta.select("k1", "k2", F.lit(0).cast("long").alias("was"), F.col("n").alias("total"))
+        if now > 1:                                          # of the older batches only the keys that the new one has
+            old = self._batches(1, now - 1).join(delta.select("k1", "k2"), ["k1", "k2"], "left_semi")
+            both = both.union(old.select("k1", "k2", "n", "n")).groupBy("k1", "k2").agg(F.sum("was").alias("was"), F.sum("total").alias("total"))
+        up = F.col("total") >= self.min_docs
+        return both.where(up != (F.col("was") >= self.min_docs)).select("k1", "k2", shard_of().alias("shard"), up.alias("up"))
+
+    def _edit_filters(self, now: int) -> None:
+        moves = written(self._crossings(now), "line-crossings")
+        before = self._stored().where(F.col("batch") == now - 1).select("shard", "n", "bytes").where("shard >= 0") if now > 1 else self.spark.createDataFrame([], FILTER)
+        size, lost = {}, set()
+        for r in before.select("shard", "n", F.col("bytes").isNull().alias("lost")).collect():
+            size[r["shard"]] = r["n"]
+            lost |= {r["shard"]} if r["lost"] else set()
+        moved = moves.groupBy("shard").agg(F.sum(F.when(F.col("up"), 1).otherwise(-1)).alias("d")).collect()
+        for r in moved:
+            size[r["shard"]] = size.get(r["shard"], 0) + r["d"]
+        fits = {s for s, n in size.items() if 0 < n <= ROOM}
+        again = sorted(fits & lost)                          # too full before, fits now (or was unlucky): built from the counts
+        edited = sorted(fits & {r["shard"] for r in moved} - lost)
+        todo = moves.where(F.col("shard").isin(edited))
+        if again:
+            hot = self._hot(now, self.min_docs).select("k1", "k2", shard_of().alias("shard"), F.lit(True).alias("up"))
+            todo = todo.union(hot.where(F.col("shard").isin(again)))
+        new = before.where(F.col("shard").isin(sorted(fits - {*again, *edited})))
+        if again or edited:
+            old = before.where(F.col("shard").isin(edited)).groupBy("shard")
+            new = new.union(todo.groupBy("shard").cogroup(old).applyInPandas(_edit_filter, FILTER))
+        rest = [(s, n, None) for s, n in size.items() if n > ROOM] + [(-1, self.min_docs, None)]
+        new.union(self.spark.createDataFrame(rest, FILTER)).write.mode("overwrite").parquet(f"{self.path}/filters/batch={now}")
+
+    def filters(self) -> dict[int, bytes | None]:
+        """The stored filters, of fixed size in all; None for a shard with too many hot keys."""
+        if not self.batch:
+            return {}
+        rows = self._stored().where((F.col("batch") == self.batch) & (F.col("shard") >= 0))
+        return {r["shard"]: None if r["bytes"] is None else bytes(r["bytes"]) for r in rows.collect()}
+
     def counts(self) -> DataFrame:
         """Documents per key now; keys that no document has any more are gone."""
-        rows = self.spark.read.schema("k1 long, k2 long, n long").parquet(self.path)
-        return rows.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where("n > 0")
+        return self._totals(self.batch).where("n > 0")
+
+    def _totals(self, last: int) -> DataFrame:
+        rows = self._batches(1, last)
+        return rows if last <= 1 else rows.groupBy("k1", "k2").agg(F.sum("n").alias("n"))    # a batch has one row for each key
+
+    def _hot(self, last: int, min_docs: int) -> DataFrame:
+        return self._totals(last).where(F.col("n") >= min_docs).select("k1", "k2")
+
+    def hot(self, min_docs: int | None = None) -> DataFrame:
+        return written(self._hot(self.batch, self.min_docs if min_docs is None else min_docs), "hot-lines")
 
-    def hot(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        return written(self.counts().where(F.col("n") >= min_docs).select("k1", "k2"), "hot-lines")
+    def drop(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``drop_lines`` with the index's own hot keys and stored filters."""
+        return drop_lines(docs, self.hot(), text_col, self.filters())
 
 
 def line_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -174,23 +269,24 @@ def line_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def filters(hot: DataFrame) -> dict[int, bytes | None]:
-    """The cuckoo filters (at most SHARDS * SHARD_BUCKETS * SLOTS * 2 bytes); shards with too many keys are not built."""
-    shard = F.col("k1").bitwiseAND(SHARDS - 1)
-    sizes = {r["s"]: r["n"] for r in hot.groupBy(shard.alias("s")).agg(F.count("*").alias("n")).collect()}
-    room = int(FULL * SHARD_BUCKETS * SLOTS)
-    fit = [s for s, n in sizes.items() if n <= room]
-    built = hot.withColumn("shard", shard).where(F.col("shard").isin(fit)).groupBy("shard").applyInPandas(_build_filter, "shard long, bytes binary")
+    """Cuckoo filters over hot keys that no index holds (at most SHARDS * SHARD_BUCKETS * SLOTS * 2 bytes); shards with
+    too many keys are not built."""
+    keyed = hot.select("k1", "k2", shard_of().alias("shard"), F.lit(True).alias("up"))
+    sizes = {r["shard"]: r["n"] for r in keyed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    few = keyed.where(F.col("shard").isin([s for s, n in sizes.items() if n <= ROOM]))
+    none = pd.DataFrame({"n": [], "bytes": []})
+    built = few.groupBy("shard").applyInPandas(lambda moves: _edit_filter(moves, none), FILTER)
     out: dict[int, bytes | None] = {s: None for s in sizes}
     out.update({r["shard"]: None if r["bytes"] is None else bytes(r["bytes"]) for r in built.collect()})
     return out
 
 
-def drop_lines(docs: DataFrame, hot: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, hot: DataFrame, text_col: str = "text", stored: dict[int, bytes | None] | None = None) -> DataFrame:
     """The input's rows with hot lines gone from the text, plus __n_lines and __n_dropped; other columns unchanged
-    (input names that begin with ``__`` are not carried)."""
+    (input names that begin with ``__`` are not carried).  ``stored``: filters that hold all hot keys; built here if not given."""
     docs, spark = plain(docs), docs.sparkSession
     bounded_batches(spark)
-    tables = spark.sparkContext.broadcast(filters(hot))
+    tables = spark.sparkContext.broadcast(filters(hot) if stored is None else stored)
     text = F.col(f"`{text_col}`").cast("string")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in many documents dropped from every document."""
     docs = _table(spark, sf_dir, "documents")
-    return line_dedup.line_digest(line_dedup.drop_lines(docs, line_dedup.LineIndex(spark).add(docs).hot()))
+    return line_dedup.line_digest(line_dedup.LineIndex(spark).add(docs).drop(docs))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,6 +277,50 @@ def test_line_index_is_reversible(spark, docs):
     assert index.remove(docs).counts().count() == 0
 
 
+def stored_keys(index):
+    """Keys that the stored filters hold among those ever counted, and entries in them."""
+    keys = sorted({(r["k1"], r["k2"]) for r in index._batches(1, index.batch).collect()})
+    k1, k2 = np.array(keys, dtype=np.int64).reshape(-1, 2).T
+    tables = index.filters()
+    entries = sum(int(np.count_nonzero(np.frombuffer(b, dtype=np.uint16))) for b in tables.values() if b is not None)
+    return {k for k, may in zip(keys, line_dedup._probe(tables, k1, k2)) if may}, entries
+
+
+def test_line_filters_follow_the_counts(spark, tmp_path):
+    """Add, remove and drop in sequence: the filters hold just the hot keys, drops equal the plain version, other processes go on."""
+    rnd = random.Random(11)
+    lines = [f"line {i}" for i in range(60)]
+    texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 9))) for _ in range(60)] + [None, "", "line 1\nline 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "index")
+    now = set()
+    for change, lo, hi in (("add", 0, 40), ("add", 40, 63), ("remove", 10, 30), ("add", 10, 12), ("remove", 0, 10)):
+        index = line_dedup.LineIndex(spark, path, min_docs=5)
+        getattr(index, change)(docs.where(f"doc_id >= {lo} and doc_id < {hi}"))
+        now = now | set(range(lo, hi)) if change == "add" else now - set(range(lo, hi))
+        hot = {(r["k1"], r["k2"]) for r in index.hot().collect()}
+        assert hot and stored_keys(index) == (hot, len(hot))
+        mine = docs.where(F.col("doc_id").isin(sorted(now)))
+        got = by_id(line_dedup.line_digest(index.drop(mine)))
+        for i, kept in zip(sorted(now), without_hot([texts[i] for i in sorted(now)], 5)):
+            assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    with pytest.raises(ValueError, match="min_docs"):
+        line_dedup.LineIndex(spark, path, min_docs=6)
+
+
+def test_line_filters_that_were_too_full(spark, monkeypatch):
+    """A shard with too many keys answers 'perhaps'; when they fit again, it is built from the counts."""
+    monkeypatch.setattr(line_dedup, "ROOM", 2)
+    docs = spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(300))) for i in range(3)] + [(i, "line 1\nline 2") for i in range(3, 6)], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, min_docs=3).add(docs)
+    assert None in index.filters().values()
+    assert sum(r["__n_dropped"] for r in index.drop(docs).collect()) == 906
+    index.remove(docs.where("doc_id = 0"))
+    assert None not in index.filters().values() and len(stored_keys(index)[0]) == 2
+    assert [r["__n_dropped"] for r in index.drop(docs.where("doc_id = 3")).collect()] == [2]
+    assert index.remove(docs.where("doc_id > 0")).filters() == {}
+
+
 def test_cuckoo_filter_takes_and_gives_back():
     rng = np.random.default_rng(1)
     k1, k2 = rng.integers(-2**62, 2**62, 5000), rng.integers(-2**62, 2**62, 5000)
@@ -443,6 +487,18 @@ def test_sharding_levels_a_copy_group(spark, monkeypatch):
         assert max(totals.values()) * 40 < 1.01 * sum(totals.values())
 
 
+def test_sharding_deals_large_groups_into_buckets_too(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 20)
+    rng = np.random.default_rng(6)
+    sizes = [30_000, *rng.integers(5000, 9000, 100), *rng.integers(60, 300, 500)]
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * int(n)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    totals = collections.Counter()
+    rows = sharding.assign_shards(docs, 4).collect()
+    for r in rows:
+        totals[r["shard"]] += r["size"]
+    assert len(rows) == len(sizes) and max(totals.values()) - min(totals.values()) < 300
+
+
 # -- repeats ------------------------------------------------------------------------------------
 
 def test_substring_dedup(docs, texts):
