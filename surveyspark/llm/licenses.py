@@ -2,9 +2,12 @@
 
 1. Document frequency, over all documents, of every word of the templates.
 2. Per template, the rarest words (highest IDF) are its index entries: word -> (template, position).
-3. Each file looks up its words there; hits of one template at one relative
-   position (place in the file minus place in the template) are counted.
-4. A template with enough aligned hits and all of its key phrases gives its label.
+3. Each file takes those of its words that are entries, highest IDF first; a
+   template of which it has enough words is a candidate.
+4. Candidates' postings are intersected by relative position (place in the file
+   minus place in the template): enough hits must agree on one.
+5. Only then the template's key phrases are looked for; with all of them it
+   gives its label.  Versions are templates of their own.
 
 Null and empty texts have no words and no labels; rows are handled one by one,
 so ids may be null or repeated; other columns of the input take no part.
@@ -24,7 +27,7 @@ from surveyspark.llm.tables import documents
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Opening notices of licences in common use, with phrases that each must contain.
+#: Notices and conditions of licences in common use, with phrases that each must contain.
 TEMPLATES = {
     "mit": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files, to deal in the Software without restriction, including without limitation the rights to use, "
@@ -55,6 +58,63 @@ TEMPLATES = {
     "cc-by": ("This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this "
               "license, visit http://creativecommons.org/licenses/by/4.0/",
               ("creative commons attribution",)),
+    "mit-terms": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+                  "Software. The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited "
+                  "to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors "
+                  "or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or "
+                  "otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+                  ("substantial portions of the software",)),
+    "apache-2.0": ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+                   "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the "
+                   "specific language governing permissions and limitations under the License.",
+                   ("without warranties or conditions of any kind", "governing permissions and limitations under the license")),
+    "gpl-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+                ("gnu general public license", "version 2 of the license")),
+    "gpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                ("gnu general public license", "version 3 of the license")),
+    "lgpl-2.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public "
+                 "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+                 ("gnu library general public license", "version 2 of the license")),
+    "lgpl-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                 "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+                 ("gnu lesser general public license", "version 2 1 of the license")),
+    "lgpl-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                 "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                 ("gnu lesser general public license", "version 3 of the license")),
+    "agpl-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                 "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+                 ("gnu affero general public license", "version 3 of the license")),
+    "bsd-terms": ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+                  "disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the "
+                  "copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the "
+                  "implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright "
+                  "holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages.",
+                  ("redistributions in binary form must reproduce the above copyright notice",)),
+    "bsd-3": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+              "from this software without specific prior written permission.",
+              ("endorse or promote products derived from this software without specific prior written permission",)),
+    "cc-by-sa": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this "
+                 "license, visit http://creativecommons.org/licenses/by-sa/4.0/",
+                 ("creative commons attribution sharealike",)),
+    "cc-by-nc": ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of "
+                 "this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
+                 ("creative commons attribution noncommercial",)),
+    "cc0": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or "
+            "neighboring rights to this work.",
+            ("waived all copyright and related or neighboring rights",)),
+    "zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+             "any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+             "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+             ("to alter it and redistribute it freely subject to the following restrictions",)),
+    "boost": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+              "documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to "
+              "prepare derivative works of the Software",
+              ("any person or organization obtaining a copy of the software",)),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+            "available at https://www.eclipse.org/legal/epl-2.0/",
+            ("eclipse public license",)),
 }
 #: Index entries for each template, and aligned hits that a candidate needs.
 RARE_WORDS = 12
@@ -85,47 +145,55 @@ def of_template(codes: str, n: int) -> F.Column:
     return F.filter(codes, lambda c: F.shiftright(c, 41) == n)
 
 
-def rare_words(words: DataFrame) -> dict[str, list[str]]:
-    """The rarest words of each template among those that the documents have, however common; counts are of template words only (a few hundred rows)."""
+def rare_words(words: DataFrame) -> tuple[dict[str, list[str]], dict[str, tuple[int, str]]]:
+    """(the rarest words of each template among those that the documents have, however common; the order of all template
+    words by IDF); counts are of template words only (a few hundred rows)."""
     per_template = template_words()
     vocabulary = sorted({w for ws in per_template.values() for w in ws})
     found = words.select(F.explode(F.array_intersect("__words", F.array(*map(F.lit, vocabulary)))).alias("w"))
     df = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {k: sorted((w for w in set(ws) if w in df), key=lambda w: (df[w], w))[:RARE_WORDS] for k, ws in per_template.items()}
+    order = {w: (n, w) for w, n in df.items()}
+    return {k: sorted((w for w in set(ws) if w in df), key=order.__getitem__)[:RARE_WORDS] for k, ws in per_template.items()}, order
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, found_labels (arrays), score."""
     base = documents(docs, id_col, text_col).select(F.col(f"`{id_col}`"), normal(F.col(f"`{text_col}`")).alias("__norm"))
     words = base.withColumn("__words", F.split(F.trim("__norm"), " "))
-    rare = rare_words(words)
+    rare, order = rare_words(words)
     labels = list(TEMPLATES)
     postings: dict[str, list[int]] = {}
     for n, label in enumerate(labels):
         for at, w in enumerate(template_words()[label]):
             if w in rare[label]:
                 postings.setdefault(w, []).append(n * SHIFT + SHIFT // 2 - at)
+    entries = sorted(postings, key=order.__getitem__)
     postings = postings or {"": [0]}
-    keys = F.array(*map(F.lit, postings))
     index = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), F.array(*[F.lit(v).cast("long") for v in p]))])
 
+    # the file's entries, highest IDF first, and whether some template has LEAST_HITS of them
+    words = words.withColumn("__rare", F.array_intersect(F.array(*map(F.lit, entries or [""])), "__words"))
+    sets = [F.array(*map(F.lit, ws)) for ws in dict.fromkeys(tuple(rare[label]) for label in labels) if len(ws) >= LEAST_HITS]
+    some = reduce(lambda a, b: a | b, [F.size(F.array_intersect("__rare", ws)) >= LEAST_HITS for ws in sets], F.lit(False))
     # aligned hits: the same code (template, place in file - place in template) at least LEAST_HITS times
-    hits = F.flatten(F.filter(F.transform("__words", lambda w, i: F.transform(F.element_at(index, w), lambda p: p + i)), lambda a: a.isNotNull()))
-    # only a file with some template's phrases can have a label
-    phrase = {label: reduce(lambda a, b: a & b, [F.contains("__norm", F.lit(f" {p} ")) for p in TEMPLATES[label][1]]) for label in labels}
-    some = reduce(lambda a, b: a | b, phrase.values()) & (F.size(F.array_intersect("__words", keys)) >= LEAST_HITS)
-    words = words.withColumn("__codes", F.when(some, F.sort_array(hits)).otherwise(F.array().cast("array<bigint>")))
+    placed = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("__rare", x["w"]))
+    hits = F.flatten(F.transform(placed, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: p + x["i"])))
+    words = words.withColumn("__codes", F.when((F.size("__rare") >= LEAST_HITS) & some, F.sort_array(hits)).otherwise(F.array().cast("array<bigint>")))
     best = F.filter("__codes", lambda c, i: (i >= LEAST_HITS - 1) & (c == F.get("__codes", i - (LEAST_HITS - 1))))
     words = words.withColumn("__aligned", F.array_distinct(best))
     words = words.withColumn("__hit", F.when(F.size("__aligned") > 0, F.filter("__codes", lambda c: F.array_contains("__aligned", c))).otherwise(F.col("__aligned")))
     shares, accepted = [], []
     for n, label in enumerate(labels):
-        mine = of_template("__aligned", n)
-        ok = (F.size(mine) > 0) & phrase[label]
+        phrases = reduce(lambda a, b: a & b, [F.contains("__norm", F.lit(f" {p} ")) for p in TEMPLATES[label][1]])
+        ok = F.exists("__aligned", lambda c: F.shiftright(c, 41) == n) & phrases
         accepted.append(F.when(ok, F.lit(label)))
         size = sum(w in rare[label] for w in template_words()[label])
         hit = F.size(of_template("__hit", n))
-        shares.append(F.when(ok, F.least(F.lit(1.0), hit / F.lit(float(size)))).otherwise(F.lit(0.0)))
+        shares.append(F.when(ok, F.least(F.lit(1.0), hit / F.lit(float(max(size, 1))))).otherwise(F.lit(0.0)))
+    # most files have no aligned hits at all
+    met = F.size("__aligned") > 0
+    found = F.when(met, F.array_sort(F.array_compact(F.array(*accepted)))).otherwise(F.array().cast("array<string>"))
+    score = F.when(met, F.greatest(*shares)).otherwise(F.lit(0.0))
 
     here = {p: F.contains("__norm", F.lit(f" {p} ")) for p in PHRASES}
     doubled = F.replace("__norm", F.lit(" "), F.lit("  "))  # so that places one after the other share no space
@@ -143,7 +211,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         reduce(lambda a, b: a + b, map(places, PHRASES)).alias("n_base"),
         F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(here[p], F.lit(v)) for p, v in PHRASES.items()])))).alias("base_labels"),
-        F.array_sort(F.array_compact(F.array(*accepted))).alias("found_labels"), F.greatest(*shares).alias("score"))
+        found.alias("found_labels"), score.alias("score"))
 
 
 def license_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

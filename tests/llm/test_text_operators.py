@@ -172,6 +172,44 @@ def test_common_licenses_are_found(spark):
     assert all(got[i]["score"] > 0.9 for i in (*range(12), 23)) and got[15]["labels"] == ""
 
 
+def plain_labels(texts):
+    """Labels by a plain search: word counts, rarest words, hits by relative position, phrases."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for t in texts]
+    df = collections.Counter(w for ws in split for w in set(ws))
+    out = [set() for _ in texts]
+    for label, (text, phrases) in licenses.TEMPLATES.items():
+        template = re.findall(r"[a-z0-9]+", text.lower())
+        rare = sorted({w for w in template if df[w]}, key=lambda w: (df[w], w))[:licenses.RARE_WORDS]
+        for i, ws in enumerate(split):
+            hits = collections.Counter(a - b for a, w in enumerate(ws) for b, x in enumerate(template) if w == x and w in rare)
+            joined = f" {' '.join(ws)} "
+            if max(hits.values(), default=0) >= licenses.LEAST_HITS and all(f" {p} " in joined for p in phrases):
+                out[i].add(label)
+    return out
+
+
+def test_labels_equal_a_plain_search(spark):
+    """Notices with words changed, left out and put in, several in one file, cut short; one licence in half of the files; a long text."""
+    rnd = random.Random(12)
+    templates = [t for t, _ in licenses.TEMPLATES.values()]
+    texts = [None, "", "permission"]
+    for k, t in enumerate(templates * 2):
+        w = t.split()
+        for _ in range(rnd.randint(0, 6)):
+            how, p = rnd.choice("sid"), rnd.randrange(len(w))
+            w[p:p + (how != "i")] = ["changed"] if how != "d" else []
+        w = w[:rnd.randint(8, len(w))] if k % 5 == 0 else w
+        texts.append(prose(rnd, rnd.randint(0, 30)) + " " + " ".join(w) + "\n" + rnd.choice((rnd.choice(templates), prose(rnd, 20))))
+    texts += [prose(rnd, 10) + templates[0] for _ in range(len(texts))] + [prose(rnd, 30_000) + " " + templates[2] + prose(rnd, 9)]
+    want = plain_labels(texts)
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert {i: set(got[i]["found_labels"]) for i in got} == dict(enumerate(want))
+    assert len(set().union(*want)) == len(templates)
+    versions = by_id(licenses.scan_licenses(spark.createDataFrame([(i, licenses.TEMPLATES[x][0]) for i, x in enumerate(("gpl-2.0", "lgpl-3.0"))], "doc_id long, text string")))
+    assert "gpl-3.0" not in versions[0]["found_labels"] and "gpl-2.0" in versions[0]["found_labels"]
+    assert "lgpl-2.1" not in versions[1]["found_labels"] and "lgpl-3.0" in versions[1]["found_labels"]
+
+
 # -- quality ------------------------------------------------------------------------------------
 
 def test_quality_statistics(spark, docs, texts):
