@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept.
+
+Null and empty texts fail the quality rules, like every text of fewer than 50 words; null and repeated ids are rows like
+any others until near dedup, which keeps rows without an id and takes rows with one id as one document.  An empty table gives
+empty stages.  Extra columns are carried up to the last stage, but for those whose names begin with two underscores.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand in many of them."""
-    index = line_dedup.LineIndex(spark).add(docs)
-    return line_dedup.drop_lines(docs, index.hot()).select(*plain(docs).columns)
+    return line_dedup.LineIndex(spark).add(docs).drop(docs).select(*plain(docs).columns)
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
