@@ -3,7 +3,9 @@
 1. Document frequency, over all documents, of every word of the templates.
 2. Per template, the rarest words (highest IDF) are its index entries: word -> (template, position).
 3. Each file takes those of its words that are entries, highest IDF first; a
-   template of which it has enough words is a candidate.
+   template of which it has enough words, among them the rarest one of the key
+   phrases, is a candidate.  A template with a key word that no document has
+   gets no postings.
 4. Candidates' postings are intersected by relative position (place in the file
    minus place in the template): enough hits must agree on one.
 5. Only then the template's key phrases are looked for; with all of them it
@@ -162,28 +164,34 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words = base.withColumn("__words", F.split(F.trim("__norm"), " "))
     rare, order = rare_words(words)
     labels = list(TEMPLATES)
+    needed = {label: " ".join(TEMPLATES[label][1]).split() for label in labels}
+    live = [label for label in labels if all(w in order for w in needed[label]) and len(rare[label]) >= LEAST_HITS]
+    key = {label: min(needed[label], key=order.__getitem__) for label in live}
     postings: dict[str, list[int]] = {}
     for n, label in enumerate(labels):
         for at, w in enumerate(template_words()[label]):
-            if w in rare[label]:
+            if label in key and w in rare[label]:
                 postings.setdefault(w, []).append(n * SHIFT + SHIFT // 2 - at)
-    entries = sorted(postings, key=order.__getitem__)
+    entries = sorted({*postings, *key.values()}, key=order.__getitem__)
     postings = postings or {"": [0]}
     index = F.create_map(*[x for w, p in postings.items() for x in (F.lit(w), F.array(*[F.lit(v).cast("long") for v in p]))])
 
     # the file's entries, highest IDF first, and whether some template has LEAST_HITS of them
     words = words.withColumn("__rare", F.array_intersect(F.array(*map(F.lit, entries or [""])), "__words"))
-    sets = [F.array(*map(F.lit, ws)) for ws in dict.fromkeys(tuple(rare[label]) for label in labels) if len(ws) >= LEAST_HITS]
-    some = reduce(lambda a, b: a | b, [F.size(F.array_intersect("__rare", ws)) >= LEAST_HITS for ws in sets], F.lit(False))
+    sets = dict.fromkeys((key[label], tuple(rare[label])) for label in live)
+    some = reduce(lambda a, b: a | b, [F.array_contains("__rare", w) & (F.size(F.array_intersect("__rare", F.array(*map(F.lit, ws)))) >= LEAST_HITS) for w, ws in sets], F.lit(False))
     # aligned hits: the same code (template, place in file - place in template) at least LEAST_HITS times
-    placed = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("__rare", x["w"]))
-    hits = F.flatten(F.transform(placed, lambda x: F.transform(F.element_at(index, x["w"]), lambda p: p + x["i"])))
-    words = words.withColumn("__codes", F.when((F.size("__rare") >= LEAST_HITS) & some, F.sort_array(hits)).otherwise(F.array().cast("array<bigint>")))
+    ready = (F.size("__rare") >= LEAST_HITS) & some
+    words = words.withColumn("__posts", F.when(ready, F.transform("__rare", lambda w: F.element_at(index, w))))   # one look-up for each word of the file
+    hits = F.transform("__words", lambda w, i: F.transform(F.get("__posts", F.array_position("__rare", w).cast("int") - 1), lambda p: p + i))
+    hits = F.sort_array(F.flatten(F.filter(hits, lambda a: a.isNotNull())))
+    words = words.withColumn("__codes", F.when(F.col("__posts").isNotNull(), hits).otherwise(F.array().cast("array<bigint>")))
     best = F.filter("__codes", lambda c, i: (i >= LEAST_HITS - 1) & (c == F.get("__codes", i - (LEAST_HITS - 1))))
     words = words.withColumn("__aligned", F.array_distinct(best))
     words = words.withColumn("__hit", F.when(F.size("__aligned") > 0, F.filter("__codes", lambda c: F.array_contains("__aligned", c))).otherwise(F.col("__aligned")))
     shares, accepted = [], []
-    for n, label in enumerate(labels):
+    for label in live:
+        n = labels.index(label)
         phrases = reduce(lambda a, b: a & b, [F.contains("__norm", F.lit(f" {p} ")) for p in TEMPLATES[label][1]])
         ok = F.exists("__aligned", lambda c: F.shiftright(c, 41) == n) & phrases
         accepted.append(F.when(ok, F.lit(label)))
@@ -192,8 +200,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shares.append(F.when(ok, F.least(F.lit(1.0), hit / F.lit(float(max(size, 1))))).otherwise(F.lit(0.0)))
     # most files have no aligned hits at all
     met = F.size("__aligned") > 0
-    found = F.when(met, F.array_sort(F.array_compact(F.array(*accepted)))).otherwise(F.array().cast("array<string>"))
-    score = F.when(met, F.greatest(*shares)).otherwise(F.lit(0.0))
+    found = F.when(met, F.array_sort(F.array_compact(F.array(*accepted, F.lit(None).cast("string"))))).otherwise(F.array().cast("array<string>"))
+    score = F.when(met, F.greatest(*shares, F.lit(0.0), F.lit(0.0))).otherwise(F.lit(0.0))
 
     here = {p: F.contains("__norm", F.lit(f" {p} ")) for p in PHRASES}
     doubled = F.replace("__norm", F.lit(" "), F.lit("  "))  # so that places one after the other share no space
