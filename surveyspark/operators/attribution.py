@@ -16,23 +16,27 @@ only r meets.  It contributes
 meets is one bit mask a leaf, so numpy handles a whole Arrow batch of rows
 against the distinct masks of the background inside ``mapInPandas``; the
 leaves and the background (200 rows) are broadcast -- both are bounded by the
-model, not by the data -- and the rows to explain stay partitioned.
+model, not by the data.  Rows that no leaf tells apart have the same values, so
+these are computed once for each of the *cells* into which the leaves cut the
+rows, dealt into tasks by their number, and joined to the rows.
 
 Every output is a long table (id, label, feature, value, phi).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONG_SCHEMA = "id long, label string, feature string, value double, phi double"
+#: Cells of rows that one task explains.
+CELLS_PER_TASK = 1_000
 
 
 # -- linear ----------------------------------------------------------------------------
@@ -64,8 +68,6 @@ def export_ensemble(model) -> tuple[list[dict], list[float], str]:
     Forests explain the class-1 probability (mean of leaf class shares); boosted
     trees explain the raw margin (weighted sum of leaf values).
     """
-    import uuid
-
     from pyspark.sql import SparkSession
 
     from surveyspark.session import scratch_path
@@ -160,13 +162,21 @@ def _masks(x: np.ndarray, features: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return held @ (1 << np.arange(len(features)))
 
 
+def _numbered(masks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct masks of k bits in order, and which of them each one is; few bits need no sort."""
+    if k > 10:
+        return np.unique(masks, return_inverse=True)
+    there = np.bincount(masks, minlength=1 << k) > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[masks]
+
+
 def tree_shap(x: np.ndarray, bg: np.ndarray, boxes: list, n_features: int) -> np.ndarray:
     """Exact interventional Shapley values of many rows against the background rows: (rows, features)."""
     phi = np.zeros((len(x), n_features))
     pos, neg = _shares(max((len(b[0]) for b in boxes), default=0))
     for features, lo, hi, sets, value in boxes:
         k = len(features)
-        mine, which = np.unique(_masks(x, features, lo, hi, sets), return_inverse=True)
+        mine, which = _numbered(_masks(x, features, lo, hi, sets), k)
         theirs, count = np.unique(_masks(bg, features, lo, hi, sets), return_counts=True)
         only_x, only_r = mine[:, None] & ~theirs, theirs & ~mine[:, None]
         n = np.where((mine[:, None] | theirs) == (1 << k) - 1, count * (value / len(bg)), 0.0)
@@ -178,29 +188,60 @@ def tree_shap(x: np.ndarray, bg: np.ndarray, boxes: list, n_features: int) -> np
     return phi
 
 
+def cell_codes(x: Column, boxes: list) -> Column:
+    """What the leaves can tell of a row, as an array: for each feature that they bound the number of bounds below its value
+    (-1: NaN), and for each nominal feature its category.  Rows with equal codes lie in the same boxes."""
+    bounds: dict[int, set] = {}
+    nominal: dict[int, int] = {}
+    for features, lo, hi, sets, _ in boxes:
+        for at, f in enumerate(features.tolist()):
+            if at in sets:
+                nominal[f] = len(sets[at]) - 1
+            else:
+                bounds.setdefault(f, {-np.inf}).update((lo[at], hi[at]))      # no lower bound holds a value of minus infinity
+
+    def number(f: int, at: set) -> Column:
+        below = F.size(F.filter(F.lit([float(t) for t in sorted(at)]).cast("array<double>"), lambda t: t < x[f]))
+        return F.when(F.isnan(x[f]), -1).otherwise(below)
+
+    codes = [number(f, at) for f, at in sorted(bounds.items())]
+    for f, n in sorted(nominal.items()):
+        codes.append(F.when((x[f] >= 0) & (x[f] < n) & (x[f] == F.floor(x[f])), x[f].cast("int")).otherwise(n))
+    return F.array(*codes).cast("array<int>")
+
+
 def tree_attribution(rows: DataFrame, model, background: np.ndarray, names: Sequence[str], label: str,
                      id_col: str = "id", features_col: str = "features") -> DataFrame:
-    """Interventional tree Shapley values for every row, computed partition by partition."""
+    """Interventional tree Shapley values for every row, computed once for all rows that lie in the same boxes."""
     trees, weights, _ = export_ensemble(model)
     spark = rows.sparkSession
-    from surveyspark.session import ship_module
+    from surveyspark.session import scratch_path, ship_module
     ship_module(__name__)
-    b_boxes = spark.sparkContext.broadcast(leaf_boxes(trees, weights))
+    boxes = leaf_boxes(trees, weights)
+    b_boxes = spark.sparkContext.broadcast(boxes)
     b_bg = spark.sparkContext.broadcast(np.asarray(background, dtype=float))
-    names = list(names)
     d = len(names)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            phi = tree_shap(x, b_bg.value, b_boxes.value, d)
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), d), "label": label, "feature": names * len(pdf),
-                                "value": x.reshape(-1), "phi": phi.reshape(-1)})
+            x = pdf[[f"x{j}" for j in range(d)]].to_numpy(dtype=float)
+            yield pd.DataFrame({"codes": pdf["codes"], "phi": list(tree_shap(x, b_bg.value, b_boxes.value, d))})
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, f"{name}_{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
 
     src = rows.select(F.col(id_col).cast("long").alias("id"), vector_to_array(F.col(features_col)).alias("x"))
-    return src.mapInPandas(explain, LONG_SCHEMA)
+    coded = src.withColumn("codes", cell_codes(F.col("x"), boxes))
+    cells = kept(coded.groupBy("codes").agg(*[F.min(F.col("x")[j]).alias(f"x{j}") for j in range(d)]), "shap_cells")
+    tasks = -(-cells.count() // CELLS_PER_TASK)
+    phi = kept(cells.repartition(max(tasks, 1)).mapInPandas(explain, "codes array<int>, phi array<double>"), "shap_phi")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col("x")[j].alias("value"), F.col("phi")[j].alias("phi"))
+                               for j, n in enumerate(names)]))
+    return coded.join(phi, "codes").select("id", F.lit(label).alias("label"), each.alias("r")).select("id", "label", "r.*")
 
 
 def ensemble_output(model, x: np.ndarray) -> np.ndarray:

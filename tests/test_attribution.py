@@ -134,3 +134,28 @@ def test_fitted_models_with_nominal_features_add_up(spark, boosted):
     phi = tree_attribution(df, model, x[:40], ["x", "c"], "y").groupBy("id").agg(F.sum("phi").alias("phi")).collect()
     base = ensemble_output(model, x[:40]).mean()
     assert all(base + r["phi"] == pytest.approx(out[r["id"]]) for r in phi)
+
+
+def test_rows_that_no_leaf_tells_apart_are_explained_once(spark):
+    import glob
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from surveyspark.session import checkpoint_dir
+
+    rows = [(i, Vectors.dense([float(i % 11), float(i % 3)]), float(i % 11 > 4)) for i in range(330)]
+    model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=3, seed=1).fit(spark.createDataFrame(rows, ["id", "features", "y"]))
+    boxes = leaf_boxes(*export_ensemble(model)[:2])
+    bg = np.array([r[1].toArray() for r in rows[:40]])
+    odd = [-np.inf, np.inf, np.nan, -0.0, 0.0, *sorted({float(t) for f, lo, hi, _, _ in boxes for t in (*lo, *hi) if np.isfinite(t)})]
+    x = [[v, w] for v in odd for w in (0.0, 1.0, np.nan)] + [[k / 100, float(k % 3)] for k in range(1_000)]
+    df = spark.createDataFrame([(k % 900, Vectors.dense(v)) for k, v in enumerate(x)], ["id", "features"])     # some ids come twice
+    before = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/shap_cells_*"))
+    got = tree_attribution(df, model, bg, ["a", "b"], "y")
+    assert got.dtypes == [("id", "bigint"), ("label", "string"), ("feature", "string"), ("value", "double"), ("phi", "double")]
+    made, = set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/shap_cells_*")) - before
+    assert spark.read.parquet(made).count() < 200 < len(x)
+    show = lambda i, f, v, p: (i, f, repr(float(v)), round(float(p), 12) + 0.0)
+    want = sorted(show(k % 900, f, v[j], p[j]) for k, (v, p) in enumerate(zip(x, tree_shap(np.array(x), bg, boxes, 2))) for j, f in enumerate("ab"))
+    assert sorted(show(r["id"], r["feature"], r["value"], r["phi"]) for r in got.collect()) == want
