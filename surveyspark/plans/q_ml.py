@@ -307,7 +307,11 @@ def q_model_fairness_groups(spark, sf):
 
 
 def _bench_rows(long_with_model):
-    return metrics.multilabel_metrics(long_with_model, 0.5, ["model", "label"])
+    """Metrics of long scores, which are written once: counts and curves read them several times, models score a row once."""
+    spark = long_with_model.sparkSession
+    path = scratch_path(spark, f"scores_{uuid.uuid4().hex}")
+    long_with_model.write.parquet(path)
+    return metrics.multilabel_metrics(spark.read.parquet(path), 0.5, ["model", "label"])
 
 
 def baseline_rows(spark, sf):

@@ -211,3 +211,19 @@ def test_command_line_run_validate_report_train(spark, tmp_dir):
                  "--gbt-rounds", "3", "--rounds", "3"]) == 0
     bench = spark.read.parquet(os.path.join(tmp_dir, "t", "full_benchmark"))
     assert bench.select("model").distinct().count() == 5 and bench.count() == 15
+
+
+def test_benchmark_metrics_read_scores_that_are_written_once(spark):
+    from pyspark.sql import functions as F
+    from surveyspark.plans import q_ml
+    runs = spark.sparkContext.accumulator(0)
+
+    def model(p):
+        runs.add(1)
+        return p
+
+    long = spark.createDataFrame([(i, "quality", i % 2, i / 40, "m") for i in range(40)], "id long, label string, y int, p double, model string")
+    scored = long.withColumn("p", F.udf(model, "double")("p"))
+    row, = q_ml._bench_rows(scored).collect()
+    assert (row["model"], row["label"], row["n_test"], row["roc_auc"]) == ("m", "quality", 40, 0.525)
+    assert runs.value == 40
