@@ -9,10 +9,12 @@
    blocks of ``BLOCK`` signatures, inside a task.  One link is enough to join two
    components, so the first round checks only the most alike pair of each two;
    the second lists what is then still apart and alike by a longer signature.
-   A pair is listed in the first band that it shares only.
+   A pair is listed in the first band that it shares only.  A block meets itself
+   where it lies; only different blocks of one bucket are joined.
 4. Compared pairs pass the signature check (estimate not far below the
    threshold), then the exact check on full shingle sets.
-5. Components come from alternating large-star and small-star steps.
+5. Components come from alternating large-star and small-star steps; later
+   rounds join components of the rounds before, not their members.
 
 With 32 bands of 4 rows a pair at similarity 0.8 is missed with probability
 (1 - 0.8^4)^32 < 1e-7; the signature check loses one with probability < 1e-6.
@@ -25,17 +27,19 @@ share an id and a text share everything; extra columns take no part.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyspark.llm.components import components
 from surveyspark.llm.tables import documents, plain, written
-from surveyspark.llm.words import Words, bounded_batches, grams, mix, slices
+from surveyspark.llm.words import SLICE_BYTES, Words, bounded_batches, grams, mix, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -152,39 +156,42 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
 
 MEMBER = ("node", "n", "c", "sig")
+PAIR = ("u", "v", "cu", "cv")
 
 
 def alike_in_blocks(still: DataFrame, classes: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (u, v) of one bucket and different components that are alike by signature.
+    """Pairs (u, v, cu, cv) of nodes in one bucket and their components, which differ, that are alike by signature.
 
     ``still`` has (band, blocks, node, c).  Members of a bucket are dealt into blocks; each two blocks of a bucket meet
-    in one row.  With ``best_only`` two blocks give at most one pair, the most alike, for each two components.
+    in one row, and each block meets itself.  With ``best_only`` two blocks give at most one pair, the most alike, for each two components.
     """
     rows = still.join(classes.select("node", "n", "sig"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = written(rows.groupBy("band", "block", "blocks").agg(*[F.collect_list(x).alias(x) for x in MEMBER]), "near-blocks")
-    left = dealt.select("band", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("with"), *[F.col(x).alias(f"a_{x}") for x in MEMBER])
-    right = dealt.select("band", F.col("block").alias("with"), *[F.col(x).alias(f"b_{x}") for x in MEMBER])
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for r in range(batch.num_rows):
-                band, i, j = (batch.column(c)[r].as_py() for c in range(3))
-                a, b = ([batch.column(f"{side}_{x}")[r].values.to_numpy(zero_copy_only=x != "sig") for x in MEMBER] for side in "ab")
-                u, v = pairs_of(band, i == j, a, b, percent, best_only)
-                us.append(u), vs.append(v)
-            if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    met = left.join(right, ["band", "with"]).select("band", "block", "with", *[f"{side}_{x}" for side in "ab" for x in MEMBER])
-    return met.mapInArrow(run, "u long, v long").distinct()
-
-
-def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], percent: int, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    own = dealt.select("band", *[F.col(x).alias(f"a_{x}") for x in MEMBER])
+    left = dealt.where("block < blocks - 1").select("band", F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("with"), *[F.col(x).alias(f"a_{x}") for x in MEMBER])
+    right = dealt.where("block > 0").select("band", F.col("block").alias("with"), *[F.col(x).alias(f"b_{x}") for x in MEMBER])
+
+    def meet(sides: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for r in range(batch.num_rows):
+                    a, b = ([batch.column(f"{side}_{x}")[r].values.to_numpy(zero_copy_only=x != "sig") for x in MEMBER] for side in sides)
+                    found.append(pairs_of(batch.column("band")[r].as_py(), sides == "aa", a, b, percent, best_only))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=list(PAIR))
+
+        return run
+
+    pair = ", ".join(f"{x} long" for x in PAIR)
+    return own.mapInArrow(meet("aa"), pair).unionByName(left.join(right, ["band", "with"]).drop("with").mapInArrow(meet("ab"), pair))
+
+
+def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], percent: int, best_only: bool) -> tuple[np.ndarray, ...]:
     """The alike pairs between two blocks (or within one) of a bucket; a block is its members' nodes, sizes, components and signatures."""
     (ia, na, ca, sa), (ib, nb, cb, sb) = a, b
     if len(np.unique(np.concatenate([ca, cb]))) < 2:
-        return ia[:0], ib[:0]
+        return ia[:0], ib[:0], ca[:0], cb[:0]
     (sa, fa), (sb, fb) = (split_signatures(list(x)) for x in (sa, sb))
     ka, kb = band_keys(sa), band_keys(sb)
     us, vs, es = [], [], []
@@ -213,7 +220,7 @@ def pairs_of(band: int, same: bool, a: list[np.ndarray], b: list[np.ndarray], pe
         new = np.ones(len(order), dtype=bool)
         new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
         x, y = x[order][new], y[order][new]
-    return ia[x], ib[y]
+    return ia[x], ib[y], ca[x], cb[y]
 
 
 def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -232,29 +239,46 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
+    """(cu, cv) as (u, v) of the pairs (u, v, cu, cv) whose full shingle sets have 100 * intersection >= percent * union."""
     both = written(pairs, "near-likely").join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tu, tv = b.column("tu"), b.column("tv")
-            keep = np.zeros(b.num_rows, dtype=bool)
-            last, own = None, None
-            for r in range(b.num_rows):
-                if tu[r] != last:
-                    last, own = tu[r], _set_of(tu.slice(r, 1), k)
-                other = _set_of(tv.slice(r, 1), k)
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep[r] = 100 * shared >= percent * (len(own) + len(other) - shared)
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep))
+            keep = similar_rows(b.column("tu"), b.column("tv"), k, percent)
+            yield pa.RecordBatch.from_arrays([b.column("cu"), b.column("cv")], names=["u", "v"]).filter(pa.array(keep))
+
+    return both.select("cu", "cv", "tu", "tv").mapInArrow(exact, "u long, v long")
+
+
+def similar_rows(tu: pa.Array, tv: pa.Array, k: int, percent: int) -> np.ndarray:
+    """Whether the sets of the two texts of each row are similar; texts that near rows share are split once for about SLICE_BYTES of rows."""
+    keep = np.zeros(len(tu), dtype=bool)
+    upto = np.cumsum(pc.binary_length(tu).to_numpy().astype(np.int64) + pc.binary_length(tv).to_numpy())
+    row = 0
+    while row < len(tu):
+        end = max(int(np.searchsorted(upto, (upto[row - 1] if row else 0) + SLICE_BYTES, side="right")), row + 1)
+        both = pa.concat_arrays([x.slice(row, end - row).cast(pa.large_string()) for x in (tu, tv)]).dictionary_encode()
+        sets = text_sets(both.dictionary, k)
+        for r, (i, j) in enumerate(zip(*np.split(both.indices.to_numpy(), 2)), row):
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            keep[r] = 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared)
+        row = end
+    return keep
+
 
-    return both.select("u", "v", "tu", "tv").mapInArrow(exact, "u long, v long")
+def text_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The set of shingles of each text."""
+    sets: list[np.ndarray] = []
+    for row, end, w in slices(texts, True):
+        h, text = shingle_sets(w, k)
+        sets += np.split(h, np.searchsorted(text, np.arange(1, end - row)))
+    return sets
 
 
-def _set_of(text: pa.Array, k: int) -> np.ndarray:
-    for _, _, w in slices(text, True):
-        return shingle_sets(w, k)[0]
-    return np.zeros(0, dtype=np.uint64)
+def moved(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows with their component c replaced by the one that it was joined to, if any."""
+    to = joined.select(F.col("node").alias("c"), F.col("component").alias("to"))
+    return rows.join(to, "c", "left").withColumn("c", F.coalesce("to", "c")).drop("to")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -272,17 +296,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(heads.where("text is not null").select(F.col("id").alias("node"), "text").distinct(), "near-texts")
 
     least = members.select(F.col("lo").alias("u"), F.col("node").alias("v")).where("u < v").distinct()
-    found = components(similar(alike(least, classes, percent), texts, k, percent))
+    steps = [components(similar(alike(least, classes, percent).select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv")), texts, k, percent))]
+    where = members.select("band", "node", F.col("node").alias("c"))
     for best_only in (True, False):
-        where = written(members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c")), "near-where")
+        where = written(moved(where, steps[-1]).select("band", "node", "c"), "near-where")
         split = where.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
         still = where.join(split.where("c_lo < c_hi").select("band", "blocks"), "band")
         signed_nodes = classes if best_only else written(fine_signed(texts.join(still.select("node").distinct(), "node", "left_semi"), k), "near-fine")
-        more = similar(alike_in_blocks(still, signed_nodes, percent, best_only), texts, k, percent)
-        stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = components(stars.unionByName(more))
+        steps.append(components(similar(alike_in_blocks(still, signed_nodes, percent, best_only), texts, k, percent)))
 
-    of_class = written(classes.join(found, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("component")), "near-components")
+    of_class = written(reduce(moved, steps, classes.select("c1", "c2", F.col("node").alias("c"))).select("c1", "c2", F.col("c").alias("component")), "near-components")
     joined = signed_rows.drop("sig").join(of_class, ["c1", "c2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), own)

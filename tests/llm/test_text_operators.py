@@ -609,6 +609,55 @@ def test_components_of_a_long_path(spark):
     assert got == {**{x: min(names[:40]) for x in names[:40]}, **{x: min(names[40:]) for x in names[40:]}}
 
 
+def near_families(rnd, n):
+    """Texts in three families whose members drift apart, so several rounds find links."""
+    vocabulary, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(3):
+        words = [rnd.choice(vocabulary) for _ in range(150)]
+        for _ in range(n):
+            for _ in range(rnd.randint(1, 4)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_near_components_needs_few_tasks(spark):
+    """With many shuffle partitions a step's tasks cost more than its rows: rounds join components only, and a block meets itself without a shuffle."""
+    texts = near_families(random.Random(9), 14)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sc, was = spark.sparkContext, {}
+    for key, value in {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():
+        was[key] = spark.conf.get(key)
+        spark.conf.set(key, value)
+    try:
+        group = f"near-{random.random()}"
+        sc.setJobGroup(group, "near components")
+        got = [r["component_id"] for r in minhash.near_components(df, k=4).orderBy("doc_id").collect()]
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in was.items():
+            spark.conf.set(key, value)
+    assert got == [c for _, c in brute_components(texts, 4)]
+    assert 0 < tasks < 800
+
+
+def test_similar_rows_splits_shared_texts_once(monkeypatch):
+    texts = near_families(random.Random(5), 8) + ["", "a b", "A  b"]
+    rows = list(itertools.combinations(range(len(texts)), 2))
+    read = []
+    monkeypatch.setattr(minhash, "slices", lambda t, lower, f=minhash.slices: read.append(len(t)) or f(t, lower))
+    got = minhash.similar_rows(*(pa.array([texts[r[side]] for r in rows]) for side in (0, 1)), 4, 80)
+    assert sum(read) == len(texts)
+    root = dict(enumerate(c for _, c in brute_components(texts, 4)))
+    sets = [{tuple(w[i:i + 4]) for i in range(max(len(w) - 3, 1))} if (w := WORD.findall(t.translate(LOWER))) else set() for t in texts]
+    assert got.tolist() == [100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i, j in rows]
+    assert all(root[i] == root[j] for (i, j), near in zip(rows, got) if near)
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 1)             # one row at a time gives the same
+    assert minhash.similar_rows(*(pa.array([texts[r[side]] for r in rows]) for side in (0, 1)), 4, 80).tolist() == got.tolist()
+
+
 # -- leaks --------------------------------------------------------------------------------------
 
 def edit_distance_to_part(item, text):
