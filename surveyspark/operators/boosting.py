@@ -4,10 +4,11 @@ Histogram boosting looks at a row only through the bins of its features and its
 label.  So the training rows are first counted by binned vector (one aggregation
 for all labels, with partial sums in every task): a *cell* holds the positives
 and negatives of each label.  A fit on weighted cells is the fit on the rows, but
-its cost for each round depends on the number of cells, not of rows.  With at
-most ``CELL_LIMIT`` cells the table goes to every task, and each fit (a label, a
-variant, a grid point, a fold) is one task; larger tables are left to the
-learners of :mod:`surveyspark.operators.ml`, whose rounds are Spark jobs.
+its cost for each round depends on the number of cells, not of rows.  There is
+one path for every number of cells: the table is written once, and each fit (a
+label, a variant, a grid point, a fold) is one task that reads all cells in order
+of their codes into files on its local disk and works on ``CELL_BLOCK`` of them at
+a time, so its memory does not grow with the table and the driver gets no cells.
 
 Trees grow best split first under a limit of depth, of leaves, or both; leaves
 are Newton steps on the logistic loss with positives weighted; rows and columns
@@ -22,9 +23,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,8 +45,8 @@ from surveyspark.session import scratch_path, ship_module
 ship_module(__name__)
 
 MAX_BINS = 256
-#: Cells that a task may hold (each: one bin per feature and two counts per label).
-CELL_LIMIT = 200_000
+#: Cells that a task adds up at once; sums of a node with more are added block by block, in order.
+CELL_BLOCK = 200_000
 NODE_SCHEMA = ("spec int, tree int, id int, prediction double, n long, gain double, left int, right int, feature int, threshold double")
 
 
@@ -71,12 +76,28 @@ MULTILABEL = {"boosted": Boosting(rounds=400, row_share=0.8, column_share=0.8),
 
 @dataclass
 class Cells:
-    """Binned vectors with counts: codes (cells, features), positives / negatives / unlabelled rows per label, and a fold per cell (-1: none)."""
+    """Binned vectors with counts, written once: (codes, fold or -1, and per label the positive, negative and unlabelled rows pos_, neg_, none_)."""
 
     edges: list[np.ndarray]
-    codes: np.ndarray
-    counts: dict[str, np.ndarray]
-    fold: np.ndarray
+    table: DataFrame
+    size: int
+
+    @cached_property
+    def rows(self) -> pd.DataFrame:
+        """All cells on the driver in the order in which fits read them; to look at a small table (no fit asks for it)."""
+        return self.table.orderBy("codes", "fold").toPandas()
+
+    @property
+    def codes(self) -> np.ndarray:
+        return np.array(self.rows["codes"].tolist(), dtype=np.int32).reshape(self.size, -1)
+
+    @property
+    def counts(self) -> dict[str, np.ndarray]:
+        return {c: self.rows[c].to_numpy(dtype=np.int64) for c in self.rows.columns if c.split("_")[0] in ("pos", "neg", "none")}
+
+    @property
+    def fold(self) -> np.ndarray:
+        return self.rows["fold"].to_numpy(dtype=np.int32)
 
 
 def bin_edges(x: DataFrame, n_features: int, max_bins: int = MAX_BINS) -> list[np.ndarray]:
@@ -102,29 +123,59 @@ def cell_counts(x: DataFrame, edges: Sequence[np.ndarray], labels: Sequence[str]
     return rows.groupBy("codes", "fold").agg(*sums)
 
 
-def cell_table(x: DataFrame, n_features: int, labels: Sequence[str], fold: str | None = None, limit: int = CELL_LIMIT) -> Cells | None:
-    """The cells of a training table, or None if there are more than ``limit``; at most that many rows are fetched."""
+def cell_table(x: DataFrame, n_features: int, labels: Sequence[str], fold: str | None = None, limit: int | None = None) -> Cells | None:
+    """The cells of a training table, however many; None if a caller that wants them on the driver sets a ``limit`` and there are more."""
     edges = bin_edges(x, n_features)
-    rows = cell_counts(x, edges, labels, fold).limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        return None
-    if not len(rows):
+    spark = x.sparkSession
+    out = scratch_path(spark, f"cells_{uuid.uuid4().hex}")
+    cell_counts(x, edges, labels, fold).write.parquet(out)
+    table = spark.read.parquet(out)
+    size = table.count()
+    if not size:
         raise ValueError("No training rows")
-    rows["key"] = rows["codes"].map(tuple)
-    rows = rows.sort_values(["key", "fold"])                               # fits do not depend on the order rows arrive in
-    counts = {c: rows[c].to_numpy(dtype=np.int64) for c in rows.columns if c.split("_")[0] in ("pos", "neg", "none")}
-    return Cells(edges, np.array(rows["key"].tolist(), dtype=np.int32).reshape(len(rows), -1), counts, rows["fold"].to_numpy(dtype=np.int32))
+    return None if limit is not None and size > limit else Cells(edges, table, size)
 
 
 # -- one fit (inside a task) -------------------------------------------------------------------------
 
-def best_split(codes: np.ndarray, bins: Sequence[int], columns: Sequence[int], g: np.ndarray, h: np.ndarray, n: np.ndarray, p: Boosting) -> tuple[float, int, int]:
-    """(gain, feature, last bin of the left side) for the cells of one node; gain 0 if none is allowed."""
+@dataclass
+class TaskCells:
+    """All cells in order of codes and fold inside a task: codes (cells, features), and the counts of one label."""
+
+    edges: list[np.ndarray]
+    codes: np.ndarray
+    fold: np.ndarray
+    pos: np.ndarray
+    neg: np.ndarray
+    none: np.ndarray
+
+    @classmethod
+    def empty(cls, edges: list[np.ndarray], size: int) -> TaskCells:
+        codes = room((size, len(edges)), np.min_scalar_type(max(len(e) for e in edges)))
+        return cls(edges, codes, room(size, np.int32), *[room(size, np.int64) for _ in range(3)])
+
+    def fill(self, at: int, part: pd.DataFrame) -> int:
+        """Puts the rows of a batch behind the first ``at`` cells; the new number of cells."""
+        to = slice(at, at + len(part))
+        for j in range(len(self.edges)):
+            self.codes[to, j] = part[f"code_{j}"]
+        self.fold[to], self.pos[to], self.neg[to], self.none[to] = (part[c] for c in ("fold", "pos", "neg", "none"))
+        return to.stop
+
+
+def room(shape: int | tuple[int, int], dtype) -> np.ndarray:
+    """An array of zeros in an unnamed file on the task's local disk, column by column; the file goes when the array does."""
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as f:
+        return np.asarray(np.memmap(f, dtype, "w+", shape=shape, order="F"))
+
+
+def best_split(sums: dict[int, np.ndarray], p: Boosting) -> tuple[float, int, int]:
+    """(gain, feature, last bin of the left side) for one node from its gradients, hessians and rows by feature and bin; gain 0 if none is allowed."""
     best = (0.0, -1, -1)
-    for j in columns:
-        left = [np.cumsum(np.bincount(codes[:, j], weights=w, minlength=bins[j])) for w in (g, h, n)]
-        total = [c[-1] for c in left]
-        gl, hl, nl = (c[:-1] for c in left)
+    for j, by_bin in sums.items():
+        left = np.cumsum(by_bin, axis=1)
+        total = left[:, -1]
+        gl, hl, nl = left[:, :-1]
         gr, hr, nr = (t - c for t, c in zip(total, (gl, hl, nl)))
         ok = (nl >= p.min_rows) & (nr >= p.min_rows) & (hl >= p.min_hessian) & (hr >= p.min_hessian)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -134,73 +185,121 @@ def best_split(codes: np.ndarray, bins: Sequence[int], columns: Sequence[int], g
     return best
 
 
-def grow(codes: np.ndarray, bins: Sequence[int], g: np.ndarray, h: np.ndarray, n: np.ndarray, p: Boosting, columns: Sequence[int]) -> tuple[list[list], np.ndarray]:
-    """One tree: nodes [prediction, rows, gain, left, right, feature, bin], and its value for every cell."""
+def blocks(start: int, stop: int) -> list[slice]:
+    return [slice(a, min(a + CELL_BLOCK, stop)) for a in range(start, stop, CELL_BLOCK)]
+
+
+def grow(codes: np.ndarray, bins: Sequence[int], g: np.ndarray, h: np.ndarray, n: np.ndarray, p: Boosting, columns: Sequence[int], order: np.ndarray,
+         spare: np.ndarray) -> tuple[list[list], dict[int, tuple[int, int]]]:
+    """One tree: nodes [prediction, rows, gain, left, right, feature, bin], and the stretch of ``order`` that holds the cells of each leaf."""
     nodes: list[list] = []
-    cells: dict[int, np.ndarray] = {}
+    held: dict[int, tuple[int, int]] = {}
     waiting: list[tuple] = []
 
-    def add(idx: np.ndarray, depth: int) -> int:
-        k = len(nodes)
-        total = h[idx].sum() + p.l2
-        nodes.append([-p.step * float(g[idx].sum()) / float(total) if total > 0 else 0.0, int(n[idx].sum()), 0.0, -1, -1, -1, -1])
-        cells[k] = idx
-        if depth < p.depth:
-            gain, j, b = best_split(codes[idx], bins, columns, g[idx], h[idx], n[idx], p)
+    def add(start: int, stop: int, depth: int) -> int:
+        k, splits = len(nodes), depth < p.depth
+        total = [0.0, 0.0, 0.0]
+        sums = {j: np.zeros((3, bins[j])) for j in columns} if splits else {}
+        for s in blocks(start, stop):
+            idx = order[s]
+            weights = g[idx], h[idx], n[idx].astype(np.float64)
+            total = [t + w.sum() for t, w in zip(total, weights)]
+            for j, by_bin in sums.items():
+                at = codes[idx, j].astype(np.intp)
+                for row, w in zip(by_bin, weights):
+                    row += np.bincount(at, weights=w, minlength=bins[j])
+        nodes.append([-p.step * float(total[0]) / float(total[1] + p.l2) if total[1] + p.l2 > 0 else 0.0, int(total[2]), 0.0, -1, -1, -1, -1])
+        held[k] = start, stop
+        if splits:
+            gain, j, b = best_split(sums, p)
             if j >= 0:
                 heapq.heappush(waiting, (-gain, k, j, b, depth))
         return k
 
-    add(np.arange(len(codes)), 0)
+    def divide(start: int, stop: int, j: int, b: int) -> int:
+        """Puts a node's cells left of a split before the others, both in order; where the right side begins."""
+        middle, right = start, 0
+        for s in blocks(start, stop):
+            idx = order[s]
+            goes = codes[idx, j] <= b
+            l, r = idx[goes], idx[~goes]
+            order[middle:middle + len(l)], spare[right:right + len(r)] = l, r
+            middle, right = middle + len(l), right + len(r)
+        order[middle:stop] = spare[:right]
+        return middle
+
+    add(0, len(order), 0)
     leaves = 1
     while waiting and leaves < p.leaves:
         gain, k, j, b, depth = heapq.heappop(waiting)
-        idx = cells.pop(k)
-        left = codes[idx, j] <= b
-        nodes[k][2:] = [-gain, add(idx[left], depth + 1), add(idx[~left], depth + 1), j, b]
+        start, stop = held.pop(k)
+        middle = divide(start, stop, j, b)
+        nodes[k][2:] = [-gain, add(start, middle, depth + 1), add(middle, stop, depth + 1), j, b]
         leaves += 1
-    value = np.zeros(len(codes))
-    for k, idx in cells.items():
-        value[idx] = nodes[k][0]
-    return nodes, value
+    return nodes, held
 
 
 def boost(codes: np.ndarray, bins: Sequence[int], pos: np.ndarray, neg: np.ndarray, p: Boosting) -> Iterator[tuple[list[list], np.ndarray]]:
-    """Each round's tree and the margins of all cells after it."""
+    """Each round's tree and the margins of all cells after it (one array, which the next round changes)."""
     rng = np.random.default_rng(p.seed)
-    margin = np.zeros(len(codes))
+    margin, g, h = (room(len(codes), np.float64) for _ in range(3))
+    n, order, spare = (room(len(codes), np.int64) for _ in range(3))
+    drawn = pos if p.row_share >= 1 else room(len(codes), np.int64)
     n_columns = max(1, int(codes.shape[1] * p.column_share))
     for _ in range(p.rounds):
-        a, b = (pos, neg) if p.row_share >= 1 else (rng.binomial(pos, p.row_share), rng.binomial(neg, p.row_share))
+        if p.row_share < 1:
+            for s in blocks(0, len(codes)):
+                drawn[s] = rng.binomial(pos[s], p.row_share)
+        for s in blocks(0, len(codes)):
+            a, b = drawn[s], neg[s] if p.row_share >= 1 else rng.binomial(neg[s], p.row_share)
+            q = 1.0 / (1.0 + np.exp(-margin[s]))
+            wp = p.positive_weight * a
+            g[s], h[s], n[s], order[s] = wp * (q - 1) + b * q, (wp + b) * q * (1 - q), a + b, np.arange(s.start, s.stop)
         columns = sorted(rng.choice(codes.shape[1], n_columns, replace=False).tolist()) if p.column_share < 1 else range(codes.shape[1])
-        q = 1.0 / (1.0 + np.exp(-margin))
-        wp = p.positive_weight * a
-        tree, value = grow(codes, bins, wp * (q - 1) + b * q, (wp + b) * q * (1 - q), a + b, p, columns)
-        margin = margin + value
+        tree, held = grow(codes, bins, g, h, n, p, columns, order, spare)
+        for k, (start, stop) in held.items():
+            for s in blocks(start, stop):
+                margin[order[s]] += tree[k][0]
         yield tree, margin
 
 
 def run_specs(spark: SparkSession, cells: Cells, specs: Sequence[tuple], task, schema: str) -> DataFrame:
-    """``task(cells, spec number, spec)`` yields rows; every spec is a task of its own, written once."""
-    held, work = spark.sparkContext.broadcast(cells), spark.sparkContext.broadcast(list(specs))
+    """``task(cells, spec number, spec)`` yields rows; every spec (its label first) is a task of its own that reads all cells in order; written once."""
+    edges, size, work = cells.edges, cells.size, spark.sparkContext.broadcast(list(specs))
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    def of_label(kind: str) -> F.Column:
+        """The counts of the spec's label."""
+        numbers = {t: [k for k, spec in enumerate(specs) if spec[0] == t] for t in dict.fromkeys(spec[0] for spec in specs)}
+        return F.coalesce(*[F.when(F.col("spec").isin(ks), F.col(f"{kind}_{t}")) for t, ks in numbers.items()]).alias(kind)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k in b["id"]:
-                yield pd.DataFrame(list(task(held.value, int(k), work.value[int(k)])), columns=names)
+        held, at = None, 0
+        for batch in batches:
+            for k, part in batch.groupby("spec"):
+                held = held or TaskCells.empty(edges, size)
+                at = held.fill(at, part)
+                if at == size:                                             # the spec's last cell
+                    found = iter(task(held, int(k), work.value[int(k)]))
+                    held, at = None, 0
+                    while some := list(islice(found, 100_000)):
+                        yield pd.DataFrame(some, columns=names)
 
     out = scratch_path(spark, f"boosting_{uuid.uuid4().hex}")
-    spark.range(0, len(specs), 1, max(len(specs), 1)).mapInPandas(run, schema).write.parquet(out)
+    codes = [F.col("codes")[j].alias(f"code_{j}") for j in range(len(edges))]
+    every = cells.table.withColumn("spec", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))))
+    every = every.select("spec", *codes, "fold", *[of_label(kind) for kind in ("pos", "neg", "none")]).repartitionById(len(specs), "spec")
+    every.sortWithinPartitions("spec", *[f"code_{j}" for j in range(len(edges))], "fold").mapInPandas(run, schema).write.parquet(out)
     return spark.read.parquet(out)
 
 
-def node_rows(cells: Cells, k: int, spec: tuple[str, bool, Boosting]) -> Iterator[tuple]:
+def node_rows(cells: TaskCells, k: int, spec: tuple[str, bool, Boosting]) -> Iterator[tuple]:
     """The nodes of one fit; half margins, because MLlib's probability is that of twice the margin."""
-    label, missing_is_negative, p = spec
-    neg = cells.counts[f"neg_{label}"] + (cells.counts[f"none_{label}"] if missing_is_negative else 0)
+    _, missing_is_negative, p = spec
+    if missing_is_negative:
+        cells.neg += cells.none
     bins = [len(e) + 1 for e in cells.edges]
-    for t, (tree, _) in enumerate(boost(cells.codes, bins, cells.counts[f"pos_{label}"], neg, p)):
+    for t, (tree, _) in enumerate(boost(cells.codes, bins, cells.pos, cells.neg, p)):
         for i, (value, n, gain, left, right, j, b) in enumerate(tree):
             yield k, t, i, value / 2, n, gain, left, right, j, float(cells.edges[j][b]) if j >= 0 else 0.0
 
@@ -234,44 +333,29 @@ def mllib_model(spark: SparkSession, form: tuple[dict, str], nodes: DataFrame, l
 def fit_boosted(cells: Cells, spark: SparkSession, fits: Sequence[tuple[str, bool, Boosting]]) -> list[GBTClassificationModel]:
     """A model for each (label, do missing labels count as negatives, parameters); all fits run side by side."""
     nodes = run_specs(spark, cells, fits, node_rows, NODE_SCHEMA)
-    form = saved_form(spark, cells.codes.shape[1])
+    form = saved_form(spark, len(cells.edges))
     return ml.parallel_map(lambda k: mllib_model(spark, form, nodes.where(F.col("spec") == k), fits[k][0], fits[k][2].rounds), list(range(len(fits))))
 
 
-def learner(label: str, p: Boosting):
-    """The MLlib learner for tables with too many cells: depth-limited trees, features sampled for each node."""
-    return ml.boosted_trees(label, max_iter=p.rounds, step=p.step, max_depth=min(p.depth, 6), subsample=p.row_share,
-                            feature_subset="all" if p.column_share >= 1 else str(p.column_share), min_instances=p.min_rows)
-
-
-def fit_or_learn(train: DataFrame, features: ml.FeatureStage, cells: Cells | None, fits: Sequence[tuple[str, bool, Boosting]]) -> list:
-    """A classifier for each fit: from the cells, or by MLlib's learner over the rows if there are too many cells."""
-    if cells is not None:
-        return fit_boosted(cells, train.sparkSession, fits)
-
-    def learn(fit: tuple[str, bool, Boosting]):
-        label, missing_is_negative, p = fit
-        rows = train.fillna(0, subset=[label]) if missing_is_negative else train
-        weight = F.when(F.col(label) == 1, F.lit(p.positive_weight)).otherwise(F.lit(1.0))
-        return ml.fit_single(rows, features, label, learner(label, p), weight).stages[-1]
-
-    return ml.parallel_map(learn, list(fits))
-
-
 # -- grid search -----------------------------------------------------------------------------------------
 
 GRID_SCHEMA = "label string, rounds int, depth int, step double, row_share double, fold int, positives long, hits long"
 
 
-def fold_hits(cells: Cells, k: int, spec: tuple[str, Boosting, int, tuple[int, ...]]) -> Iterator[tuple]:
+def fold_hits(cells: TaskCells, k: int, spec: tuple[str, Boosting, int, tuple[int, ...]]) -> Iterator[tuple]:
     """Hits among the positives of the fold left out, after each of several numbers of rounds of one fit."""
     label, p, fold, lengths = spec
-    pos, neg = cells.counts[f"pos_{label}"], cells.counts[f"neg_{label}"]
-    out = cells.fold == fold
+    left_out = cells.none                                                  # not used by the fit: takes the fold's positives
+    for s in blocks(0, len(left_out)):
+        out = cells.fold[s] == fold
+        left_out[s] = np.where(out, cells.pos[s], 0)
+        cells.pos[s][out] = cells.neg[s][out] = 0
+    positives = int(left_out.sum())
     bins = [len(e) + 1 for e in cells.edges]
-    for t, (_, margin) in enumerate(boost(cells.codes, bins, np.where(out, 0, pos), np.where(out, 0, neg), p), 1):
+    for t, (_, margin) in enumerate(boost(cells.codes, bins, cells.pos, cells.neg, p), 1):
         if t in lengths:
-            yield label, t, p.depth, p.step, p.row_share, fold, int(pos[out].sum()), int(pos[out & (margin > 0)].sum())
+            hits = sum(int(left_out[s][margin[s] > 0].sum()) for s in blocks(0, len(margin)))
+            yield label, t, p.depth, p.step, p.row_share, fold, positives, hits
 
 
 def boosted_grid(cells: Cells, spark: SparkSession, base: dict[str, Boosting], lengths: Sequence[int], depths: Sequence[int], steps: Sequence[float],
@@ -280,7 +364,7 @@ def boosted_grid(cells: Cells, spark: SparkSession, base: dict[str, Boosting], l
 
     A fit of the greatest length passes through the shorter ones, so ``lengths`` cost nothing more.
     """
-    folds = sorted(set(cells.fold.tolist()))
+    folds = sorted(r["fold"] for r in cells.table.select("fold").distinct().collect())
     specs = [(t, replace(p, rounds=max(lengths), depth=d, step=s, row_share=r), f, tuple(lengths))
              for t, p in base.items() for d in depths for s in steps for r in row_shares for f in folds]
     hits = run_specs(spark, cells, specs, fold_hits, GRID_SCHEMA)

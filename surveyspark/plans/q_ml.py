@@ -139,7 +139,7 @@ def boosted_fits(spark, sf, kinds):
                 pos, neg = ml.class_counts(train, t)
                 single = boosting.Boosting(positive_weight=neg / pos if pos else 1.0)
                 fits.append((t, k != "single", single if k == "single" else replace(boosting.MULTILABEL[k], positive_weight=mean)))
-        models = boosting.fit_or_learn(train, fs, boosted_cells(spark, sf), fits)
+        models = boosting.fit_boosted(boosted_cells(spark, sf), spark, fits)
         for i, k in enumerate(missing):
             memo(spark, sf, f"boosted_{k}", lambda i=i: dict(zip(LABELS, models[len(LABELS) * i:])))
     return {k: _MEMO[(id(spark), sf, f"boosted_{k}")] for k in kinds}
@@ -369,15 +369,13 @@ def q_tuned_boosted(spark, sf):
     for t in LABELS:
         folded = split.cv_folds(train, "id", t, 5, 42)
         cells = boosting.cell_table(fs.model.transform(folded), len(FEATURE_NAMES), [t], "fold")
-        if cells is None:
-            raise ValueError("Too many binned vectors for the grid")
         pos, neg = ml.class_counts(train, t)
         base = boosting.Boosting(column_share=0.8, positive_weight=neg / pos if pos else 1.0)
         points = boosting.boosted_grid(cells, spark, {t: base}, (200, 400), (4, 6), (0.05, 0.1), (0.8, 1.0)).collect()       # 16 rows
         best = max(points, key=lambda r: (r["mean_recall"], -r["rounds"], -r["depth"], -r["step"], -r["row_share"]))
         bests.append((t, False, replace(base, rounds=best["rounds"], depth=best["depth"], step=best["step"], row_share=best["row_share"])))
         parts += [(*r, r == best) for r in points]
-    models = boosting.fit_or_learn(train, fs, boosted_cells(spark, sf), bests)
+    models = boosting.fit_boosted(boosted_cells(spark, sf), spark, bests)
     scored = ml.score(PipelineModel(stages=[*fs.model.stages, *models]), test, LABELS, keep=("id", *LABELS))
     recall = {r["label"]: float(r["recall"]) for r in metrics.multilabel_metrics(_long(scored, "best"), 0.5, ["model", "label"]).collect()}
     return spark.createDataFrame([(*r, recall[r[0]]) for r in parts],

@@ -26,7 +26,7 @@ def _long(scored: DataFrame, labels: Sequence[str], model: str) -> DataFrame:
 def _boosted(train: DataFrame, fs: ml.FeatureStage, labels: Sequence[str], fits: list) -> PipelineModel:
     """One pipeline that scores every label with its boosted classifier; the training rows are binned once."""
     cells = boosting.cell_table(fs.model.transform(train), len(fs.output_names), labels)
-    return PipelineModel(stages=[*fs.model.stages, *boosting.fit_or_learn(train, fs, cells, fits)])
+    return PipelineModel(stages=[*fs.model.stages, *boosting.fit_boosted(cells, train.sparkSession, fits)])
 
 
 def train_baselines(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str],

@@ -10,8 +10,9 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyspark.operators import boosting
+from surveyspark.operators import boosting, ml
 from surveyspark.operators.boosting import Boosting
+from surveyspark.plans import training
 from surveyspark.session import checkpoint_dir
 
 
@@ -91,3 +92,58 @@ def test_grid_lengths_are_prefixes_of_one_fit(spark, frame):
             *_, (_, margin) = boosting.boost(cells.codes, bins, np.where(out, 0, pos), np.where(out, 0, neg), replace(base, rounds=rounds, depth=depth, step=0.3, row_share=0.8))
             hits.append(pos[out & (margin > 0)].sum() / pos[out].sum())
         assert recall == pytest.approx(np.mean(hits))
+
+
+@pytest.mark.parametrize("p", [Boosting(rounds=12, depth=4, positive_weight=1.7), Boosting(rounds=12, row_share=0.8, column_share=0.5),
+                               Boosting(rounds=12, depth=64, leaves=9, min_rows=20, min_hessian=1e-3, l2=0.0)])
+def test_blocks_give_the_trees_of_the_whole(p, monkeypatch):
+    """Cells added up seven at a time: the same draws, splits and counts, and leaves that differ by rounding alone."""
+    rng = np.random.default_rng(8)
+    codes = np.unique(np.stack([rng.integers(0, 9, 200), rng.integers(0, 12, 200), rng.integers(0, 3, 200)], axis=1), axis=0).astype(np.uint8)
+    pos, neg = rng.integers(0, 9, len(codes)), rng.integers(0, 9, len(codes))
+    pos[codes[:, 1] > 7] += 7
+    whole = [(tree, margin.copy()) for tree, margin in boosting.boost(codes, [9, 12, 3], pos, neg, p)]
+    monkeypatch.setattr(boosting, "CELL_BLOCK", 7)
+    parts = [(tree, margin.copy()) for tree, margin in boosting.boost(codes, [9, 12, 3], pos, neg, p)]
+    for (a, by_whole), (b, by_part) in zip(whole, parts, strict=True):
+        assert [[n[1], *n[3:]] for n in a] == [[n[1], *n[3:]] for n in b]
+        assert by_part == pytest.approx(by_whole)
+    assert max(len(tree) for tree, _ in whole) > 5
+
+
+def test_a_grid_in_blocks_is_the_grid_of_the_whole(spark, frame, monkeypatch):
+    cells = boosting.cell_table(frame.where("y is not null"), 2, ["y"], "fold")
+
+    def grid():
+        found = boosting.boosted_grid(cells, spark, {"y": Boosting(depth=3)}, (4, 9), (2, 3), (0.3,), (0.8,)).collect()
+        return {(r["rounds"], r["depth"]): r["mean_recall"] for r in found}
+
+    whole = grid()
+    monkeypatch.setattr(boosting, "CELL_BLOCK", 5)
+    assert grid() == pytest.approx(whole) and len(whole) == 4
+
+
+def test_every_number_of_cells_has_the_same_learner(spark):
+    """More cells than one block: the leaf-wise fit has all its leaves, grows past depth 6, and scores what the boosting of the cells says."""
+    checkpoint_dir(spark)
+    band = F.floor(F.log2(F.col("a") + 1))
+    train = spark.range(230_000).withColumn("a", F.col("id") % 250).withColumn("b", F.floor(F.col("id") / 250) % 250).withColumn("c", F.floor(F.col("id") / 62_500))
+    train = train.withColumn("y", F.when(F.col("id") % 11 == 0, None).otherwise(((band + (F.col("id") % 13 == 0).cast("int")) % 2)).cast("int"))
+    fs = ml.fit_feature_stage(train, ["a", "b", "c"], [])
+    p = Boosting(rounds=2, depth=64, leaves=14, min_rows=5, min_hessian=1e-3, l2=0.0, step=0.5)
+    model = training._boosted(train, fs, ["y"], [("y", True, p)])
+    cells = boosting.cell_table(fs.model.transform(train), 3, ["y"])
+    assert cells.size > 200_000 and cells.size > boosting.CELL_BLOCK
+    counts = cells.counts
+    assert counts["pos_y"].sum() + counts["neg_y"].sum() + counts["none_y"].sum() == 230_000 and counts["none_y"].sum() == 20_910
+    codes = cells.codes
+    *_, (tree, margin) = boosting.boost(codes, [len(e) + 1 for e in cells.edges], counts["pos_y"], counts["neg_y"] + counts["none_y"], p)
+    trees = model.stages[-1].trees
+    assert [t.numNodes for t in trees] == [2 * p.leaves - 1] * 2 and max(t.depth for t in trees) > 6
+    some = train.where("id % 4999 = 17")
+    scored = model.transform(some).select("features", vector_to_array("prob_y")[1].alias("p")).collect()
+    at = {tuple(c): k for k, c in enumerate(codes.tolist())}
+    for r in scored:
+        k = at[tuple(int((e < v).sum()) for e, v in zip(cells.edges, r["features"].toArray()))]
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-margin[k])))
+    assert len(scored) == 47 and len({round(r["p"], 6) for r in scored}) > 2
